@@ -112,3 +112,14 @@ def latest_version(df: DataFrame, keys: Sequence[str], version: str) -> DataFram
     rest = [c for c in df.columns if c not in keys]
     best = F.max_by(F.struct(*rest), F.col(version)).alias("_row")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def computed(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add or replace columns so that each is evaluated once per row.
+
+    A later filter on a plain derived column is rewritten onto its whole expression and
+    evaluates it again; columns from a generator are not.
+    """
+    keep = [c for c in df.columns if c not in columns]
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*keep, F.inline(F.array(row)))

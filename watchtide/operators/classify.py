@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchtide.functions.expr import first_case
+from watchtide.functions.expr import computed, first_case
 from watchtide.operators.normalize import field, has_any
 
 SCAN_LENGTH = 512
@@ -79,7 +79,7 @@ def default_severity(level: str = "level") -> Column:
 def classify(normalized: DataFrame) -> DataFrame:
     """Label, then keywords, then fields and text; a type given by the sender is kept."""
     given = F.when(F.col("is_preclassified"), _result(F.col("given_type")))
-    df = normalized.withColumn("_c", F.coalesce(given, classify_by_label(), classify_by_regex(), classify_fallback()))
+    df = computed(normalized, {"_c": F.coalesce(given, classify_by_label(), classify_by_regex(), classify_fallback())})
     df = df.select("*", "_c.event_type", "_c.category", F.col("_c.severity").alias("_sev"), "_c.mitre_tactic", "_c.mitre_technique").drop("_c")
     plain = ~F.col("is_preclassified") & (F.col("event_type") != "security")
     described = F.when(~F.col("is_preclassified") & (F.col("event_type") == "security"), F.col("message"))

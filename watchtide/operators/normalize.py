@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchtide.functions.expr import IPV4_IN_TEXT, IPV4_TEXT, first_case, valid_ip
+from watchtide.functions.expr import IPV4_IN_TEXT, IPV4_TEXT, computed, first_case, valid_ip
 
 EVENT_TYPES = ["security", "process", "network", "raw"]
 # Fixed patterns: RFC 3164 and ISO headers in front of a message body.
@@ -35,7 +35,7 @@ def int_or(text: Column, default: int) -> Column:
 
 def parse_messages(df: DataFrame, value: str = "value") -> DataFrame:
     """One parse of the JSON text into a map; the map is null for a broken message."""
-    return df.withColumn("fields", F.from_json(value, "map<string,string>"))
+    return computed(df, {"fields": F.from_json(value, "map<string,string>")})
 
 
 def merge_json_message(df: DataFrame, unless: Column | None = None) -> DataFrame:
@@ -43,9 +43,9 @@ def merge_json_message(df: DataFrame, unless: Column | None = None) -> DataFrame
     text = field("message")
     looks = text.startswith("{") | text.startswith("[")
     inner = F.when(looks if unless is None else looks & ~unless, F.from_json(text, "map<string,string>"))
-    df = df.withColumn("_inner", inner)
+    df = computed(df, {"_inner": inner})
     keep = F.map_filter("fields", lambda k, _: ~F.map_contains_key("_inner", k))
-    return df.withColumn("fields", F.when(F.col("_inner").isNotNull(), F.map_concat(keep, "_inner")).otherwise(F.col("fields"))).drop("_inner")
+    return computed(df, {"fields": F.when(F.col("_inner").isNotNull(), F.map_concat(keep, "_inner")).otherwise(F.col("fields"))}).drop("_inner")
 
 
 def normalize_timestamp(ingest_ts: str) -> Column:
@@ -126,11 +126,12 @@ def preclassified(hint: str = "event_type_hint") -> Column:
 
 def normalize(df: DataFrame, ingest_ts: str = "ingest_ts", hint: str = "event_type_hint", default_source: str = "vector") -> DataFrame:
     """All common columns of an event; ``fields`` stays for the type-specific ones."""
-    df = df.withColumns({"is_preclassified": preclassified(hint), "given_type": field(hint), "source_type": first_field("source_type", default="unknown"), "raw_log_level": original_log_level()})
+    df = computed(df, {"is_preclassified": preclassified(hint), "given_type": field(hint), "source_type": first_field("source_type", default="unknown"), "raw_log_level": original_log_level()})
     skip = F.col("is_preclassified")
     df = merge_json_message(df, unless=skip)
     message = F.coalesce(field("message"), F.when(skip, F.lit("")).otherwise(F.to_json("fields")))
-    df = df.withColumns(
+    df = computed(
+        df,
         {
             "timestamp": normalize_timestamp(ingest_ts),
             "hostname": F.when(skip, first_field("hostname", default="unknown")).otherwise(normalize_hostname()),
@@ -138,7 +139,7 @@ def normalize(df: DataFrame, ingest_ts: str = "ingest_ts", hint: str = "event_ty
             "level": F.when(skip, F.upper(first_field("level", default="INFO"))).otherwise(normalize_level()),
             "source": F.when(skip, first_field("source", default=default_source)).otherwise(normalize_source(default_source)),
             "message": message,
-        }
+        },
     )
     return df.withColumns(
         {

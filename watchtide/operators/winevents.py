@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchtide.functions.expr import contains_any, first_case, lookup
+from watchtide.functions.expr import computed, contains_any, first_case, lookup
 
 # Fixed values: (type, category, severity, tactic, technique, text) per event id.
 SYSMON = {
@@ -110,12 +110,12 @@ def _tagged(df: DataFrame, rules: dict, unknown: str) -> DataFrame:
         known = {k: v[i] for k, v in table.items() if v[i] is not None}
         out[name] = lookup(eid, known).cast(kind)
     text = first_case([(eid == k, fill(v[5])) for k, v in rules.items()], F.concat(F.lit(unknown), eid.cast("string"), F.lit(": "), F.to_json("data")))
-    return df.withColumns({**out, "event_type": F.coalesce(out["event_type"], F.lit("raw")), "message": text})
+    return computed(df, {**out, "event_type": F.coalesce(out["event_type"], F.lit("raw")), "message": text})
 
 
 def parse_event_data(df: DataFrame) -> DataFrame:
     empty = F.create_map().cast("map<string,string>")
-    return df.withColumn("data", F.coalesce(F.from_json("event_data", "map<string,string>"), empty))
+    return computed(df, {"data": F.coalesce(F.from_json("event_data", "map<string,string>"), empty)})
 
 
 def sysmon_events(df: DataFrame) -> DataFrame:
@@ -134,7 +134,8 @@ def sysmon_events(df: DataFrame) -> DataFrame:
     is_process = F.col("event_type") == "process"
     is_flow = F.col("event_type") == "network"
     dns = eid == 22
-    df = df.withColumns(
+    df = computed(
+        df,
         {
             "event_type": F.when(piped, "security").otherwise(F.col("event_type")),
             "category": F.when(piped, "command-and-control").otherwise(F.col("category")),
@@ -162,7 +163,7 @@ def sysmon_events(df: DataFrame) -> DataFrame:
             "is_suspicious": F.when((eid == 7) & unsigned, 1).otherwise(0),
             "detection_rule": F.when((eid == 7) & unsigned, "unsigned_dll_load").otherwise(""),
             "user_id": F.when(eid.isin(1, 3, 5), data("User")).otherwise(""),
-        }
+        },
     )
     return df
 
@@ -225,7 +226,7 @@ def process_rules(binary="binary_path", arguments="arguments", parent="parent_bi
 
 def suspicious_process(df: DataFrame, **columns: str) -> DataFrame:
     """The last matching rule names the detection."""
-    df = df.withColumn("_rules", process_rules(**columns))
+    df = computed(df, {"_rules": process_rules(**columns)})
     last = F.coalesce(F.try_element_at("_rules", F.lit(-1)), F.lit(""))
     return df.withColumns({"is_suspicious": (F.size("_rules") > 0).cast("int"), "detection_rule": last}).drop("_rules")
 

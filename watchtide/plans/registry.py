@@ -12,6 +12,7 @@ from watchtide.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+AREAS: dict[str, str] = {}
 
 
 def plain(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -46,6 +47,7 @@ def query(name: str, sql: str | None = None):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = run
+        AREAS[name] = fn.__module__
         if sql is not None:
             ORACLES[name] = with_views(sql)
         return fn

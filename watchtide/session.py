@@ -20,6 +20,7 @@ def local_session(app: str = "watchtide", cores: str = "8", **extra: str) -> Spa
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", "8g")
     )

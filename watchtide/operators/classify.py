@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchtide.functions.expr import computed, first_case
+from watchtide.functions.expr import computed, contains_any, first_case
 from watchtide.operators.normalize import field, has_any
 
 SCAN_LENGTH = 512
@@ -48,16 +48,20 @@ def classify_by_label() -> Column:
     return F.when(cat.isNotNull(), by_category).otherwise(by_label)
 
 
-def classify_by_regex(message: str = "message") -> Column:
-    """Keywords in the first part of the message; one guard pattern lets most lines pass cheaply."""
-    scan = F.substring(message, 1, SCAN_LENGTH)
-    guard = "(?i)" + "|".join(words for words, *_ in KEYWORD_RULES)
-    chain = first_case([(scan.rlike(f"(?i){words}"), _result("security", *tags)) for words, *tags in KEYWORD_RULES])
-    return F.when(scan.rlike(guard), chain)
+def _words(text: str) -> list[str]:
+    return text.split("|")
 
 
-def classify_fallback(message: str = "message") -> Column:
-    scan = F.substring(message, 1, SCAN_LENGTH)
+def classify_by_regex(scan: Column) -> Column:
+    """Keywords in the lower-cased first part of the message."""
+    return first_case([(contains_any(scan, _words(words)), _result("security", *tags)) for words, *tags in KEYWORD_RULES])
+
+
+def scan_text(message: str = "message") -> Column:
+    return F.lower(F.substring(message, 1, SCAN_LENGTH))
+
+
+def classify_fallback(scan: Column) -> Column:
     return first_case(
         [
             (scan.rlike(PRIVILEGE), _result("security", "privilege-escalation", 2, "privilege-escalation", "T1548")),
@@ -79,7 +83,9 @@ def default_severity(level: str = "level") -> Column:
 def classify(normalized: DataFrame) -> DataFrame:
     """Label, then keywords, then fields and text; a type given by the sender is kept."""
     given = F.when(F.col("is_preclassified"), _result(F.col("given_type")))
-    df = computed(normalized, {"_c": F.coalesce(given, classify_by_label(), classify_by_regex(), classify_fallback())})
+    df = computed(normalized, {"_scan": scan_text()})
+    scan = F.col("_scan")
+    df = computed(df, {"_c": F.coalesce(given, classify_by_label(), classify_by_regex(scan), classify_fallback(scan))}).drop("_scan")
     df = df.select("*", "_c.event_type", "_c.category", F.col("_c.severity").alias("_sev"), "_c.mitre_tactic", "_c.mitre_technique").drop("_c")
     plain = ~F.col("is_preclassified") & (F.col("event_type") != "security")
     described = F.when(~F.col("is_preclassified") & (F.col("event_type") == "security"), F.col("message"))

@@ -50,7 +50,7 @@ def asset_multipliers(hostnames: DataFrame, assets: DataFrame) -> DataFrame:
         .where(F.col("plen") <= F.length("hostname"))
         .select("hostname", F.expr("lower(left(hostname, plen))").alias("prefix"))
     )
-    hit = starts.join(rules, "prefix").where(F.col("hostname").ilike(F.col("hostname_pattern")))
+    hit = starts.join(rules, "prefix").where(F.ilike("hostname", "hostname_pattern"))
     return hit.groupBy("hostname").agg(F.min_by("multiplier", "hostname_pattern").alias("asset_multiplier"))
 
 

@@ -221,6 +221,12 @@ def drop_debug(df: DataFrame) -> DataFrame:
     return df.where(F.col("level") != "DEBUG")
 
 
+def route_counts(classified: DataFrame) -> DataFrame:
+    """Rows each typed table gets, in one pass."""
+    kept = (F.col("event_type") != "raw") | (F.col("level") != "DEBUG")
+    return classified.where(kept).groupBy("event_type").agg(F.count("*").alias("cnt"))
+
+
 def route_by_type(classified: DataFrame) -> dict[str, DataFrame]:
     """The four typed tables; the caller persists ``classified`` within a micro-batch."""
     return {t: project_event(classified, t) for t in EVENT_TYPES}

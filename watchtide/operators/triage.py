@@ -73,18 +73,16 @@ def triage_features(events: DataFrame, topic: str, ts: str = "timestamp") -> Dat
     window features of ``network_features``.
     """
     have, net = set(events.columns), topic == "network-events"
-    pick = lambda *names, default: F.coalesce(*[F.col(n) for n in names if n in have], F.lit(default))
-    severity = pick("original_log_level", "level", "severity", default="info") if not {"original_log_level"} & have else F.col("original_log_level")
-    seconds = _double(pick("duration_ms", "duration", default=0)) / 1000.0 if net else F.lit(0.0)
-    text = pick("message", "message_body", "description", default="")
-    sized = _double(pick("bytes_sent", default=0)) if net else F.length(text).cast("double")
+    pick = lambda *names, default: F.coalesce(*[F.col(n).cast("string") for n in names if n in have], F.lit(default))
+    seconds = _double(pick("duration_ms", "duration", default="0")) / 1000.0 if net else F.lit(0.0)
+    sized = _double(pick("bytes_sent", default="0")) if net else F.length(pick("message", "message_body", "description", default="")).cast("double")
     features = {
-        "hour_of_day": F.hour(ts), "day_of_week": F.weekday(ts), "severity_numeric": map_severity(severity),
+        "hour_of_day": F.hour(ts), "day_of_week": F.weekday(ts), "severity_numeric": map_severity(pick("original_log_level", "level", "severity", default="info")),
         "source_type_numeric": map_source_type(pick("source_type", "source", default="unknown"), F.lit(topic)),
-        "src_bytes": clamp(sized, 0.0, BYTES_MAX), "dst_bytes": clamp(_double(pick("bytes_received", default=0)), 0.0, BYTES_MAX) if net else F.lit(0.0),
+        "src_bytes": clamp(sized, 0.0, BYTES_MAX), "dst_bytes": clamp(_double(pick("bytes_received", default="0")), 0.0, BYTES_MAX) if net else F.lit(0.0),
         "event_freq_1m": F.when(seconds > 0, 60.0 / seconds).otherwise(0.0), "protocol_code": map_protocol(pick("protocol", default="tcp")),
-        "dst_port_code": _double(pick("dst_port", "dest_port", default=0)), "template_rarity": pick("template_rarity", default=0.5),
-        "threat_intel_flag": pick("threat_intel_flag", default=0), "duration": seconds,
+        "dst_port_code": _double(pick("dst_port", "dest_port", default="0")), "template_rarity": _double(pick("template_rarity", default="0.5")),
+        "threat_intel_flag": pick("threat_intel_flag", default="0"), "duration": seconds,
         **{n: F.col(n) if net else F.lit(0.0) for n in WINDOW_FEATURES},
     }
     source = {"protocol": "protocol_code", "dst_port": "dst_port_code"}

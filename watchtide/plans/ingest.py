@@ -132,12 +132,12 @@ def _tag_sql(case):
 
 @query("classify_by_regex", f"WITH {NORM} SELECT event_id, {_tag_sql(keyword_case)} FROM c")
 def classify_by_regex(t):
-    return normalized(t).withColumn("c", C.classify_by_regex()).select("event_id", *[f"c.{x}" for x in TAGS])
+    return normalized(t).withColumn("c", C.classify_by_regex(C.scan_text())).select("event_id", *[f"c.{x}" for x in TAGS])
 
 
 @query("classify_fallback", f"WITH {NORM} SELECT event_id, CASE {fallback_case('event_type')} ELSE 'raw' END AS event_type, {_tag_sql(fallback_case)} FROM c")
 def classify_fallback(t):
-    return normalized(t).withColumn("c", C.classify_fallback()).select("event_id", "c.event_type", *[f"c.{x}" for x in TAGS])
+    return normalized(t).withColumn("c", C.classify_fallback(C.scan_text())).select("event_id", "c.event_type", *[f"c.{x}" for x in TAGS])
 
 
 @query("default_severity", f"WITH {NORM} SELECT event_id, CAST(CASE level WHEN 'CRITICAL' THEN 4 WHEN 'ERROR' THEN 3 WHEN 'WARNING' THEN 2 ELSE 0 END AS BIGINT) AS severity FROM c")
@@ -157,11 +157,7 @@ def preclassified_bypass(t):
 
 @query("route_by_type", f"WITH {NORM} SELECT event_type, count(*) AS cnt FROM c WHERE NOT (event_type = 'raw' AND level = 'DEBUG') GROUP BY 1")
 def route_by_type(t):
-    parts = [df.groupBy(F.lit(k).alias("event_type")).agg(F.count("*").alias("cnt")) for k, df in N.route_by_type(classified(t)).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return N.route_counts(classified(t))
 
 
 PORT = lambda t: f"CASE WHEN {t} BETWEEN 0 AND 65535 THEN {t} ELSE 0 END"

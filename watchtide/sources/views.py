@@ -243,6 +243,10 @@ BASE_TABLES = (
 ).split()
 
 
+# Views whose rows are parsed and matched against many patterns.
+HEAVY = {"fx_messages", "fx_winlog", "fx_raw", "fx_process"}
+
+
 class Tables:
     """The given tables and the views over them, read lazily."""
 
@@ -252,13 +256,20 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row: when the files give fewer splits than
+        there are cores, rows are dealt out; large inputs have enough splits and stay."""
+        df, cores = self.base(name), self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
     def view(self, name: str) -> DataFrame:
         """One fixture view; the names it reads are bound to this folder's tables."""
         import re
 
         sql = self._texts[name]
         used = {n for n in re.findall(r"\b\w+\b", sql) if n in BASE_TABLES or (n in self._texts and n != name)}
-        frames = {n: self.base(n) if n in BASE_TABLES else self.view(n) for n in used}
+        read = self.spread if name in HEAVY else self.base
+        frames = {n: read(n) if n in BASE_TABLES else self.view(n) for n in used}
         return _bind(self.spark, sql, frames)
 
     security = cached_property(lambda self: self.view("fx_security"))

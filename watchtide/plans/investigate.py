@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from watchtide.operators import rollups as A, triage as G
 from watchtide.operators.investigate import attack_graph as K, signals as S, verdict as V
+from watchtide.operators.investigate.run import gather_signals
 from watchtide.plans.registry import query
 from watchtide.plans.triage import RESULTS, rnd
 from watchtide.plans.reports import ACTIONS, actions
@@ -17,12 +18,30 @@ ALERTS = f"{RESULTS}, alerts AS (SELECT * FROM res WHERE adjusted_score >= 0.65)
 IN_WINDOW = "f.timestamp BETWEEN a.timestamp - INTERVAL 15 MINUTE AND a.timestamp"
 
 
+_WRITTEN: dict[tuple, object] = {}
+
+
+def written(t: Tables, name: str, make):
+    """An intermediate table, written once per session and folder and then only read.
+
+    Stands for the score and event tables that exist on a cluster before anyone investigates.
+    """
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = cut_lineage(make())
+    return _WRITTEN[key]
+
+
 def scored(t: Tables):
-    """Routed results as a written table, which is what an investigation reads."""
-    if not hasattr(t, "_scored"):
+    def make():
         full = G.triage_result(t.scores, t.thresholds, t.assets, t.iocs, t.allowlist, AS_OF)
-        t._scored = cut_lineage(full.join(t.scores.select("event_id", "message"), "event_id"))
-    return t._scored
+        return full.join(t.scores.select("event_id", "message"), "event_id")
+
+    return written(t, "scored", make)
+
+
+def network(t: Tables):
+    return written(t, "network", lambda: t.network)
 
 
 def alerts(t: Tables):
@@ -49,12 +68,12 @@ sg AS (SELECT a.*, list_filter([{', '.join(c.format(repr(r.id)) for c, r in zip(
 
 @query("sigma_rules", f"WITH {SIGMA} SELECT event_id, array_to_string(ids, '|') AS rule_ids, CAST(len(ids) AS BIGINT) AS sigma_hit_count, CAST(coalesce(list_max(lv), 0) AS BIGINT) AS sigma_max_severity FROM sg")
 def sigma_rules(t):
-    return S.sigma_rules(alerts(t), t.network).select("event_id", F.transform("sigma_hits", lambda h: h["rule_id"]).alias("rule_ids"), "sigma_hit_count", "sigma_max_severity")
+    return S.sigma_rules(alerts(t), network(t)).select("event_id", F.transform("sigma_hits", lambda h: h["rule_id"]).alias("rule_ids"), "sigma_hit_count", "sigma_max_severity")
 
 
 @query("sigma_rule_pack", f"WITH {SIGMA} SELECT rule_id, count(*) AS alerts FROM (SELECT unnest(ids) AS rule_id FROM sg) GROUP BY 1")
 def sigma_rule_pack(t):
-    return S.sigma_rule_hits(S.sigma_rules(alerts(t), t.network)).groupBy("rule_id").agg(F.count("*").alias("alerts"))
+    return S.sigma_rule_hits(S.sigma_rules(alerts(t), network(t))).groupBy("rule_id").agg(F.count("*").alias("alerts"))
 
 
 _WORD = {v: k for k, v in S.SEVERITY.items()}
@@ -63,20 +82,20 @@ _HIT = " UNION ALL ".join(f"SELECT timestamp, event_id, source_type, hostname, '
 
 @query("sigma_rule_hits", f"WITH {SIGMA} SELECT CAST(timestamp AS VARCHAR) AS hit_time, event_id AS alert_id, rule_id, rule_name, source_type, hostname, severity, mitre_tactic, mitre_technique, matched_events FROM ({_HIT})")
 def sigma_rule_hits(t):
-    return S.sigma_rule_hits(S.sigma_rules(alerts(t), t.network))
+    return S.sigma_rule_hits(S.sigma_rules(alerts(t), network(t)))
 
 
 @query("rule_alert_join", f"WITH {SIGMA} SELECT event_id, m0, m1, m2, m3, m4, m5, m6 FROM sg")
 def rule_alert_join(t):
     """Measure of every rule for every alert."""
     out, span = alerts(t), S.minutes(15)
-    hits = S.sigma_rules(out, t.network, {r.id: S.Rule(r.id, r.title, r.severity, r.category, keys=r.keys, where=r.where, distinct=r.distinct, more_than=-1) for r in S.RULES.values()}, window_min=span // 60_000_000)
+    hits = S.sigma_rules(out, network(t), {r.id: S.Rule(r.id, r.title, r.severity, r.category, keys=r.keys, where=r.where, distinct=r.distinct, more_than=-1) for r in S.RULES.values()}, window_min=span // 60_000_000)
     return hits.select("event_id", *[F.get("sigma_hits", F.lit(i))["matched_events"].alias(f"m{i}") for i in range(7)])
 
 
 @query("fast_path_verdict", f"WITH {SIGMA} SELECT event_id AS alert_id, hostname, 'CONFIRMED_ATTACK' AS finding_type, 'critical' AS severity, 0.95::DOUBLE AS confidence, CAST(1 AS BIGINT) AS is_fast_path FROM sg WHERE list_max(lv) >= 3")
 def fast_path_verdict(t):
-    return V.fast_path_verdict(S.sigma_rules(alerts(t), t.network)).select("alert_id", "hostname", "finding_type", "severity", "confidence", "is_fast_path")
+    return V.fast_path_verdict(S.sigma_rules(alerts(t), network(t))).select("alert_id", "hostname", "finding_type", "severity", "confidence", "is_fast_path")
 
 
 # ---- window signals --------------------------------------------------------------------
@@ -90,8 +109,8 @@ def alert_window_join(t):
     from watchtide.functions.timeline import distinct_deltas, sum_deltas, sweep
 
     span, keys, ts = S.minutes(15), ["hostname"], "timestamp"
-    sums = sum_deltas(t.network, keys, ts, span, {"events": F.lit(1), "bytes_sent": F.col("bytes_sent")})
-    kinds = distinct_deltas(t.network, keys, ts, span, {"ports": F.col("dst_port")})
+    sums = sum_deltas(network(t), keys, ts, span, {"events": F.lit(1), "bytes_sent": F.col("bytes_sent")})
+    kinds = distinct_deltas(network(t), keys, ts, span, {"ports": F.col("dst_port")})
     return sweep(alerts(t).select("event_id", "hostname", "timestamp"), keys, ts, span, [sums, kinds]).select("event_id", "events", "bytes_sent", "ports")
 
 
@@ -102,7 +121,7 @@ sp AS (SELECT a.event_id, (SELECT count(*) FROM fx_network f WHERE f.hostname =
 
 @query("spc_evaluate", f"WITH {SPC} SELECT event_id, obs AS spc_observed, round(mean, 6) AS spc_baseline_mean, round(sd, 6) AS spc_baseline_stddev, round(CASE WHEN sd > 0 THEN (obs - mean) / sd ELSE 0 END, 6) AS spc_z_score, CAST(CASE WHEN sd > 0 THEN (obs - mean) / sd > 3 ELSE false END AS BIGINT) AS spc_is_anomaly FROM sp")
 def spc_evaluate(t):
-    return S.spc_evaluate(alerts(t), t.network, actions(t), AS_OF, baseline_hours=720).select("event_id", "spc_observed", "spc_baseline_mean", "spc_baseline_stddev", "spc_z_score", "spc_is_anomaly")
+    return S.spc_evaluate(alerts(t), network(t), actions(t), AS_OF, baseline_hours=720).select("event_id", "spc_observed", "spc_baseline_mean", "spc_baseline_stddev", "spc_z_score", "spc_is_anomaly")
 
 
 @query("temporal_correlation", f"""WITH {ALERTS}, j AS (SELECT a.event_id, f.event_id AS fid, f.source_type, f.mitre_tactic, CAST(round(f.adjusted_score * 1000000) AS BIGINT) AS sc, f.adjusted_score AS fs, a.adjusted_score AS as_, f.source_ip = a.source_ip AS same_ip
@@ -130,7 +149,7 @@ gr AS (SELECT *, CASE WHEN ioc OR NOT noise THEN d0 ELSE 0 END AS d FROM g)"""
 @query("graph_features", f"""WITH {GRAPH} SELECT event_id, CAST(d AS BIGINT) AS graph_unique_destinations, srcs AS graph_unique_src_ips, CAST(ioc AS BIGINT) AS graph_has_ioc_neighbor, hops AS graph_hop_count, hr AS graph_high_risk_neighbors, esc AS graph_escalation_count,
  least(1.0, hops / 10.0::DOUBLE)::DOUBLE AS graph_lateral_movement_score, CASE WHEN d >= 3 AND hops >= 2 THEN least(1.0, d / 10.0::DOUBLE * (1 + ioc::INT)) ELSE 0 END::DOUBLE AS graph_c2_candidate_score FROM gr""")
 def graph_features(t):
-    return S.graph_features(alerts(t), t.network, scored(t), t.iocs, AS_OF, noisy_limit=GRAPH_NOISE).select("event_id", *[c for c in V.FEATURE_ORDER if c.startswith("graph_")])
+    return S.graph_features(alerts(t), network(t), scored(t), t.iocs, AS_OF, noisy_limit=GRAPH_NOISE).select("event_id", *[c for c in V.FEATURE_ORDER if c.startswith("graph_")])
 
 
 # ---- mapping and campaigns -------------------------------------------------------------
@@ -172,13 +191,13 @@ cp AS (SELECT a.event_id, any_value(a.source_ip) AS ip, count(DISTINCT f.hostnam
 
 @query("campaign_detection", f"WITH {CAMPAIGN} SELECT a.event_id, coalesce(hosts, 0) AS campaign_host_count, coalesce(tactics, 0) AS campaign_tactic_count, CAST(coalesce(hosts, 0) >= 2 AND coalesce(tactics, 0) >= 2 AS BIGINT) AS is_campaign FROM alerts a LEFT JOIN cp USING (event_id)")
 def campaign_detection(t):
-    return S.campaign_detection(alerts(t), scored(t), t.network).select("event_id", "campaign_host_count", "campaign_tactic_count", "is_campaign")
+    return S.campaign_detection(alerts(t), scored(t), network(t)).select("event_id", "campaign_host_count", "campaign_tactic_count", "is_campaign")
 
 
 @query("campaign_hosts", f"""WITH {CAMPAIGN}, rh AS (SELECT a.event_id, f.hostname AS h FROM alerts a JOIN cp ON cp.event_id = a.event_id AND cp.hosts >= 2 AND cp.tactics >= 2 JOIN res f ON f.source_ip = a.source_ip AND {IN_WINDOW} GROUP BY ALL),
  rk AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY h) AS rn FROM rh) SELECT event_id, string_agg(h, '|' ORDER BY rn) AS related_hosts FROM rk WHERE rn <= 20 GROUP BY event_id""")
 def campaign_hosts(t):
-    return S.campaign_detection(alerts(t), scored(t), t.network).where("is_campaign = 1").select("event_id", "related_hosts")
+    return S.campaign_detection(alerts(t), scored(t), network(t)).where("is_campaign = 1").select("event_id", "related_hosts")
 
 
 @query("merge_ids", "SELECT conv_id, array_to_string(list_sort(list_distinct(list_concat(a, b)))[1:50], '|') AS merged FROM (SELECT conv_id, list(role) AS a, list(CAST(turn AS VARCHAR)) AS b FROM conversations GROUP BY conv_id)")
@@ -191,16 +210,8 @@ def merge_ids(t):
 
 
 def all_signals(t: Tables):
-    """Alerts with every signal; computed once per table set."""
-    if not hasattr(t, "_signals"):
-        out = S.sigma_rules(alerts(t), t.network)
-        out = S.spc_evaluate(out, t.network, actions(t), AS_OF, baseline_hours=720)
-        out = S.graph_features(out, t.network, scored(t), t.iocs, AS_OF, noisy_limit=GRAPH_NOISE)
-        out = S.temporal_correlation(out, scored(t))
-        out = S.mitre_mapping(out, RULES)
-        out = S.campaign_detection(out, scored(t), t.network)
-        t._signals = cut_lineage(S.without_similarity(out))
-    return t._signals
+    """Alerts with every signal."""
+    return written(t, "signals", lambda: gather_signals(alerts(t), network(t), scored(t), actions(t), t.iocs, AS_OF, RULES, baseline_hours=720, noisy_limit=GRAPH_NOISE))
 
 
 @query("hunter_features")

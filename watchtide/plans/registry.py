@@ -72,6 +72,7 @@ def with_views(sql: str) -> str:
         return sql
     head = ",\n".join(f"{n} AS (\n{texts[n]}\n)" for n in needed)
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {head},\n{body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{head},\n{body[len(start):]}"
     return f"WITH {head}\n{body}"

@@ -166,7 +166,7 @@ def _histograms(base: DataFrame, now: DataFrame, features: Sequence[str]) -> Dat
     binned = both.join(range_, "feature").withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / BINS)), F.lit(BINS - 1)))
     counts = binned.groupBy("feature", "bin").agg(F.count_if(F.col("side") == "p").alias("p"), F.count_if(F.col("side") == "q").alias("q"))
     sizes = range_.select("feature", ((F.col("hi") - F.col("lo")) / BINS).alias("width"))
-    grid = sizes.select("feature", "width", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).cast("bigint").alias("bin"))
+    grid = sizes.select("feature", "width", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BINS - 1).cast("bigint"))).alias("bin"))
     full = grid.join(counts, ["feature", "bin"], "left").fillna(0, ["p", "q"])
     totals = counts.groupBy("feature").agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
     return full.join(totals, "feature")

@@ -197,3 +197,38 @@ def data_integrity_check(found: DataFrame, expected: DataFrame, keys: list[str])
         .withColumn("loss_pct", F.when(F.col("expected") > 0, loss).otherwise(0.0))
         .withColumn("passed", (F.col("found") >= F.col("expected")).cast("int"))
     )
+
+
+def dashboard_metrics(raw: DataFrame, security: DataFrame, process: DataFrame, network: DataFrame, anchors: DataFrame, metrics: DataFrame, as_of, rng: str = "24h") -> dict[str, DataFrame]:
+    """Every figure of the dashboard, by name; the caller may persist the rollups it shares."""
+    from watchtide.operators import rollups as A
+
+    window = RANGES[rng]
+    feed = A.event_feed(raw, security, process, network)
+    minute, ten, hourly = A.events_per_minute(feed), A.events_per_10s(feed), A.security_severity_hourly(security)
+    return {
+        "table_counts": table_counts({"raw_logs": raw, "security_events": security, "process_events": process, "network_events": network}), "ingest_rate": ingest_rate(minute, ten, metrics, as_of),
+        "active_alerts": active_alerts(hourly, as_of, rng), "top_sources": top_sources(minute, as_of, window), "severity_distribution": severity_distribution(hourly, as_of, window), "events_timeline": events_timeline(ten, as_of, "ts", "6 HOURS"),
+        "critical_alert_count": counts(security, [], as_of, "1 HOUR", F.col("severity") >= 3), "mitre_top_techniques": mitre_top_techniques(security, as_of), "mitre_tactic_heatmap": mitre_tactic_heatmap(security, as_of, window),
+        "risky_entities": risky_entities(security, as_of, window), "risk_score": risk_score(hourly, as_of, window), "mttr": mttr(security, as_of, window), "evidence_summary": evidence_summary(anchors),
+    }
+
+
+def soc_report(raw: DataFrame, security: DataFrame, process: DataFrame, network: DataFrame, anchors: DataFrame, as_of) -> dict[str, DataFrame]:
+    return {
+        "summary": alert_summary(security, as_of, "7 DAYS"), "tables": table_counts({"raw_logs": raw, "security_events": security, "process_events": process, "network_events": network}), "evidence": evidence_summary(anchors),
+        "categories": counts(security, ["category"], as_of, "7 DAYS", k=10), "severities": counts(security, ["severity"], as_of, "7 DAYS"), "recent_alerts": recent_alerts(security, as_of, "7 DAYS", 3, 50), "techniques": mitre_top_techniques(security, as_of, k=20),
+    }
+
+
+def threat_intel_report(security: DataFrame, as_of) -> dict[str, DataFrame]:
+    return {"techniques": mitre_top_techniques(security, as_of, k=20), "indicators": top_indicators(security, as_of), "attacks_by_hour": attacks_by_hour(security, as_of)}
+
+
+def long_report(sections: dict[str, DataFrame]) -> DataFrame:
+    """Sections as rows of (section, row) with each row as JSON, for one export file."""
+    out = None
+    for name, df in sections.items():
+        part = df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns)).alias("row"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -232,7 +232,7 @@ def test_scores_do_not_depend_on_the_batch(spark):
 @pytest.mark.parametrize("name", sorted(D.HARMONIZERS))
 def test_harmonisers_give_complete_rows(spark, name):
     sample = {
-        "binary_label": "1", "attack_type": "dos", "Label": "Anomaly", "label": "1", "Attack": "ddos", "classification": "1", "lenght": "10", "URL": "http://x/abc", "Content": "Failed password for invalid user bob", "Time": "13:05:01",
+        "binary_label": "1", "attack_type": "dos", "Label": "Anomaly", "Attack": "ddos", "classification": "1", "lenght": "10", "URL": "http://x/abc", "Content": "Failed password for invalid user bob", "Time": "13:05:01",
         "Component": "sshd", "Level": "error", "EVTX_Tactic": "Lateral Movement", "EventID": "4625", "DestPort": "445", "_label": "1", "entropy": "4", "FQDN_count": "20", "labels": "3", "Features": "E1,E2,E3", "Latency": "5", "Flow Duration": "inf",
         "Total Fwd Packets": "4", "SYN Flag Count": "2", "IN_BYTES": "10", "sbytes": "5", "proto": "udp", "protocol_type": "icmp",
     }
@@ -283,3 +283,19 @@ def test_time_filters_reach_the_scan(spark):
 
     plan = _plan(entry.queries()["event_count_24h"](spark, "/root/testdata/sf0.001"))
     assert "GreaterThanOrEqual(ts" in plan
+
+
+def test_long_windows_use_finer_buckets(spark):
+    rows, df = facts(spark, seed=9, span=600)
+    span = 90_000_000
+    assert T._width(span) < span / 4
+    out = T.sweep(df.select("id", "k", "ts"), ["k"], "ts", span, [T.sum_deltas(df, ["k"], "ts", span, {"n": F.lit(1)}), T.distinct_deltas(df, ["k"], "ts", span, {"d": F.col("v")})])
+    got = {r["id"]: (r["n"], r["d"]) for r in out.collect()}
+    some = {}
+    for r in T.window_values(df.select("id", "k", "ts"), df.select("k", "v", "ts"), "k", "ts", span, "v", "id", most=2).collect():
+        some.setdefault(r["id"], set()).add(r["v"])
+    for i, k, _, s in rows:
+        inside = [r for r in rows if r[1] == k and s - 90 - 1e-9 <= r[3] <= s + 1e-9]
+        values = {r[2] for r in inside}
+        assert got[i] == (len(inside), len(values))
+        assert some[i] <= values and len(some[i]) >= min(2, len(values))

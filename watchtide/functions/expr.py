@@ -99,14 +99,6 @@ def micros(ts) -> Column:
     return F.unix_micros(_col(ts))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side is left to the optimizer.
-
-    The count stops at the bound, so it never scans a large table.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def latest_version(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """Last row per key by version (last write wins)."""
     rest = [c for c in df.columns if c not in keys]

@@ -1,7 +1,7 @@
 """Exact sliding-window measures that hold up when one key owns a large share of the rows.
 
-A window ending at a probe is cut into time buckets as long as the window, so a key is
-spread over as many tasks as it has busy buckets. Every fact becomes an increase when it
+Time is cut into buckets no longer than the window, so a key is spread over as many tasks
+as it has busy buckets. Every fact becomes an increase when it
 enters the window and a decrease when it leaves; a probe reads the running total. No pair
 of probe and fact is ever formed: the work is linear in facts plus probes.
 """
@@ -15,23 +15,38 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from watchtide.functions.expr import micros
 
 
-def _with_time(df: DataFrame, ts: str, span: int) -> DataFrame:
+PARTS = 8  # buckets per window, for windows of a minute and more
+
+
+def _width(window_us: int) -> int:
+    """Length of a time bucket. Long windows are cut finer, so a busy key gives smaller tasks."""
+    span = window_us + 1
+    return span if window_us < 60_000_000 else -(-span // PARTS)
+
+
+def _with_time(df: DataFrame, ts: str, width: int) -> DataFrame:
     df = df.withColumn("_t", micros(ts))
-    return df.withColumn("_b", F.expr(f"_t div {span}"))
+    return df.withColumn("_b", F.expr(f"_t div {width}"))
 
 
-def _carry(moved: DataFrame, keys: Sequence[str], names: Sequence[str], span: int) -> DataFrame:
-    """What is still inside the window when the next bucket starts, summed per key first."""
-    total = moved.groupBy(*keys, "_b").agg(*[F.sum(n).alias(n) for n in names])
-    return total.select(*keys, (F.col("_b") + 1).alias("_b"), ((F.col("_b") + 1) * span).alias("_t"), *names)
+def _changes(spans: DataFrame, keys: Sequence[str], names: Sequence[str], width: int) -> DataFrame:
+    """Rows (keys, _b, _t, _e, measures) present over ``[_t, _e)`` as increases and decreases per bucket.
+
+    What is still present when a bucket starts is summed per key first and carried in as one row.
+    """
+    spans = spans.withColumn("_eb", F.expr(f"_e div {width}"))
+    enter = spans.select(*keys, "_b", "_t", *names)
+    leave = spans.select(*keys, F.col("_eb").alias("_b"), F.col("_e").alias("_t"), *[(-F.col(n)).alias(n) for n in names])
+    over = spans.where(F.col("_eb") > F.col("_b")).groupBy(*keys, "_b", "_eb").agg(*[F.sum(n).alias(n) for n in names])
+    over = over.select(*keys, F.explode(F.sequence(F.col("_b") + 1, F.col("_eb"))).alias("_b"), *names)
+    return enter.unionByName(leave).unionByName(over.select(*keys, "_b", (F.col("_b") * width).alias("_t"), *names))
 
 
 def sum_deltas(facts: DataFrame, keys: Sequence[str], ts: str, window_us: int, measures: dict[str, Column]) -> DataFrame:
     """Changes of whole-number sums over ``[t - window, t]``."""
-    span, names = window_us + 1, list(measures)
-    f = _with_time(facts, ts, span).select(*keys, "_b", "_t", *[m.cast("bigint").alias(n) for n, m in measures.items()])
-    leave = f.select(*keys, (F.col("_b") + 1).alias("_b"), (F.col("_t") + span).alias("_t"), *[(-F.col(n)).alias(n) for n in names])
-    return f.unionByName(leave).unionByName(_carry(f, keys, names, span))
+    width, names = _width(window_us), list(measures)
+    f = _with_time(facts, ts, width).select(*keys, "_b", "_t", (F.col("_t") + window_us + 1).alias("_e"), *[m.cast("bigint").alias(n) for n, m in measures.items()])
+    return _changes(f, keys, names, width)
 
 
 def distinct_deltas(facts: DataFrame, keys: Sequence[str], ts: str, window_us: int, values: dict[str, Column]) -> DataFrame:
@@ -40,20 +55,20 @@ def distinct_deltas(facts: DataFrame, keys: Sequence[str], ts: str, window_us: i
     A value counts from its occurrence to its next one, at most one window long, so at any
     time it is counted once.
     """
-    span, names = window_us + 1, list(values)
+    width, names = _width(window_us), list(values)
+    ahead_by = -(-(window_us + 1) // width)
     long = F.filter(F.array(*[F.struct(F.lit(n).alias("_m"), v.cast("string").alias("_v")) for n, v in values.items()]), lambda s: s["_v"].isNotNull())
-    f = _with_time(facts, ts, span).select(*keys, "_b", "_t", F.inline(long)).distinct()
+    f = _with_time(facts, ts, width).select(*keys, "_b", "_t", F.inline(long)).distinct()
     group = [*keys, "_m", "_v"]
-    # the first occurrence in the next bucket, seen from this one
-    ahead = f.groupBy(*group, "_b").agg(F.min("_t").alias("_t")).select(*group, (F.col("_b") - 1).alias("_b"), "_t", F.lit(True).alias("_ahead"))
+    # the first occurrence in each of the next buckets, seen from this one
+    first = f.groupBy(*group, "_b").agg(F.min("_t").alias("_t"))
+    ahead = first.select(*group, F.explode(F.sequence(F.col("_b") - ahead_by, F.col("_b") - 1)).alias("_b"), "_t", F.lit(True).alias("_ahead"))
     both = f.withColumn("_ahead", F.lit(False)).unionByName(ahead)
     nxt = F.lead("_t").over(Window.partitionBy(*group, "_b").orderBy("_t"))
-    spans = both.withColumn("_e", F.least(F.coalesce(nxt, F.col("_t") + span), F.col("_t") + span)).where(~F.col("_ahead"))
+    end = F.col("_t") + window_us + 1
+    spans = both.withColumn("_e", F.least(F.coalesce(nxt, end), end)).where(~F.col("_ahead"))
     spans = spans.select(*keys, "_b", "_t", "_e", *[F.when(F.col("_m") == n, 1).otherwise(0).cast("bigint").alias(n) for n in names])
-    over = spans.where(F.expr(f"_e div {span} > _b"))
-    enter = spans.select(*keys, "_b", "_t", *names)
-    leave = spans.select(*keys, F.expr(f"_e div {span}").alias("_b"), F.col("_e").alias("_t"), *[(-F.col(n)).alias(n) for n in names])
-    return enter.unionByName(leave).unionByName(_carry(over, keys, names, span))
+    return _changes(spans, keys, names, width)
 
 
 def sweep(probes: DataFrame, keys: Sequence[str], ts: str, window_us: int, deltas: Sequence[DataFrame], sub_keys: Sequence[str] = (), sub_names: Sequence[str] = ()) -> DataFrame:
@@ -61,7 +76,7 @@ def sweep(probes: DataFrame, keys: Sequence[str], ts: str, window_us: int, delta
 
     ``sub_names`` are read per ``keys + sub_keys``; they share the shuffle of the others.
     """
-    span, all_keys = window_us + 1, [*keys, *sub_keys]
+    width, all_keys = _width(window_us), [*keys, *sub_keys]
     carried = [c for c in probes.columns if c not in all_keys]
     rows = None
     names: list[str] = []
@@ -70,7 +85,7 @@ def sweep(probes: DataFrame, keys: Sequence[str], ts: str, window_us: int, delta
     for d in deltas:
         d = d.select(*all_keys, "_b", "_t", *[F.col(n) if n in d.columns else F.lit(0).cast("bigint").alias(n) for n in names])
         rows = d if rows is None else rows.unionByName(d)
-    p = _with_time(probes, ts, span).select(*all_keys, "_b", "_t", *[F.lit(0).cast("bigint").alias(n) for n in names], F.struct(*carried).alias("_p"))
+    p = _with_time(probes, ts, width).select(*all_keys, "_b", "_t", *[F.lit(0).cast("bigint").alias(n) for n in names], F.struct(*carried).alias("_p"))
     rows = rows.unionByName(p, allowMissingColumns=True)
     to_now = lambda by: Window.partitionBy(*by, "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     wide, fine = to_now(keys), to_now(all_keys)
@@ -114,18 +129,25 @@ def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     return df.withColumn("_in", inside).join(shift, [*keys, "_seg"]).withColumn(name, F.col("_shift") + F.col("_in")).drop("_seg", "_in", "_shift", "_hit")
 
 
-def window_values(probes: DataFrame, facts: DataFrame, key: str, ts: str, window_us: int, value: str, probe_id: str) -> DataFrame:
+def window_values(probes: DataFrame, facts: DataFrame, key: str, ts: str, window_us: int, value: str, probe_id: str, most: int | None = None) -> DataFrame:
     """(probe, value) for every distinct value a key had in the probe's window.
 
-    For values of low cardinality. Per bucket only the values present there, and the last
-    time of each in the bucket before, meet a probe.
+    Per bucket only the values present there, and the last time of each in the bucket before,
+    meet a probe. That is for values of low cardinality; with ``most`` a probe meets at most
+    twice that many and gets at least ``most`` values whenever there are as many: the ones
+    that came first in its bucket and those that came last in the bucket before.
     """
     span = window_us + 1
     f = _with_time(facts, ts, span).select(key, F.col(value).alias("_v"), "_b", "_t").distinct()
     last = f.groupBy(key, "_v", "_b").agg(F.max("_t").alias("_t"))
     before = last.select(key, "_v", (F.col("_b") + 1).alias("_b"), "_t")
     # a value can matter to a probe when it occurs in the probe's bucket or the one before
-    seen = last.select(key, "_v", "_b").unionByName(before.select(key, "_v", "_b")).distinct()
+    here, there = last, before
+    if most is not None:
+        here = f.groupBy(key, "_v", "_b").agg(F.min("_t").alias("_t"))
+        cut = lambda df, order: df.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_b").orderBy(order, "_v"))).where(F.col("_r") <= most)
+        here, there = cut(here, F.asc("_t")), cut(before, F.desc("_t"))
+    seen = here.select(key, "_v", "_b").unionByName(there.select(key, "_v", "_b")).distinct()
     p = _with_time(probes.select(probe_id, key, ts), ts, span).select(probe_id, key, "_b", "_t")
     asks = p.join(seen, [key, "_b"]).select(key, "_v", "_b", "_t", probe_id)
     none = F.lit(None).cast(dict(probes.dtypes)[probe_id]).alias(probe_id)

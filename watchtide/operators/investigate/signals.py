@@ -356,7 +356,7 @@ def campaign_detection(alerts: DataFrame, scored: DataFrame, network: DataFrame,
     out = out.withColumn("is_campaign", hit.cast("int"))
     out = out.withColumn("campaign_id", F.when(hit, uuid5(F.concat(F.col("source_ip"), F.lit(f"_{window_min}")))))
     asks = out.where("is_campaign = 1").select("event_id", "source_ip", ts)
-    hosts = window_values(asks, scored.select("source_ip", F.col("hostname").alias("related"), ts), "source_ip", ts, span, "related", "event_id")
+    hosts = window_values(asks, scored.select("source_ip", F.col("hostname").alias("related"), ts), "source_ip", ts, span, "related", "event_id", most=RELATED_HOSTS)
     few = hosts.withColumn("k", F.row_number().over(Window.partitionBy("event_id").orderBy("related"))).where(F.col("k") <= RELATED_HOSTS)
     few = few.groupBy("event_id").agg(F.array_sort(F.collect_list("related")).alias("related_hosts"))
     return out.join(few, "event_id", "left").withColumn("related_hosts", F.coalesce("related_hosts", F.array().cast("array<string>")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from watchtide.functions.expr import moment, since
+from watchtide.functions.ranking import exact_percentiles
 
 RANGES = {"1h": "1 HOUR", "4h": "4 HOURS", "24h": "24 HOURS", "7d": "7 DAYS", "30d": "30 DAYS"}
 _HOURS = {"1h": 1, "4h": 4, "24h": 24, "7d": 168, "30d": 720}
@@ -160,15 +161,16 @@ def net_top_bytes(network: DataFrame, key: str, as_of, window: str = "24 HOURS",
 
 def scenario_report(scored: DataFrame, scenario: Column, other: str = "other") -> DataFrame:
     s = scored.withColumn("scenario", scenario)
+    p95 = exact_percentiles(s, ["scenario"], "combined_score", {"p95": 0.95}).withColumn("p95", F.round("p95", 4))
     avg4 = lambda c: F.round(F.avg(c), 4)
     return (
         s.groupBy("scenario").agg(
             F.count("*").alias("cnt"), avg4("combined_score").alias("avg_combined"), avg4("lgbm_score").alias("avg_lgbm"),
             avg4("eif_score").alias("avg_eif"), avg4("arf_score").alias("avg_arf"), F.round(F.min("combined_score"), 4).alias("min_score"),
-            F.round(F.max("combined_score"), 4).alias("max_score"), F.round(F.percentile("combined_score", F.lit(0.95)), 4).alias("p95"),
+            F.round(F.max("combined_score"), 4).alias("max_score"),
             F.count_if(F.col("action") == "discard").alias("n_discard"), F.count_if(F.col("action") == "monitor").alias("n_monitor"),
             F.count_if(F.col("action") == "escalate").alias("n_escalate"),
-        ).where(F.col("scenario") != other)
+        ).where(F.col("scenario") != other).join(p95, "scenario")
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from watchtide.llm import decontaminate, langid, packing
+from watchtide.llm import dartminhash, decontaminate, langid, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,9 @@ FROM words LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
+
+
+@query
+def op10_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_kept"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from watchtide.llm import dartminhash, decontaminate, langid, packing
+from watchtide.llm import dartminhash, decontaminate, langid, packing, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,40 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_kept"))
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.digest(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+ORACLES["op2_suffix_dedup"] = """
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), hexes AS (
+  SELECT r, doc_id, octet_length(b) AS n, lower(hex(b)) AS h FROM texts
+), places AS (
+  SELECT r, coalesce(doc_id, 9223372036854775807) AS d, h, unnest(range(0, n - 49)) AS i FROM hexes WHERE n >= 50
+), windows AS (
+  SELECT r, d, i, md5_number(substr(h, 2 * i + 1, 100)) AS win FROM places
+), first AS (
+  SELECT win, min(d) AS d FROM windows GROUP BY win
+), hit AS (
+  SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM windows JOIN first USING (win) WHERE first.d < windows.d
+), runs AS (
+  SELECT r, i, sum(CASE WHEN before IS NULL OR before + 50 < i THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM hit
+), spans AS (
+  SELECT r, run, min(i) AS s, max(i) + 50 AS e FROM runs GROUP BY r, run
+), gaps AS (
+  SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS s, s AS e FROM spans
+  UNION ALL SELECT r, max(e), NULL FROM spans GROUP BY r
+), kept AS (
+  SELECT r, string_agg(CASE WHEN gaps.e IS NULL THEN substr(h, 2 * s + 1) ELSE substr(h, 2 * s + 1, 2 * (gaps.e - s)) END, '' ORDER BY s) AS h FROM gaps JOIN hexes USING (r) GROUP BY r
+), counts AS (
+  SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN hexes.h ELSE kept.h END)) AS kept_sha256
+FROM hexes LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
+"""

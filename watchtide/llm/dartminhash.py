@@ -12,7 +12,8 @@ components; then members that share a bucket but no component are compared with
 candidate pair stays undecided. Links are decided on the shingle sets.
 
 Defined cases: a text of one to four words is one shingle; texts without words are near-duplicates only if
-equal, null counting as empty; rows of one doc_id are one document; an empty table gives no rows.
+equal, null counting as empty; rows of one doc_id are one document; a row without doc_id has no class and
+takes no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -163,6 +164,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
 
     `weighted` counts how often a shingle occurs; otherwise a document is the set of its shingles.
     """
+    nameless = pick(docs, doc_id="long").where("doc_id IS NULL").withColumn("class_id", F.lit(None).cast("long"))
+    docs = docs.where("doc_id IS NOT NULL")
     known = cut_lineage(prints(docs, weighted).groupBy("key", "doc_id").agg(F.first("bands").alias("bands")).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
     # texts without shingles have no key, and stay as they are
     real = known.where(F.col("key") != F.lit(bytes(16)))
@@ -183,4 +186,4 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     more = cut_lineage(links(docs, cut_lineage(second), similarity, weighted))
     roots = components(linked.unionByName(more))
     classes = known.join(roots, known["id"] == roots["node"], "left").select("key", F.coalesce("root", "id").alias("class_id"))
-    return prints(docs, weighted, bands=0).select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")
+    return prints(docs, weighted, bands=0).select("doc_id", "key").join(classes, "key").select("doc_id", "class_id").unionByName(nameless)

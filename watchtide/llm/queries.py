@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from watchtide.llm import dartminhash, decontaminate, langid, packing, suffix_dedup
+from watchtide.llm import dartminhash, decontaminate, langid, packing, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,30 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    archives = warc.write(table(spark, sf_dir, "pages"), folder)
+    found = warc.read(archives, folder)
+    return found.select(warc.page_of("record_id").alias("page_id"), F.col("content_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
+ORACLES["op1_warc"] = """
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), coded AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 8), lambda k: list_reduce(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(k AS INTEGER) * 5 + 1, 5) AS BIGINT) >> s) & 31 AS INTEGER) + 1, 1)), lambda a, b: a || b)), '') AS payload_digest
+  FROM hashed
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM coded
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from watchtide.llm import dartminhash, decontaminate, langid, packing, suffix_dedup, warc
+from watchtide.llm import dartminhash, decontaminate, imatch, langid, packing, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), F.col("_lang.pred").alias("lang_pred"), F.col("_lang.score").alias("score"), F.size("_lang.spans").cast("long").alias("n_spans"))
 
 
+@query
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return imatch.edited(docs, imatch.fit(docs))
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from watchtide.llm import dartminhash, decontaminate, imatch, langid, packing, suffix_dedup, warc
+from watchtide.llm import dartminhash, decontaminate, imatch, langid, packing, suffix_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,19 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), F.col("_lang.pred").alias("lang_pred"), F.col("_lang.score").alias("score"), F.size("_lang.spans").cast("long").alias("n_spans"))
 
 
+#: A document counts as toxic from this score on.
+TOXIC = 0.3
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~langid.held_out()))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", langid.held_out().alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= TOXIC).cast("int").alias("predicted"))
+
+
 @query
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -7,9 +7,11 @@ k ln k darts are thrown for any document; one with an empty coordinate looks at
 agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Signatures are banded and documents meet in buckets. Equal shingle sets are one node from the start. Every
-bucket's members are compared with one of them, the one with most company overall; linked ones join
-components; then members that share a bucket but no component are compared with each other, so no
-candidate pair stays undecided. Links are decided on the shingle sets.
+bucket's members are compared with one of them, its centre: the one with most company overall. Linked ones join
+components. What is left are members of one centre's group in different components; they are compared by
+what they lack of the centre and have beside it, which is little and gives their similarity exactly. That is
+done in blocks of BLOCK rows, as matrix products inside tasks; only links come out. So no candidate pair stays undecided
+and none is made a row. Links are decided on the shingle sets.
 
 Defined cases: a text of one to four words is one shingle; texts without words are near-duplicates only if
 equal, null counting as empty; rows of one doc_id are one document; a row without doc_id has no class and
@@ -32,6 +34,8 @@ from watchtide.session import cut_lineage
 SHINGLE, SIMILARITY = 5, 0.8
 #: 24 bands of 4 coordinates: a pair at similarity 0.8 meets in no bucket with probability 3e-6.
 BANDS, ROWS = 24, 4
+#: Rows of a group that a task holds against as many others.
+BLOCK = 2048
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(16)])
 
 
@@ -131,32 +135,83 @@ def prints(docs: DataFrame, weighted: bool = False, bands: int = BANDS, rows: in
     return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, key binary, bands array<long>")
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(id, items, counts): the shingles of each document, 32 bits of each."""
+def sets(docs: DataFrame, weighted: bool = False) -> DataFrame:
+    """(id, items): the shingles of each document, 32 bits of each; weighted: the n-th copy of a shingle is an item of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             cuts, element, counts = shingle_sets(*as_bytes(batch.column("text")))
-            places = pa.array(cuts.astype(np.int32))
-            items = pa.ListArray.from_arrays(places, pa.array((element >> U(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), items, pa.ListArray.from_arrays(places, pa.array(counts.astype(np.int32)))], names=["id", "items", "counts"])
-
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, "id long, items array<int>, counts array<int>")
+            if weighted:
+                copy = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+                element = mix(np.repeat(element, counts) + copy.astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
+                cuts = np.concatenate([[0], np.cumsum(counts)])[cuts]
+            items = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array((element >> U(32)).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), items], names=["id", "items"])
+
+    return pick(docs, doc_id="long", text="string").mapInArrow(run, "id long, items array<int>")
+
+
+def compared(docs: DataFrame, pairs: DataFrame, similarity: float, weighted: bool) -> DataFrame:
+    """Pairs (id, centre) with `linked`, and how the document differs from the centre: `delta` (items of one only), `lost` (of the centre only), `size` (of the document)."""
+    known = sets(docs, weighted)
+    both = pairs.join(known.toDF("id", "own"), "id").join(known.toDF("centre", "its"), "centre")
+    more, lost = F.array_except("own", "its"), F.array_except("its", "own")
+    out = both.select("id", "centre", F.size("own").alias("size"), F.concat(more, lost).alias("delta"), F.size(lost).alias("lost"), F.size("its").alias("_all"))
+    shared = F.col("_all") - F.col("lost")
+    return out.withColumn("linked", shared >= F.lit(similarity) * (F.col("size") + F.col("lost"))).drop("_all")
+
+
+def _incidence(lists: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    """Rows x known items: 1 where the row has the item."""
+    out = np.zeros((len(lists), len(known)), np.float32)
+    items, row = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    at = np.minimum(np.searchsorted(known, items), len(known) - 1)
+    same = known[at] == items
+    out[row[same], at[same]] = 1
+    return out
 
 
-def links(docs: DataFrame, pairs: DataFrame, similarity: float, weighted: bool) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
-    columns = ["id", "items"] + ["counts"] * weighted
-    known = sets(docs).select(*columns)
-    one = pairs.join(known.toDF("a", "of_a", *["n_a"] * weighted), "a")
-    two = one.join(known.toDF("b", "of_b", *["n_b"] * weighted), "b")
-    if weighted:
-        as_map = lambda x, n: F.map_from_arrays(F.array_distinct(x), F.slice(n, 1, F.size(F.array_distinct(x))))
-        both = F.map_zip_with(as_map("of_a", "n_a"), as_map("of_b", "n_b"), lambda _, x, y: F.struct(F.least(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))).alias("lo"), F.greatest(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))).alias("hi")))
-        add = lambda key: F.aggregate(F.map_values(both), F.lit(0).cast("long"), lambda s, x: s + x[key])
-        return two.where(add("lo") >= F.lit(similarity) * add("hi")).select("a", "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return two.where(shared >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+def cross_links(x: list[dict], y: list[dict], similarity: float, width: int = 1024) -> list[tuple[int, int]]:
+    """Links between rows of different components in one centre's group, one for each x and component of y."""
+    dx, dy = [np.array(r["delta"], np.int32) for r in x], [np.array(r["delta"], np.int32) for r in y]
+    known = np.intersect1d(np.concatenate(dx), np.concatenate(dy))
+    (size_x, lost_x), (size_y, lost_y) = (np.array([[r["size"], r["lost"]] for r in rows], np.int64).T for rows in (x, y))
+    centre = size_x[0] - len(dx[0]) + 2 * lost_x[0]  # items of the centre
+    shared = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, len(known), width):
+        some = known[at : at + width]
+        shared += _incidence(dx, some) @ _incidence(dy, some).T
+    both = centre - lost_x[:, None] - lost_y[None, :] + np.rint(shared).astype(np.int64)
+    roots_x, roots_y = np.array([r["root"] for r in x]), np.array([r["root"] for r in y])
+    near = (both >= similarity * (size_x[:, None] + size_y[None, :] - both)) & (roots_x[:, None] != roots_y[None, :])
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, j in zip(*np.nonzero(near)):
+        out.setdefault((i, int(roots_y[j])), (x[i]["id"], y[j]["id"]))
+    return list(out.values())
+
+
+def rest(groups: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of one centre's group that are in different components so far."""
+    root_of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    placed = groups.join(root_of("id"), "id", "left").join(root_of("centre"), "centre", "left")
+    placed = placed.select("centre", "id", "delta", "lost", "size", F.coalesce("root_id", "id").alias("root"), F.coalesce("root_centre", "centre").alias("root_c"))
+    outside = (F.col("root") != F.col("root_c")).cast("long")
+    counts = placed.groupBy("centre").agg(F.count("*").alias("n"), F.sum(outside).alias("n_out")).where("n > 1 AND n_out > 0")
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    at = lambda n: F.pmod(F.xxhash64("id"), parts(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    rows = placed.join(counts, "centre").withColumns({"out": outside})
+    columns = ["centre", "side", "part_x", "part_y", "id", "root", "delta", "lost", "size"]
+    x = rows.where("out = 1").select("*", F.lit(1).alias("side"), at("n_out").alias("part_x")).select("*", spread("n").alias("part_y")).select(*columns)
+    y = rows.select("*", F.lit(0).alias("side"), at("n").alias("part_y")).select("*", spread("n_out").alias("part_x")).select(*columns)
+
+    def run(group: pa.Table) -> pa.Table:
+        found = group.to_pylist()
+        x, y = [r for r in found if r["side"]], [r for r in found if not r["side"]]
+        pairs = cross_links(x, y, similarity) if x and y else []
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    return x.unionByName(y).groupBy("centre", "part_x", "part_y").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
@@ -174,16 +229,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     members = cut_lineage(buckets.join(shared, "h"))
     company = members.groupBy("id").agg(F.sum("n").alias("n_all"))
     centre = members.join(company, "id").groupBy("h").agg(F.max(F.struct(F.col("n_all"), -F.col("id"))).alias("c")).select("h", (-F.col("c.col2")).alias("centre"))
-    first = cut_lineage(members.join(centre, "h").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
-    linked = cut_lineage(links(docs, first, similarity, weighted))
-    roots = cut_lineage(components(linked))
-    # members of one bucket, in different components, not compared yet
-    placed = members.join(roots, members["id"] == roots["node"], "left").select("h", "id", F.coalesce("root", "id").alias("root"))
-    open_buckets = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    rest = cut_lineage(placed.join(open_buckets, "h"))
-    x, y = rest.toDF("h", "a", "root_a"), rest.toDF("h", "b", "root_b")
-    second = x.join(y, "h").where("a < b AND root_a <> root_b").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = cut_lineage(links(docs, cut_lineage(second), similarity, weighted))
+    pairs = cut_lineage(members.join(centre, "h").where("id <> centre").select("id", "centre").distinct())
+    groups = cut_lineage(compared(docs, pairs, similarity, weighted))
+    linked = groups.where("linked").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    more = cut_lineage(rest(groups, cut_lineage(components(linked)), similarity))
     roots = components(linked.unionByName(more))
     classes = known.join(roots, known["id"] == roots["node"], "left").select("key", F.coalesce("root", "id").alias("class_id"))
     return prints(docs, weighted, bands=0).select("doc_id", "key").join(classes, "key").select("doc_id", "class_id").unionByName(nameless)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from watchtide.llm import dartminhash, decontaminate, html_extract, imatch, langid, packing, suffix_dedup, toxicity, warc
+from watchtide.llm import dartminhash, decontaminate, html_extract, imatch, langid, packing, suffix_dedup, token_rollup, toxicity, warc
+from watchtide.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +53,18 @@ FROM firsts
 """
 
 
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted, recounted with single spaces, and toxic ones deleted; the second batch comes twice."""
+    counts = cut_lineage(token_rollup.count(table(spark, sf_dir, "documents"), {"byte_bpe_50k": tokenizer(), "words": "words"}, lambda text: " ".join(text.split())))
+    toxic = table(spark, sf_dir, "labels").where("toxic > 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    gone = counts.join(toxic, "doc_id", "left_semi").withColumn("n_tokens", F.col("n_revised"))
+    folder = token_rollup.new_folder(spark)
+    for batch, deltas in ((1, token_rollup.inserted(counts)), (2, token_rollup.revised(counts)), (2, token_rollup.revised(counts)), (3, token_rollup.deleted(gone))):
+        token_rollup.commit(deltas, folder, batch)
+    return token_rollup.totals(spark, folder)
+
+
 @query
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

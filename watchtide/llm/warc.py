@@ -229,8 +229,8 @@ def read(archives: DataFrame, folder: str, split: int = 32 << 20) -> DataFrame:
 
 def resolved(records: DataFrame) -> DataFrame:
     """The records, revisits with the payload of the response they refer to."""
-    first = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("payload").alias("found")).dropDuplicates(["refers_to"])
-    return records.join(first, "refers_to", "left").withColumn("payload", F.coalesce("payload", "found")).select(*records.columns)
+    first = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), "digest", F.col("payload").alias("found")).dropDuplicates(["refers_to", "digest"])
+    return records.join(first, ["refers_to", "digest"], "left").withColumn("payload", F.coalesce("payload", "found")).select(*records.columns)
 
 
 def page_of(name: str) -> Column:

@@ -6,6 +6,8 @@ import __spark_entry__ as entry
 from check import connect, difference
 
 SF = "/root/testdata/sf0.001"
+#: Queries that find nothing in the smallest tables.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +18,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     note = difference(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name])
-    assert note in ("", "NO ROWS"), note
+    assert note == "" or note == "NO ROWS" and name in MAY_BE_EMPTY, note
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))

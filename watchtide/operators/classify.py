@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from watchtide.functions.expr import computed, contains_any, first_case
 from watchtide.operators.normalize import field, has_any
 
-SCAN_LENGTH = 512
 RESULT = "struct<event_type:string,category:string,severity:int,mitre_tactic:string,mitre_technique:string>"
 
 # Keyword groups in order of precedence with the tags they give.
@@ -53,12 +52,12 @@ def _words(text: str) -> list[str]:
 
 
 def classify_by_regex(scan: Column) -> Column:
-    """Keywords in the lower-cased first part of the message."""
+    """Keywords in the lower-cased message."""
     return first_case([(contains_any(scan, _words(words)), _result("security", *tags)) for words, *tags in KEYWORD_RULES])
 
 
 def scan_text(message: str = "message") -> Column:
-    return F.lower(F.substring(message, 1, SCAN_LENGTH))
+    return F.lower(message)
 
 
 def classify_fallback(scan: Column) -> Column:

@@ -187,10 +187,9 @@ def drift_psi(base: DataFrame, now: DataFrame, features: Sequence[str] = PSI_FEA
     return h.groupBy("feature").agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
 
 
-def drift_report(rows: DataFrame, as_of, features: Sequence[str], psi_features: Sequence[str] = PSI_FEATURES, anchor: str = "adjusted_score", ts: str = "recorded_at", base_days: int = 7, now_days: int = 1, newest: int = 5_000) -> DataFrame:
+def drift_report(rows: DataFrame, as_of, features: Sequence[str], psi_features: Sequence[str] = PSI_FEATURES, anchor: str = "adjusted_score", ts: str = "recorded_at", base_days: int = 7, now_days: int = 1) -> DataFrame:
     """One row: divergences, shift of the mean score, affected features and the drift flag."""
-    take = lambda days: rows.where(since(ts, as_of, f"{days} DAYS")).orderBy(F.desc(ts), "event_id").limit(newest)
-    base, now = take(base_days), take(now_days)
+    base, now = (rows.where(since(ts, as_of, f"{days} DAYS")) for days in (base_days, now_days))
     kl = drift_kl(base, now, features).agg(F.avg("kl").alias("kl_divergence"), F.array_sort(F.collect_list(F.when(F.col("kl") > KL_LIMIT, F.col("feature")))).alias("affected_features"))
     psi = drift_psi(base, now, psi_features).agg(F.avg("psi").alias("psi"))
     sides = base.agg(F.count("*").alias("n_base"), F.avg(anchor).alias("_mb")).crossJoin(now.agg(F.count("*").alias("n_now"), F.avg(anchor).alias("_mn")))  # one row each

@@ -20,7 +20,8 @@ GATE = 0.65
 WINDOW_MINUTES = 15
 SPC_SIGMA = 3.0
 NOISY = 50
-RELATED, RELATED_HOSTS = 50, 20
+#: Newest related alerts that an alert lists; a window may hold any number of them.
+RELATED = 50
 HIGH_RISK = 0.75
 MICRO = 1_000_000
 
@@ -169,13 +170,13 @@ def _higher_scores(alerts: DataFrame, scored: DataFrame, span: int, ts: str) ->
     """Per alert the facts of its host and source in the window with a higher score.
 
     A score is counted in one node per level of a binary tree over its value; "higher than
-    k" is a handful of nodes. Only scores above the lowest alert can count.
+    k" is a handful of nodes. Scores end at 1, well inside the tree.
     """
     keys = ["hostname", "source_ip"]
     value = F.least(F.ceil(F.round(F.col("adjusted_score") * 10_000, 6)), F.lit(16_383)).cast("int")
     trigger = F.round(F.col("adjusted_score") * 10_000).cast("int")
     levels = F.sequence(F.lit(0), F.lit(_LEVELS - 1))
-    facts = scored.where(F.col("adjusted_score") > GATE).select(*keys, ts, value.alias("_v")).select(*keys, ts, "_v", F.explode(levels).alias("_l"))
+    facts = scored.select(*keys, ts, value.alias("_v")).select(*keys, ts, "_v", F.explode(levels).alias("_l"))
     facts = facts.select(*keys, ts, "_l", F.expr("shiftright(_v, _l)").alias("_n"))
     asks = alerts.select("event_id", *keys, ts, trigger.alias("_k")).select("event_id", *keys, ts, "_k", F.explode(levels).alias("_l"))
     asks = asks.where(F.expr("shiftright(_k, _l) % 2 = 0")).select("event_id", *keys, ts, "_l", F.expr("shiftright(_k, _l) + 1").alias("_n"))
@@ -332,11 +333,12 @@ def _switches(running: DataFrame, keys: list[str], on: Column, name: str) -> Dat
     return state.withColumn(name, change).where(F.col(name) != 0).select(*keys, "_b", "_t", name)
 
 
-def campaign_detection(alerts: DataFrame, scored: DataFrame, network: DataFrame, min_events: int = 3, window_min: int = WINDOW_MINUTES, ts: str = "timestamp") -> DataFrame:
+def campaign_detection(alerts: DataFrame, scored: DataFrame, network: DataFrame, min_events: int = 3, window_min: int = WINDOW_MINUTES, ts: str = "timestamp", most_hosts: int | None = None) -> DataFrame:
     """Hosts and tactics of a source over hosts it contacted at least three times in the window.
 
     A host counts while both its connection count and its score count are high enough; those
-    intervals are turned into changes and summed per source, level by level.
+    intervals are turned into changes and summed per source, level by level. ``most_hosts``
+    shortens the list of hosts to the first by name; by default it has all of them.
     """
     span, pair = minutes(window_min), ["source_ip", "hostname"]
     seen = sum_deltas(scored.select(*pair, "mitre_tactic", ts), [*pair, "mitre_tactic"], ts, span, {"_s": F.lit(1)})
@@ -356,9 +358,10 @@ def campaign_detection(alerts: DataFrame, scored: DataFrame, network: DataFrame,
     out = out.withColumn("is_campaign", hit.cast("int"))
     out = out.withColumn("campaign_id", F.when(hit, uuid5(F.concat(F.col("source_ip"), F.lit(f"_{window_min}")))))
     asks = out.where("is_campaign = 1").select("event_id", "source_ip", ts)
-    hosts = window_values(asks, scored.select("source_ip", F.col("hostname").alias("related"), ts), "source_ip", ts, span, "related", "event_id", most=RELATED_HOSTS)
-    few = hosts.withColumn("k", F.row_number().over(Window.partitionBy("event_id").orderBy("related"))).where(F.col("k") <= RELATED_HOSTS)
-    few = few.groupBy("event_id").agg(F.array_sort(F.collect_list("related")).alias("related_hosts"))
+    hosts = window_values(asks, scored.select("source_ip", F.col("hostname").alias("related"), ts), "source_ip", ts, span, "related", "event_id")
+    few = hosts.groupBy("event_id").agg(F.array_sort(F.collect_set("related")).alias("related_hosts"))
+    if most_hosts is not None:
+        few = few.withColumn("related_hosts", F.slice("related_hosts", 1, most_hosts))
     return out.join(few, "event_id", "left").withColumn("related_hosts", F.coalesce("related_hosts", F.array().cast("array<string>")))
 
 
@@ -388,9 +391,9 @@ def without_similarity(alerts: DataFrame) -> DataFrame:
     return alerts.withColumns({c: F.lit(1.0 if c in one else 0.0) for c in SIMILARITY})
 
 
-def merge_ids(a: str = "related_alert_ids", b: str = "related_hosts", most: int = RELATED) -> Column:
-    """Union without repeats, bounded."""
-    return F.slice(F.array_union(F.col(a).cast("array<string>"), F.col(b).cast("array<string>")), 1, most)
+def merge_ids(a: str = "related_alert_ids", b: str = "related_hosts") -> Column:
+    """Union without repeats."""
+    return F.array_union(F.col(a).cast("array<string>"), F.col(b).cast("array<string>"))
 
 
 def severity_word(level: Column) -> Column:

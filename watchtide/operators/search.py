@@ -65,9 +65,10 @@ def matching_events(df: DataFrame, table: str, text: str = "", severity=None, st
 
 
 def event_search(df: DataFrame, table: str, text: str = "", severity=None, start=None, end=None, limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """One page of hits, newest first, and the total."""
+    """One page of hits, newest first, and the total. A page beyond the bounds is refused: `page_after` goes as deep as needed."""
+    if not 1 <= limit <= MAX_LIMIT or not 0 <= offset <= MAX_OFFSET:
+        raise ValueError(f"a page has 1 to {MAX_LIMIT} rows and starts at most at {MAX_OFFSET}; use page_after beyond")
     hits = matching_events(df, table, text, severity, start, end)
-    limit, offset = max(1, min(MAX_LIMIT, limit)), max(0, min(MAX_OFFSET, offset))
     page = table_projection(hits, table).orderBy(F.desc("timestamp"), "event_id").offset(offset).limit(limit)
     return page, hits.agg(F.count("*").alias("total"))
 

@@ -80,26 +80,38 @@ def _typed(names, kind, default, ingest_ts) -> Column:
     return F.coalesce(v, F.lit(default))
 
 
-def typed_rows(df: DataFrame, table: str, value: str = "value", ingest_ts: str = "ingest_ts", event_id: Column | None = None) -> DataFrame:
-    """Rows of one table; broken messages are left out (see dead_letters)."""
-    df = parse_messages(df, value).where(F.col("fields").isNotNull())
+def _parsed(df: DataFrame, value: str) -> DataFrame:
     empty = F.create_map().cast("map<string,string>")
-    df = df.withColumn("metadata_map", F.coalesce(F.from_json(field("metadata"), "map<string,string>"), empty))
+    return parse_messages(df, value).withColumn("metadata_map", F.coalesce(F.from_json(field("metadata"), "map<string,string>"), empty))
+
+
+def _bad_enum(table: str) -> Column:
+    """Name of the first column whose value is none of its enumeration, else null."""
+    checks = [F.when(~F.coalesce(_value(names), F.lit(default)).isin(*ENUMS[name]), name) for name, names, _, default in COLUMNS[table] if name in ENUMS]
+    return F.coalesce(*checks) if checks else F.lit(None).cast("string")
+
+
+def typed_rows(df: DataFrame, table: str, value: str = "value", ingest_ts: str = "ingest_ts", event_id: Column | None = None) -> DataFrame:
+    """Rows of one table; broken messages and values outside an enumeration are left out (see dead_letters)."""
+    df = _parsed(df, value).where(F.col("fields").isNotNull() & _bad_enum(table).isNull())
     if event_id is not None:
         df = df.withColumn("fields", F.map_concat(F.map_filter("fields", lambda k, _: k != "_event_id"), F.create_map(F.lit("_event_id"), event_id)))
     return df.select(*[_typed(names, kind, default, ingest_ts).alias(name) for name, names, kind, default in COLUMNS[table]])
 
 
-def dead_letters(df: DataFrame, value: str = "value", topic: str = "topic", ingest_ts: str = "ingest_ts") -> DataFrame:
-    """Messages that are no JSON object, with the reason and a bounded copy of the payload."""
-    bad = parse_messages(df, value).where(F.col("fields").isNull())
-    return bad.select(
-        F.col(ingest_ts).alias("timestamp"), F.lit("json_parse").alias("failed_stage"), F.col(topic).alias("source_topic"),
-        F.substring(F.concat(F.lit("not a JSON object: "), F.substring(value, 1, 100)), 1, 500).alias("error_message"),
-        F.substring(value, 1, 10_000).alias("raw_payload"), F.lit(0).alias("retry_count"),
-    )
-
-
-def check_enum(df: DataFrame, column: str) -> DataFrame:
-    """Rows whose value is not in the enumeration; they go to dead letters as ``row_build``."""
-    return df.where(~F.col(column).isin(*ENUMS[column]))
+def dead_letters(df: DataFrame, value: str = "value", topic: str = "topic", ingest_ts: str = "ingest_ts", topics: dict[str, str] | None = None) -> DataFrame:
+    """Messages that become no row, whole, with the stage that failed and why.
+
+    ``topics`` maps topics to tables: with it, messages of other topics and rows with a value outside an
+    enumeration are dead letters too.
+    """
+    df = _parsed(df, value)
+    stages = [(F.col("fields").isNull(), "json_parse", F.concat(F.lit("not a JSON object: "), F.col(value)))]
+    if topics is not None:
+        stages.insert(0, (~F.coalesce(F.col(topic).isin(*topics), F.lit(False)), "topic", F.concat(F.lit("no table for topic: "), F.coalesce(F.col(topic), F.lit("null")))))
+        for name, table in topics.items():
+            bad = _bad_enum(table)
+            stages.append(((F.col(topic) == name) & bad.isNotNull(), "row_build", F.concat(F.lit("not a value of "), bad)))
+    pick = lambda k: F.coalesce(*[F.when(s[0], s[k] if k == 2 else F.lit(s[k])) for s in stages])
+    return df.withColumn("failed_stage", pick(1)).where("failed_stage IS NOT NULL").select(
+        F.col(ingest_ts).alias("timestamp"), "failed_stage", F.col(topic).alias("source_topic"), pick(2).alias("error_message"), F.col(value).alias("raw_payload"), F.lit(0).alias("retry_count"))

@@ -80,7 +80,7 @@ n AS (SELECT *, CASE WHEN skip OR lv IN ('CRITICAL','ERROR','WARNING','INFO','DE
  CASE WHEN skip OR source_type NOT IN ('syslog','file','journald') THEN message
   WHEN regexp_matches(message, '{N.SYSLOG_START}') THEN CASE WHEN regexp_matches(message, '{N.SYSLOG_BODY}') THEN regexp_extract(message, '{N.SYSLOG_BODY}', 1) ELSE message END
   WHEN regexp_matches(message, '{N.ISO_START}') THEN CASE WHEN regexp_matches(message, '{N.ISO_BODY}') THEN regexp_extract(message, '{N.ISO_BODY}', 1) ELSE message END ELSE message END AS message_body,
- left(message, 512) AS scan, coalesce({f('attack_cat')} NOT IN ('', 'Normal', 'normal'), false) AS bad_cat,
+ message AS scan, coalesce({f('attack_cat')} NOT IN ('', 'Normal', 'normal'), false) AS bad_cat,
  coalesce({f('attack_cat')} IS NULL AND lower({f('Label', 'label')}) NOT IN ('', 'benign', 'normal', '0'), false) AS bad_label FROM s),
 l AS (SELECT *, CASE WHEN skip THEN raw_level ELSE CASE level WHEN 'CRITICAL' THEN 4 WHEN 'ERROR' THEN 3 WHEN 'WARNING' THEN 2 ELSE 0 END END AS original_log_level,
  {', '.join(class_col(c) for c in ('event_type', 'category', 'severity', 'mitre_tactic', 'mitre_technique'))} FROM n),
@@ -373,7 +373,7 @@ def verifier_and_feedback_tables(t):
     return a.unionByName(fb.select(F.lit("feedback_labels").alias("tbl"), F.col("label").alias("verdict"), F.col("confidence").alias("priority"), F.col("original_eif").alias("score"), F.col("notes").alias("note"), "score_id"))
 
 
-@query("dead_letter_sink", """SELECT CAST(ingest_ts AS VARCHAR) AS timestamp, 'json_parse' AS failed_stage, topic AS source_topic, left(concat('not a JSON object: ', left(value, 100)), 500) AS error_message, left(value, 10000) AS raw_payload, CAST(0 AS BIGINT) AS retry_count FROM fx_messages WHERE NOT json_valid(value)""")
+@query("dead_letter_sink", """SELECT CAST(ingest_ts AS VARCHAR) AS timestamp, 'json_parse' AS failed_stage, topic AS source_topic, concat('not a JSON object: ', value) AS error_message, value AS raw_payload, CAST(0 AS BIGINT) AS retry_count FROM fx_messages WHERE NOT json_valid(value)""")
 def dead_letter_sink(t):
     return Y.dead_letters(t.messages)
 

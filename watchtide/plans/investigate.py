@@ -194,13 +194,12 @@ def campaign_detection(t):
     return S.campaign_detection(alerts(t), scored(t), network(t)).select("event_id", "campaign_host_count", "campaign_tactic_count", "is_campaign")
 
 
-@query("campaign_hosts", f"""WITH {CAMPAIGN}, rh AS (SELECT a.event_id, f.hostname AS h FROM alerts a JOIN cp ON cp.event_id = a.event_id AND cp.hosts >= 2 AND cp.tactics >= 2 JOIN res f ON f.source_ip = a.source_ip AND {IN_WINDOW} GROUP BY ALL),
- rk AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY h) AS rn FROM rh) SELECT event_id, string_agg(h, '|' ORDER BY rn) AS related_hosts FROM rk WHERE rn <= 20 GROUP BY event_id""")
+@query("campaign_hosts", f"""WITH {CAMPAIGN}, rh AS (SELECT a.event_id, f.hostname AS h FROM alerts a JOIN cp ON cp.event_id = a.event_id AND cp.hosts >= 2 AND cp.tactics >= 2 JOIN res f ON f.source_ip = a.source_ip AND {IN_WINDOW} GROUP BY ALL) SELECT event_id, string_agg(h, '|' ORDER BY h) AS related_hosts FROM rh GROUP BY event_id""")
 def campaign_hosts(t):
     return S.campaign_detection(alerts(t), scored(t), network(t)).where("is_campaign = 1").select("event_id", "related_hosts")
 
 
-@query("merge_ids", "SELECT conv_id, array_to_string(list_sort(list_distinct(list_concat(a, b)))[1:50], '|') AS merged FROM (SELECT conv_id, list(role) AS a, list(CAST(turn AS VARCHAR)) AS b FROM conversations GROUP BY conv_id)")
+@query("merge_ids", "SELECT conv_id, array_to_string(list_sort(list_distinct(list_concat(a, b))), '|') AS merged FROM (SELECT conv_id, list(role) AS a, list(CAST(turn AS VARCHAR)) AS b FROM conversations GROUP BY conv_id)")
 def merge_ids(t):
     lists = t.base("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("a"), F.array_sort(F.collect_set(F.col("turn").cast("string"))).alias("b"))
     return lists.select("conv_id", F.array_sort(S.merge_ids("a", "b")).alias("merged"))

@@ -102,7 +102,7 @@ def drift_psi(t):
     return E.drift_psi(*halves(t), NAMES)
 
 
-@query("drift_report", f"""WITH {RESULTS}, {FEATS}, fb AS (SELECT * FROM fe WHERE recorded_at >= {T0} - INTERVAL 7 DAY ORDER BY recorded_at DESC, event_id LIMIT 5000), fn AS (SELECT * FROM fe WHERE recorded_at >= {T0} - INTERVAL 1 DAY ORDER BY recorded_at DESC, event_id LIMIT 5000), {HIST},
+@query("drift_report", f"""WITH {RESULTS}, {FEATS}, fb AS (SELECT * FROM fe WHERE recorded_at >= {T0} - INTERVAL 7 DAY), fn AS (SELECT * FROM fe WHERE recorded_at >= {T0} - INTERVAL 1 DAY), {HIST},
  o AS (SELECT (SELECT avg(kl) FROM kl) AS k, (SELECT avg(psi) FROM ps WHERE feature IN ('adjusted_score', 'eif_score')) AS s, (SELECT avg(adjusted_score) FROM fb) AS mb, (SELECT avg(adjusted_score) FROM fn) AS mn, (SELECT count(*) FROM fb) AS nb, (SELECT count(*) FROM fn) AS nn)
 SELECT round(k, 6) AS kl_divergence, round(s, 6) AS psi, round(abs(mb - mn), 6) AS triage_anchor_divergence, nb AS n_base, nn AS n_now, coalesce((SELECT string_agg(feature, '|' ORDER BY feature) FROM kl WHERE kl > 0.1), '') AS affected_features,
  CAST(CASE WHEN nb >= 10 AND nn >= 5 THEN (k > 0.1 OR s > 0.25 OR abs(mb - mn) > 0.1)::INT ELSE 0 END AS BIGINT) AS drift_detected FROM o""")

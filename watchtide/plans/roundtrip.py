@@ -39,7 +39,7 @@ def log_file_source(t):
 def csv_dataset_source(t):
     where = place(t)
     df = t.base("events").select(F.col("user_id").alias(" user_id "), F.col("value").alias("value"))
-    df.coalesce(1).write.option("header", "true").csv(where)
+    df.repartition(3).write.option("header", "true").csv(where)
     back = readers.csv_dataset_source(t.spark, where, "*.csv", "part-")
     return back.groupBy(F.col("user_id").cast("bigint").alias("user_id")).agg(F.count("*").alias("cnt"), F.round(F.sum(F.col("value").cast("double")), 4).alias("total"))
 
@@ -78,13 +78,19 @@ def stream_micro_batch(t):
     return t.spark.read.parquet(f"{where}/out/raw_logs").groupBy(F.lit("raw_logs").alias("tbl")).agg(F.count("*").alias("cnt"))
 
 
-@query("late_data", "SELECT CAST(date_trunc('hour', timestamp) AS VARCHAR) AS hour, category, CAST(severity AS BIGINT) AS severity, count(*) AS event_count FROM fx_security GROUP BY ALL")
+@query("late_data", """WITH l AS (SELECT max(timestamp) - INTERVAL 10 MINUTE AS m FROM fx_security WHERE event_id % 2 = 0)
+SELECT event_id, CAST(timestamp AS VARCHAR) AS timestamp, CAST(timestamp < m AS BIGINT) AS is_late FROM fx_security, l WHERE event_id % 2 = 1""")
 def late_data(t):
-    """A delay longer than the data drops nothing."""
+    """The odd events come in a second batch, after the newest even one; all count, and the late ones are kept apart."""
     where = place(t)
-    agg = TR.stream_severity_hourly(stream(t).security, delay="60 days")
-    TR.write_updates(agg, f"{where}/out", f"{where}/offsets").awaitTermination()
-    return TR.read_rollup(t.spark, f"{where}/out", ["hour", "category", "severity"])
+    rows = t.security.select("event_id", "timestamp", "category", "severity")
+    for part in (0, 1):
+        rows.where(F.col("event_id") % 2 == part).write.parquet(f"{where}/in/{part}")
+        s = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{where}/in")
+        TR.keep_rollup(s, lambda df: df.groupBy("event_id", "timestamp").agg(F.count("*").alias("event_count")), f"{where}/out", f"{where}/offsets").awaitTermination()
+    late = TR.late_rows(t.spark, f"{where}/out").select("event_id", F.lit(1).alias("is_late"))
+    counted = TR.read_rollup(t.spark, f"{where}/out", ["event_id", "timestamp"]).where(F.col("event_id") % 2 == 1)
+    return counted.join(late, "event_id", "left").select("event_id", "timestamp", F.coalesce("is_late", F.lit(0)).alias("is_late"))
 
 
 @query("throughput_metrics")

@@ -39,49 +39,51 @@ def place(t: Tables) -> str:
     return f"{checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
-def rolled(t: Tables, agg, keys):
+def rolled(t: Tables, rows, rollup) -> str:
     where = place(t)
-    T.write_updates(agg, f"{where}/out", f"{where}/offsets").awaitTermination()
-    return T.read_rollup(t.spark, f"{where}/out", keys)
+    T.keep_rollup(rows, rollup, f"{where}/out", f"{where}/offsets").awaitTermination()
+    return f"{where}/out"
 
 
 @query("stream_rollups", f"WITH {FEED} SELECT CAST({PER_10S} AS VARCHAR) AS ts, source, count(*) AS event_count FROM feed GROUP BY ALL")
 def stream_rollups(t):
-    return rolled(t, T.stream_events_per_10s(feed(stream(t))), ["ts", "source"])
+    return T.read_rollup(t.spark, rolled(t, feed(stream(t)), T.events_per_10s), ["ts", "source"])
 
 
 @query("stream_events_per_minute", f"WITH {FEED} SELECT CAST(date_trunc('minute', timestamp) AS VARCHAR) AS minute, source, level, count(*) AS event_count FROM feed GROUP BY ALL")
 def stream_events_per_minute(t):
-    return rolled(t, T.stream_events_per_minute(feed(stream(t))), ["minute", "source", "level"])
+    return T.read_rollup(t.spark, rolled(t, feed(stream(t)), T.events_per_minute), ["minute", "source", "level"])
 
 
 @query("stream_severity_hourly", "SELECT CAST(date_trunc('hour', timestamp) AS VARCHAR) AS hour, category, CAST(severity AS BIGINT) AS severity, count(*) AS event_count FROM fx_security GROUP BY ALL")
 def stream_severity_hourly(t):
-    return rolled(t, T.stream_severity_hourly(stream(t).security), ["hour", "category", "severity"])
+    return T.read_rollup(t.spark, rolled(t, stream(t).security, T.severity_hourly), ["hour", "category", "severity"])
 
 
 @query("stream_entity_freq")
 def stream_entity_freq(t):
-    parts = rolled(t, T.stream_entity_freq(actions(stream(t))), ["window_start", "source_ip", "user_id", "hostname"])
-    return A.merge_entity_freq(parts)
+    return A.merge_entity_freq(T.read_parts(t.spark, rolled(t, actions(stream(t)), T.entity_freq)))
 
 
 @query("stream_dedup", "SELECT event_id, CAST(timestamp AS VARCHAR) AS timestamp FROM fx_raw")
 def stream_dedup(t):
     """Every event sent twice, kept once."""
     s = stream(t).raw.select("event_id", "timestamp")
-    once = T.stream_dedup(s.unionByName(s))
     where = place(t)
-    once.writeStream.outputMode("append").format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/offsets").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{where}/out")
+    T.stream_dedup(s.unionByName(s), f"{where}/out", f"{where}/offsets").awaitTermination()
+    return t.spark.read.parquet(f"{where}/out").select("event_id", "timestamp")
 
 
-@query("stream_ingest", """SELECT 'raw_logs' AS tbl, count(*) AS cnt FROM fx_messages WHERE json_valid(value) UNION ALL SELECT 'dead_letter_events', count(*) FROM fx_messages WHERE NOT json_valid(value)""")
+@query("stream_ingest", """SELECT 'raw_logs' AS tbl, coalesce(json_extract_string(value, '$.message'), '') AS text, count(*) AS cnt FROM fx_messages WHERE json_valid(value) AND event_id % 7 > 0 GROUP BY ALL
+ UNION ALL SELECT CASE WHEN event_id % 7 = 0 THEN 'topic' ELSE 'json_parse' END, value, count(*) FROM fx_messages WHERE event_id % 7 = 0 OR NOT json_valid(value) GROUP BY ALL""")
 def stream_ingest(t):
+    """Rows of the table, and what no table takes: messages of unknown topics and broken ones."""
     where = place(t)
-    P.stream_ingest(stream(t).messages, where, f"{where}/offsets", {"raw-logs": "raw_logs"}).awaitTermination()
-    parts = [t.spark.read.parquet(f"{where}/{n}").groupBy(F.lit(n).alias("tbl")).agg(F.count("*").alias("cnt")) for n in ("raw_logs", "dead_letter_events")]
-    return parts[0].unionByName(parts[1])
+    sent = stream(t).messages.withColumn("topic", F.when(F.col("event_id") % 7 == 0, "somewhere-else").otherwise(F.col("topic")))
+    P.stream_ingest(sent, where, f"{where}/offsets", {"raw-logs": "raw_logs"}).awaitTermination()
+    rows = t.spark.read.parquet(f"{where}/raw_logs").select(F.lit("raw_logs").alias("tbl"), F.col("message").alias("text"))
+    dead = t.spark.read.parquet(f"{where}/dead_letter_events").select(F.col("failed_stage").alias("tbl"), F.col("raw_payload").alias("text"))
+    return rows.unionByName(dead).groupBy("tbl", "text").agg(F.count("*").alias("cnt"))
 
 
 @query("stream_conn_features", f"WITH {W1}, {W2} SELECT event_id, {W1_COLS}, hc AS dst_host_count, hs AS dst_host_srv_count FROM w1 JOIN w2 USING (event_id)")

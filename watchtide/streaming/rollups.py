@@ -1,53 +1,91 @@
-"""Rollups kept up to date by Structured Streaming, equal to the batch ones."""
+"""Rollups kept up to date by Structured Streaming, equal to the batch ones.
+
+Every micro-batch writes the partial aggregates of its own rows below its batch id; readers add them up. There is no
+state that could expire, so a late row changes its rollup like any other; it is also kept apart as late.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DELAY = "10 minutes"
 
 
-def late_data(df: DataFrame, ts: str = "timestamp", delay: str = DELAY) -> DataFrame:
-    """Rows later than the delay are dropped by stateful operators and counted in the progress."""
-    return df.withWatermark(ts, delay)
+def events_per_minute(feed: DataFrame) -> DataFrame:
+    return feed.groupBy(F.window("timestamp", "1 minute").start.alias("minute"), "source", "level").agg(F.count("*").alias("event_count"))
 
 
-def stream_dedup(df: DataFrame, key: str = "event_id", ts: str = "timestamp", delay: str = DELAY) -> DataFrame:
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def events_per_10s(feed: DataFrame) -> DataFrame:
+    return feed.groupBy(F.window("timestamp", "10 seconds").start.alias("ts"), "source").agg(F.count("*").alias("event_count"))
 
 
-def stream_events_per_minute(feed: DataFrame, delay: str = DELAY) -> DataFrame:
-    w = F.window("timestamp", "1 minute").start.alias("minute")
-    return feed.withWatermark("timestamp", delay).groupBy(w, "source", "level").agg(F.count("*").alias("event_count"))
+def severity_hourly(security: DataFrame) -> DataFrame:
+    return security.groupBy(F.window("timestamp", "1 hour").start.alias("hour"), "category", "severity").agg(F.count("*").alias("event_count"))
 
 
-def stream_events_per_10s(feed: DataFrame, delay: str = DELAY) -> DataFrame:
-    w = F.window("timestamp", "10 seconds").start.alias("ts")
-    return feed.withWatermark("timestamp", delay).groupBy(w, "source").agg(F.count("*").alias("event_count"))
+def entity_freq(actions: DataFrame) -> DataFrame:
+    """Distinct actions as a mergeable sketch."""
+    return actions.groupBy(F.window("timestamp", "1 minute").start.alias("window_start"), "source_ip", "user_id", "hostname").agg(
+        F.count("*").alias("event_count"), F.hll_sketch_agg("action").alias("actions_sketch"), F.min("low").alias("min_severity"), F.max("high").alias("max_severity"))
 
 
-def stream_severity_hourly(security: DataFrame, delay: str = DELAY) -> DataFrame:
-    w = F.window("timestamp", "1 hour").start.alias("hour")
-    return security.withWatermark("timestamp", delay).groupBy(w, "category", "severity").agg(F.count("*").alias("event_count"))
+def keep_rollup(rows: DataFrame, rollup: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, ts: str = "timestamp", delay: str = DELAY, **trigger):
+    """Write the partial rollup of every micro-batch, and its late rows: those older than all batches before by more than the delay.
 
+    Everything lies below the batch id, so a batch that is tried again replaces what it wrote.
+    """
+    spark = rows.sparkSession
+    spark.createDataFrame([(None,)], "seen timestamp").write.mode("ignore").parquet(f"{path}/marks/batch=-1")
 
-def stream_entity_freq(actions: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Distinct actions as a mergeable sketch."""
-    w = F.window("timestamp", "1 minute").start.alias("window_start")
-    return actions.withWatermark("timestamp", delay).groupBy(w, "source_ip", "user_id", "hostname").agg(
-        F.count("*").alias("event_count"), F.hll_sketch_agg("action").alias("actions_sketch"), F.min("low").alias("min_severity"), F.max("high").alias("max_severity"))
+    def work(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            rollup(batch).write.mode("overwrite").parquet(f"{path}/parts/batch={batch_id}")
+            marks = spark.read.parquet(f"{path}/marks").where(F.col("batch") < batch_id)
+            limit = marks.agg((F.max("seen") - F.expr(f"INTERVAL {delay}")).alias("_limit"))
+            batch.crossJoin(F.broadcast(limit)).where(F.col(ts) < F.col("_limit")).drop("_limit").write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")  # one row
+            batch.agg(F.max(ts).alias("seen")).write.mode("overwrite").parquet(f"{path}/marks/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(work).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_rollup(spark: SparkSession, path: str, keys: list[str], total: str = "event_count") -> DataFrame:
+    """Counts over all batches."""
+    return read_parts(spark, path).groupBy(*keys).agg(F.sum(total).alias(total))
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/parts").drop("batch")
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/late").drop("batch")
 
 
-def write_updates(agg: DataFrame, path: str, checkpoint: str, **trigger):
-    """Write changed groups of every micro-batch; a retried batch overwrites itself."""
-    def save(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def stream_dedup(rows: DataFrame, path: str, checkpoint: str, key: str = "event_id", ts: str = "timestamp", **trigger):
+    """Each key of a day once, however late a copy comes; copies of an event have the same time.
 
-    return agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save).trigger(**(trigger or {"availableNow": True})).start()
+    A batch is compared with the keys written before it on the days that it has.
+    """
+    spark = rows.sparkSession
+    columns = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields]
 
+    def work(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.withColumn("day", F.to_date(ts)).dropDuplicates(["day", key]).persist()
+        try:
+            before = spark.read.schema(", ".join([*columns, "day date", "batch long"])).option("basePath", path).parquet(path) if batch_id else None
+            if before is not None:
+                days = batch.select("day").distinct()
+                known = before.where(F.col("batch") < batch_id).join(days, "day", "left_semi").select("day", key)
+                new = batch.join(known, ["day", key], "left_anti")
+            else:
+                new = batch
+            new.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
-def read_rollup(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Newest state of every group."""
-    rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+    return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(work).trigger(**(trigger or {"availableNow": True})).start()

@@ -35,11 +35,12 @@ def _changes(spans: DataFrame, keys: Sequence[str], names: Sequence[str], width:
     What is still present when a bucket starts is summed per key first and carried in as one row.
     """
     spans = spans.withColumn("_eb", F.expr(f"_e div {width}"))
-    enter = spans.select(*keys, "_b", "_t", *names)
-    leave = spans.select(*keys, F.col("_eb").alias("_b"), F.col("_e").alias("_t"), *[(-F.col(n)).alias(n) for n in names])
+    enter = F.struct(F.col("_b"), F.col("_t"), *names)
+    leave = F.struct(F.col("_eb").alias("_b"), F.col("_e").alias("_t"), *[(-F.col(n)).alias(n) for n in names])
+    both = spans.select(*keys, F.inline(F.array(enter, leave)))
     over = spans.where(F.col("_eb") > F.col("_b")).groupBy(*keys, "_b", "_eb").agg(*[F.sum(n).alias(n) for n in names])
     over = over.select(*keys, F.explode(F.sequence(F.col("_b") + 1, F.col("_eb"))).alias("_b"), *names)
-    return enter.unionByName(leave).unionByName(over.select(*keys, "_b", (F.col("_b") * width).alias("_t"), *names))
+    return both.unionByName(over.select(*keys, "_b", (F.col("_b") * width).alias("_t"), *names))
 
 
 def sum_deltas(facts: DataFrame, keys: Sequence[str], ts: str, window_us: int, measures: dict[str, Column]) -> DataFrame:

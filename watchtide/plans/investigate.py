@@ -10,7 +10,6 @@ from watchtide.operators.investigate.run import gather_signals
 from watchtide.plans.registry import query
 from watchtide.plans.triage import RESULTS, rnd
 from watchtide.plans.reports import ACTIONS, actions
-from watchtide.session import cut_lineage
 from watchtide.sources.views import AS_OF, Tables
 
 T0 = f"TIMESTAMP '{AS_OF}'"
@@ -18,30 +17,13 @@ ALERTS = f"{RESULTS}, alerts AS (SELECT * FROM res WHERE adjusted_score >= 0.65)
 IN_WINDOW = "f.timestamp BETWEEN a.timestamp - INTERVAL 15 MINUTE AND a.timestamp"
 
 
-_WRITTEN: dict[tuple, object] = {}
-
-
-def written(t: Tables, name: str, make):
-    """An intermediate table, written once per session and folder and then only read.
-
-    Stands for the score and event tables that exist on a cluster before anyone investigates.
-    """
-    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = cut_lineage(make())
-    return _WRITTEN[key]
-
-
 def scored(t: Tables):
-    def make():
-        full = G.triage_result(t.scores, t.thresholds, t.assets, t.iocs, t.allowlist, AS_OF)
-        return full.join(t.scores.select("event_id", "message"), "event_id")
-
-    return written(t, "scored", make)
+    full = G.triage_result(t.scores, t.thresholds, t.assets, t.iocs, t.allowlist, AS_OF)
+    return full.join(t.scores.select("event_id", "message"), "event_id")
 
 
 def network(t: Tables):
-    return written(t, "network", lambda: t.network)
+    return t.network
 
 
 def alerts(t: Tables):
@@ -210,7 +192,7 @@ def merge_ids(t):
 
 def all_signals(t: Tables):
     """Alerts with every signal."""
-    return written(t, "signals", lambda: gather_signals(alerts(t), network(t), scored(t), actions(t), t.iocs, AS_OF, RULES, baseline_hours=720, noisy_limit=GRAPH_NOISE))
+    return gather_signals(alerts(t), network(t), scored(t), actions(t), t.iocs, AS_OF, RULES, baseline_hours=720, noisy_limit=GRAPH_NOISE)
 
 
 @query("hunter_features")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from watchtide.functions.ranking import exact_percentiles
 from watchtide.operators import converters as C, evaluate as E, models as M, rollups as A, triage as G
 from watchtide.operators.investigate.verdict import FEATURE_ORDER
-from watchtide.plans.investigate import ALERTS, network, scored, written
+from watchtide.plans.investigate import ALERTS, network, scored
 from watchtide.plans.registry import query
 from watchtide.plans.triage import RESULTS
+from watchtide.session import cut_lineage
 from watchtide.sources.views import AS_OF, Tables
 
 T0 = f"TIMESTAMP '{AS_OF}'"
@@ -178,12 +179,9 @@ def augment_rows(t):
 
 
 def training_features(t: Tables):
-    """Network feature rows with a label that follows from the data."""
-    def make():
-        rows = G.sanitize_features(G.triage_features(G.network_features(t.network), "network-events"))
-        return rows.withColumn("label", ((F.col("is_suspicious") == 1) | (F.col("dst_port") == 445)).cast("int")).select("event_id", "timestamp", *G.FEATURES, "label")
-
-    return written(t, "training", make)
+    """Network feature rows with a label that follows from the data; trainers read them many times."""
+    rows = G.sanitize_features(G.triage_features(G.network_features(t.network), "network-events"))
+    return cut_lineage(rows.withColumn("label", ((F.col("is_suspicious") == 1) | (F.col("dst_port") == 445)).cast("int")).select("event_id", "timestamp", *G.FEATURES, "label"))
 
 
 @query("train_supervised")

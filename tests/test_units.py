@@ -174,17 +174,21 @@ def test_auc_against_pairs(spark):
     assert abs(got - np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])) < 1e-9
 
 
-def test_knn_in_blocks_equals_numpy(spark, monkeypatch):
+@pytest.mark.parametrize("metric,same,skip", [("l2", None, False), ("cosine", None, False), ("l2", "g", False), ("l2", None, True)])
+def test_knn_equals_numpy(spark, monkeypatch, metric, same, skip):
     rng = np.random.default_rng(7)
-    x = rng.normal(size=(120, 8)).astype("float32")
-    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, embedding array<float>").repartition(5)
-    monkeypatch.setattr(Q, "BLOCK", 32)
+    x = np.concatenate([rng.normal(size=(60, 8)), rng.normal(size=(90, 8)) * 0.05 + 3, np.zeros((2, 8)), np.ones((3, 8))]).astype("float32")
+    g = rng.integers(0, 3, len(x))
+    df = spark.createDataFrame([(i, int(g[i]), [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, g int, embedding array<float>").repartition(5)
+    monkeypatch.setattr(Q, "MOST_ROWS", 16)
     got = {}
-    for r in Q.knn_join(df, df, 4, "vec_id", "vec_id").collect():
+    for r in Q.knn_join(df, df, 4, "vec_id", "vec_id", metric=metric, same=same, skip_self=skip).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
-    d = ((x[:, None, :].astype(float) - x[None, :, :]) ** 2).sum(2)
+    d = np.round(Q._distances(x.astype(float), x.astype(float), metric), 9)
     for i in range(len(x)):
-        assert [j for _, j in sorted(got[i])] == np.argsort(d[i], kind="stable")[:4].tolist()
+        allowed = [j for j in range(len(x)) if (same is None or g[i] == g[j]) and not (skip and i == j)]
+        assert [j for _, j in sorted(got[i])] == sorted(allowed, key=lambda j: (d[j, i], j))[:4]
+    assert Q.knn_join(df, df.limit(0), 4, "vec_id", "vec_id").count() == 0
 
 
 def test_ann_recall(spark):

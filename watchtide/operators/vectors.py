@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK = 4096  # queries held by a task at a time
+from watchtide.session import cut_lineage
+
+MOST_LISTS = 4096  # centres that the driver and every task hold; with more rows the lists get longer and are split
+MOST_ROWS = 20_000  # rows of a list that a task holds
 _SLICE = 1024  # rows compared at a time
 EMBEDDERS: dict[str, object] = {}
 
@@ -49,7 +53,7 @@ def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
-def _search(base: pd.DataFrame, qv: np.ndarray, qkey, k: int, metric: str, best_d: np.ndarray, best_i: np.ndarray) -> None:
+def _search(base: pd.DataFrame, qv: np.ndarray, k: int, metric: str, best_d: np.ndarray, best_i: np.ndarray) -> None:
     """Fold base rows into the k best per query; equal distances go to the smaller id."""
     if not len(base) or not len(qv):
         return
@@ -57,8 +61,6 @@ def _search(base: pd.DataFrame, qv: np.ndarray, qkey, k: int, metric: str, best_
         part = base.iloc[lo : lo + _SLICE]
         x = np.stack(part["v"].to_numpy()).astype(np.float64)
         d = np.round(_distances(x, qv, metric), 9).T
-        if qkey is not None:
-            d = np.where(np.asarray(qkey)[:, None] == part["same"].to_numpy()[None, :], d, np.inf)
         ids = np.broadcast_to(part["id"].to_numpy(), d.shape)
         all_d, all_i = np.concatenate([best_d, d], 1), np.concatenate([best_i, ids], 1)
         order = np.lexsort((all_i, all_d), axis=1)[:, :k]
@@ -80,39 +82,99 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _points(df: DataFrame, key: str, vector: str, same: str | None) -> DataFrame:
+    return df.select(F.col(key).cast("bigint").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"), (F.col(same).cast("bigint") if same else F.lit(0).cast("bigint")).alias("same"))
+
+
+def _matrix(vectors: pd.Series, metric: str) -> np.ndarray:
+    """Rows to compare by Euclidean distance: for cosine those of unit length, half of whose squared distance is never more."""
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
+
+
+def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(_distances(x, centres, "l2"))
+
+
+class _Lists:
+    """Base rows in lists round centres: a bounded number of base rows, as many as the root of the table's size."""
+
+    def __init__(self, base: DataFrame, metric: str, most: int):
+        total = base.count()
+        lists = max(1, min(MOST_LISTS, math.isqrt(total)))
+        picked = base.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(lists).toPandas()
+        self.centres = _matrix(picked["v"], metric) if len(picked) else np.zeros((0, 0))
+        shared = base.sparkSession.sparkContext.broadcast(self.centres)
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                if len(x):
+                    d = _gaps(_matrix(x["v"], metric), shared.value)
+                    yield x.assign(c=d.argmin(1).astype("int32"), gap=d.min(1))
+
+        self.rows = cut_lineage(base.mapInPandas(place, "id bigint, v array<double>, same bigint, c int, gap double"))
+        sizes = self.rows.groupBy("c").agg(F.count("*").alias("n"), F.max("gap").alias("r")).collect()  # a row per list
+        self.size, self.radius = np.zeros(len(self.centres)), np.full(len(self.centres), -np.inf)
+        for r in sizes:
+            self.size[r["c"]], self.radius[r["c"]] = r["n"], r["r"]
+        self.most = most
+
+    def search(self, visits: DataFrame, k: int, metric: str) -> DataFrame:
+        """k best (query_id, id, distance) of each query (id, v, same, c) in each list it visits; large lists are split into salted parts."""
+        parts = lambda df, name: df.groupBy("same", "c").agg((F.floor(F.count("*") / self.most) + 1).cast("int").alias(name))
+        plan = parts(self.rows, "bp").join(parts(visits, "qp"), ["same", "c"])
+        salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        b = self.rows.join(plan, ["same", "c"]).select("id", "v", "same", "c", salt("bp").alias("bs"), F.explode(F.sequence(F.lit(0), F.col("qp") - 1)).alias("qs"))
+        q = visits.join(plan, ["same", "c"]).select("id", "v", "same", "c", salt("qp").alias("qs"), F.explode(F.sequence(F.lit(0), F.col("bp") - 1)).alias("bs"))
+
+        def run(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"query_id": "int64", "id": "int64", "distance": "float64"})]
+            for lo in range(0, len(qs), _SLICE):
+                some = qs.iloc[lo : lo + _SLICE]
+                best_d, best_i = np.full((len(some), k), np.inf), np.full((len(some), k), _NONE, dtype=np.int64)
+                _search(bs, np.stack(some["v"].to_numpy()).astype(np.float64), k, metric, best_d, best_i)
+                out.append(_rows(some["id"].to_numpy(), best_d, best_i))
+            return pd.concat(out)
+
+        keys = ["same", "c", "bs", "qs"]
+        return q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, _OUT)
+
+
 def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id: str, vector: str = "embedding", metric: str = "l2", same: str | None = None, skip_self: bool = False) -> DataFrame:
-    """Exact k nearest base rows of every query: (query_id, id, distance, rank). Ids are whole numbers.
+    """Exact k nearest base rows of every query: (query_id, id, distance, rank). Ids are whole numbers, once each among the queries.
 
-    Base partitions are scanned once per block of queries and give k rows per query; no
-    pair is written out. ``same`` restricts neighbours to rows with an equal whole-number column.
+    A query first searches the nearest lists that hold a few times k rows. The k-th distance found rules out, by the
+    triangle inequality, every list whose centre is further than that plus the list's radius; the others are
+    searched too. Queries stay on the cluster, and no pair is written out.
+    ``same`` restricts neighbours to rows with an equal whole-number column.
     """
     want = k + 1 if skip_self else k
-    q = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(vector).alias("v"), (F.col(same).cast("bigint") if same else F.lit(0)).alias("same"))
-    b = base.select(F.col(base_id).cast("bigint").alias("id"), F.col(vector).alias("v"), (F.col(same).cast("bigint") if same else F.lit(0)).alias("same"))
-    total = q.count()
-    blocks = max(1, -(-total // BLOCK))
-    found = None
-    for n in range(blocks):
-        # a block is about BLOCK queries: the bound on what the driver and each task hold
-        mine = q if blocks == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n)
-        held = mine.toPandas()
-        if not len(held):
-            continue
-        qv, qid = np.stack(held["v"].to_numpy()).astype(np.float64), held["id"].to_numpy()
-        keys = held["same"].to_numpy() if same else None
-        shared = queries.sparkSession.sparkContext.broadcast((qv, qid, keys))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            vec, ids, ks = shared.value
-            best_d, best_i = np.full((len(ids), want), np.inf), np.full((len(ids), want), _NONE, dtype=np.int64)
-            for batch in batches:
-                _search(batch, vec, ks, want, metric, best_d, best_i)
-            yield _rows(ids, best_d, best_i)
-
-        part = b.mapInPandas(scan, _OUT)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    q, lists = _points(queries, query_id, vector, same), _Lists(_points(base, base_id, vector, same), metric, MOST_ROWS)
+    if not len(lists.centres):
         return queries.sparkSession.createDataFrame([], _OUT + ", rank int")
+    shared = queries.sparkSession.sparkContext.broadcast((lists.centres, lists.size, lists.radius))
+
+    def visits(rows: pd.DataFrame, far: bool) -> pd.DataFrame:
+        centres, size, radius = shared.value
+        d = _gaps(_matrix(rows["v"], metric), centres)
+        order = np.argsort(d, axis=1, kind="stable")
+        first = np.cumsum(size[order], axis=1) - size[order] < 4 * want  # until a few times k rows are held
+        go = np.zeros(d.shape, bool)
+        np.put_along_axis(go, order, first, 1)
+        if far:
+            worst = rows["worst"].to_numpy()
+            reach = np.sqrt(np.where(np.isfinite(worst), worst * (2 if metric == "cosine" else 1), np.inf)) + 1e-4
+            go = ~go & (d - radius[None, :] <= reach[:, None])
+        at, c = np.nonzero(go & (size[None, :] > 0))
+        return rows.iloc[at].assign(c=c.astype("int32"))[["id", "v", "same", "c"]]
+
+    kind = "id bigint, v array<double>, same bigint, c int"
+    near = lambda batches: (visits(x, False) for x in batches if len(x))
+    rest = lambda batches: (visits(x, True) for x in batches if len(x))
+    found = cut_lineage(_best(lists.search(q.mapInPandas(near, kind), want, metric), want))
+    worst = found.where(F.col("rank") == want).select(F.col("query_id").alias("id"), F.col("distance").alias("worst"))
+    again = q.join(worst, "id", "left").select("id", "v", "same", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
+    found = found.drop("rank").unionByName(lists.search(again.mapInPandas(rest, kind), want, metric))
     if skip_self:
         found = found.where("query_id <> id")
     return _best(found, k)
@@ -134,40 +196,24 @@ def similar_events(base: DataFrame, k: int, base_id: str, ids: list | None = Non
     return knn_join(queries, base, k, base_id, base_id, vector, metric, skip_self=True)
 
 
-def ann_search(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id: str, vector: str = "embedding", lists: int = 16, probes: int = 4, most: int = 50_000, seed: int = 42) -> DataFrame:
-    """Approximate neighbours for large tables: rows are grouped round centres, a query looks into
-    the nearest groups, distances inside are exact. Large groups are split into salted parts."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    as_double = F.transform(F.col(vector), lambda x: x.cast("double"))
-    b = base.select(F.col(base_id).cast("bigint").alias("id"), as_double.alias("v"))
-    q = queries.select(F.col(query_id).cast("bigint").alias("id"), as_double.alias("v"))
-    fit = b.sample(min(1.0, 200_000 / max(1, b.count())), seed=seed)  # only the centres come from a sample
-    model = KMeans(k=lists, seed=seed, maxIter=10).fit(fit.select(array_to_vector("v").alias("features")))
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])  # lists x dim numbers
-    gap = F.transform(centres, lambda c, i: F.struct(F.aggregate(F.zip_with(c, F.col("v"), lambda a, x: (a - x) * (a - x)), F.lit(0.0), lambda s, x: s + x).alias("d"), i.alias("c")))
-    near = lambda n: F.transform(F.slice(F.array_sort(gap), 1, n), lambda s: s["c"])
-    b = b.withColumn("c", F.get(near(1), F.lit(0)))
-    q = q.withColumn("c", F.explode(near(probes)))
-    # parts per group, for rows and for queries, so that no task gets more than ``most`` of either
-    parts = lambda df, name: df.groupBy("c").agg((F.floor(F.count("*") / most) + 1).cast("int").alias(name))
-    plan = parts(b, "bp").join(parts(q, "qp"), "c")
-    salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    b = b.join(F.broadcast(plan), "c").select("id", "v", "c", salt("bp").alias("bs"), F.explode(F.sequence(F.lit(0), F.col("qp") - 1)).alias("qs"))  # one row per group
-    q = q.join(F.broadcast(plan), "c").select("id", "v", "c", salt("qp").alias("qs"), F.explode(F.sequence(F.lit(0), F.col("bp") - 1)).alias("bs"))
-
-    def search(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"query_id": "int64", "id": "int64"})]
-        for lo in range(0, len(qs), _SLICE):
-            some = qs.iloc[lo : lo + _SLICE]
-            best_d, best_i = np.full((len(some), k), np.inf), np.full((len(some), k), _NONE, dtype=np.int64)
-            _search(bs, np.stack(some["v"].to_numpy()).astype(np.float64), None, k, "l2", best_d, best_i)
-            out.append(_rows(some["id"].to_numpy(), best_d, best_i))
-        return pd.concat(out)
-
-    keys = ["c", "bs", "qs"]
-    return _best(q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(search, _OUT), k)
+def ann_search(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id: str, vector: str = "embedding", share: float = 0.25) -> DataFrame:
+    """Approximate neighbours: every base row is in the list of its nearest centre, and a query searches the nearest
+    lists until they hold a share of all rows; distances there are exact. The lists grow in number with the root of the
+    table's size. On rows without clusters recall is little above the share's root; measure it against knn_join."""
+    q, lists = _points(queries, query_id, vector, None), _Lists(_points(base, base_id, vector, None), "l2", MOST_ROWS)
+    if not len(lists.centres):
+        return queries.sparkSession.createDataFrame([], _OUT + ", rank int")
+    shared = queries.sparkSession.sparkContext.broadcast((lists.centres, lists.size))
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres, size = shared.value
+        for rows in batches:
+            if len(rows):
+                order = np.argsort(_gaps(_matrix(rows["v"], "l2"), centres), axis=1, kind="stable")
+                at, nth = np.nonzero(np.cumsum(size[order], axis=1) - size[order] < share * size.sum())
+                yield rows.iloc[at].assign(c=order[at, nth].astype("int32"))[["id", "v", "same", "c"]]
+
+    return _best(lists.search(q.mapInPandas(visits, "id bigint, v array<double>, same bigint, c int"), k, "l2"), k)
 
 
 # ---- texts and tables ------------------------------------------------------------------

@@ -35,9 +35,20 @@ def similar_events(t):
     return X.similar_events(emb(t), 5, "vec_id")
 
 
-@query("ann_search")
+@query("ann_search", "SELECT vec_id AS query_id, CAST(10 AS BIGINT) AS found, CAST(1 AS BIGINT) AS itself_first FROM embeddings")
 def ann_search(t):
-    return X.ann_search(emb(t), emb(t), 10, "vec_id", "vec_id")
+    """Every row is a query: it finds ten rows, itself among the nearest."""
+    out = X.ann_search(emb(t), emb(t), 10, "vec_id", "vec_id")
+    return out.groupBy("query_id").agg(F.count("*").alias("found"), F.max((F.col("distance") <= 0.000001).cast("int")).alias("itself_first"))
+
+
+@query("ann_recall", "SELECT count(*) AS queries, CAST(1 AS BIGINT) AS recall_is_high FROM embeddings")
+def ann_recall(t):
+    """Share of the exact ten neighbours that the approximate search finds, over all rows: at least 0.9."""
+    near = X.ann_search(emb(t), emb(t), 10, "vec_id", "vec_id", share=0.75).select("query_id", "id")
+    exact = X.knn_join(emb(t), emb(t), 10, "vec_id", "vec_id").select("query_id", "id")
+    hits = exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
+    return hits.agg(F.count_distinct("query_id").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).cast("int").alias("recall_is_high"))
 
 
 ATT, HIS = "label IN (0, 1, 2)", "label IN (3, 4, 5)"

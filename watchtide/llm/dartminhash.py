@@ -153,7 +153,8 @@ def sets(docs: DataFrame, weighted: bool = False) -> DataFrame:
 
 def compared(docs: DataFrame, pairs: DataFrame, similarity: float, weighted: bool) -> DataFrame:
     """Pairs (id, centre) with `linked`, and how the document differs from the centre: `delta` (items of one only), `lost` (of the centre only), `size` (of the document)."""
-    known = sets(docs, weighted)
+    wanted = pairs.select("id").union(pairs.select("centre")).distinct()
+    known = cut_lineage(sets(docs, weighted).join(wanted, "id", "left_semi"))
     both = pairs.join(known.toDF("id", "own"), "id").join(known.toDF("centre", "its"), "centre")
     more, lost = F.array_except("own", "its"), F.array_except("its", "own")
     out = both.select("id", "centre", F.size("own").alias("size"), F.concat(more, lost).alias("delta"), F.size(lost).alias("lost"), F.size("its").alias("_all"))

@@ -250,7 +250,7 @@ def _int(c: Column) -> Column:
 
 
 def evtx_events(df: DataFrame) -> DataFrame:
-    eid, host, tactic, cmd = text(df, "EventID", default="0"), text(df, "Computer", default="unknown"), text(df, "EVTX_Tactic"), F.substring(text(df, "CommandLine"), 1, 200)
+    eid, host, tactic, cmd = text(df, "EventID", default="0"), text(df, "Computer", default="unknown"), text(df, "EVTX_Tactic"), text(df, "CommandLine")
     user, ip, proc = text(df, "TargetUserName"), text(df, "IpAddress"), text(df, "ProcessName", "NewProcessName")
     some = lambda label, c: F.when(c != "", F.concat(F.lit(f"{label}="), c))
     parts = F.concat_ws(" ", F.concat(F.lit("EventID="), eid), F.concat(F.lit("Channel="), text(df, "Channel", default="Security")), some("Tactic", tactic), some("TargetUser", user), some("SubjectUser", text(df, "SubjectUserName")), some("Process", proc), some("CommandLine", cmd))

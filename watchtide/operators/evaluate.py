@@ -82,8 +82,13 @@ def leakage_check(df: DataFrame, dataset: str, feature: str, label: str, limit:
 
 
 def dataset_fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """The same for any row order: counts, and sums and extremes of row hashes."""
-    h = F.xxhash64(*[F.col(c).cast("string") for c in df.columns])
+    """The same for any row order: counts, and sums and extremes of row hashes (56 bits of the md5 of the values)."""
+    def text(name: str, kind: str) -> Column:
+        c = F.col(name)
+        shown = F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else c.cast("decimal(38,9)") if kind in ("double", "float") else c
+        return F.coalesce(shown.cast("string"), F.lit("?"))
+
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *[text(c, k) for c, k in df.dtypes])), 1, 14), 16, 10).cast("bigint")
     one = df.select(h.alias("h")).agg(F.count("*").alias("rows"), F.sum(F.col("h").cast("decimal(38,0)")).alias("total"), F.min("h").alias("low"), F.max("h").alias("high"))
     return one.select(F.lit(name).alias("dataset"), F.lit(len(df.columns)).alias("columns"), "rows", F.sha2(F.concat_ws("|", F.lit(name), F.lit(",".join(df.columns)), *[F.col(c).cast("string") for c in ("rows", "total", "low", "high")]), 256).alias("fingerprint"))
 

@@ -92,7 +92,7 @@ def severity_and_action(df: DataFrame) -> DataFrame:
 
 def fast_path_verdict(with_hits: DataFrame) -> DataFrame:
     """An extra, immediate verdict for every alert with a high or critical rule hit."""
-    titles = F.array_join(F.slice(F.transform("sigma_hits", lambda h: h["title"]), 1, 3), "; ")
+    titles = F.array_join(F.transform("sigma_hits", lambda h: h["title"]), "; ")
     brief = F.transform("sigma_hits", lambda h: F.struct(h["rule_id"].alias("rule_id"), h["title"].alias("title"), h["severity"].alias("severity")))
     return with_hits.where("sigma_max_severity >= 3").select(
         F.col("event_id").alias("alert_id"), "hostname", "source_ip", "user_id", F.col("adjusted_score").alias("trigger_score"), F.lit("critical").alias("severity"), F.lit("CONFIRMED_ATTACK").alias("finding_type"),
@@ -114,9 +114,7 @@ def narrative() -> Column:
     """Investigation notes: entity, trigger, signals for and against, kill chain, campaign, verdict."""
     some = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
     head = _fmt("INVESTIGATION: %s | src=%s | user=%s | triage=%.3f | verdict=%s | score=%.3f", F.col("hostname"), some("source_ip", "n/a"), some("user_id", "n/a"), _num("adjusted_score"), F.col("finding_type"), _num("hunter_score"))
-    short = F.when(F.length("message") > 200, F.concat(F.substring("message", 1, 200), F.lit("..."))).otherwise(F.col("message"))
-    hit_lines = F.transform(F.slice("sigma_hits", 1, 5), lambda h: F.concat(F.lit("  [SIGMA] "), h["title"], F.lit(" (rule="), h["rule_id"], F.lit(", category="), h["category"], F.lit(", severity="), severity_word(h["severity"]), F.lit(")")))
-    more = F.when(F.size("sigma_hits") > 5, F.array(F.concat(F.lit("  [SIGMA] ... +"), (F.size("sigma_hits") - 5).cast("string"), F.lit(" more rule(s)"))))
+    hit_lines = F.transform("sigma_hits", lambda h: F.concat(F.lit("  [SIGMA] "), h["title"], F.lit(" (rule="), h["rule_id"], F.lit(", category="), h["category"], F.lit(", severity="), severity_word(h["severity"]), F.lit(")")))
     fired_spc = F.when(F.col("spc_is_anomaly") == 1, _fmt("  [SPC] anomaly detected — z=%.2f (baseline μ=%.1f, σ=%.1f)", _num("spc_z_score"), _num("spc_baseline_mean"), _num("spc_baseline_stddev")))
     reaches = (F.col("graph_unique_destinations") > 0) | (F.col("graph_has_ioc_neighbor") == 1)
     parts = F.array_compact(F.array(
@@ -126,12 +124,11 @@ def narrative() -> Column:
     rises = F.col("temporal_escalation_count") > 0
     temporal = F.when(rises, _fmt("  [TEMPORAL] %d escalation(s) across %d category(ies), tactic_diversity=%d, mean_score=%.3f", *[F.col(c).cast("bigint") for c in ("temporal_escalation_count", "temporal_unique_categories", "temporal_tactic_diversity")], _num("temporal_mean_score")))
     ids = F.coalesce("related_alert_ids", F.array().cast("array<bigint>"))
-    shown = F.array_join(F.transform(F.slice(ids, 1, 6), lambda x: F.substring(x.cast("string"), 1, 8)), ", ")
-    related = F.when(rises & (F.size(ids) > 0), F.concat(F.lit("  [TEMPORAL] related_alerts: ["), shown, F.when(F.size(ids) > 6, F.concat(F.lit(" +"), (F.size(ids) - 6).cast("string"), F.lit(" more"))).otherwise(""), F.lit("]")))
+    related = F.when(rises & (F.size(ids) > 0), F.concat(F.lit("  [TEMPORAL] related_alerts: ["), F.array_join(ids.cast("array<string>"), ", "), F.lit("]")))
     alike = F.col("similarity_confirmed_neighbor_count") > 0
     similar = F.when(alike, _fmt("  [SIMILARITY] %d confirmed-attack neighbour(s), min_dist=%.3f, label_confidence=%.2f", F.col("similarity_confirmed_neighbor_count").cast("bigint"), _num("similarity_min_confirmed_dist"), _num("similarity_label_confidence")))
     moderated = F.when(F.col("similarity_false_positive_count") > 0, F.concat(F.lit("  [SIMILARITY] "), F.col("similarity_false_positive_count").cast("int").cast("string"), F.lit(" false-positive neighbour(s) — score moderated")))
-    fired = F.concat(hit_lines, F.coalesce(more, F.array().cast("array<string>")), F.array_compact(F.array(
+    fired = F.concat(hit_lines, F.array_compact(F.array(
         fired_spc, F.when(reaches, F.concat(F.lit("  [GRAPH] "), F.array_join(parts, ", "))), temporal, related, similar, moderated, _fmt("  [ML] %s=%.3f", F.col("model_used"), _num("hunter_score")))))
     against = F.array_compact(F.array(
         F.when(F.size("sigma_hits") == 0, "  [SIGMA] 0 hits — no signature match"), F.when(F.col("spc_is_anomaly") == 0, _fmt("  [SPC] no baseline deviation (z=%.2f)", _num("spc_z_score"))),
@@ -139,11 +136,11 @@ def narrative() -> Column:
     chain = F.when(F.col("mitre_match_count") > 0, F.concat(
         F.lit("KILL CHAIN:\n  tactics ("), F.size("mitre_tactics").cast("string"), F.lit("):    "), F.array_join("mitre_tactics", " → "),
         F.lit("\n  techniques ("), F.size("mitre_techniques").cast("string"), F.lit("): "), F.array_join("mitre_techniques", ", "), F.lit("\n")))
-    hosts = F.when(F.size("related_hosts") > 0, F.concat(F.lit("\n  related_hosts: ["), F.array_join(F.slice("related_hosts", 1, 10), ", "), F.lit("]"))).otherwise("")
+    hosts = F.when(F.size("related_hosts") > 0, F.concat(F.lit("\n  related_hosts: ["), F.array_join("related_hosts", ", "), F.lit("]"))).otherwise("")
     campaign = F.when(F.col("is_campaign") == 1, F.concat(F.lit("CAMPAIGN DETECTED:\n  id="), F.col("campaign_id"), F.lit("  hosts="), F.col("campaign_host_count").cast("string"), F.lit("  tactics="), F.col("campaign_tactic_count").cast("string"), hosts, F.lit("\n")))
     end = _fmt("VERDICT: %s (%.3f) | severity=%s | action=%s", F.col("finding_type"), _num("hunter_score"), F.col("severity"), F.coalesce(lookup(F.col("finding_type"), ACTION_HINT), F.lit("investigate further")))
     return F.concat_ws(
-        "\n", head, F.lit(""), F.lit("TRIGGER:"), _fmt("  source_type=%s  triage_score=%.3f", F.col("source_type"), _num("adjusted_score")), F.when(F.col("message") != "", F.concat(F.lit("  message: "), short)), F.lit(""),
+        "\n", head, F.lit(""), F.lit("TRIGGER:"), _fmt("  source_type=%s  triage_score=%.3f", F.col("source_type"), _num("adjusted_score")), F.when(F.col("message") != "", F.concat(F.lit("  message: "), F.col("message"))), F.lit(""),
         F.lit("SIGNALS FIRED:"), F.array_join(fired, "\n"), F.lit(""), F.when(F.size(against) > 0, F.concat(F.lit("SIGNALS NEGATIVE:\n"), F.array_join(against, "\n"), F.lit("\n"))), chain, campaign, end)
 
 

@@ -302,7 +302,15 @@ def suspicious_process(t):
     return W.suspicious_process(t.process).select("event_id", "detection_rule", "is_suspicious")
 
 
-@query("windows_events_by_type")
+SYSMON_TYPE = f"CASE WHEN {PIPE} THEN 'security' ELSE {sql_case(W.SYSMON, 0, chr(39) + 'raw' + chr(39))} END"
+
+
+@query("windows_events_by_type", f"""WITH p AS (SELECT event_id, {D('Image')} AS binary_path, {D('CommandLine')} AS arguments, {D('ParentImage')} AS parent_binary FROM fx_winlog WHERE channel = 'sysmon' AND eid = 1),
+ r AS (SELECT event_id, CAST({_process_sql()} <> '' AS BIGINT) AS started FROM p),
+ w AS (SELECT channel, {SYSMON_TYPE} AS event_type, CASE WHEN eid = 1 THEN started WHEN eid = 7 AND {UNSIGNED} THEN 1 ELSE 0 END AS is_suspicious FROM fx_winlog LEFT JOIN r USING (event_id) WHERE channel = 'sysmon'
+ UNION ALL SELECT channel, {sql_case(W.SECURITY, 0, "'raw'")}, 0 FROM fx_winlog WHERE channel = 'security'
+ UNION ALL SELECT channel, CASE WHEN {_script_sql()} IS NULL THEN 'raw' ELSE 'security' END, 0 FROM fx_winlog WHERE channel = 'powershell')
+SELECT channel, event_type, CAST(is_suspicious AS BIGINT) AS is_suspicious, count(*) AS cnt FROM w GROUP BY ALL""")
 def windows_events_by_type(t):
     """All channels through one chain."""
     return W.windows_events(t.winlog).groupBy("channel", "event_type", "is_suspicious").agg(F.count("*").alias("cnt"))
@@ -404,7 +412,11 @@ def round_robin_interleave(t):
     return readers.round_robin_interleave(t.base("documents").select("source", "doc_id"), "source", "doc_id", F.expr("doc_id div 100"))
 
 
-@query("dataset_profile")
+_PROFILE = [("doc_id", 0), ("quality", 0), ("toxic", 0), ("lang", 0), ("source", 0), ("n_chars", 0)]
+
+
+@query("dataset_profile", "WITH x AS (SELECT l.doc_id, l.quality, l.toxic, d.lang, d.source, d.n_chars FROM labels l JOIN documents d USING (doc_id)) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) AS rows, count({c}) AS non_null, count(DISTINCT {c}) AS distinct_values, min(CAST({c} AS VARCHAR)) AS sample, CAST({k} AS BIGINT) AS label_like FROM x" for c, k in _PROFILE))
 def dataset_profile(t):
     return readers.dataset_profile(t.base("labels").join(t.base("documents").drop("text"), "doc_id"))
 

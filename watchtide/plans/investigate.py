@@ -195,7 +195,27 @@ def all_signals(t: Tables):
     return gather_signals(alerts(t), network(t), scored(t), actions(t), t.iocs, AS_OF, RULES, baseline_hours=720, noisy_limit=GRAPH_NOISE)
 
 
-@query("hunter_features")
+# every signal of every alert, and the 42 features in their order
+_PARTS = "".join(x[len(ALERTS):] for x in (SIGMA, SPC, GRAPH, MITRE, CAMPAIGN))
+HUNT = f"""{ALERTS}{_PARTS},
+ tj AS (SELECT a.event_id, f.source_type, f.mitre_tactic, CAST(round(f.adjusted_score * 1000000) AS BIGINT) AS sc, f.adjusted_score AS fs, a.adjusted_score AS as_, f.source_ip = a.source_ip AS same_ip
+  FROM alerts a JOIN res f ON f.hostname = a.hostname AND (f.source_ip = a.source_ip OR f.user_id = a.user_id) AND {IN_WINDOW}),
+ te AS (SELECT event_id, count(*) FILTER (same_ip AND fs > round(as_, 4) + 1e-9) AS rises, count(DISTINCT source_type) AS kinds, count(DISTINCT mitre_tactic) AS tactics, sum(sc)::DOUBLE / count(*) / 1000000 AS mean FROM tj GROUP BY 1),
+ mx AS (SELECT event_id, rule_id, tac FROM mk UNION ALL SELECT event_id, 'triage_passthrough', mitre_tactic FROM alerts WHERE mitre_tactic <> '' AND NOT EXISTS (SELECT 1 FROM mk WHERE mk.event_id = alerts.event_id AND mk.tac = alerts.mitre_tactic)),
+ mc AS (SELECT event_id, count(*) AS matches, count(DISTINCT tac) FILTER (tac <> '') AS breadth FROM mx GROUP BY 1),
+ hunt AS (SELECT a.event_id, a.adjusted_score, a.combined_score AS base_score, a.asset_multiplier AS entity_risk, a.ioc_match * a.ioc_confidence / 100.0 AS ioc_boost, 0 AS temporal_boost, 0 AS destination_risk, 0 AS off_hours_boost, 0 AS high_severity_count, 0 AS medium_severity_count,
+  0 AS distinct_categories, 0 AS event_count, 0 AS correlated_alert_count, a.template_rarity AS template_risk, gr.d AS graph_unique_destinations, gr.srcs AS graph_unique_src_ips, gr.ioc::INT AS graph_has_ioc_neighbor, gr.hops AS graph_hop_count, gr.hr AS graph_high_risk_neighbors, gr.esc AS graph_escalation_count,
+  least(1.0, gr.hops / 10.0::DOUBLE) AS graph_lateral_movement_score, CASE WHEN gr.d >= 3 AND gr.hops >= 2 THEN least(1.0, gr.d / 10.0::DOUBLE * (1 + gr.ioc::INT)) ELSE 0 END AS graph_c2_candidate_score, coalesce(te.rises, 0) AS temporal_escalation_count, coalesce(te.kinds, 0) AS temporal_unique_categories,
+  coalesce(te.tactics, 0) AS temporal_tactic_diversity, coalesce(te.mean, 0) AS temporal_mean_score, 1 AS similarity_attack_embed_dist, 1 AS similarity_historical_dist, 0 AS similarity_log_embed_matches, 0 AS similarity_confirmed_neighbor_count, 1 AS similarity_min_confirmed_dist, 0 AS similarity_false_positive_count,
+  0 AS similarity_label_confidence, coalesce(mc.matches, 0) AS mitre_match_count, coalesce(mc.breadth, 0) AS mitre_tactic_breadth, coalesce(cp.hosts, 0) AS campaign_host_count, coalesce(cp.tactics, 0) AS campaign_tactic_count, len(sg.ids) AS sigma_hit_count, coalesce(list_max(sg.lv), 0) AS sigma_max_severity,
+  CASE WHEN sp.sd > 0 THEN (sp.obs - sp.mean) / sp.sd ELSE 0 END AS spc_z_score, CASE WHEN sp.sd > 0 AND (sp.obs - sp.mean) / sp.sd > 3 THEN 1 ELSE 0 END AS spc_is_anomaly, sp.mean AS spc_baseline_mean, sp.sd AS spc_baseline_stddev
+  FROM alerts a JOIN gr USING (event_id) JOIN sg USING (event_id) JOIN sp USING (event_id) LEFT JOIN te USING (event_id) LEFT JOIN mc USING (event_id) LEFT JOIN cp USING (event_id))"""
+_HUNT_COLUMNS = ["adjusted_score", "base_score", "entity_risk", "ioc_boost", "temporal_boost", "destination_risk", "off_hours_boost", "high_severity_count", "medium_severity_count", "distinct_categories", "event_count", "correlated_alert_count", "template_risk", "graph_unique_destinations", "graph_unique_src_ips", "graph_has_ioc_neighbor", "graph_hop_count",
+                 "graph_high_risk_neighbors", "graph_escalation_count", "graph_lateral_movement_score", "graph_c2_candidate_score", "temporal_escalation_count", "temporal_unique_categories", "temporal_tactic_diversity", "temporal_mean_score", "similarity_attack_embed_dist", "similarity_historical_dist", "similarity_log_embed_matches",
+                 "similarity_confirmed_neighbor_count", "similarity_min_confirmed_dist", "similarity_false_positive_count", "similarity_label_confidence", "mitre_match_count", "mitre_tactic_breadth", "campaign_host_count", "campaign_tactic_count", "sigma_hit_count", "sigma_max_severity", "spc_z_score", "spc_is_anomaly", "spc_baseline_mean", "spc_baseline_stddev"]
+
+
+@query("hunter_features", f"WITH {HUNT} SELECT event_id, {', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in _HUNT_COLUMNS)} FROM hunt")
 def hunter_features(t):
     return V.hunter_features(all_signals(t)).select("event_id", *[F.get("feature_vector", F.lit(i)).alias(n) for i, n in enumerate(V.FEATURE_ORDER)])
 
@@ -241,6 +261,23 @@ def severity_and_action(t):
     return V.severity_and_action(verdict_inputs(t).select("event_id", V.verdict_fusion().alias("finding_type")))
 
 
+# (feature, weight, cap or None for 0 to 1; distances count the nearer the better)
+_WEIGHTS = [("adjusted_score", 0.15, None), ("base_score", 0.04, None), ("entity_risk", 0.04, None), ("ioc_boost", 0.05, None), ("template_risk", 0.02, None), ("graph_unique_destinations", 0.02, 50), ("graph_unique_src_ips", 0.01, 50), ("graph_has_ioc_neighbor", 0.04, None), ("graph_hop_count", 0.02, 10),
+            ("graph_high_risk_neighbors", 0.02, 10), ("graph_escalation_count", 0.02, 20), ("graph_lateral_movement_score", 0.03, None), ("graph_c2_candidate_score", 0.03, None), ("temporal_escalation_count", 0.03, 20), ("temporal_unique_categories", 0.01, 10), ("temporal_tactic_diversity", 0.01, None), ("temporal_mean_score", 0.02, None),
+            ("mitre_match_count", 0.02, 10), ("mitre_tactic_breadth", 0.02, None), ("campaign_host_count", 0.03, 20), ("campaign_tactic_count", 0.02, 10), ("sigma_hit_count", 0.04, 5), ("sigma_max_severity", 0.03, None), ("spc_z_score", 0.03, 10), ("spc_is_anomaly", 0.03, None)]
+_TERMS = " + ".join(f"{w} * least({n} / {c}.0, 1.0)" if c else f"{w} * greatest(0.0, least({n}, 1.0))" for n, w, c in _WEIGHTS)
+JUDGED = f"""{HUNT}, rated AS (SELECT *, greatest(0.0, least({_TERMS} + 0.01, 1.0)) AS s FROM hunt),
+ ju AS (SELECT *, CASE WHEN campaign_host_count >= 2 AND campaign_tactic_count >= 2 THEN 'ACTIVE_CAMPAIGN' WHEN sigma_max_severity >= 3 OR (sigma_hit_count > 0 AND spc_is_anomaly = 1) THEN 'CONFIRMED_ATTACK' WHEN sigma_hit_count > 0 THEN 'BEHAVIOURAL_ANOMALY'
+  WHEN spc_is_anomaly = 1 THEN CASE WHEN s >= 0.75 THEN 'CONFIRMED_ATTACK' ELSE 'ANOMALOUS_PATTERN' END WHEN s >= 0.85 THEN 'CONFIRMED_ATTACK' WHEN s >= 0.65 THEN 'BEHAVIOURAL_ANOMALY' ELSE 'NORMAL_BEHAVIOUR' END AS finding_type FROM rated),
+ jd AS (SELECT *, CASE finding_type WHEN 'CONFIRMED_ATTACK' THEN 'critical' WHEN 'ACTIVE_CAMPAIGN' THEN 'critical' WHEN 'BEHAVIOURAL_ANOMALY' THEN 'high' WHEN 'ANOMALOUS_PATTERN' THEN 'medium' ELSE 'low' END AS severity FROM ju)"""
+
+
+@query("verdicts", f"WITH {JUDGED} SELECT event_id, round(s::DOUBLE, 6) AS hunter_score, finding_type, severity FROM jd")
+def verdicts(t):
+    """Score, finding and severity of every alert from all its signals."""
+    return V.judge(all_signals(t)).select("event_id", "hunter_score", "finding_type", "severity")
+
+
 @query("narrative")
 def narrative(t):
     return V.judge(all_signals(t)).select("event_id", V.narrative().alias("summary"))
@@ -263,7 +300,7 @@ def attack_graph_edges(t):
 
 
 @query("attack_graph_sigma_edges", f"""WITH {SIGMA}, ex AS (SELECT event_id, hostname, unnest(ids) AS rule_id, unnest(lv) AS level, unnest(range(len(ids))) AS i FROM sg)
-SELECT event_id AS inv_id, concat('host-', regexp_replace(hostname, '[^A-Za-z0-9_]', '_', 'g')) AS src, concat('sigma-', i, '-', regexp_replace(rule_id, '[^A-Za-z0-9_]', '_', 'g')) AS dst, concat('Sigma: ', CASE level WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'critical' END) AS label FROM ex WHERE i < 5""")
+SELECT event_id AS inv_id, concat('host-', regexp_replace(hostname, '[^A-Za-z0-9_]', '_', 'g')) AS src, concat('sigma-', i, '-', regexp_replace(rule_id, '[^A-Za-z0-9_]', '_', 'g')) AS dst, concat('Sigma: ', CASE level WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'critical' END) AS label FROM ex""")
 def attack_graph_sigma_edges(t):
     edges = K.attack_graph_edges(K.with_graph(V.judge(all_signals(t))))
     return edges.where("type = 'detection'").select("inv_id", "src", "dst", "label")

@@ -71,7 +71,13 @@ def holdout_split(t):
     return E.holdout_split(events, E.stratified_sample(events, ["event_type"], 150, ["event_id"]), ["event_id"]).select("event_id")
 
 
-@query("dataset_fingerprint")
+def _print_sql(name: str, columns: dict[str, str]) -> str:
+    row = ", ".join(f"coalesce(CAST({x} AS VARCHAR), '?')" for x in columns.values())
+    return f"""SELECT '{name}' AS dataset, {len(columns)}::BIGINT AS columns, count(*) AS rows, sha256(concat_ws('|', '{name}', '{','.join(columns)}', CAST(count(*) AS VARCHAR), CAST(sum(h::HUGEINT) AS VARCHAR), CAST(min(h) AS VARCHAR), CAST(max(h) AS VARCHAR))) AS fingerprint
+ FROM (SELECT CAST('0x' || substr(md5(concat_ws('|', {row})), 1, 14) AS BIGINT) AS h FROM {name})"""
+
+
+@query("dataset_fingerprint", _print_sql("labels", {c: c for c in ("doc_id", "quality", "toxic")}) + " UNION ALL " + _print_sql("events", {"event_id": "event_id", "ts": "epoch_us(ts)", "user_id": "user_id", "event_type": "event_type", "value": "CAST(value AS DECIMAL(38,9))", "props": "props"}))
 def dataset_fingerprint(t):
     return E.dataset_fingerprint(t.base("labels"), "labels").unionByName(E.dataset_fingerprint(t.base("events"), "events"))
 

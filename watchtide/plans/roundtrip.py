@@ -12,6 +12,7 @@ from watchtide.plans.models import assembled
 from watchtide.plans.registry import query
 from watchtide.plans.reports import metrics
 from watchtide.plans.streams import place, stream
+from watchtide.plans.triage import RESULTS
 from watchtide.sources import readers, sinks
 from watchtide.sources.views import AS_OF, Tables
 from watchtide.streaming import metrics as TM, pipelines as P, rollups as TR
@@ -151,7 +152,14 @@ def dataset_to_features(t):
     return C.dataset_to_features(df, "nf_ton_iot").select("src_bytes", "dst_bytes", "protocol", "source_type_numeric", "duration", "attack_type", "label", "source_dataset")
 
 
-@query("score_with_model")
+# weights and caps of the published heuristic for the features that assembled rows have; the others are 0, distances 1
+_ASSEMBLED = """0.15 * greatest(0, least(adjusted_score, 1)) + 0.04 * greatest(0, least(combined_score, 1)) + 0.04 * 1.0 + 0.05 * greatest(0, least(ioc_match * ioc_confidence / 100.0, 1)) + 0.02 * greatest(0, least(template_rarity, 1))
+ + 0.02 * least(d / 50.0, 1) + 0.01 * least(s / 50.0, 1) + 0.02 * least(least(d, 5) / 10.0, 1) + 0.03 * least(e / 20.0, 1) + 0.01 * least(1 / 10.0, 1) + 0.02 * greatest(0, least(m, 1)) + 0.02 * least(2 / 10.0, 1) + 0.02 * 1.0
+ + 0.01 * (1.0 - 0.0)"""
+
+
+@query("score_with_model", f"""WITH {RESULTS}, cx AS (SELECT hostname, count(DISTINCT dst_ip) AS d, count(DISTINCT src_ip) AS s FROM fx_network GROUP BY 1), hs AS (SELECT hostname, count(*) FILTER (action = 'escalate') AS e, avg(adjusted_score) AS m FROM res GROUP BY 1)
+SELECT event_id, round(greatest(0.0, least({_ASSEMBLED}, 1.0))::DOUBLE, 6) AS hunter_score, 'heuristic' AS model_used FROM res LEFT JOIN cx USING (hostname) LEFT JOIN hs USING (hostname)""")
 def score_with_model(t):
     """Without a model the heuristic scores."""
     return M.score_with_model(assembled(t)).select("event_id", "hunter_score", "model_used")

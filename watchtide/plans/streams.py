@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from watchtide.operators import rollups as A
 from watchtide.operators.investigate.run import gather_signals
-from watchtide.plans.investigate import GRAPH_NOISE, RULES, network, scored
+from watchtide.plans.investigate import GRAPH_NOISE, JUDGED, RULES, network, scored
 from watchtide.plans.registry import query
-from watchtide.plans.reports import FEED, PER_10S, actions, feed
+from watchtide.plans.reports import ENTITY_FREQ, FEED, PER_10S, actions, feed
 from watchtide.plans.triage import RESULTS, W1, W1_COLS, W2
 from watchtide.session import checkpoint_dir
 from watchtide.sources.readers import source_factory
@@ -60,7 +60,7 @@ def stream_severity_hourly(t):
     return T.read_rollup(t.spark, rolled(t, stream(t).security, T.severity_hourly), ["hour", "category", "severity"])
 
 
-@query("stream_entity_freq")
+@query("stream_entity_freq", ENTITY_FREQ)
 def stream_entity_freq(t):
     return A.merge_entity_freq(T.read_parts(t.spark, rolled(t, actions(stream(t)), T.entity_freq)))
 
@@ -107,7 +107,7 @@ def stream_triage(t):
     return t.spark.read.parquet(f"{where}/out").groupBy("topic", "action").agg(F.count("*").alias("cnt"))
 
 
-@query("stream_investigation")
+@query("stream_investigation", f"WITH {JUDGED} SELECT finding_type, severity, count(*) AS cnt FROM jd GROUP BY ALL")
 def stream_investigation(t):
     """Verdicts of streamed alerts against the fact tables."""
     where = place(t)

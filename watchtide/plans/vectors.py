@@ -86,10 +86,11 @@ def embedding_text_tables(t):
     return inc.select("kind", "id", X.incident_text().alias("text")).unionByName(att.select(F.lit("attack").alias("kind"), F.col("event_id").alias("id"), X.attack_text().alias("text"))).unionByName(intel.select("kind", "id", X.intel_text().alias("text")))
 
 
-@query("vector_ingest")
+@query("vector_ingest", "SELECT CAST(event_id AS VARCHAR) AS event_id, 'raw_logs' AS source_table, CAST(256 AS BIGINT) AS dim, CASE WHEN regexp_matches(message, '[A-Za-z0-9_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm2 FROM fx_raw")
 def vector_ingest(t):
-    """Hashed embeddings of every log text."""
-    return X.vector_ingest(X.log_rows(t.raw, "raw_logs")).select("event_id", "source_table", F.size("vector").alias("dim"), F.aggregate(F.transform("vector", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x * x).alias("norm2"))
+    """Hashed embeddings of every log text: 256 numbers, of unit length if the text has words."""
+    out = X.vector_ingest(X.log_rows(t.raw, "raw_logs")).select("event_id", "source_table", F.size("vector").alias("dim"), F.aggregate(F.transform("vector", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x * x).alias("norm2"))
+    return out.withColumn("norm2", F.round("norm2", 4))
 
 
 @query("attack_embedding_set", f"""WITH {RESULTS}, x AS (SELECT event_id AS attack_id, 'pseudo_positive' AS s FROM res WHERE action = 'escalate' AND adjusted_score > 0.8 UNION ALL SELECT doc_id, 'analyst' FROM labels WHERE toxic = 1 UNION ALL SELECT event_id, 'severity' FROM fx_security WHERE severity >= 4)

@@ -108,6 +108,18 @@ def segment_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     return df.withColumn("_in", inside).join(shift, [*keys, "_seg"]).withColumn(name, F.col("_shift") + F.col("_in")).drop("_seg", "_in", "_shift")
 
 
+def text_segments(df: DataFrame, column: str, parts: int = 128, sample: int = 4096) -> Column:
+    """Segment number of a text, in order, for `segment_rank`: ranges between the quantiles of a bounded sample.
+
+    The ranges follow the texts that are there, so ids with a common beginning spread as well as others.
+    """
+    rows = df.select(F.col(column).cast("string").alias("x")).where("x IS NOT NULL").orderBy(F.xxhash64("x")).limit(sample).collect()
+    some = sorted({r["x"] for r in rows}, key=lambda x: x.encode())
+    cuts = [some[len(some) * k // parts] for k in range(1, parts)] if some else []
+    bounds = F.array(*[F.lit(x) for x in dict.fromkeys(cuts)]) if cuts else F.array().cast("array<string>")
+    return F.size(F.filter(bounds, lambda x: x <= F.col(column).cast("string")))
+
+
 def last_n(ranked: DataFrame, keys: Sequence[str], n: int, measures: dict[str, Callable], rank: str = "rn", chunk: int = 10_000) -> DataFrame:
     """Measures over the last n rows of a key, current row included.
 

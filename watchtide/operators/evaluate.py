@@ -161,20 +161,20 @@ def label_hierarchy(labels: DataFrame, key: str = "event_id") -> DataFrame:
 
 
 def _histograms(base: DataFrame, now: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Counts per (feature, bin) of both sets over shared equal bins."""
-    def long(df, name):
-        items = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])
-        return df.select(F.lit(name).alias("side"), F.inline(items))
-
-    both = long(base, "p").unionByName(long(now, "q"))
-    range_ = both.groupBy("feature").agg(F.min("v").alias("lo"), (F.max("v") + EPS).alias("hi"))
-    binned = both.join(range_, "feature").withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / BINS)), F.lit(BINS - 1)))
-    counts = binned.groupBy("feature", "bin").agg(F.count_if(F.col("side") == "p").alias("p"), F.count_if(F.col("side") == "q").alias("q"))
-    sizes = range_.select("feature", ((F.col("hi") - F.col("lo")) / BINS).alias("width"))
-    grid = sizes.select("feature", "width", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BINS - 1).cast("bigint"))).alias("bin"))
-    full = grid.join(counts, ["feature", "bin"], "left").fillna(0, ["p", "q"])
-    totals = counts.groupBy("feature").agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
-    return full.join(totals, "feature")
+    """(feature, bin, p, q, width, np, nq): counts of both sides in bins over their common range.
+
+    The ranges of all features are one row of columns, and every row is binned in place.
+    """
+    sides = base.select(F.lit(True).alias("_p"), *[F.col(f).cast("double").alias(f) for f in features]).unionByName(now.select(F.lit(False).alias("_p"), *[F.col(f).cast("double").alias(f) for f in features]))
+    bounds = sides.agg(*[x for i, f in enumerate(features) for x in (F.min(f).alias(f"_lo{i}"), (F.max(f) + EPS).alias(f"_hi{i}"))])
+    width = lambda i: (F.col(f"_hi{i}") - F.col(f"_lo{i}")) / BINS
+    bin_of = lambda i, f: F.least(F.floor((F.col(f) - F.col(f"_lo{i}")) / width(i)), F.lit(BINS - 1))
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), bin_of(i, f).alias("bin"), width(i).alias("width")) for i, f in enumerate(features)])
+    rows = sides.crossJoin(F.broadcast(bounds)).select("_p", F.inline(cells)).where("bin IS NOT NULL")  # one row
+    counts = rows.groupBy("feature", "bin").agg(F.count_if("_p").alias("p"), F.count_if(~F.col("_p")).alias("q"))
+    totals = rows.groupBy("feature").agg(F.first("width").alias("width"), F.count_if("_p").alias("np"), F.count_if(~F.col("_p")).alias("nq"))
+    grid = totals.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BINS - 1).cast("bigint"))).alias("bin"))  # a row per feature and bin
+    return grid.join(counts, ["feature", "bin"], "left").fillna(0, ["p", "q"])
 
 
 def drift_kl(base: DataFrame, now: DataFrame, features: Sequence[str]) -> DataFrame:

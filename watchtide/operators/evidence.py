@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from watchtide.functions.expr import moment
-from watchtide.functions.timeline import segment_rank
+from watchtide.functions.timeline import segment_rank, text_segments
 
 WINDOW_S = 1800
 STORED_LEAVES = 100
@@ -83,10 +83,10 @@ def merkle_roots(numbered: DataFrame, keys: list[str], leaf: str = "leaf", index
     return nodes.select(*keys, F.col("h").alias("root"), F.col("depth").alias("merkle_depth"), F.col("n").alias("event_count"))
 
 
-def number_leaves(leaf_rows: DataFrame, prefix: int = 3) -> DataFrame:
+def number_leaves(leaf_rows: DataFrame) -> DataFrame:
     """Leaves numbered by event id inside their batch; ids are ordered as text."""
     keys = ["table_name", "batch_no", "time_from", "time_to"]
-    return segment_rank(leaf_rows, keys, ["event_id"], F.substring("event_id", 1, prefix), "rn").withColumn("idx", F.col("rn") - 1).drop("rn")
+    return segment_rank(leaf_rows, keys, ["event_id"], text_segments(leaf_rows, "event_id"), "rn").withColumn("idx", F.col("rn") - 1).drop("rn")
 
 
 _CHAIN = "table_name string, batch_no bigint, time_from timestamp, time_to timestamp, root string, merkle_depth int, event_count bigint, prev_merkle_root string, merkle_root string"
@@ -144,7 +144,7 @@ def verify_batches(anchors: DataFrame, events: dict[str, DataFrame], sep: str =
         leaf = df.select("timestamp", F.col("event_id").cast("string").alias("event_id"), event_leaf_hash(table, sep).alias("leaf"))
         part = _batch_of(leaf, anchors.where(F.col("table_name") == table)).select(F.lit(table).alias("table_name"), F.col("b.batch_id").alias("batch_id"), "event_id", "leaf")
         out = part if out is None else out.unionByName(part)
-    ranked = segment_rank(out, ["table_name", "batch_id"], ["event_id"], F.substring("event_id", 1, 3), "rn").withColumn("idx", F.col("rn") - 1)
+    ranked = segment_rank(out, ["table_name", "batch_id"], ["event_id"], text_segments(out, "event_id"), "rn").withColumn("idx", F.col("rn") - 1)
     roots = merkle_roots(ranked, ["table_name", "batch_id"]).withColumnRenamed("event_count", "actual_count").drop("merkle_depth")
     joined = anchors.join(roots, ["table_name", "batch_id"], "left")
     plain = F.coalesce("root", F.lit(EMPTY_ROOT))

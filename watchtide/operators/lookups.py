@@ -33,24 +33,26 @@ def threshold_coverage(events: DataFrame, thresholds: DataFrame) -> DataFrame:
     return used.join(thresholds.select("source_type").distinct(), "source_type", "left_anti")
 
 
+_SALTS = 32  # parts of the names that meet patterns without a literal part
+
+
 def asset_multipliers(hostnames: DataFrame, assets: DataFrame) -> DataFrame:
     """First matching LIKE pattern (by text) of each distinct host name.
 
-    A pattern can only match names that start with its text before the first wildcard.
-    That prefix is an equality key, so no pair of name and pattern is formed that does
-    not share it.
+    A pattern can only match names that have its longest literal part. Three letters of that part are an
+    equality key, so no pair of name and pattern is formed that does not share them. Patterns with shorter
+    literal parts have no such key; their names are dealt out over salts.
     """
-    hosts = hostnames.select("hostname").where("hostname <> ''").distinct()
-    prefix = F.regexp_extract(F.lower("hostname_pattern"), r"^([^%_]*)", 1)
-    rules = assets.select(prefix.alias("prefix"), "hostname_pattern", "multiplier")
-    lengths = rules.select(F.length("prefix").alias("plen")).distinct()
-    starts = (
-        hosts.join(F.broadcast(lengths.agg(F.collect_set("plen").alias("lens"))))  # one row, at most one entry per length
-        .select("hostname", F.explode("lens").alias("plen"))
-        .where(F.col("plen") <= F.length("hostname"))
-        .select("hostname", F.expr("lower(left(hostname, plen))").alias("prefix"))
-    )
-    hit = starts.join(rules, "prefix").where(F.ilike("hostname", "hostname_pattern"))
+    hosts = hostnames.select(F.col("hostname"), F.lower("hostname").alias("_h")).where("hostname <> ''").distinct()
+    literals = F.split(F.lower("hostname_pattern"), r"[%_\\\\]+")
+    longest = F.aggregate(literals, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+    salts = F.transform(F.sequence(F.lit(0), F.lit(_SALTS - 1)), lambda k: F.concat(F.lit("#"), k.cast("string")))
+    rules = assets.select("hostname_pattern", "multiplier", longest.alias("_l"))
+    rules = rules.select("hostname_pattern", "multiplier", F.explode(F.when(F.length("_l") >= 3, F.array(F.concat(F.lit("="), F.substring("_l", 1, 3)))).otherwise(salts)).alias("key"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_h") - 2, F.lit(1))), lambda i: F.concat(F.lit("="), F.substring(F.col("_h"), i, F.lit(3))))
+    own = F.array(F.concat(F.lit("#"), F.pmod(F.xxhash64("_h"), F.lit(_SALTS)).cast("string")))
+    starts = hosts.select("hostname", F.explode(F.array_distinct(F.concat(grams, own))).alias("key"))
+    hit = starts.join(rules, "key").where(F.ilike("hostname", "hostname_pattern"))
     return hit.groupBy("hostname").agg(F.min_by("multiplier", "hostname_pattern").alias("asset_multiplier"))
 
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from watchtide.llm.text import U, Words, as_bytes, pick, steps
@@ -76,29 +77,36 @@ class Lookup:
                     yield i, n, items
 
 
-def _blocks(benchmark: DataFrame, n: int) -> list[Lookup]:
-    """Blocks of at most WINDOWS_PER_BLOCK windows; a benchmark is a stated, small query set."""
-    found, block, out = windows(benchmark, n), [], []
-    for row in found.toLocalIterator():
+def _blocks(benchmark: DataFrame, n: int) -> list[Broadcast]:
+    """The windows in broadcast blocks of at most WINDOWS_PER_BLOCK; the driver holds one block at a time."""
+    context, block, out = benchmark.sparkSession.sparkContext, [], []
+    for row in windows(benchmark, n).toLocalIterator():
         block.append(row)
         if len(block) == WINDOWS_PER_BLOCK:
-            out.append(Lookup(block))
+            out.append(context.broadcast(Lookup(block)))
             block = []
-    return out + [Lookup(block)] * bool(block)
+    return out + [context.broadcast(Lookup(block))] * bool(block)
+
+
+def _lookups(blocks: list[Broadcast]) -> Iterator[Lookup]:
+    """The blocks one after the other; of several, a worker holds one at a time and reads them again from its disk."""
+    for block in blocks:
+        yield block.value
+        if len(blocks) > 1:
+            vars(block).pop("_value", None)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, item_ids, spans (bytes from, to of each run of hit words)."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(x) for x in _blocks(benchmark, n)]
+    blocks = _blocks(benchmark, n)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             data, offsets = as_bytes(batch.column("text"))
             words = Words(data, offsets)
             edges, items = np.zeros(len(words) + 1, np.int64), {}
-            for block in blocks:
-                for i, size, ids in block.value.hits(words):
+            for lookup in _lookups(blocks):
+                for i, size, ids in lookup.hits(words):
                     edges[i] += 1
                     edges[i + size] -= 1
                     items.setdefault(int(words.doc[i]), set()).update(ids)
@@ -125,13 +133,13 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, whole_documents:
 
     A cut text is scanned again, until no window is left in it. Texts without a hit stay as they are.
     """
-    blocks = [docs.sparkSession.sparkContext.broadcast(x) for x in _blocks(benchmark, n)]
+    blocks = _blocks(benchmark, n)
 
     def cut(text: str) -> str:
         while True:
             raw = text.encode()
             words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            spans = sorted((int(words.start[i]), int(words.end[i + size - 1])) for b in blocks for i, size, _ in b.value.hits(words))
+            spans = sorted((int(words.start[i]), int(words.end[i + size - 1])) for x in _lookups(blocks) for i, size, _ in x.hits(words))
             if not spans:
                 return text
             kept, at = [], 0
@@ -144,7 +152,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, whole_documents:
         for batch in steps(batches):
             place = batch.schema.get_field_index("text")
             words = Words(*as_bytes(batch.column(place)))
-            hit = sorted({int(words.doc[i]) for b in blocks for i, _, _ in b.value.hits(words)})
+            hit = sorted({int(words.doc[i]) for x in _lookups(blocks) for i, _, _ in x.hits(words)})
             if whole_documents:
                 yield batch.filter(pa.array(~np.isin(np.arange(batch.num_rows), hit)))
                 continue

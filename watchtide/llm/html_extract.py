@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from watchtide.llm.text import pick, steps
 from watchtide.session import cut_lineage
@@ -286,7 +286,7 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 def template_tokens(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """(host, n_pages, token, path, said, chars, pages, total, class): tokens of the classes that make the template."""
-    found = tokens(pages)
+    found = cut_lineage(tokens(pages))  # read twice; much smaller than the pages
     size = found.where("token = 0").select("host", F.col("pages").alias("n_pages"))
     kept = found.join(size, "host").where((F.col("pages") >= support * F.col("n_pages")) & (F.col("token") != 0))
     return kept.select("host", "n_pages", "token", "path", "said", "chars", "pages", "total", F.xxhash64("pages", "low", "high").alias("class"))
@@ -309,7 +309,7 @@ def deduce(kept: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """The pages with all their columns, and `_text`."""
-    templates = cut_lineage(deduce(template_tokens(pages)).select(F.col("host").alias("_host"), F.col("main").alias("_main"), F.col("repeated").alias("_repeated")))
+    templates = cut_lineage(deduce(cut_lineage(template_tokens(pages))).select(F.col("host").alias("_host"), F.col("main").alias("_main"), F.col("repeated").alias("_repeated")))
     size = templates.agg(F.sum(F.lit(64) + F.octet_length("_host") + F.coalesce(F.octet_length("_main"), F.lit(0)) + 8 * F.size("_repeated"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         templates = F.broadcast(templates)
@@ -323,4 +323,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(texts, pa.string())], names=[*names, "_text"])
 
     names = pages.columns
-    return rows.select(*names, "_main", "_repeated").mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields) + ", _text string")
+    return rows.select(*names, "_main", "_repeated").mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("_text", T.StringType())]))

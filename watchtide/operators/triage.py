@@ -168,6 +168,22 @@ def triage_result(scores: DataFrame, thresholds: DataFrame, assets: DataFrame, i
     return df.withColumns({"features_stale": F.lit(0), "model_version": F.lit(model_version)}).select(*RESULT_COLUMNS)
 
 
+def score_events(featured: DataFrame, scorer: str) -> DataFrame:
+    """Model scores by a registered scorer: a function of the frame, or a fitted transformer."""
+    from watchtide.operators.models import SCORERS
+
+    if scorer not in SCORERS:
+        raise ValueError(f"no scorer is registered as {scorer!r}")
+    found = SCORERS[scorer]
+    return found.transform(featured) if hasattr(found, "transform") else found(featured)
+
+
+def route_events(windowed: DataFrame, topic: str, scorer: str, dims: dict[str, DataFrame], as_of) -> DataFrame:
+    """Events with their connection windows to routed results: features, scores, fusion, lookups, action, topics."""
+    featured = sanitize_features(triage_features(windowed, topic))
+    return score_router(triage_result(score_events(featured, scorer), dims["thresholds"], dims["assets"], dims["iocs"], dims["allowlist"], as_of))
+
+
 def pseudo_labels(results: DataFrame, source: str = "lgbm_pseudo") -> DataFrame:
     """1, 0, or -1 for the ambiguous zone; or from the action."""
     s = F.col("lgbm_score")

@@ -11,7 +11,7 @@ from watchtide.operators.investigate.run import gather_signals
 from watchtide.plans.investigate import GRAPH_NOISE, JUDGED, RULES, network, scored
 from watchtide.plans.registry import query
 from watchtide.plans.reports import ENTITY_FREQ, FEED, PER_10S, actions, feed
-from watchtide.plans.triage import RESULTS, W1, W1_COLS, W2
+from watchtide.plans.triage import EVENT_ROUTES, RESULTS, ROUTE_COLUMNS, W1, W1_COLS, W2, dims, with_context
 from watchtide.session import checkpoint_dir
 from watchtide.sources.readers import source_factory
 from watchtide.streaming import pipelines as P, rollups as T
@@ -86,24 +86,37 @@ def stream_ingest(t):
     return rows.unionByName(dead).groupBy("tbl", "text").agg(F.count("*").alias("cnt"))
 
 
+def windowed(t: Tables, where: str) -> None:
+    """Four micro-batches in time order: each part of the month arrives before the stream goes on."""
+    for part in range(4):
+        t.network.where(F.expr(f"(day(timestamp) - 1) div 8 = {part}")).write.mode("append").parquet(f"{where}/in")
+        s = source_factory(t.spark, "parquet", path=f"{where}/in", schema=t.network.schema)
+        P.stream_conn_features(s, f"{where}/out", f"{where}/state", f"{where}/offsets").awaitTermination()
+
+
 @query("stream_conn_features", f"WITH {W1}, {W2} SELECT event_id, {W1_COLS}, hc AS dst_host_count, hs AS dst_host_srv_count FROM w1 JOIN w2 USING (event_id)")
 def stream_conn_features(t):
-    """Network events in daily files, one file per micro-batch."""
+    """Network events that arrive in four parts."""
     where = place(t)
-    days = t.network.withColumn("day", F.to_date("timestamp"))
-    # files are picked up oldest first, so one sorted write in time order gives ordered batches
-    for part in range(4):
-        days.where(F.expr(f"(day(timestamp) - 1) div 8 = {part}")).drop("day").coalesce(1).write.mode("append").parquet(f"{where}/in")
-    s = source_factory(t.spark, "parquet", path=f"{where}/in", schema=t.network.schema, max_files=1)
-    P.stream_conn_features(s, f"{where}/out", f"{where}/state", f"{where}/offsets").awaitTermination()
+    windowed(t, where)
     return t.spark.read.parquet(f"{where}/out").select("event_id", "count", "srv_count", "same_srv_rate", "diff_srv_rate", "serror_rate", "rerror_rate", "dst_host_count", "dst_host_srv_count")
 
 
+@query("stream_event_routes", EVENT_ROUTES)
+def stream_event_routes(t):
+    """Two streams: events to connection windows with kept state, and those to scored and routed results."""
+    where = place(t)
+    windowed(t, where)
+    schema = t.spark.read.parquet(f"{where}/out").drop("batch").schema
+    s = t.spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8).parquet(f"{where}/out")
+    P.stream_routes(s, "network-events", "linear", lambda: dims(t), f"{where}/routed", f"{where}/offsets2", lambda: AS_OF, lambda df: with_context(t, df)).awaitTermination()
+    return t.spark.read.parquet(f"{where}/routed").select(*ROUTE_COLUMNS)
+
+
 @query("stream_triage", f"WITH {RESULTS} SELECT topic, action, count(*) AS cnt FROM (SELECT action, unnest(CASE WHEN action = 'escalate' THEN ['triage-scores', 'anomaly-alerts', 'hunter-tasks'] ELSE ['triage-scores'] END) AS topic FROM res) GROUP BY ALL")
 def stream_triage(t):
     where = place(t)
-    dims = lambda: {"thresholds": t.thresholds, "assets": t.assets, "iocs": t.iocs, "allowlist": t.allowlist}
-    P.stream_triage(stream(t).scores, lambda df: df, dims, f"{where}/out", f"{where}/offsets", lambda: AS_OF).awaitTermination()
+    P.stream_triage(stream(t).scores, lambda df: df, lambda: dims(t), f"{where}/out", f"{where}/offsets", lambda: AS_OF).awaitTermination()
     return t.spark.read.parquet(f"{where}/out").groupBy("topic", "action").agg(F.count("*").alias("cnt"))
 
 

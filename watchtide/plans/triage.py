@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from watchtide.operators import lookups as J, netfeatures as W, reports as R, rollups as A, templates as L, triage as G
+from watchtide.operators.models import register_scorer
 from watchtide.plans.registry import query
 from watchtide.sources.views import AS_OF, Tables
 
@@ -304,7 +305,7 @@ def log_templates(t):
 @query("template_assignment")
 def template_assignment(t):
     """Every raw line with template and rarity."""
-    return L.assign_templates(t.raw, L.log_templates(t.raw)).select("event_id", "template_id", "template", "template_rarity")
+    return L.assign_templates(t.dealt(t.raw), L.log_templates(t.dealt(t.raw))).select("event_id", "template_id", "template", "template_rarity")
 
 
 @query("template_rarity_lookup", f"WITH {RARITY} SELECT event_id, round(coalesce(rarity, 0.5), 6) AS template_rarity FROM fx_scores LEFT JOIN ra ON ra.template_id = fx_scores.template_id AND ra.template_id <> 'T5'")
@@ -312,3 +313,36 @@ def template_rarity_lookup(t):
     total = t.scores.agg(F.count("*").alias("total"))
     rarity = t.scores.where("template_id <> 'T5'").groupBy("template_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))  # one row
     return L.template_rarity_lookup(t.scores, rarity.select("template_id", (1 - F.col("n") / F.col("total")).alias("template_rarity"))).select("event_id", "template_rarity")
+
+
+# ---- from event to routed score ------------------------------------------------------------
+
+
+def linear_scorer(df):
+    """A scorer whose scores follow from the windows, so that SQL can say the same."""
+    return df.withColumns({"lgbm_score": F.least(F.lit(1.0), F.col("count") / 4), "eif_score": F.least(F.lit(1.0), F.col("dst_host_count") / 20), "arf_score": F.col("same_srv_rate")})
+
+
+register_scorer("linear", linear_scorer)
+EVENT_CONTEXT = ["event_id", "source_type", "source_ip", "user_id", "template_id", "template_rarity", "mitre_tactic", "mitre_technique"]
+EVENT_RESULTS = f"""{W1}, {W2}, ev AS (SELECT s.* REPLACE (least(1.0, n / 4.0::DOUBLE) AS lgbm_score, least(1.0, hc / 20.0::DOUBLE) AS eif_score, sn / n AS arf_score) FROM fx_scores s JOIN w1 USING (event_id) JOIN w2 USING (event_id)),
+{RESULTS.replace("fx_scores", "ev")}"""
+EVENT_ROUTES = f"""WITH {EVENT_RESULTS} SELECT event_id, topic, action, {rnd('combined_score', 'adjusted_score')}, ioc_match, disagreement_flag
+ FROM (SELECT *, unnest(CASE WHEN action = 'escalate' THEN ['triage-scores', 'anomaly-alerts', 'hunter-tasks'] ELSE ['triage-scores'] END) AS topic FROM res)"""
+ROUTE_COLUMNS = ["event_id", "topic", "action", "combined_score", "adjusted_score", "ioc_match", "disagreement_flag"]
+
+
+def with_context(t: Tables, windowed):
+    """What collectors add to a network event before it is scored."""
+    have = [c for c in EVENT_CONTEXT if c not in windowed.columns or c == "event_id"]
+    return windowed.join(t.scores.select(*have), "event_id")
+
+
+def dims(t: Tables) -> dict:
+    return {"thresholds": t.thresholds, "assets": t.assets, "iocs": t.iocs, "allowlist": t.allowlist}
+
+
+@query("event_routes", EVENT_ROUTES)
+def event_routes(t):
+    """Network events to features, scores of a registered scorer, fused and routed results."""
+    return G.route_events(with_context(t, G.network_features(t.network)), "network-events", "linear", dims(t), AS_OF).select(*ROUTE_COLUMNS)

@@ -244,7 +244,7 @@ BASE_TABLES = (
 
 
 # Views whose rows are parsed and matched against many patterns.
-HEAVY = {"fx_messages", "fx_winlog", "fx_raw", "fx_process"}
+HEAVY = {"fx_messages", "fx_winlog"}
 
 
 class Tables:
@@ -257,9 +257,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A table for work that is heavy per row: when the files give fewer splits than
-        there are cores, rows are dealt out; large inputs have enough splits and stay."""
-        df, cores = self.base(name), self.spark.sparkContext.defaultParallelism
+        """A table for work that is heavy per row."""
+        return self.dealt(self.base(name))
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        """Rows dealt out when the files give fewer splits than there are cores; large inputs have enough splits and stay."""
+        cores = self.spark.sparkContext.defaultParallelism
         return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
     def view(self, name: str) -> DataFrame:

@@ -397,3 +397,30 @@ def test_late_rows_count_and_are_kept(spark, tmp_path):
     assert sum(r["event_count"] for r in TR.read_rollup(spark, f"{tmp_path}/out", ["hour"]).collect()) == 6
     assert sorted(r["event_id"] for r in TR.late_rows(spark, f"{tmp_path}/out").collect()) == [1, 3]
     assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/once").collect()) == [1, 2, 3, 4, 5]
+
+
+def test_rules_come_from_a_folder(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"id": "x-1", "title": "X", "severity": "high", "category": "c", "keywords": ["boom"], "keys": ["hostname"], "status": "test"}))
+    (tmp_path / "b.json").write_text(json.dumps({"id": "x-2", "title": "Y", "severity": "low", "category": "c"}))
+    try:
+        assert [r.id for r in I.load_rules(spark, str(tmp_path))] == ["x-1", "x-2"] and I.RULES["x-1"].keywords == ("boom",)
+    finally:
+        I.RULES.pop("x-1", None), I.RULES.pop("x-2", None)
+    (tmp_path / "c.json").write_text('{"id": "x-3"}')
+    with pytest.raises(ValueError):
+        I.load_rules(spark, str(tmp_path / "c.json"))
+
+
+def test_messages_are_written_with_keys(spark, tmp_path):
+    from watchtide.sources import sinks
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    sinks.message_sink(sinks.keyed_messages(df, "id"), "json", path=str(tmp_path / "m"))
+    assert sorted((r["key"], json.loads(r["value"])["x"]) for r in spark.read.json(str(tmp_path / "m")).collect()) == [("1", "a"), ("2", "b")]
+    with pytest.raises(ValueError):
+        sinks.message_sink(df, "carrier pigeon")
+
+
+def test_unknown_scorers_are_refused(spark):
+    with pytest.raises(ValueError):
+        G.score_events(spark.range(1), "nobody")

@@ -7,9 +7,10 @@ alert and fact is formed.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field as dc_field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from watchtide.functions.expr import first_case, lookup, uuid5
 from watchtide.functions.timeline import distinct_deltas, sum_deltas, sweep, window_recent, window_values
@@ -80,6 +81,12 @@ def register_rule(rule: Rule | dict) -> Rule:
     return rule
 
 
+def load_rules(spark: SparkSession, folder: str) -> list[Rule]:
+    """Register the rules of a folder of JSON files, one rule per file. A rule pack is small: the folder is read by the driver."""
+    rows = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("file")).orderBy("file").collect()
+    return [register_rule({k: v for k, v in json.loads(r["value"]).items() if k in Rule.__dataclass_fields__}) for r in rows]
+
+
 # The rule pack.
 for _rule in (
     Rule("cisco-ios-brute-001", "Cisco IOS Brute Force Login Attempt", "high", "cisco", ("login failed", "authentication failure", "% login invalid"), where="detection_rule ILIKE '%login%fail%'", more_than=5, tags=("attack.t1110", "attack.credential_access")),

@@ -84,7 +84,6 @@ def allowlist_match(events: DataFrame, allowlist: DataFrame, as_of, columns: dic
     """Flag events with any allow-listed address, user, host, template or source."""
     columns = columns or {"ip": "source_ip", "user": "user_id", "host": "hostname", "template": "template_id", "source": "source_type"}
     live = allowlist.where((F.col("active") == 1) & (F.col("expires_at").isNull() | (F.col("expires_at") > moment(as_of))))
-    # one row per value with the kinds it is listed for
     out, flag = events, F.lit(False)
     for kind, col in columns.items():
         side = live.where(F.col("entry_type") == kind).select(F.col("entry_value").alias("_k")).distinct().withColumn(f"_is_{kind}", F.lit(True))
@@ -133,8 +132,3 @@ def baseline_join(alerts: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def latest_rows_by_key(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     return latest_version(df, keys, version)
-
-
-def first_match(df: DataFrame, key: str, value: Column | str, order: str) -> DataFrame:
-    """Value of the first row per key in a given order."""
-    return df.groupBy(key).agg(F.min_by(value, order).alias("value"))

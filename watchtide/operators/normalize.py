@@ -230,7 +230,3 @@ def route_counts(classified: DataFrame) -> DataFrame:
 def route_by_type(classified: DataFrame) -> dict[str, DataFrame]:
     """The four typed tables; the caller persists ``classified`` within a micro-batch."""
     return {t: project_event(classified, t) for t in EVENT_TYPES}
-
-
-def looks_like_ip(c) -> Column:
-    return F.col(c).rlike(IPV4_TEXT)

@@ -41,8 +41,14 @@ def keyed_messages(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def write_keyed_files(messages: DataFrame, path: str) -> None:
-    messages.repartition("key").write.mode("append").json(path)
+def message_sink(messages: DataFrame, kind: str, **options) -> None:
+    """Write (key, value) messages to a topic of a message broker, or as JSON lines below a folder."""
+    if kind == "kafka":
+        messages.select("key", "value").write.format("kafka").option("kafka.bootstrap.servers", options["servers"]).option("topic", options["topic"]).save()
+    elif kind == "json":
+        messages.select("key", "value").write.mode(options.get("mode", "append")).json(options["path"])
+    else:
+        raise ValueError(f"unknown sink kind: {kind}")
 
 
 def report_export(df: DataFrame, path: str) -> None:
@@ -59,10 +65,6 @@ def proof_documents(anchors: DataFrame, leaves: int = 5) -> DataFrame:
     return anchors.select("batch_id", F.to_json(doc).alias("proof"))
 
 
-def proof_export(anchors: DataFrame, path: str) -> None:
-    proof_documents(anchors).select(F.col("proof").alias("value")).write.mode("overwrite").text(path)
-
-
 def retention_policy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RETENTION, "table_name string, warm_days int, cold_days int, delete_days int")
 

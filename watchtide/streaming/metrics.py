@@ -13,7 +13,7 @@ def observed(df: DataFrame, name: str = "rates") -> DataFrame:
 
 
 class ThroughputListener(StreamingQueryListener):
-    """Keeps one row per progress: time, query, metric, value."""
+    """Keeps one row per progress and metric until `table` takes them: time, query, metric, value."""
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
@@ -36,5 +36,7 @@ class ThroughputListener(StreamingQueryListener):
         pass
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = spark.createDataFrame(self.rows or [("1970-01-01T00:00:00Z", "", "", 0.0)], "ts string, query string, metric string, value double")
+        """The rows since the last call; a long-running job appends them to a table."""
+        taken, self.rows = self.rows, []
+        rows = spark.createDataFrame(taken or [("1970-01-01T00:00:00Z", "", "", 0.0)], "ts string, query string, metric string, value double")
         return rows.where("metric <> ''").withColumn("ts", F.to_timestamp("ts"))

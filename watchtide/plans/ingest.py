@@ -155,8 +155,18 @@ def preclassified_bypass(t):
     return classified(t).where("is_preclassified").select("event_id", "event_type", "hostname", "level", "source")
 
 
-@query("route_by_type", f"WITH {NORM} SELECT event_type, count(*) AS cnt FROM c WHERE NOT (event_type = 'raw' AND level = 'DEBUG') GROUP BY 1")
+@query("route_by_type", f"WITH {NORM} SELECT event_type, event_id, CASE WHEN event_type = 'raw' THEN message ELSE hostname END AS text FROM c WHERE NOT (event_type = 'raw' AND level = 'DEBUG')")
 def route_by_type(t):
+    """The rows of the four typed tables."""
+    out = None
+    for kind, df in N.route_by_type(classified(t)).items():
+        part = df.select(F.lit(kind).alias("event_type"), "event_id", F.col("message" if kind == "raw" else "hostname").alias("text"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("route_counts", f"WITH {NORM} SELECT event_type, count(*) AS cnt FROM c WHERE NOT (event_type = 'raw' AND level = 'DEBUG') GROUP BY 1")
+def route_counts(t):
     return N.route_counts(classified(t))
 
 
@@ -433,9 +443,11 @@ def retention_plan(t):
     return sinks.retention_plan(raw.unionByName(sec).distinct(), sinks.retention_policy(t.spark), AS_OF)
 
 
-@query("keyed_sink", """SELECT category AS key, count(*) AS messages FROM fx_security GROUP BY 1""")
+@query("keyed_sink", """SELECT category AS key, event_id, hostname, CAST(severity AS BIGINT) AS severity FROM fx_security""")
 def keyed_sink(t):
-    return sinks.keyed_messages(t.security, "category").groupBy("key").agg(F.count("value").alias("messages"))
+    """Keys and what the messages hold."""
+    sent = F.from_json("value", "event_id bigint, hostname string, severity bigint").alias("m")
+    return sinks.keyed_messages(t.security, "category").select("key", sent).select("key", "m.*")
 
 
 # ---- category maps ---------------------------------------------------------------------

@@ -20,13 +20,13 @@ from watchtide.streaming import metrics as TM, pipelines as P, rollups as TR
 T0 = f"TIMESTAMP '{AS_OF}'"
 
 
-@query("table_sink", "SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS event_date, count(*) AS cnt FROM fx_security GROUP BY 1")
+@query("table_sink", "SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS event_date, event_id, CAST(severity AS BIGINT) AS severity, category, hostname, user_id FROM fx_security")
 def table_sink(t):
     """Written twice under the same batch id, as after a retry: still once in the table."""
     where = place(t)
     for _ in range(2):
         sinks.write_table(t.security, where, "security_events", batch_id=0)
-    return t.spark.read.parquet(f"{where}/security_events").groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("cnt"))
+    return t.spark.read.parquet(f"{where}/security_events").select(F.col("event_date").cast("string").alias("event_date"), "event_id", "severity", "category", "hostname", "user_id")
 
 
 @query("log_file_source", "SELECT message AS value, count(*) AS cnt FROM fx_raw GROUP BY 1")
@@ -59,24 +59,24 @@ def ndjson_export(t):
     return readers.ndjson_source(t.spark, where, "event_id bigint, level string, source string")
 
 
-@query("kafka_events_source", "SELECT topic, count(*) AS cnt FROM fx_messages GROUP BY 1")
+@query("kafka_events_source", "SELECT topic, CAST(part AS BIGINT) AS part, pos, CAST(ingest_ts AS VARCHAR) AS ingest_ts, value FROM fx_messages")
 def kafka_events_source(t):
     """The source factory over files; the connector for a broker takes the same envelope."""
     where = place(t)
-    t.messages.select("topic", F.col("part").cast("int").alias("part"), "pos", "ingest_ts", "value").write.json(f"{where}/in")
+    t.messages.select("topic", F.col("part").cast("int").alias("part"), "pos", "ingest_ts", "value").write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{where}/in")
     s = readers.source_factory(t.spark, "json", path=f"{where}/in")
     s.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/offsets").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{where}/out").groupBy("topic").agg(F.count("*").alias("cnt"))
+    return t.spark.read.parquet(f"{where}/out").select("topic", "part", "pos", "ingest_ts", "value")
 
 
-@query("stream_micro_batch", "SELECT 'raw_logs' AS tbl, count(*) AS cnt FROM fx_messages WHERE json_valid(value)")
+@query("stream_micro_batch", "SELECT coalesce(json_extract_string(value, '$.message'), '') AS message, coalesce(json_extract_string(value, '$.level'), 'INFO') AS level, coalesce(json_extract_string(value, '$.source'), 'unknown') AS source FROM fx_messages WHERE json_valid(value)")
 def stream_micro_batch(t):
     """One file per micro-batch; the batches add up to the whole."""
     where = place(t)
     t.messages.select("topic", F.col("part").cast("int").alias("part"), "pos", "ingest_ts", "value").repartition(3).write.parquet(f"{where}/in")
     s = readers.source_factory(t.spark, "parquet", path=f"{where}/in", max_files=1)
     P.stream_ingest(s, f"{where}/out", f"{where}/offsets", {"raw-logs": "raw_logs"}).awaitTermination()
-    return t.spark.read.parquet(f"{where}/out/raw_logs").groupBy(F.lit("raw_logs").alias("tbl")).agg(F.count("*").alias("cnt"))
+    return t.spark.read.parquet(f"{where}/out/raw_logs").select("message", "level", "source")
 
 
 @query("late_data", """WITH l AS (SELECT max(timestamp) - INTERVAL 10 MINUTE AS m FROM fx_security WHERE event_id % 2 = 0)

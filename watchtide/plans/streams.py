@@ -113,11 +113,11 @@ def stream_event_routes(t):
     return t.spark.read.parquet(f"{where}/routed").select(*ROUTE_COLUMNS)
 
 
-@query("stream_triage", f"WITH {RESULTS} SELECT topic, action, count(*) AS cnt FROM (SELECT action, unnest(CASE WHEN action = 'escalate' THEN ['triage-scores', 'anomaly-alerts', 'hunter-tasks'] ELSE ['triage-scores'] END) AS topic FROM res) GROUP BY ALL")
+@query("stream_triage", f"WITH {RESULTS} SELECT event_id, action, round(adjusted_score, 6) AS adjusted_score, unnest(CASE WHEN action = 'escalate' THEN ['triage-scores', 'anomaly-alerts', 'hunter-tasks'] ELSE ['triage-scores'] END) AS topic FROM res")
 def stream_triage(t):
     where = place(t)
     P.stream_triage(stream(t).scores, lambda df: df, lambda: dims(t), f"{where}/out", f"{where}/offsets", lambda: AS_OF).awaitTermination()
-    return t.spark.read.parquet(f"{where}/out").groupBy("topic", "action").agg(F.count("*").alias("cnt"))
+    return t.spark.read.parquet(f"{where}/out").select("event_id", "action", "adjusted_score", "topic")
 
 
 @query("stream_investigation", f"WITH {JUDGED} SELECT finding_type, severity, count(*) AS cnt FROM jd GROUP BY ALL")

@@ -89,9 +89,9 @@ def ensemble_scores(t):
     return G.score_fusion(t.scores.withColumns({f"{m}_score": F.greatest(F.least(f"{m}_score", F.lit(1.0)), F.lit(0.0)) for m in G.WEIGHTS})).select("event_id", "combined_score")
 
 
-@query("score_router_sink", f"WITH {RESULTS} SELECT topic, count(*) AS cnt FROM (SELECT event_id, unnest(CASE WHEN action = 'escalate' THEN ['triage-scores', 'anomaly-alerts', 'hunter-tasks'] ELSE ['triage-scores'] END) AS topic FROM res) GROUP BY topic")
+@query("score_router_sink", f"WITH {RESULTS} SELECT event_id, action, round(adjusted_score, 6) AS adjusted_score, unnest(CASE WHEN action = 'escalate' THEN ['triage-scores', 'anomaly-alerts', 'hunter-tasks'] ELSE ['triage-scores'] END) AS topic FROM res")
 def score_router_sink(t):
-    return G.score_router(results(t)).groupBy("topic").agg(F.count("*").alias("cnt"))
+    return G.score_router(results(t)).select("event_id", "action", "adjusted_score", "topic")
 
 
 @query("pseudo_labels", "SELECT event_id, CAST(CASE WHEN lgbm_score >= 0.8 THEN 1 WHEN lgbm_score <= 0.2 THEN 0 ELSE -1 END AS BIGINT) AS pseudo_label FROM fx_scores")

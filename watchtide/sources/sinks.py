@@ -56,7 +56,8 @@ def report_export(df: DataFrame, path: str) -> None:
 
 
 def ndjson_export(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """JSON lines; times keep their microseconds."""
+    df.write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
 
 
 def proof_documents(anchors: DataFrame, leaves: int = 5) -> DataFrame:

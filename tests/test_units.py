@@ -424,3 +424,12 @@ def test_messages_are_written_with_keys(spark, tmp_path):
 def test_unknown_scorers_are_refused(spark):
     with pytest.raises(ValueError):
         G.score_events(spark.range(1), "nobody")
+
+
+def test_split_gives_each_stratum_its_share(spark):
+    rows = [(i, "a" if i % 50 else "b", None if i % 3 else 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, source string, label int")
+    train, test = E.train_test(df, ["id"], 0.25, strata=["source", "label"])
+    count = lambda d: {(r["source"], r["label"]): r["count"] for r in d.groupBy("source", "label").count().collect()}
+    whole, held, rest = count(df), count(test), count(train)
+    assert all(abs(held.get(k, 0) - n / 4) <= 1 and held.get(k, 0) + rest[k] == n for k, n in whole.items())

@@ -31,10 +31,19 @@ def holdout_split(df: DataFrame, training: DataFrame, key: list[str]) -> DataFra
     return df.join(training.select(*key).distinct(), key, "left_anti")
 
 
-def train_test(df: DataFrame, key: list[str], test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Split by hash, so each stratum is split in the same proportion and reruns agree."""
-    part = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(10_000)) < int(test_share * 10_000)
-    return df.where(~part), df.where(part)
+def train_test(df: DataFrame, key: list[str], test_share: float = 0.2, seed: int = 42, strata: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Split by the hash of the key, so reruns agree.
+
+    With ``strata`` each of them gives its exact share: the rows whose hash lies below the stratum's own percentile.
+    """
+    place = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 50)) / F.lit(float(1 << 50))
+    if not strata:
+        part = place < test_share
+        return df.where(~part), df.where(part)
+    placed = df.withColumns({"_place": place, "_stratum": F.to_json(F.struct(*strata))})
+    cut = exact_percentiles(placed, ["_stratum"], "_place", {"_cut": test_share})
+    marked = placed.join(cut, "_stratum").withColumn("_part", F.col("_place") < F.col("_cut"))
+    return tuple(marked.where(x).select(*df.columns) for x in (~F.col("_part"), F.col("_part")))
 
 
 def binary_metrics(df: DataFrame, score: str, label: str, thresholds: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:

@@ -190,6 +190,15 @@ def training_features(t: Tables):
     return cut_lineage(rows.withColumn("label", ((F.col("is_suspicious") == 1) | (F.col("dst_port") == 445)).cast("int")).select("event_id", "timestamp", *G.FEATURES, "label"))
 
 
+@query("stratified_split", "WITH s AS (SELECT event_type AS stratum, count(*) AS n FROM events GROUP BY 1) SELECT stratum, n, CAST(1 AS BIGINT) AS share_is_exact FROM s")
+def stratified_split(t):
+    """A fifth of each event type is held out, to the row."""
+    events = t.base("events")
+    train, test = E.train_test(events, ["event_id"], 0.2, strata=["event_type"])
+    counts = train.withColumn("test", F.lit(0)).unionByName(test.withColumn("test", F.lit(1))).groupBy(F.col("event_type").alias("stratum")).agg(F.count("*").alias("n"), F.sum("test").alias("held"))
+    return counts.select("stratum", "n", (F.abs(F.col("held") - F.col("n") * 0.2) <= 1).cast("int").alias("share_is_exact"))
+
+
 @query("train_supervised")
 def train_supervised(t):
     """Held-out metrics of boosted trees."""

@@ -129,6 +129,19 @@ def anchor_batches(leaf_rows: DataFrame, first: dict[str, str] | None = None, st
     return chained.join(kept, keys).select(batch_id.alias("batch_id"), "table_name", "time_from", "time_to", "event_count", "merkle_root", "merkle_depth", "leaf_hashes", F.lit("Anchored").alias("status"), "prev_merkle_root", F.lit("").alias("s3_key"))
 
 
+def anchor_new(tables: dict[str, DataFrame], anchors: DataFrame) -> DataFrame:
+    """Anchor rows for the events after the last anchored window of each table, chained to its last root.
+
+    A table without anchors starts at its first event. What is read from the anchors is one row per table.
+    """
+    last = {r["table_name"]: r for r in anchors.groupBy("table_name").agg(F.max("time_to").cast("string").alias("t"), F.max_by("merkle_root", "time_to").alias("root")).collect()}
+    rows = None
+    for table, events in tables.items():
+        part = leaves(events, table, after=last[table]["t"] if table in last else None)
+        rows = part if rows is None else rows.unionByName(part)
+    return anchor_batches(rows, {table: r["root"] for table, r in last.items()})
+
+
 def _batch_of(leaf: DataFrame, anchors: DataFrame) -> DataFrame:
     """Each event with the batch whose window holds it: an equality join on the minute, then the exact bounds."""
     batch = anchors.select(F.struct("batch_id", "time_from", "time_to").alias("b"))

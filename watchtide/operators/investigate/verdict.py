@@ -111,37 +111,33 @@ def _num(c: str) -> Column:
 
 
 def narrative() -> Column:
-    """Investigation notes: entity, trigger, signals for and against, kill chain, campaign, verdict."""
-    some = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
-    head = _fmt("INVESTIGATION: %s | src=%s | user=%s | triage=%.3f | verdict=%s | score=%.3f", F.col("hostname"), some("source_ip", "n/a"), some("user_id", "n/a"), _num("adjusted_score"), F.col("finding_type"), _num("hunter_score"))
-    hit_lines = F.transform("sigma_hits", lambda h: F.concat(F.lit("  [SIGMA] "), h["title"], F.lit(" (rule="), h["rule_id"], F.lit(", category="), h["category"], F.lit(", severity="), severity_word(h["severity"]), F.lit(")")))
-    fired_spc = F.when(F.col("spc_is_anomaly") == 1, _fmt("  [SPC] anomaly detected — z=%.2f (baseline μ=%.1f, σ=%.1f)", _num("spc_z_score"), _num("spc_baseline_mean"), _num("spc_baseline_stddev")))
-    reaches = (F.col("graph_unique_destinations") > 0) | (F.col("graph_has_ioc_neighbor") == 1)
-    parts = F.array_compact(F.array(
-        F.concat(F.lit("destinations="), F.col("graph_unique_destinations").cast("string")), F.concat(F.lit("hops="), F.col("graph_hop_count").cast("string")), F.when(F.col("graph_has_ioc_neighbor") == 1, "IOC_NEIGHBOR=YES"),
-        F.when(F.col("graph_lateral_movement_score") > 0, _fmt("lateral_mvmt=%.2f", _num("graph_lateral_movement_score"))), F.when(F.col("graph_c2_candidate_score") > 0, _fmt("c2_score=%.2f", _num("graph_c2_candidate_score"))),
-        F.when(F.col("graph_high_risk_neighbors") > 0, F.concat(F.lit("high_risk_neighbors="), F.col("graph_high_risk_neighbors").cast("string")))))
-    rises = F.col("temporal_escalation_count") > 0
-    temporal = F.when(rises, _fmt("  [TEMPORAL] %d escalation(s) across %d category(ies), tactic_diversity=%d, mean_score=%.3f", *[F.col(c).cast("bigint") for c in ("temporal_escalation_count", "temporal_unique_categories", "temporal_tactic_diversity")], _num("temporal_mean_score")))
+    """Plain notes on an alert: who and what, each signal that spoke up, those that did not, techniques, campaign and advice."""
+    c, num, whole = F.col, _num, lambda x: F.col(x).cast("bigint")
+    named = lambda x: F.coalesce(F.nullif(c(x), F.lit("")), F.lit("unknown"))
+    who = _fmt("%s on host %s (address %s, user %s): severity %s, %.3f after triage at %.3f.", c("finding_type"), c("hostname"), named("source_ip"), named("user_id"), c("severity"), num("hunter_score"), num("adjusted_score"))
+    what = F.when(c("message") != "", _fmt("The %s event says: %s", c("source_type"), c("message")))
+    rules = F.transform("sigma_hits", lambda h: F.concat(F.lit("- rule "), h["rule_id"], F.lit(", "), severity_word(h["severity"]), F.lit(" ("), h["category"], F.lit("): "), h["title"]))
     ids = F.coalesce("related_alert_ids", F.array().cast("array<bigint>"))
-    related = F.when(rises & (F.size(ids) > 0), F.concat(F.lit("  [TEMPORAL] related_alerts: ["), F.array_join(ids.cast("array<string>"), ", "), F.lit("]")))
-    alike = F.col("similarity_confirmed_neighbor_count") > 0
-    similar = F.when(alike, _fmt("  [SIMILARITY] %d confirmed-attack neighbour(s), min_dist=%.3f, label_confidence=%.2f", F.col("similarity_confirmed_neighbor_count").cast("bigint"), _num("similarity_min_confirmed_dist"), _num("similarity_label_confidence")))
-    moderated = F.when(F.col("similarity_false_positive_count") > 0, F.concat(F.lit("  [SIMILARITY] "), F.col("similarity_false_positive_count").cast("int").cast("string"), F.lit(" false-positive neighbour(s) — score moderated")))
-    fired = F.concat(hit_lines, F.array_compact(F.array(
-        fired_spc, F.when(reaches, F.concat(F.lit("  [GRAPH] "), F.array_join(parts, ", "))), temporal, related, similar, moderated, _fmt("  [ML] %s=%.3f", F.col("model_used"), _num("hunter_score")))))
-    against = F.array_compact(F.array(
-        F.when(F.size("sigma_hits") == 0, "  [SIGMA] 0 hits — no signature match"), F.when(F.col("spc_is_anomaly") == 0, _fmt("  [SPC] no baseline deviation (z=%.2f)", _num("spc_z_score"))),
-        F.when(~reaches, "  [GRAPH] no network neighbours, no IOC links, lateral_movement=0.0"), F.when(~rises, "  [TEMPORAL] 0 escalations in window"), F.when(~alike, "  [SIMILARITY] no confirmed-attack neighbours")))
-    chain = F.when(F.col("mitre_match_count") > 0, F.concat(
-        F.lit("KILL CHAIN:\n  tactics ("), F.size("mitre_tactics").cast("string"), F.lit("):    "), F.array_join("mitre_tactics", " → "),
-        F.lit("\n  techniques ("), F.size("mitre_techniques").cast("string"), F.lit("): "), F.array_join("mitre_techniques", ", "), F.lit("\n")))
-    hosts = F.when(F.size("related_hosts") > 0, F.concat(F.lit("\n  related_hosts: ["), F.array_join("related_hosts", ", "), F.lit("]"))).otherwise("")
-    campaign = F.when(F.col("is_campaign") == 1, F.concat(F.lit("CAMPAIGN DETECTED:\n  id="), F.col("campaign_id"), F.lit("  hosts="), F.col("campaign_host_count").cast("string"), F.lit("  tactics="), F.col("campaign_tactic_count").cast("string"), hosts, F.lit("\n")))
-    end = _fmt("VERDICT: %s (%.3f) | severity=%s | action=%s", F.col("finding_type"), _num("hunter_score"), F.col("severity"), F.coalesce(lookup(F.col("finding_type"), ACTION_HINT), F.lit("investigate further")))
+    connected = (c("graph_unique_destinations") > 0) | (c("graph_has_ioc_neighbor") == 1)
+    rising, alike, unusual = c("temporal_escalation_count") > 0, c("similarity_confirmed_neighbor_count") > 0, c("spc_is_anomaly") == 1
+    network = F.concat(
+        _fmt("- network: %d destinations over %d hosts", whole("graph_unique_destinations"), whole("graph_hop_count")), F.when(c("graph_has_ioc_neighbor") == 1, ", an indicator among them").otherwise(""),
+        F.when(c("graph_lateral_movement_score") > 0, _fmt(", lateral movement %.2f", num("graph_lateral_movement_score"))).otherwise(""), F.when(c("graph_c2_candidate_score") > 0, _fmt(", command channel %.2f", num("graph_c2_candidate_score"))).otherwise(""),
+        F.when(c("graph_high_risk_neighbors") > 0, _fmt(", %d risky neighbours", whole("graph_high_risk_neighbors"))).otherwise(""))
+    earlier = F.concat(
+        _fmt("- time: %d higher alerts before, of %d kinds and %d tactics, mean %.3f", whole("temporal_escalation_count"), whole("temporal_unique_categories"), whole("temporal_tactic_diversity"), num("temporal_mean_score")),
+        F.when(F.size(ids) > 0, F.concat(F.lit("; related: "), F.array_join(ids.cast("array<string>"), ", "))).otherwise(""))
+    signals = F.concat(rules, F.array_compact(F.array(
+        F.when(unusual, _fmt("- rate: %.2f deviations from a mean of %.1f a minute (deviation %.1f)", num("spc_z_score"), num("spc_baseline_mean"), num("spc_baseline_stddev"))), F.when(connected, network), F.when(rising, earlier),
+        F.when(alike, _fmt("- likeness: %d confirmed attacks nearby, the nearest at %.3f, labels agree to %.2f", whole("similarity_confirmed_neighbor_count"), num("similarity_min_confirmed_dist"), num("similarity_label_confidence"))),
+        F.when(c("similarity_false_positive_count") > 0, _fmt("- likeness: %d false alarms nearby lower the score", whole("similarity_false_positive_count"))))))
+    silent = F.array_compact(F.array(F.when(F.size("sigma_hits") == 0, "rules"), F.when(~unusual, "rate"), F.when(~connected, "network"), F.when(~rising, "time"), F.when(~alike, "likeness")))
+    techniques = F.when(c("mitre_match_count") > 0, F.concat(F.lit("Techniques "), F.array_join("mitre_techniques", ", "), F.lit(" in "), F.array_join("mitre_tactics", ", "), F.lit(".")))
+    campaign = F.when(c("is_campaign") == 1, F.concat(
+        F.lit("Campaign "), c("campaign_id"), _fmt(": %d hosts, %d tactics", whole("campaign_host_count"), whole("campaign_tactic_count")), F.when(F.size("related_hosts") > 0, F.concat(F.lit("; "), F.array_join("related_hosts", ", "))).otherwise(""), F.lit(".")))
     return F.concat_ws(
-        "\n", head, F.lit(""), F.lit("TRIGGER:"), _fmt("  source_type=%s  triage_score=%.3f", F.col("source_type"), _num("adjusted_score")), F.when(F.col("message") != "", F.concat(F.lit("  message: "), F.col("message"))), F.lit(""),
-        F.lit("SIGNALS FIRED:"), F.array_join(fired, "\n"), F.lit(""), F.when(F.size(against) > 0, F.concat(F.lit("SIGNALS NEGATIVE:\n"), F.array_join(against, "\n"), F.lit("\n"))), chain, campaign, end)
+        "\n", who, what, F.when(F.size(signals) > 0, F.concat(F.lit("Signals:\n"), F.array_join(signals, "\n"))), F.when(F.size(silent) > 0, F.concat(F.lit("Nothing from: "), F.array_join(silent, ", "), F.lit("."))), techniques, campaign,
+        _fmt("Scored by %s. Advice: %s.", c("model_used"), F.coalesce(lookup(c("finding_type"), ACTION_HINT), F.lit("look into it"))))
 
 
 def judge(signals: DataFrame, score: Column | None = None, model: str = "heuristic") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 U = np.uint64
 #: Bytes of text that one vectorised step handles; a longer single text is one step of its own.
-STEP = 4 << 20
+STEP = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -230,6 +230,24 @@ def train_verdict_model(t):
     return fitted.join(M.score_with_model(rows).select("event_id", F.col("hunter_score").alias("heuristic")), "event_id")
 
 
+@query("model_gates", """SELECT 'supervised model passes its gate' AS name, CAST(1 AS BIGINT) AS holds UNION ALL SELECT 'isolation scores of flagged rows are higher', 1 UNION ALL SELECT 'streaming scores of all rows within 0 and 1', count(*) FROM fx_network
+ UNION ALL SELECT 'verdict scores of all rows within 0 and 1', count(*) FROM fx_scores UNION ALL SELECT 'four copies of every row, scores within 0 and 1', 4 * count(*) FROM fx_scores""")
+def model_gates(t):
+    """What must hold of trained models and random copies, whatever their numbers."""
+    inside = lambda c: (F.col(c) >= 0) & (F.col(c) <= 1)
+    fact = lambda df, name, holds: df.agg(F.lit(name).alias("name"), holds.cast("bigint").alias("holds"))
+    mean = lambda y: F.max(F.when(F.col("label") == y, F.col("mean_score")))
+    parts = [
+        fact(train_supervised(t), "supervised model passes its gate", F.min("passed")), fact(train_isolation_forest(t), "isolation scores of flagged rows are higher", mean(1) > mean(0)),
+        fact(refit_streaming_model(t), "streaming scores of all rows within 0 and 1", F.count_if(inside("arf_score"))), fact(train_verdict_model(t), "verdict scores of all rows within 0 and 1", F.count_if(inside("model_score"))),
+        fact(augment_rows(t), "four copies of every row, scores within 0 and 1", F.count_if(inside("adjusted_score") & F.col("copy").between(1, 4))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # ---- dataset harmonisation -------------------------------------------------------------
 
 

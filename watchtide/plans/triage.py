@@ -83,7 +83,7 @@ def calibrated_sigmoid(t):
     return t.scores.select("event_id", G.calibrated_sigmoid("eif_score", 0.393821, 0.05784).alias("score"), G.calibrated_sigmoid("eif_score", 0.393821, 0.05784, flip=True).alias("flipped"))
 
 
-@query("ensemble_scores")
+@query("ensemble_scores", "SELECT event_id, round(0.6 * greatest(least(lgbm_score, 1), 0) + 0.15 * greatest(least(eif_score, 1), 0) + 0.25 * greatest(least(arf_score, 1), 0), 6)::DOUBLE AS combined_score FROM fx_scores")
 def ensemble_scores(t):
     """Three model columns from the fixture, clipped and fused; trained models are in the model plans."""
     return G.score_fusion(t.scores.withColumns({f"{m}_score": F.greatest(F.least(f"{m}_score", F.lit(1.0)), F.lit(0.0)) for m in G.WEIGHTS})).select("event_id", "combined_score")

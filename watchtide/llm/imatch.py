@@ -19,9 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from watchtide.llm.text import U, Words, as_bytes, mix, pick, steps
+from watchtide.llm.text import STEP, U, Words, as_bytes, mix, pick, steps
 
 #: Shares of all documents in which a kept term occurs.
 LOW, HIGH = 0.0005, 0.1
@@ -142,7 +143,7 @@ def fingerprints(docs: DataFrame, lexicon: np.ndarray) -> DataFrame:
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """(part, spare, place, tie, doc_id, text): descending doc_id within each part, parts in order too.
+    """(part, spare, place, tie, doc_id, packed): descending doc_id within each part, parts in order too; texts are compressed on the way.
 
     The first row of each part is there a second time, as the spare last row of the part before, so that every row's
     follower is in its own part; the last part's spare is the first row of all. Null doc_ids come last; equal ones go by text.
@@ -159,7 +160,15 @@ def in_order(docs: DataFrame) -> DataFrame:
         spare = F.when((F.col("part") == r["part"]) & (F.col("place") == r["top"]["place"]) & (F.col("tie") == r["top"]["tie"]), F.lit(before[r["part"]])).otherwise(spare)
     copies = F.filter(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("spare")), F.struct(spare.alias("part"), F.lit(1).alias("spare"))), lambda x: x["part"].isNotNull())
     both = rows.select(F.explode(copies).alias("to"), "place", "tie", "doc_id", "text").select("to.part", "to.spare", "place", "tie", "doc_id", "text")
-    return both.repartition(n, "part").sortWithinPartitions("part", "spare", F.desc("place"), F.desc("tie"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=6).compress
+        for batch in steps(batches):
+            packed = [None if t is None else press(t.encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(packed, pa.binary())], names=[*batch.schema.names[:5], "packed"])
+
+    small = both.mapInArrow(pack, "part int, spare int, place long, tie long, doc_id long, packed binary")
+    return small.repartition(n, "part").sortWithinPartitions("part", "spare", F.desc("place"), F.desc("tie"))
 
 
 def edited(docs: DataFrame, lexicon: np.ndarray) -> DataFrame:
@@ -184,20 +193,24 @@ def edited(docs: DataFrame, lexicon: np.ndarray) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ids, texts, over = None, [], [], False
-        for batch in steps(batches, limit=1 << 20):
-            for at, spare, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "spare", "doc_id", "text"))):
-                if at != part:
-                    part, ids, texts, over = at, [], [], False
+        part, ids, texts, held, over = None, [], [], 0, False
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at, spare, doc_id, packed in zip(*(batch.column(c) for c in ("part", "spare", "doc_id", "packed"))):
+                if at.as_py() != part:
+                    part, ids, texts, held, over = at.as_py(), [], [], 0, False
                 if over:  # equal first rows give equal spares
                     continue
-                over = bool(spare)
-                ids.append(doc_id)
-                texts.append(text or "")
-                if over:
+                over = bool(spare.as_py())
+                text = unpack(packed.as_py()).decode() if packed.is_valid else ""
+                ids.append(doc_id.as_py())
+                texts.append(text)
+                held += len(text)
+                if over or held > STEP and len(texts) > 1:  # the last text waits for its follower
                     yield result(ids, texts)
+                    ids, texts, held = ids[-1:], texts[-1:], len(text)
             if not over and len(texts) > 1:
                 yield result(ids, texts)
-                ids, texts = ids[-1:], texts[-1:]
+                ids, texts, held = ids[-1:], texts[-1:], len(texts[-1])
 
     return in_order(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -197,7 +197,7 @@ def test_ann_recall(spark):
     x = (centres[rng.integers(0, 6, 300)] + rng.normal(size=(300, 8))).astype("float32")
     df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(300)], "vec_id long, embedding array<float>")
     exact = {(r["query_id"], r["id"]) for r in Q.knn_join(df, df, 5, "vec_id", "vec_id").collect()}
-    found = {(r["query_id"], r["id"]) for r in Q.ann_search(df, df, 5, "vec_id", "vec_id", lists=6, probes=3).collect()}
+    found = {(r["query_id"], r["id"]) for r in Q.ann_search(df, df, 5, "vec_id", "vec_id", share=0.5).collect()}
     assert len(exact & found) / len(exact) > 0.9
 
 

@@ -183,7 +183,8 @@ def _higher_scores(alerts: DataFrame, scored: DataFrame, span: int, ts: str) ->
     value = F.least(F.ceil(F.round(F.col("adjusted_score") * 10_000, 6)), F.lit(16_383)).cast("int")
     trigger = F.round(F.col("adjusted_score") * 10_000).cast("int")
     levels = F.sequence(F.lit(0), F.lit(_LEVELS - 1))
-    facts = scored.select(*keys, ts, value.alias("_v")).select(*keys, ts, "_v", F.explode(levels).alias("_l"))
+    least = alerts.agg(F.min("adjusted_score").alias("_least"))  # one row: only scores above the lowest alert can count
+    facts = scored.crossJoin(F.broadcast(least)).where(F.col("adjusted_score") > F.col("_least")).select(*keys, ts, value.alias("_v")).select(*keys, ts, "_v", F.explode(levels).alias("_l"))
     facts = facts.select(*keys, ts, "_l", F.expr("shiftright(_v, _l)").alias("_n"))
     asks = alerts.select("event_id", *keys, ts, trigger.alias("_k")).select("event_id", *keys, ts, "_k", F.explode(levels).alias("_l"))
     asks = asks.where(F.expr("shiftright(_k, _l) % 2 = 0")).select("event_id", *keys, ts, "_l", F.expr("shiftright(_k, _l) + 1").alias("_n"))

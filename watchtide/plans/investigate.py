@@ -10,6 +10,7 @@ from watchtide.operators.investigate.run import gather_signals
 from watchtide.plans.registry import query
 from watchtide.plans.triage import RESULTS, rnd
 from watchtide.plans.reports import ACTIONS, actions
+from watchtide.session import cut_lineage
 from watchtide.sources.views import AS_OF, Tables
 
 T0 = f"TIMESTAMP '{AS_OF}'"
@@ -22,6 +23,14 @@ def scored(t: Tables):
     return full.join(t.scores.select("event_id", "message"), "event_id")
 
 
+FACTS = ["event_id", "hostname", "source_ip", "user_id", "timestamp", "adjusted_score", "source_type", "mitre_tactic", "action", "ioc_match"]
+
+
+def facts(t: Tables):
+    """The few columns of the scores that windows read several times, written once for the query at hand."""
+    return cut_lineage(scored(t).select(*FACTS))
+
+
 def network(t: Tables):
     return t.network
 
@@ -110,13 +119,15 @@ def spc_evaluate(t):
  FROM alerts a JOIN res f ON f.hostname = a.hostname AND (f.source_ip = a.source_ip OR f.user_id = a.user_id) AND {IN_WINDOW})
 SELECT event_id, count(*) FILTER (same_ip AND fs > round(as_, 4) + 1e-9) AS temporal_escalation_count, count(DISTINCT source_type) AS temporal_unique_categories, count(DISTINCT mitre_tactic) AS temporal_tactic_diversity, round(sum(sc)::DOUBLE / count(*) / 1000000, 6) AS temporal_mean_score FROM j GROUP BY event_id""")
 def temporal_correlation(t):
-    return S.temporal_correlation(alerts(t), scored(t)).select("event_id", "temporal_escalation_count", "temporal_unique_categories", "temporal_tactic_diversity", "temporal_mean_score")
+    f = facts(t)
+    return S.temporal_correlation(S.investigation_gate(f), f).select("event_id", "temporal_escalation_count", "temporal_unique_categories", "temporal_tactic_diversity", "temporal_mean_score")
 
 
 @query("related_alerts", f"""WITH {ALERTS}, j AS (SELECT a.event_id, f.event_id AS fid, row_number() OVER (PARTITION BY a.event_id ORDER BY f.timestamp DESC, f.event_id DESC) AS rn
  FROM alerts a JOIN res f ON f.hostname = a.hostname AND (f.source_ip = a.source_ip OR f.user_id = a.user_id) AND {IN_WINDOW}) SELECT event_id, string_agg(fid, '|' ORDER BY rn) AS related_alert_ids FROM j WHERE rn <= 50 GROUP BY event_id""")
 def related_alerts(t):
-    return S.temporal_correlation(alerts(t), scored(t)).select("event_id", "related_alert_ids")
+    f = facts(t)
+    return S.temporal_correlation(S.investigation_gate(f), f).select("event_id", "related_alert_ids")
 
 
 GRAPH_NOISE = 1200
@@ -131,7 +142,8 @@ gr AS (SELECT *, CASE WHEN ioc OR NOT noise THEN d0 ELSE 0 END AS d FROM g)"""
 @query("graph_features", f"""WITH {GRAPH} SELECT event_id, CAST(d AS BIGINT) AS graph_unique_destinations, srcs AS graph_unique_src_ips, CAST(ioc AS BIGINT) AS graph_has_ioc_neighbor, hops AS graph_hop_count, hr AS graph_high_risk_neighbors, esc AS graph_escalation_count,
  least(1.0, hops / 10.0::DOUBLE)::DOUBLE AS graph_lateral_movement_score, CASE WHEN d >= 3 AND hops >= 2 THEN least(1.0, d / 10.0::DOUBLE * (1 + ioc::INT)) ELSE 0 END::DOUBLE AS graph_c2_candidate_score FROM gr""")
 def graph_features(t):
-    return S.graph_features(alerts(t), network(t), scored(t), t.iocs, AS_OF, noisy_limit=GRAPH_NOISE).select("event_id", *[c for c in V.FEATURE_ORDER if c.startswith("graph_")])
+    f = facts(t)
+    return S.graph_features(S.investigation_gate(f), network(t), f, t.iocs, AS_OF, noisy_limit=GRAPH_NOISE).select("event_id", *[c for c in V.FEATURE_ORDER if c.startswith("graph_")])
 
 
 # ---- mapping and campaigns -------------------------------------------------------------
@@ -173,12 +185,14 @@ cp AS (SELECT a.event_id, any_value(a.source_ip) AS ip, count(DISTINCT f.hostnam
 
 @query("campaign_detection", f"WITH {CAMPAIGN} SELECT a.event_id, coalesce(hosts, 0) AS campaign_host_count, coalesce(tactics, 0) AS campaign_tactic_count, CAST(coalesce(hosts, 0) >= 2 AND coalesce(tactics, 0) >= 2 AS BIGINT) AS is_campaign FROM alerts a LEFT JOIN cp USING (event_id)")
 def campaign_detection(t):
-    return S.campaign_detection(alerts(t), scored(t), network(t)).select("event_id", "campaign_host_count", "campaign_tactic_count", "is_campaign")
+    f = facts(t)
+    return S.campaign_detection(S.investigation_gate(f), f, network(t)).select("event_id", "campaign_host_count", "campaign_tactic_count", "is_campaign")
 
 
 @query("campaign_hosts", f"""WITH {CAMPAIGN}, rh AS (SELECT a.event_id, f.hostname AS h FROM alerts a JOIN cp ON cp.event_id = a.event_id AND cp.hosts >= 2 AND cp.tactics >= 2 JOIN res f ON f.source_ip = a.source_ip AND {IN_WINDOW} GROUP BY ALL) SELECT event_id, string_agg(h, '|' ORDER BY h) AS related_hosts FROM rh GROUP BY event_id""")
 def campaign_hosts(t):
-    return S.campaign_detection(alerts(t), scored(t), network(t)).where("is_campaign = 1").select("event_id", "related_hosts")
+    f = facts(t)
+    return S.campaign_detection(S.investigation_gate(f), f, network(t)).where("is_campaign = 1").select("event_id", "related_hosts")
 
 
 @query("merge_ids", "SELECT conv_id, array_to_string(list_sort(list_distinct(list_concat(a, b))), '|') AS merged FROM (SELECT conv_id, list(role) AS a, list(CAST(turn AS VARCHAR)) AS b FROM conversations GROUP BY conv_id)")
@@ -192,7 +206,7 @@ def merge_ids(t):
 
 def all_signals(t: Tables):
     """Alerts with every signal."""
-    return gather_signals(alerts(t), network(t), scored(t), actions(t), t.iocs, AS_OF, RULES, baseline_hours=720, noisy_limit=GRAPH_NOISE)
+    return gather_signals(cut_lineage(alerts(t)), network(t), facts(t), actions(t), t.iocs, AS_OF, RULES, baseline_hours=720, noisy_limit=GRAPH_NOISE)
 
 
 # every signal of every alert, and the 42 features in their order

@@ -433,3 +433,24 @@ def test_split_gives_each_stratum_its_share(spark):
     count = lambda d: {(r["source"], r["label"]): r["count"] for r in d.groupBy("source", "label").count().collect()}
     whole, held, rest = count(df), count(test), count(train)
     assert all(abs(held.get(k, 0) - n / 4) <= 1 and held.get(k, 0) + rest[k] == n for k, n in whole.items())
+
+
+def test_ids_with_a_common_beginning_fall_into_many_segments(spark):
+    df = spark.range(20_000).select((F.col("id") + 10_000_000_000).cast("string").alias("event_id"))
+    sizes = [r["count"] for r in df.groupBy(T.text_segments(df, "event_id").alias("s")).count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 20_000 * 0.03
+    ranked = T.segment_rank(df.withColumn("k", F.lit(1)), ["k"], ["event_id"], T.text_segments(df, "event_id"))
+    assert ranked.where(F.col("rn") != F.col("event_id").cast("long") - 9_999_999_999).count() == 0
+
+
+def test_leading_wildcards_do_not_share_one_key(spark):
+    names = spark.createDataFrame([(f"srv{i}-{w}-x",) for i in range(300) for w in ("alpha", "beta", "gamma")] + [("zz",)], "hostname string")
+    rules = spark.createDataFrame([(f"%{w}%", float(k)) for k, w in enumerate(("alpha", "gamma", "none"))] + [(f"srv{i}-%", 100.0 + i) for i in range(0, 300, 7)] + [("%z", 7.0)], "hostname_pattern string, multiplier double")
+    got = {r["hostname"]: r["asset_multiplier"] for r in J.asset_multipliers(names, rules).collect()}
+    want = {}
+    for i in range(300):
+        for w in ("alpha", "beta", "gamma"):
+            hits = [(p, m) for p, m in [("%alpha%", 0.0), ("%gamma%", 1.0)] if p.strip("%") in w] + ([(f"srv{i}-%", 100.0 + i)] if i % 7 == 0 else [])
+            if hits:
+                want[f"srv{i}-{w}-x"] = min(hits)[1]
+    assert got == {**want, "zz": 7.0}

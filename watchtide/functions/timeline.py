@@ -116,8 +116,16 @@ def text_segments(df: DataFrame, column: str, parts: int = 128, sample: int = 40
     rows = df.select(F.col(column).cast("string").alias("x")).where("x IS NOT NULL").orderBy(F.xxhash64("x")).limit(sample).collect()
     some = sorted({r["x"] for r in rows}, key=lambda x: x.encode())
     cuts = [some[len(some) * k // parts] for k in range(1, parts)] if some else []
-    bounds = F.array(*[F.lit(x) for x in dict.fromkeys(cuts)]) if cuts else F.array().cast("array<string>")
-    return F.size(F.filter(bounds, lambda x: x <= F.col(column).cast("string")))
+    cuts, text = list(dict.fromkeys(cuts)), F.col(column).cast("string")
+
+    def between(lo: int, hi: int) -> Column:
+        """How many of the cuts lie at or before the text, by halving."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(text < cuts[mid], between(lo, mid)).otherwise(between(mid + 1, hi))
+
+    return between(0, len(cuts))
 
 
 def last_n(ranked: DataFrame, keys: Sequence[str], n: int, measures: dict[str, Callable], rank: str = "rn", chunk: int = 10_000) -> DataFrame:

@@ -87,3 +87,22 @@ def test_text_repeated_on_nearly_all_pages_is_template(spark, prose):
     assert all("Sign up" not in got[i] and len(got[i].split()) == 20 for i in range(12))
     few = dict(extracted(spark, rows[:4]))
     assert all(t.startswith("Sign up") for t in few.values())
+
+
+def test_copies_of_a_page_are_not_a_template(spark, prose):
+    rnd, make = prose(13)
+
+    def raw(x, y=""):
+        return f"<body><nav>{make(2)}</nav><article><h1>{x[0]}</h1><p>{x[1]}</p></article><!-- {y} --></body>"
+
+    a, b, c = [(make(3), make(30)) for _ in range(3)]
+    one = raw(a)
+    rows = [(i, f"http://h/{i}", one) for i in range(18)] + [(18, "http://h/18", raw(b)), (19, "http://h/19", raw(c))]  # equal pages, 90 % of the host
+    rows += [(20 + i, f"http://i/{i}", raw(a, i)) for i in range(12)]  # different pages with the same article
+    rows += [(40 + i, f"http://j/{i}", one) for i in range(7)] + [(50 + i, f"http://k/{i}", one) for i in range(8)]  # on both sides of PAGES
+    got = dict(extracted(spark, rows))
+    want = {r[0]: "\n".join(b if r[0] == 18 else c if r[0] == 19 else a) for r in rows}
+    assert got == want
+    counted = {r["host"]: r["pages"] for r in H.tokens(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).where("token = 0").collect()}
+    assert counted == {"h": 3, "i": 12, "j": 1, "k": 1}
+    assert {r["host"]: r["pages"] for r in H.tokens(spark.createDataFrame([(1, "http://l/", None), (2, "http://l/x", ""), (3, "http://l/y", "<p>z")], "page_id long, url string, html string")).where("token = 0").collect()} == {"l": 2}

@@ -7,12 +7,13 @@ their tokens are slots. The slots of the template's main element (an article, or
 the text) are extracted, without parts whose element, role, class or id says that they are menus, adverts, comments and the like.
 
 Vectors are never collected: each page adds a number made from itself and its count, so equal sums mean
-equal vectors, and hosts of any size are sums with partial aggregation. Pages are not shuffled unless the
-templates of all hosts are too large to be broadcast.
+equal vectors, and hosts of any size are sums with partial aggregation. Pages are not shuffled, apart from those that a
+host has more than once, unless the templates of all hosts, or the list of such pages, are too large to be broadcast.
 
 Defined cases: a null or empty page has no text; a page without the template's main element, or of a host without
-a template, is read by the same rules on its own; a null url is the host of its own name; repeated rows are
-separate pages; a tag that the page ends in is dropped; an empty table gives no rows.
+a template, is read by the same rules on its own; a null url is the host of its own name; equal
+pages of one host count once towards its template, and each has its text; template text that would leave nothing of a
+main element stays; a tag that the page ends in is dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -224,25 +225,35 @@ def main_text(page: Page, main: str | None, repeated: frozenset[int] = frozenset
     inside = []
     for e in page.elements:  # parents come before children
         inside.append(e.path == main or e.above >= 0 and inside[e.above])
-    out = []
-    for b in page.blocks:
-        e = page.elements[b.at]
-        if inside[b.at] and not e.aside and not (repeated and number(f"{e.path}\n{b.text}") in repeated):
-            out.append(b.text)
-    return "\n".join(out)
+    shown = [b for b in page.blocks if inside[b.at] and not page.elements[b.at].aside]
+    own = [b for b in shown if number(f"{page.elements[b.at].path}\n{b.text}") not in repeated] if repeated else shown
+    return "\n".join(b.text for b in own or shown)
 
 
 def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def distinct(pages: DataFrame) -> DataFrame:
+    """(host, html): the different pages of each host. Only pages that a host has more than once are shuffled, after each task has put its own together."""
+    rows = pick(pages, url="string", html="string").select(host_of("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.md5("html"))
+    copied = cut_lineage(rows.groupBy("host", "digest").agg(F.count("*").alias("n")).where("n > 1").select("host", "digest"))
+    size = copied.agg(F.sum(F.lit(96) + F.octet_length("host"))).first()[0]
+    if size is None:
+        return rows.select("host", "html")
+    if size <= BROADCAST_BYTES:
+        copied = F.broadcast(copied)
+    once = rows.join(copied, ["host", "digest"], "left_semi").groupBy("host", "digest").agg(F.any_value("html").alias("html"))
+    return rows.join(copied, ["host", "digest"], "left_anti").unionByName(once).select("host", "html")
+
+
 _TOKENS = pa.schema([("host", pa.string()), ("token", pa.int64()), ("path", pa.string()), ("said", pa.bool_()), *[(c, pa.int64()) for c in ("pages", "total", "low", "high", "chars")]])
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, path, said, pages, total, low, high, chars): occurrence vectors, summed up.
+    """(host, token, path, said, pages, total, low, high, chars): occurrence vectors over a host's different pages, summed up.
 
-    `path` is null for text runs. Equal (pages, low, high) mean the same vector. Token 0 counts the host's pages.
+    `path` is null for text runs. Equal (pages, low, high) mean the same vector. Token 0 counts the host's different pages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,9 +266,9 @@ def tokens(pages: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_TOKENS)], schema=_TOKENS)
 
         for batch in steps(batches, "html"):
-            for page_id, host, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "host", "html"))):
-                page = parse(html or "", known)
-                own = number(f"{page_id}\n{html}")
+            for host, html in zip(*(batch.column(c).to_pylist() for c in ("host", "html"))):
+                page = parse(html, known)
+                own = number(html)
                 counts: dict[int, list] = {0: [None, False, 1, 0]}
                 for e in page.elements[1:]:
                     if not e.aside:
@@ -279,8 +290,7 @@ def tokens(pages: DataFrame) -> DataFrame:
         if held:
             yield put()
 
-    rows = pick(pages, page_id="string", url="string", html="string").withColumn("host", host_of("url"))
-    found = rows.mapInArrow(run, "host string, token long, path string, said boolean, pages long, total long, low long, high long, chars long")
+    found = distinct(pages).mapInArrow(run, "host string, token long, path string, said boolean, pages long, total long, low long, high long, chars long")
     return found.groupBy("host", "token").agg(F.max("path").alias("path"), F.max("said").alias("said"), *[F.sum(c).alias(c) for c in ("pages", "total", "low", "high", "chars")])
 
 

@@ -106,3 +106,29 @@ def test_copies_of_a_page_are_not_a_template(spark, prose):
     counted = {r["host"]: r["pages"] for r in H.tokens(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).where("token = 0").collect()}
     assert counted == {"h": 3, "i": 12, "j": 1, "k": 1}
     assert {r["host"]: r["pages"] for r in H.tokens(spark.createDataFrame([(1, "http://l/", None), (2, "http://l/x", ""), (3, "http://l/y", "<p>z")], "page_id long, url string, html string")).where("token = 0").collect()} == {"l": 2}
+
+
+def test_templates_that_only_some_pages_of_a_host_have(spark, prose):
+    rnd, make = prose(14)
+    forms = [
+        '<body><div class="line">Welcome to the first part</div><div class="alpha"><h1>{t}</h1><p>{b}</p><p class="who">Written by our team</p></div><div class="low">All of it since 1999</div></body>',
+        '<body><div class="line">The second part says hello</div><div class="beta"><div class="txt"><h1>{t}</h1><p>{b}</p><p>{b}</p></div></div><div class="low">Back to the start</div></body>',
+        '<body><div class="line">Third</div><main><h1>{t}</h1><p>{b}</p></main></body>',
+    ]
+    rows, want = [], {}
+    for i in range(36):
+        t, b = make(3), make(30)
+        rows.append((i, f"http://h/{i}", forms[i % 3].format(t=t, b=b)))
+        want[i] = "\n".join([t, b, b] if i % 3 == 1 else [t, b])
+    for i in range(100, 130):  # one template; an element on some pages is a part of its main element, also if it holds most
+        t, b = make(3), make(4)
+        part = make(40) if i % 3 == 0 else ""
+        rows.append((i, f"http://i/{i}", f'<body><div class="all"><h1>{t}</h1><p>{b}</p>' + (f'<div class="long">{part}</div>' if part else "") + "</div></body>"))
+        want[i] = "\n".join(x for x in (t, b, part) if x)
+    t, b = make(3), make(30)
+    for i in range(200, 230):  # ten pages are alike but for a date
+        mine = (t, b) if i % 3 == 0 else (make(3), make(30))
+        rows.append((i, f"http://j/{i}", f'<body><div class="all {"topic" if i % 3 == 0 else "rest"}"><h1>{mine[0]}</h1><p>{mine[1]}</p><p>{i}</p></div></body>'))
+        want[i] = "\n".join([*mine, str(i)])
+    got = dict(extracted(spark, rows))
+    assert {i: got[i] for i in want if got[i] != want[i]} == {}

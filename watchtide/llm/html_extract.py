@@ -2,9 +2,11 @@
 
 A page's tokens are its structural elements, told apart by their path, and its text runs, by path and text. A token's
 occurrence vector says how often each page of the host has it. Tokens of one host with the same vector are one equivalence
-class; classes that nearly all pages share are the template, nested by their paths, and what lies between
-their tokens are slots. The slots of the template's main element (an article, or else the deepest that holds most of
-the text) are extracted, without parts whose element, role, class or id says that they are menus, adverts, comments and the like.
+class. Tokens that nearly all pages share are the host's template; further classes that hold an element are templates
+of the pages that carry them, so that a host can have several. A text run is template if it is in such a class, or on nearly
+all pages that have its element; what else lies in a template's main element (an article, or else the deepest that
+holds most of the text) are slots. Slots are extracted, without parts whose element, role, class or id says that
+they are menus, adverts, comments and the like.
 
 Vectors are never collected: each page adds a number made from itself and its count, so equal sums mean
 equal vectors, and hosts of any size are sums with partial aggregation. Pages are not shuffled, apart from those that a
@@ -13,7 +15,7 @@ host has more than once, unless the templates of all hosts, or the list of such
 Defined cases: a null or empty page has no text; a page without the template's main element, or of a host without
 a template, is read by the same rules on its own; a null url is the host of its own name; equal
 pages of one host count once towards its template, and each has its text; template text that would leave nothing of a
-main element stays; a tag that the page ends in is dropped; an empty table gives no rows.
+main element stays, and so does that of a class which holds more than `MOST` of it (pages alike, not a template); a tag that the page ends in is dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from watchtide.session import cut_lineage
 SUPPORT = 0.9
 #: Pages that a host needs before repeated text counts as template.
 PAGES = 8
+#: A class on fewer than one in so many pages of the host is no template of it.
+TEMPLATES = 256
 #: Share of a page's text that its main element holds; for an element that says it is an article.
 MOST, SAID = 0.7, 0.4
 #: Templates of all hosts are broadcast up to this size, and joined beyond it.
@@ -212,8 +216,35 @@ def main_of(elements: list[tuple[str, bool, int]]) -> str | None:
     return max((e for e in elements if e[2] >= MOST * most), key=lambda e: (e[0].count("/"), e[2], e[0]))[0]
 
 
-def main_text(page: Page, main: str | None, repeated: frozenset[int] = frozenset()) -> str:
-    """Blocks of the main element, without those in parts that are aside and the host's repeated ones."""
+def alternatives(n_pages: int, found: list[tuple[str, bool, int, int]]) -> list[tuple[str, bool, int]]:
+    """Main elements (path, says so, share of the text) of a host's several templates, from (path, says so, pages, sum of shares).
+
+    Elements that do not say that they are articles count only if, with the others on their level, they cover nearly all pages
+    of what they lie in: one on some pages only is a part of its main element.
+    """
+    below: dict[str, list] = {}
+    above: list[str] = []  # paths that the current one lies in
+    for e in sorted(found):
+        above = [a for a in above if e[0].startswith(a + "/")]
+        below.setdefault(above[-1] if above else "", []).append(e)
+        above.append(e[0])
+    out, left = [], [("", n_pages)]
+    while left:
+        path, pages = left.pop()
+        tops = below.get(path, [])
+        covered = sum(e[2] for e in tops) >= SUPPORT * pages
+        out += [(e[0], e[1], e[3] // e[2]) for e in tops if covered or e[1]]
+        left += [(e[0], e[2]) for e in tops]
+    return out
+
+
+def main_text(page: Page, main: str | None, repeated: frozenset[int] = frozenset(), others: dict[str, tuple] | None = None, shared: frozenset[int] = frozenset()) -> str:
+    """Blocks of the main element, without those in parts that are aside and the template's.
+
+    `others` are main elements of templates that not all pages of the host have, `shared` the texts of those templates.
+    """
+    if others and not any(e.path == main and e.said and e.chars for e in page.elements):
+        main = main_of([others[x] for x in {e.path for e in page.elements if e.chars} if x in others]) or main
     if main is None or not any(e.path == main and e.chars for e in page.elements):
         by_path: dict[str, list] = {}
         for e in page.elements:
@@ -226,8 +257,15 @@ def main_text(page: Page, main: str | None, repeated: frozenset[int] = frozenset
     for e in page.elements:  # parents come before children
         inside.append(e.path == main or e.above >= 0 and inside[e.above])
     shown = [b for b in page.blocks if inside[b.at] and not page.elements[b.at].aside]
-    own = [b for b in shown if number(f"{page.elements[b.at].path}\n{b.text}") not in repeated] if repeated else shown
-    return "\n".join(b.text for b in own or shown)
+    if repeated or shared:
+        named = [(b, number(f"{page.elements[b.at].path}\n{b.text}")) for b in shown]
+        own = [x for x in named if x[1] not in repeated]
+        slots = [x for x in own if x[1] not in shared]
+        size = lambda some: sum(len(b.text) for b, _ in some)
+        if size(slots) >= (1 - MOST) * size(own):
+            own = slots
+        shown = [b for b, _ in own] or shown
+    return "\n".join(b.text for b in shown)
 
 
 def host_of(url: str) -> Column:
@@ -247,13 +285,14 @@ def distinct(pages: DataFrame) -> DataFrame:
     return rows.join(copied, ["host", "digest"], "left_anti").unionByName(once).select("host", "html")
 
 
-_TOKENS = pa.schema([("host", pa.string()), ("token", pa.int64()), ("path", pa.string()), ("said", pa.bool_()), *[(c, pa.int64()) for c in ("pages", "total", "low", "high", "chars")]])
+SUMS = ("pages", "total", "low", "high", "chars", "share")
+_TOKENS = pa.schema([("host", pa.string()), ("token", pa.int64()), ("path", pa.string()), ("said", pa.bool_()), ("within", pa.int64()), *[(c, pa.int64()) for c in SUMS]])
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, path, said, pages, total, low, high, chars): occurrence vectors over a host's different pages, summed up.
+    """(host, token, path, said, within, pages, total, low, high, chars, share): occurrence vectors over a host's different pages, summed up.
 
-    `path` is null for text runs. Equal (pages, low, high) mean the same vector. Token 0 counts the host's different pages.
+    `path` is null for text runs, `within` is the token of their element; `share` is the element's part of a page's text, in millionths. Equal (pages, low, high) mean the same vector. Token 0 counts the host's different pages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,68 +308,92 @@ def tokens(pages: DataFrame) -> DataFrame:
             for host, html in zip(*(batch.column(c).to_pylist() for c in ("host", "html"))):
                 page = parse(html, known)
                 own = number(html)
-                counts: dict[int, list] = {0: [None, False, 1, 0]}
+                counts: dict[int, list] = {0: [None, False, None, 1, 0, 0]}
+                most = max((e.chars for e in page.elements[1:] if not e.aside), default=0) or 1
+                at: dict[str, int] = {}
                 for e in page.elements[1:]:
                     if not e.aside:
-                        entry = counts.setdefault(number(e.path), [e.path, e.said, 0, 0])
-                        entry[2] += 1
-                        entry[3] += e.chars
+                        token = at[e.path] = at[e.path] if e.path in at else number(e.path)
+                        entry = counts.setdefault(token, [e.path, e.said, None, 0, 0, 0])
+                        entry[3] += 1
+                        entry[4] += e.chars
+                        entry[5] += 1_000_000 * e.chars // most
                 for b in page.blocks:
                     e = page.elements[b.at]
                     if not e.aside:
-                        counts.setdefault(number(f"{e.path}\n{b.text}"), [None, False, 0, 0])[2] += 1
-                for token, (path, said, n, chars) in counts.items():
+                        counts.setdefault(number(f"{e.path}\n{b.text}"), [None, False, at.get(e.path), 0, 0, 0])[3] += 1
+                for token, (path, said, within, n, chars, share) in counts.items():
                     mixed = (own ^ n * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 % 2**64
                     mixed ^= mixed >> 32
-                    entry = held.setdefault((host, token), [path, said, 0, 0, 0, 0, 0])
-                    for k, v in enumerate((1, n, mixed & 0xFFFFFFFF, mixed >> 32, chars), 2):
+                    entry = held.setdefault((host, token), [path, said, within, *[0] * len(SUMS)])
+                    for k, v in enumerate((1, n, mixed & 0xFFFFFFFF, mixed >> 32, chars, share), 3):
                         entry[k] += v
                 if len(held) > HELD:
                     yield put()
         if held:
             yield put()
 
-    found = distinct(pages).mapInArrow(run, "host string, token long, path string, said boolean, pages long, total long, low long, high long, chars long")
-    return found.groupBy("host", "token").agg(F.max("path").alias("path"), F.max("said").alias("said"), *[F.sum(c).alias(c) for c in ("pages", "total", "low", "high", "chars")])
+    found = distinct(pages).mapInArrow(run, "host string, token long, path string, said boolean, within long, " + ", ".join(f"{c} long" for c in SUMS))
+    return found.groupBy("host", "token").agg(F.max("path").alias("path"), F.max("said").alias("said"), F.max("within").alias("within"), *[F.sum(c).alias(c) for c in SUMS])
 
 
 def template_tokens(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """(host, n_pages, token, path, said, chars, pages, total, class): tokens of the classes that make the template."""
-    found = cut_lineage(tokens(pages))  # read twice; much smaller than the pages
+    """(host, n_pages, token, path, said, chars, share, pages, total, wide): the tokens of templates; `wide` ones are on nearly all pages of the host."""
+    found = cut_lineage(tokens(pages))  # read more than once; much smaller than the pages
     size = found.where("token = 0").select("host", F.col("pages").alias("n_pages"))
-    kept = found.join(size, "host").where((F.col("pages") >= support * F.col("n_pages")) & (F.col("token") != 0))
-    return kept.select("host", "n_pages", "token", "path", "said", "chars", "pages", "total", F.xxhash64("pages", "low", "high").alias("class"))
+    often = F.greatest(F.lit(PAGES), F.col("n_pages") / TEMPLATES)
+    rows = found.where("token != 0").join(size, "host").withColumns({"wide": F.col("pages") >= support * F.col("n_pages"), "class": F.xxhash64("pages", "low", "high")}).where(F.col("wide") | (F.col("pages") >= often))
+    texts, elements = rows.where("path IS NULL AND NOT wide"), rows.where("path IS NOT NULL")
+    around = elements.select("host", F.col("token").alias("within"), F.col("pages").alias("_pages"))  # an element is on as many pages as its texts, or more
+    classes = elements.where("NOT wide").select("host", "class", F.lit(True).alias("_known")).distinct()
+    shared = texts.join(around, ["host", "within"], "left").join(classes, ["host", "class"], "left").where(F.col("_known") | (F.col("pages") >= support * F.col("_pages")))
+    columns = ["host", "n_pages", "token", "path", "said", "chars", "share", "pages", "total", "wide"]
+    return rows.where("wide OR path IS NOT NULL").select(*columns).unionByName(shared.select(*columns))
 
 
 def deduce(kept: DataFrame) -> DataFrame:
-    """(host, n_pages, main, repeated, classes): the template of each host.
+    """(host, n_pages, main, repeated, others, shared): the templates of each host.
 
-    A host's tokens here are on nearly all its pages, so they are no more than a page has. `classes` holds
-    the paths of each class, smallest first, so that an enclosing element comes before what it encloses.
+    `main` and `repeated`, the main element and the texts of the template that nearly all pages share, are no more than
+    a page has; `others` and `shared`, those of further templates, no more than `TEMPLATES` pages have.
     """
-    classes = kept.where("path IS NOT NULL").groupBy("host", "class").agg(F.max("total").alias("total"), F.sort_array(F.collect_set("path")).alias("paths")).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("paths", "total"))).alias("classes"))
-    once = kept.where("path IS NOT NULL AND total = pages").groupBy("host").agg(F.collect_list(F.struct("path", "said", "chars")).alias("elements"))
-    text = kept.where((F.col("path").isNull()) & (F.col("n_pages") >= PAGES)).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("repeated"))
+    once = kept.where("path IS NOT NULL AND total = pages")
+    wide = once.where("wide").groupBy("host").agg(F.collect_list(F.struct("path", "said", "chars")).alias("elements"))
+    some = once.where(~F.col("wide") & (F.col("share") >= F.when(F.col("said"), SAID).otherwise(MOST) * 1_000_000 * F.col("pages"))).groupBy("host").agg(F.collect_list(F.struct("path", "said", "pages", "share")).alias("some"))
+    texts = kept.where((F.col("path").isNull()) & (F.col("n_pages") >= PAGES))
+    text = texts.groupBy("host").agg(*[F.sort_array(F.collect_set(F.when(F.col("wide") == w, F.col("token")))).alias(c) for w, c in ((True, "repeated"), (False, "shared"))])
     main = F.udf(lambda rows: main_of([(r["path"], r["said"], r["chars"]) for r in rows or []]), "string")
+    others = F.udf(lambda n, rows: alternatives(n, [tuple(r) for r in rows or []]), "array<struct<path:string,said:boolean,share:bigint>>")
     hosts = kept.groupBy("host").agg(F.max("n_pages").alias("n_pages"))
-    out = hosts.join(once, "host", "left").join(text, "host", "left").join(classes, "host", "left")
-    return out.select("host", "n_pages", main("elements").alias("main"), F.coalesce("repeated", F.array().cast("array<bigint>")).alias("repeated"), "classes")
+    out = hosts.join(wide, "host", "left").join(text, "host", "left").join(some, "host", "left")
+    none = F.array().cast("array<bigint>")
+    return out.select("host", "n_pages", main("elements").alias("main"), F.coalesce("repeated", none).alias("repeated"), others("n_pages", "some").alias("others"), F.coalesce("shared", none).alias("shared"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """The pages with all their columns, and `_text`."""
-    templates = cut_lineage(deduce(cut_lineage(template_tokens(pages))).select(F.col("host").alias("_host"), F.col("main").alias("_main"), F.col("repeated").alias("_repeated")))
-    size = templates.agg(F.sum(F.lit(64) + F.octet_length("_host") + F.coalesce(F.octet_length("_main"), F.lit(0)) + 8 * F.size("_repeated"))).first()[0] or 0
+    parts = ["_host", "_main", "_repeated", "_others", "_shared"]
+    templates = cut_lineage(deduce(cut_lineage(template_tokens(pages))).select(*[F.col(c[1:]).alias(c) for c in parts]))
+    paths = F.aggregate("_others", F.lit(0), lambda n, e: n + 32 + F.octet_length(e["path"]))
+    size = templates.agg(F.sum(F.lit(64) + F.octet_length("_host") + F.coalesce(F.octet_length("_main"), F.lit(0)) + 8 * F.size("_repeated") + 8 * F.size("_shared") + paths)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         templates = F.broadcast(templates)
     rows = pages.withColumn("_host", host_of("url")).join(templates, "_host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
+        held: dict[str, tuple] = {}  # templates of the hosts seen last
         for batch in steps(batches, "html"):
-            main, repeated, html = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_main", "_repeated", "html"))
-            texts = [main_text(parse(h or "", known), m, frozenset(r or ())) for h, m, r in zip(html, main, repeated)]
+            host, main, repeated, others, shared, html = (batch.column(batch.schema.get_field_index(c)) for c in (*parts, "html"))
+            texts = []
+            for k, (name, text) in enumerate(zip(host.to_pylist(), html.to_pylist())):
+                if name not in held:
+                    if len(held) > 1000:
+                        held.clear()
+                    elements = {e["path"]: (e["path"], e["said"], e["share"]) for e in others[k].as_py() or ()}
+                    held[name] = main[k].as_py(), frozenset(repeated[k].as_py() or ()), elements, frozenset(shared[k].as_py() or ())
+                texts.append(main_text(parse(text or "", known), *held[name]))
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(texts, pa.string())], names=[*names, "_text"])
 
     names = pages.columns
-    return rows.select(*names, "_main", "_repeated").mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("_text", T.StringType())]))
+    return rows.select(*names, *parts).mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("_text", T.StringType())]))

@@ -201,6 +201,14 @@ def test_ann_recall(spark):
     assert len(exact & found) / len(exact) > 0.9
 
 
+def test_ann_search_as_registered_finds_neighbours_without_clusters(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(600, 32)).astype("float32"))], "vec_id long, embedding array<float>")
+    exact = {(r["query_id"], r["id"]) for r in Q.knn_join(df, df, 10, "vec_id", "vec_id").collect()}
+    found = {(r["query_id"], r["id"]) for r in Q.ann_search(df, df, 10, "vec_id", "vec_id").collect()}
+    assert found == exact
+
+
 def test_vector_filter_refuses_other_text(spark):
     df = spark.createDataFrame([(1, "a")], "severity int, hostname string")
     assert S.vector_filter(df, "severity >= 1 AND hostname = 'a'", ["severity", "hostname"]).count() == 1

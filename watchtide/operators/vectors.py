@@ -14,6 +14,7 @@ from watchtide.session import cut_lineage
 MOST_LISTS = 4096  # centres that the driver and every task hold; with more rows the lists get longer and are split
 MOST_ROWS = 20_000  # rows of a list that a task holds
 _SLICE = 1024  # rows compared at a time
+_VISITORS = 256  # queries that are sent to their lists at a time
 EMBEDDERS: dict[str, object] = {}
 
 
@@ -140,10 +141,10 @@ class _Lists:
         return q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, _OUT)
 
 
-def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id: str, vector: str = "embedding", metric: str = "l2", same: str | None = None, skip_self: bool = False) -> DataFrame:
+def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id: str, vector: str = "embedding", metric: str = "l2", same: str | None = None, skip_self: bool = False, share: float = 0.0) -> DataFrame:
     """Exact k nearest base rows of every query: (query_id, id, distance, rank). Ids are whole numbers, once each among the queries.
 
-    A query first searches the nearest lists that hold a few times k rows. The k-th distance found rules out, by the
+    A query first searches the nearest lists that hold a few times k rows, and at least a share of all rows. The k-th distance found rules out, by the
     triangle inequality, every list whose centre is further than that plus the list's radius; the others are
     searched too. Queries stay on the cluster, and no pair is written out.
     ``same`` restricts neighbours to rows with an equal whole-number column.
@@ -158,7 +159,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id
         centres, size, radius = shared.value
         d = _gaps(_matrix(rows["v"], metric), centres)
         order = np.argsort(d, axis=1, kind="stable")
-        first = np.cumsum(size[order], axis=1) - size[order] < 4 * want  # until a few times k rows are held
+        first = np.cumsum(size[order], axis=1) - size[order] < max(4 * want, share * size.sum())  # until a few times k rows are held
         go = np.zeros(d.shape, bool)
         np.put_along_axis(go, order, first, 1)
         if far:
@@ -169,8 +170,9 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id
         return rows.iloc[at].assign(c=c.astype("int32"))[["id", "v", "same", "c"]]
 
     kind = "id bigint, v array<double>, same bigint, c int"
-    near = lambda batches: (visits(x, False) for x in batches if len(x))
-    rest = lambda batches: (visits(x, True) for x in batches if len(x))
+    some = lambda batches: (x.iloc[lo : lo + _VISITORS] for x in batches for lo in range(0, len(x), _VISITORS))
+    near = lambda batches: (visits(x, False) for x in some(batches))
+    rest = lambda batches: (visits(x, True) for x in some(batches))
     found = cut_lineage(_best(lists.search(q.mapInPandas(near, kind), want, metric), want))
     worst = found.where(F.col("rank") == want).select(F.col("query_id").alias("id"), F.col("distance").alias("worst"))
     again = q.join(worst, "id", "left").select("id", "v", "same", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
@@ -197,23 +199,10 @@ def similar_events(base: DataFrame, k: int, base_id: str, ids: list | None = Non
 
 
 def ann_search(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id: str, vector: str = "embedding", share: float = 0.25) -> DataFrame:
-    """Approximate neighbours: every base row is in the list of its nearest centre, and a query searches the nearest
-    lists until they hold a share of all rows; distances there are exact. The lists grow in number with the root of the
-    table's size. On rows without clusters recall is little above the share's root; measure it against knn_join."""
-    q, lists = _points(queries, query_id, vector, None), _Lists(_points(base, base_id, vector, None), "l2", MOST_ROWS)
-    if not len(lists.centres):
-        return queries.sparkSession.createDataFrame([], _OUT + ", rank int")
-    shared = queries.sparkSession.sparkContext.broadcast((lists.centres, lists.size))
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, size = shared.value
-        for rows in batches:
-            if len(rows):
-                order = np.argsort(_gaps(_matrix(rows["v"], "l2"), centres), axis=1, kind="stable")
-                at, nth = np.nonzero(np.cumsum(size[order], axis=1) - size[order] < share * size.sum())
-                yield rows.iloc[at].assign(c=order[at, nth].astype("int32"))[["id", "v", "same", "c"]]
-
-    return _best(lists.search(q.mapInPandas(visits, "id bigint, v array<double>, same bigint, c int"), k, "l2"), k)
+    """Neighbours of every query, by lists: it searches the nearest lists until they hold a share of all rows, and then
+    those that the distances found do not rule out. So no neighbour is lost, with clusters or without; the share
+    decides how much is searched at first, and rows without clusters cost about as much as all pairs."""
+    return knn_join(queries, base, k, query_id, base_id, vector, share=share)
 
 
 # ---- texts and tables ------------------------------------------------------------------

@@ -69,6 +69,15 @@ def test_held_out_accuracy(spark, corpus):
     assert np.allclose(again.score([rows[0][1], ""]), model.score([rows[0][1], ""]))
 
 
+def test_the_lexicon_knows_terms_of_all_sampled_rows(spark, corpus):
+    rows, labels = corpus
+    toxic = [k for k, y in labels if y]
+    rare = {f"quux{chr(97 + i)}": toxic[3 * i : 3 * i + 3] for i in range(8)}  # each in three toxic texts
+    texts = [(k, " ".join([t, *[w for w, at in rare.items() if k in at]])) for k, t in rows]
+    model = T.fit(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert [w for w in rare if T.number_of(w) not in model.lexicon.words] == []
+
+
 def test_features_and_defined_cases(spark, corpus):
     number = T.number_of
     lexicon = T.Lexicon(np.array([number("scum")], np.uint64), np.array([2.0]), np.zeros(0, np.uint64), np.zeros(0), np.array([number("you")], np.uint64))

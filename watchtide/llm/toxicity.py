@@ -232,66 +232,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(lexicons[2], trees, fit_isotonic(trees.margin(x[~learn]), y[~learn]))
 
 
-def score(self, texts: list[str]) -> np.ndarray:
-        return np.clip(self.calibrate(self.trees.margin(features(texts, self.lexicon))), 0, 1)
-
-
-def _fit_lexicon(rows: DataFrame) -> Lexicon:
-    """From (text, toxic): what is more frequent in toxic texts, beyond chance."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        for batch in steps(batches, limit=1 << 20):
-            toxic = np.array(batch.column("toxic").to_pylist(), np.int64)
-            terms = Terms(*points_of([x or "" for x in batch.column("text").to_pylist()]))
-            for kind, numbers in enumerate([terms.word, *terms.stems]):
-                real = numbers != 0
-                one = np.unique(np.stack([terms.doc[real].astype(np.uint64), numbers[real]], 1), axis=0) if real.any() else np.zeros((0, 2), np.uint64)
-                mine = np.stack([one[:, 1], np.full(len(one), min(kind, 1), np.uint64), toxic[one[:, 0].astype(np.int64)].astype(np.uint64)], 1)
-                found.append(mine)
-        if found:
-            each, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(each[:, 0].copy().view(np.int64)), pa.array(each[:, 1].astype(np.int32)), pa.array(each[:, 2].astype(np.int32)), pa.array(n, pa.int64())], names=["term", "stem", "toxic", "n"])
-
-    totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    counts = rows.mapInArrow(count, "term long, stem int, toxic int, n long").groupBy("term", "stem").agg(F.sum(F.expr("n * toxic")).alias("yes"), F.sum(F.expr("n * (1 - toxic)")).alias("no"))
-    few = counts.where("yes >= 3").toArrow()
-    number, stem = few["term"].to_numpy().view(np.uint64), few["stem"].to_numpy()
-    yes, no = few["yes"].to_numpy().astype(float), few["no"].to_numpy().astype(float)
-    low = np.maximum(yes - np.sqrt(yes), 0.1) / max(totals.get(1, 0), 1)
-    weight = np.log(low * max(totals.get(0, 0), 1) / (no + np.sqrt(no) + 0.5))
-    parts = []
-    for kind in (0, 1):
-        keep = (stem == kind) & (weight > np.log(4))
-        order = np.argsort(number[keep])
-        parts += [number[keep][order], weight[keep][order]]
-    return Lexicon(*parts, np.array([number_of(x) for x in SECOND_PERSON], np.uint64))
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Model from (doc_id, text) and (doc_id, toxic)."""
-    known = pick(labels, doc_id="long", toxic="int").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    total = known.count()
-    share = int((1 << 20) * min(1.0, sample / max(total, 1)))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20))
-    chosen = F.broadcast(known.where(place < share))  # about `sample` rows of 12 bytes
-    rows = pick(docs, doc_id="long", text="string").join(chosen, "doc_id")
-    half = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(20))
-    lexicon = _fit_lexicon(rows.where(half < 10).select("text", "toxic"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, limit=1 << 20):
-            x = features([t or "" for t in batch.column("text").to_pylist()], lexicon)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("part"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "toxic", "part", "x"])
-
-    table = rows.withColumn("part", half.cast("int")).where("part >= 10").select("doc_id", "text", "toxic", "part").mapInArrow(run, "doc_id long, toxic int, part int, x array<double>").toArrow().sort_by("doc_id")
-    x = np.array(table["x"].combine_chunks().flatten()).reshape(-1, WIDTH)
-    y, part = table["toxic"].to_numpy().astype(float), table["part"].to_numpy()
-    learn = part < 17
-    trees = fit_trees(x[learn], y[learn])
-    return Model(lexicon, trees, fit_isotonic(trees.margin(x[~learn]), y[~learn]))
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with all their columns, and `_toxicity` (0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -79,6 +79,22 @@ def test_one_language_throughout_is_decided_as_by_viterbi(model):
         assert abs(value(labels[words.doc == d], s) - value(L.viterbi(s, L.SWITCH), s)) < 1e-6
 
 
+def test_paths_without_the_language_of_the_whole_text_are_found():
+    rng = np.random.default_rng(6)
+    scores = [np.array([[0.0, -10.0, -8.0]] * 2 + [[-10.0, 0.0, -8.0]] * 2) + [[0, 0, 3.5]]]  # the third language is best throughout, the others gain 9 each
+    scores += [rng.normal(size=(rng.integers(1, 8), 3)) * rng.choice([2, 4, 8]) for _ in range(300)]
+    doc = np.repeat(np.arange(len(scores)), [len(s) for s in scores])
+    cuts = np.searchsorted(doc, np.arange(len(scores)))
+    best = np.array([s.sum(0).argmax() for s in scores])
+    swept = set(L.Model(["a", "b", "c"], None, None)._may_switch(np.concatenate(scores), doc, best, cuts, np.arange(len(scores))).tolist())
+
+    def value(path, s):
+        return s[np.arange(len(path)), path].sum() - L.SWITCH * (np.diff(path) != 0).sum()
+
+    missed = [d for d, s in enumerate(scores) if d not in swept and value(L.viterbi(s, L.SWITCH), s) > value(np.full(len(s), best[d]), s) + 1e-6]
+    assert best[0] == 2 and missed == []
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(5)
     s = rng.normal(size=(6, 3)) * 4

@@ -131,8 +131,8 @@ class Model:
     def _may_switch(self, scores: np.ndarray, doc: np.ndarray, best: np.ndarray, cuts: np.ndarray, full: np.ndarray) -> np.ndarray:
         """Texts for which one language throughout may not be the best path.
 
-        A run of words in other languages pays one penalty per change; if no run of words gains more
-        than the penalty in any single language, no combination does either.
+        A path with a run in the best language pays a penalty for each run in another; one without pays a penalty less than
+        it has runs, two or more. So if no run of words gains more than half the penalty in any single language, no path does.
         """
         own = scores[np.arange(len(doc)), best[doc]]
         gain = np.zeros(len(full))
@@ -143,7 +143,7 @@ class Model:
             far = (np.ptp(total) + 1.0) * 2 * doc  # each text starts below all before it
             low = np.minimum.accumulate(before - far)
             gain = np.maximum(gain, np.maximum.reduceat(total - far - low, cuts))
-        return full[gain > SWITCH - 1e-3]
+        return full[gain > SWITCH / 2 - 1e-3]
 
 
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:

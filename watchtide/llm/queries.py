@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from watchtide.llm import dartminhash, decontaminate, html_extract, imatch, langid, packing, suffix_dedup, token_rollup, toxicity, warc
+from watchtide.llm import dartminhash, decontaminate, html_extract, imatch, langid, merkle, packing, suffix_dedup, token_rollup, toxicity, warc
 from watchtide.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,3 +210,66 @@ WITH RECURSIVE words AS (
 )
 SELECT doc_id, min(other) AS class_id, doc_id = min(other) AS is_kept FROM reached GROUP BY doc_id
 """
+
+
+#: Levels of a tree that the SQL below goes up: 16 to this power leaves.
+SQL_LEVELS = 6
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))"
+    return f"xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: {byte}))"
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document, by its id's checksum, is checked with its letters in lower case."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf(*fields, F.translate("text", upper, lower)))
+    out = merkle.manifest(table(spark, sf_dir, "documents"), changed=changed)
+    out = out.withColumn("folded_root", merkle.folded(F.coalesce("changed", "leaf")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _merkle_sql() -> str:
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sql = f"""
+WITH leaves AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || source, '-') AS tree, {leaf('text')} AS h, CASE WHEN {_crc32_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS x
+  FROM documents
+), a0 AS MATERIALIZED (
+  SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id, h) - 1 AS i, h FROM leaves
+)"""
+    for t, last in (("a", "subs"), ("b", "tops")):
+        for k in range(SQL_LEVELS):  # a run's digests in order, and the next level, where a lone node stays as it is
+            sql += f""", {t}r{k} AS MATERIALIZED (
+  SELECT tree, i // 16 AS run, list(h ORDER BY i) AS hs, max(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {t}{k}) GROUP BY tree, i // 16
+), {t}{k + 1} AS MATERIALIZED (
+  SELECT tree, run AS i, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {t}r{k}
+)"""
+        sql += f", {last} AS (SELECT tree, h FROM {t}{SQL_LEVELS})"
+        if t == "a":
+            sql += ", b0 AS MATERIALIZED (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, h, tree AS of FROM subs)"
+    sql += """, f0 AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, h) - 1 AS i, '' AS proof FROM leaves
+)"""
+    step = lambda r, n: f"""  SELECT f.* REPLACE (i // 16 AS i, CASE WHEN n > 1 THEN sha256(array_to_string(hs[1:i % 16], '') || x || array_to_string(hs[i % 16 + 2:], '')) ELSE x END AS x,
+    CASE WHEN n > 1 THEN proof || array_to_string(hs[1:i % 16], '') || array_to_string(hs[i % 16 + 2:], '') ELSE proof END AS proof)
+  FROM f{n} f JOIN {r} r ON r.tree = f.tree AND r.run = f.i // 16"""
+    for k in range(SQL_LEVELS):
+        sql += f", f{k + 1} AS MATERIALIZED (\n{step(f'ar{k}', k)}\n)"
+    sql += f""", f{SQL_LEVELS + 1} AS MATERIALIZED (
+  SELECT doc_id, f.h, x, proof, '' AS tree, b0.i, subs.h AS subroot FROM f{SQL_LEVELS} f JOIN subs USING (tree) JOIN b0 ON b0.of = f.tree
+)"""
+    for k in range(SQL_LEVELS):
+        sql += f", f{SQL_LEVELS + 2 + k} AS MATERIALIZED (\n{step(f'br{k}', SQL_LEVELS + 1 + k)}\n)"
+    return sql + f"""
+SELECT doc_id, f.h AS leaf, subroot, tops.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = tops.h AS verified FROM f{2 * SQL_LEVELS + 1} f, tops
+"""
+
+
+ORACLES["op12_merkle_manifest"] = _merkle_sql()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from watchtide.llm import dartminhash, decontaminate, html_extract, imatch, langid, merkle, packing, suffix_dedup, token_rollup, toxicity, warc
+from watchtide.llm import dartminhash, decontaminate, divergence, html_extract, imatch, langid, merkle, packing, suffix_dedup, token_rollup, toxicity, warc
 from watchtide.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -273,3 +273,39 @@ SELECT doc_id, f.h AS leaf, subroot, tops.h AS root, sha256(proof) AS proof_sha2
 
 
 ORACLES["op12_merkle_manifest"] = _merkle_sql()
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
+
+
+ORACLES["op13_source_divergence"] = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), words AS (
+  SELECT r, lang, source, unnest(w) AS term FROM docs
+), kept AS MATERIALIZED (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 3
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL
+), dense AS MATERIALIZED (
+  SELECT g.lang, g.source, kept.term, coalesce(counts.n, 0) AS n, kept.n AS lang_n
+  FROM (SELECT DISTINCT lang, source FROM docs) g JOIN kept USING (lang) LEFT JOIN counts ON counts.lang = g.lang AND counts.source = g.source AND counts.term = kept.term
+), totals AS (
+  SELECT lang, source, sum(n) + count(*) AS total, sum(lang_n) + count(*) AS lang_total FROM dense GROUP BY ALL
+), shares AS MATERIALIZED (
+  SELECT d.lang, d.source, d.term, d.n, CAST(1 + 1000000000 * (d.n + 1) // t.total AS BIGINT) AS p, CAST(1 + 1000000000 * (d.lang_n + 1) // t.lang_total AS BIGINT) AS q
+  FROM dense d JOIN totals t USING (lang, source)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM (SELECT DISTINCT lang, source FROM docs) g JOIN (SELECT DISTINCT lang, source FROM docs) o ON g.lang = o.lang AND g.source <> o.source
+  LEFT JOIN pairs ON pairs.lang = g.lang AND pairs.source = g.source AND pairs.item = o.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found QUALIFY part = 'pair' OR rank <= 200
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from watchtide.llm import dartminhash, decontaminate, divergence, html_extract, imatch, langid, merkle, packing, suffix_dedup, token_rollup, toxicity, warc
+from watchtide.llm import dartminhash, decontaminate, divergence, html_extract, imatch, langid, merkle, packing, suffix_dedup, suffix_tree, token_rollup, toxicity, warc
 from watchtide.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,3 +309,9 @@ WITH docs AS (
 )
 SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found QUALIFY part = 'pair' OR rank <= 200
 """
+
+
+@query
+def op11_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_tree.score(*suffix_tree.fit(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -131,11 +131,13 @@ class Model:
     def _may_switch(self, scores: np.ndarray, doc: np.ndarray, best: np.ndarray, cuts: np.ndarray, full: np.ndarray) -> np.ndarray:
         """Texts for which one language throughout may not be the best path.
 
-        A path with a run in the best language pays a penalty for each run in another; one without pays a penalty less than
-        it has runs, two or more. So if no run of words gains more than half the penalty in any single language, no path does.
+        Gains are over the best language. Let no run in one language gain more than the penalty. A path with a run in the best
+        language pays a penalty at least for each other run, so it gains nothing. One without pays for all runs but one; its first run is
+        a prefix and its last a suffix, so it pays only if a prefix and a suffix together gain more than the penalty.
         """
         own = scores[np.arange(len(doc)), best[doc]]
-        gain = np.zeros(len(full))
+        gain, head, tail = np.zeros((3, len(full)))
+        last = np.append(cuts[1:], len(doc)) - 1
         for k in range(scores.shape[1]):
             step = scores[:, k] - own
             total = np.cumsum(step)
@@ -143,7 +145,9 @@ class Model:
             far = (np.ptp(total) + 1.0) * 2 * doc  # each text starts below all before it
             low = np.minimum.accumulate(before - far)
             gain = np.maximum(gain, np.maximum.reduceat(total - far - low, cuts))
-        return full[gain > SWITCH / 2 - 1e-3]
+            head = np.maximum(head, np.maximum.reduceat(total, cuts) - before[cuts])
+            tail = np.maximum(tail, total[last] - np.minimum.reduceat(before, cuts))
+        return full[np.maximum(gain, head + tail) > SWITCH - 1e-3]
 
 
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:

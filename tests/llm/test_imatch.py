@@ -54,6 +54,29 @@ def test_edited_texts(spark, prose):
     assert I.edited(df.where("doc_id = 1"), I.fit(df)).count() == 1
 
 
+def test_any_number_of_parts(spark):
+    """Every part is a task of its own and holds its rows in order and its follower."""
+    rows = [(k * 37 % 9001, f"text {k}") for k in range(9001)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        got = I.in_order(df).select("part", "spare", "doc_id", I.F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    parts, tasks = {}, collections.defaultdict(set)
+    for r in got:
+        parts.setdefault(r["part"], []).append((r["spare"], r["doc_id"]))
+        tasks[r["task"]].add(r["part"])
+    assert len(parts) > 1000 and all(len(x) == 1 for x in tasks.values())
+    sizes = sorted(map(len, parts.values()))
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2] and len(got) == len(rows) + len(parts)
+    order = [d for k in sorted(parts) for s, d in parts[k] if not s]
+    assert order == sorted(order, reverse=True) and all(parts[k][-1][0] == 1 for k in parts)
+    keys = sorted(parts)
+    assert [parts[k][-1][1] for k in keys] == [parts[k][0][1] for k in keys[1:] + keys[:1]]
+
+
 def test_equal_ids_and_texts(spark):
     rows = [(k // 3, "abcdef"[: k % 5] * 4) for k in range(30)] + [(9, "abc" * 4)] * 5
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)

@@ -149,26 +149,46 @@ def in_order(docs: DataFrame) -> DataFrame:
     follower is in its own part; the last part's spare is the first row of all. Null doc_ids come last; equal ones go by text.
     """
     rows = pick(docs, doc_id="long", text="string").withColumns({"place": F.coalesce("doc_id", F.lit(-(2**63))), "tie": F.xxhash64("text")})
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({int(x) for x in rows.select("place").approxQuantile("place", [k / n for k in range(1, n)], 0.2 / n)}, reverse=True)
-    part = lambda place: F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>"), lambda x: x > place))
-    rows = rows.withColumn("part", part(F.col("place")))
-    first = sorted(rows.groupBy("part").agg(F.max(F.struct("place", "tie")).alias("top")).collect(), key=lambda r: r["part"])
-    before = {r["part"]: first[k - 1]["part"] for k, r in enumerate(first)}
-    spare = F.lit(None).cast("int")
-    for r in first:
-        spare = F.when((F.col("part") == r["part"]) & (F.col("place") == r["top"]["place"]) & (F.col("tie") == r["top"]["tie"]), F.lit(before[r["part"]])).otherwise(spare)
-    copies = F.filter(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("spare")), F.struct(spare.alias("part"), F.lit(1).alias("spare"))), lambda x: x["part"].isNotNull())
-    both = rows.select(F.explode(copies).alias("to"), "place", "tie", "doc_id", "text").select("to.part", "to.spare", "place", "tie", "doc_id", "text")
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = np.array(sorted({int(x) for x in rows.select("place").approxQuantile("place", [k / n for k in range(1, n)], 0.2 / n)}), np.int64)
+    part = lambda place: len(cuts) - np.searchsorted(cuts, place, "right")
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, tie = (batch.column(c).to_numpy() for c in ("place", "tie"))
+            of = part(place)
+            at = np.lexsort((tie, place, of))
+            at = at[np.append(of[at][1:] != of[at][:-1], True)] if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(of[at].astype(np.int32)), pa.array(place[at]), pa.array(tie[at])], names=["part", "place", "tie"])
+
+    tops = rows.select("place", "tie").mapInArrow(heads, "part int, place long, tie long").groupBy("part").agg(F.max(F.struct("place", "tie")).alias("top"))
+    first = sorted(tops.collect(), key=lambda r: r["part"])  # a row per part
+    top, before = np.zeros((len(cuts) + 1, 2), np.int64), np.zeros(len(cuts) + 1, np.int32)
+    for k, r in enumerate(first):
+        top[r["part"]], before[r["part"]] = (r["top"]["place"], r["top"]["tie"]), first[k - 1]["part"]
+    # a number for each part that shuffles to a task of its own
+    own = spark.range(32 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("task")).agg(F.min("id").alias("id")).collect()
+    deal = np.arange(len(cuts) + 1, dtype=np.int64)
+    for r in own:
+        if r["task"] < len(deal):
+            deal[r["task"]] = r["id"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=6).compress
         for batch in steps(batches):
-            packed = [None if t is None else press(t.encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(packed, pa.binary())], names=[*batch.schema.names[:5], "packed"])
-
-    small = both.mapInArrow(pack, "part int, spare int, place long, tie long, doc_id long, packed binary")
-    return small.repartition(n, "part").sortWithinPartitions("part", "spare", F.desc("place"), F.desc("tie"))
+            packed = pa.array([None if t is None else press(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
+            place, tie = (batch.column(c).to_numpy() for c in ("place", "tie"))
+            of = part(place).astype(np.int32)
+            spare = np.flatnonzero((top[of, 0] == place) & (top[of, 1] == tie))
+            both = pa.array(np.append(np.arange(len(of)), spare))
+            to = np.append(of, before[of[spare]])
+            late = np.append(np.zeros(len(of), np.int32), np.ones(len(spare), np.int32))
+            columns = [pa.array(deal[to]), pa.array(to), pa.array(late), *[c.take(both) for c in (batch.column("place"), batch.column("tie"), batch.column("doc_id"), packed)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["task", "part", "spare", "place", "tie", "doc_id", "packed"])
+
+    small = rows.select("place", "tie", "doc_id", "text").mapInArrow(pack, "task long, part int, spare int, place long, tie long, doc_id long, packed binary")
+    return small.repartition(n, "task").drop("task").sortWithinPartitions("part", "spare", F.desc("place"), F.desc("tie"))
 
 
 def edited(docs: DataFrame, lexicon: np.ndarray) -> DataFrame:

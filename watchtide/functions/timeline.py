@@ -94,6 +94,16 @@ def sweep(probes: DataFrame, keys: Sequence[str], ts: str, window_us: int, delta
     return out.where(F.col("_p").isNotNull()).select(*all_keys, *[F.col(f"_p.{c}").alias(c) for c in carried], *names)
 
 
+def _shifted(df: DataFrame, counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the total (`_n`) of the earlier segments of their key as `_shift`; a null key is a key."""
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1))
+    shift = counted.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_seg").alias("_k_seg"), F.coalesce(before, F.lit(0)).alias("_shift"))
+    same = F.col("_seg").eqNullSafe(F.col("_k_seg"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(shift, same).drop("_k_seg", *[f"_k_{k}" for k in keys])
+
+
 def segment_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, name: str = "rn") -> DataFrame:
     """1-based row number per key, without one task per key.
 
@@ -102,10 +112,8 @@ def segment_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     """
     df = df.withColumn("_seg", bucket)
     counted = df.groupBy(*keys, "_seg").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1))
-    shift = counted.select(*keys, "_seg", F.coalesce(before, F.lit(0)).alias("_shift"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(*order))
-    return df.withColumn("_in", inside).join(shift, [*keys, "_seg"]).withColumn(name, F.col("_shift") + F.col("_in")).drop("_seg", "_in", "_shift")
+    return _shifted(df.withColumn("_in", inside), counted, keys).withColumn(name, F.col("_shift") + F.col("_in")).drop("_seg", "_in", "_shift")
 
 
 def text_segments(df: DataFrame, column: str, parts: int = 128, sample: int = 4096) -> Column:
@@ -128,15 +136,17 @@ def text_segments(df: DataFrame, column: str, parts: int = 128, sample: int = 40
     return between(0, len(cuts))
 
 
-def last_n(ranked: DataFrame, keys: Sequence[str], n: int, measures: dict[str, Callable], rank: str = "rn", chunk: int = 10_000) -> DataFrame:
-    """Measures over the last n rows of a key, current row included.
-
-    Rows are cut into chunks by rank; the last n - 1 rows of a chunk are copied to the next.
-    """
+def rank_chunks(ranked: DataFrame, n: int, chunk: int = 10_000, rank: str = "rn") -> DataFrame:
+    """Ranked rows in chunks (`_c`), each with the last n - 1 rows of the one before as copies (`_copy`), for windows of n rows."""
     ranked = ranked.withColumn("_c", F.expr(f"({rank} - 1) div {chunk}")).withColumn("_copy", F.lit(False))
     tail = ranked.where(F.expr(f"({rank} - 1) % {chunk} >= {chunk - n + 1}")).withColumn("_c", F.col("_c") + 1).withColumn("_copy", F.lit(True))
+    return ranked.unionByName(tail)
+
+
+def last_n(ranked: DataFrame, keys: Sequence[str], n: int, measures: dict[str, Callable], rank: str = "rn", chunk: int = 10_000) -> DataFrame:
+    """Measures over the last n rows of a key, current row included."""
     w = Window.partitionBy(*keys, "_c").orderBy(rank).rowsBetween(-(n - 1), 0)
-    out = ranked.unionByName(tail).withColumns({name: make(w) for name, make in measures.items()})
+    out = rank_chunks(ranked, n, chunk, rank).withColumns({name: make(w) for name, make in measures.items()})
     return out.where(~F.col("_copy")).drop("_c", "_copy")
 
 
@@ -144,10 +154,8 @@ def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     """Rows up to and including this one that meet a condition, per key, without one task per key."""
     df = df.withColumn("_seg", bucket).withColumn("_hit", F.when(condition, 1).otherwise(0))
     counted = df.groupBy(*keys, "_seg").agg(F.sum("_hit").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1))
-    shift = counted.select(*keys, "_seg", F.coalesce(before, F.lit(0)).alias("_shift"))
     inside = F.sum("_hit").over(Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_in", inside).join(shift, [*keys, "_seg"]).withColumn(name, F.col("_shift") + F.col("_in")).drop("_seg", "_in", "_shift", "_hit")
+    return _shifted(df.withColumn("_in", inside), counted, keys).withColumn(name, F.col("_shift") + F.col("_in")).drop("_seg", "_in", "_shift", "_hit")
 
 
 def window_values(probes: DataFrame, facts: DataFrame, key: str, ts: str, window_us: int, value: str, probe_id: str) -> DataFrame:

@@ -14,7 +14,7 @@ from watchtide.plans.reports import ENTITY_FREQ, FEED, PER_10S, actions, feed
 from watchtide.plans.triage import EVENT_ROUTES, RESULTS, ROUTE_COLUMNS, W1, W1_COLS, W2, dims, with_context
 from watchtide.session import checkpoint_dir
 from watchtide.sources.readers import source_factory
-from watchtide.streaming import pipelines as P, rollups as T
+from watchtide.streaming import connections as C, pipelines as P, rollups as T
 from watchtide.sources.views import AS_OF, Tables
 
 
@@ -86,17 +86,30 @@ def stream_ingest(t):
     return rows.unionByName(dead).groupBy("tbl", "text").agg(F.count("*").alias("cnt"))
 
 
+#: Rows come up to so many seconds out of order, well within the delay of the stream.
+DISORDER = 1800
+
+
 def windowed(t: Tables, where: str) -> None:
-    """Four micro-batches in time order: each part of the month arrives before the stream goes on."""
-    for part in range(4):
-        t.network.where(F.expr(f"(day(timestamp) - 1) div 8 = {part}")).write.mode("append").parquet(f"{where}/in")
-        s = source_factory(t.spark, "parquet", path=f"{where}/in", schema=t.network.schema)
-        P.stream_conn_features(s, f"{where}/out", f"{where}/state", f"{where}/offsets").awaitTermination()
+    """Ten micro-batches: rows in an order that is off by up to half an hour, dealt out over files that come one after another.
+
+    The last file also has a row of a later time that nothing waits for but the watermark.
+    """
+    rows = t.network
+    arrival = F.unix_seconds("timestamp") + F.pmod(F.xxhash64("event_id"), F.lit(DISORDER))
+    first, last = rows.agg(F.min(arrival), F.max(arrival)).first()
+    rows = rows.withColumn("_part", F.least(F.lit(9), F.floor((arrival - first) * 10 / F.lit(max(1, last - first)))))
+    end = rows.limit(1).withColumns({"event_id": F.lit(-1).cast("long"), "timestamp": F.timestamp_seconds(F.lit(last + 4 * DISORDER)), "dst_ip": F.lit("")})
+    for part in range(10):
+        some = rows.where(F.col("_part") == part)
+        (some.unionByName(end) if part == 9 else some).drop("_part").coalesce(1).write.mode("append").parquet(f"{where}/in")
+    s = source_factory(t.spark, "parquet", path=f"{where}/in", schema=t.network.schema, max_files=1)
+    C.stream_conn_features(s, f"{where}/out", f"{where}/offsets", delay=f"{DISORDER} seconds", keep="60 days").awaitTermination()
 
 
 @query("stream_conn_features", f"WITH {W1}, {W2} SELECT event_id, {W1_COLS}, hc AS dst_host_count, hs AS dst_host_srv_count FROM w1 JOIN w2 USING (event_id)")
 def stream_conn_features(t):
-    """Network events that arrive in four parts."""
+    """Network events that arrive out of order, in ten parts."""
     where = place(t)
     windowed(t, where)
     return t.spark.read.parquet(f"{where}/out").select("event_id", "count", "srv_count", "same_srv_rate", "diff_srv_rate", "serror_rate", "rerror_rate", "dst_host_count", "dst_host_srv_count")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from watchtide.operators.investigate import signals as S
+from watchtide.operators.investigate.scope import scope
 
 SLIM = ["event_id", "hostname", "source_ip", "user_id", "timestamp", "adjusted_score"]
 
@@ -13,17 +14,18 @@ def gather_signals(alerts: DataFrame, network: DataFrame, scored: DataFrame, act
     """Alerts with every signal.
 
     Each signal is computed on the few columns it needs and joined back by ``event_id``;
-    the wide alert rows are shuffled once, not once per window.
+    the wide alert rows are shuffled once, not once per window. Facts are limited to what the alerts can see.
     """
     slim = alerts.select(*SLIM)
+    within = scope(slim)
     net = network.select("event_id", "timestamp", "hostname", "src_ip", "dst_ip", "dst_port", "protocol", "dns_query", "detection_rule")
     facts = scored.select(*SLIM, "source_type", "mitre_tactic", "action", "ioc_match")
     parts = [
-        S.sigma_rules(alerts.select("event_id", "hostname", "source_ip", "timestamp", "message"), net),
-        S.spc_evaluate(slim.select("event_id", "hostname", "source_ip", "timestamp"), net, actions, as_of, baseline_hours),
-        S.graph_features(slim.select("event_id", "hostname", "source_ip", "timestamp"), net, facts, iocs, as_of, noisy_limit),
-        S.temporal_correlation(slim, facts),
-        S.campaign_detection(slim.select("event_id", "source_ip", "timestamp"), facts, net),
+        S.sigma_rules(alerts.select("event_id", "hostname", "source_ip", "timestamp", "message"), net, within=within),
+        S.spc_evaluate(slim.select("event_id", "hostname", "source_ip", "timestamp"), net, actions, as_of, baseline_hours, within=within),
+        S.graph_features(slim.select("event_id", "hostname", "source_ip", "timestamp"), net, facts, iocs, as_of, noisy_limit, within=within),
+        S.temporal_correlation(slim, facts, within=within),
+        S.campaign_detection(slim.select("event_id", "source_ip", "timestamp"), facts, net, within=within),
     ]
     if similarity is not None:
         parts.append(similarity)

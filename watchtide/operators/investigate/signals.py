@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from watchtide.functions.expr import first_case, lookup, uuid5
 from watchtide.functions.timeline import distinct_deltas, sum_deltas, sweep, window_recent, window_values
+from watchtide.operators.investigate.scope import Scope, scope
 from watchtide.operators.lookups import active_iocs, noisy_sources
 from watchtide.operators.rollups import spc_baseline
 
@@ -108,13 +109,14 @@ def _tactic(rule: Rule) -> str:
     return next((t.split(".", 1)[1].replace("_", "-") for t in rule.tags if not t[8:9].isdigit()), "")
 
 
-def sigma_rules(alerts: DataFrame, network: DataFrame, rules: dict[str, Rule] | None = None, haystack: tuple[str, ...] = ("message",), window_min: int = WINDOW_MINUTES, ts: str = "timestamp") -> DataFrame:
+def sigma_rules(alerts: DataFrame, network: DataFrame, rules: dict[str, Rule] | None = None, haystack: tuple[str, ...] = ("message",), window_min: int = WINDOW_MINUTES, ts: str = "timestamp", within: Scope | None = None) -> DataFrame:
     """Alerts with ``sigma_hits`` (array), ``sigma_hit_count`` and ``sigma_max_severity``."""
     pack, facts, span = list((rules or RULES).values()), _facts(network), minutes(window_min)
+    within = within or scope(alerts, ts)
     out = alerts
     for keys in sorted({r.keys for r in pack if r.where}):
         mine = {f"_m{i}": r for i, r in enumerate(pack) if r.where and r.keys == keys}
-        some = facts.where(" OR ".join(f"({r.where})" for r in mine.values()))
+        some = within.near(facts.where(" OR ".join(f"({r.where})" for r in mine.values())), keys, span, ts)
         sums = {n: F.expr(r.where).cast("int") for n, r in mine.items() if not r.distinct}
         kinds = {n: F.when(F.expr(r.where), F.col(r.distinct)) for n, r in mine.items() if r.distinct}
         deltas = ([sum_deltas(some, keys, ts, span, sums)] if sums else []) + ([distinct_deltas(some, keys, ts, span, kinds)] if kinds else [])
@@ -154,10 +156,10 @@ def sigma_rule_hits(with_hits: DataFrame) -> DataFrame:
 # ---- statistical baseline --------------------------------------------------------------
 
 
-def spc_evaluate(alerts: DataFrame, network: DataFrame, actions: DataFrame, as_of, baseline_hours: int = 24, observed_minutes: int = 60, sigma: float = SPC_SIGMA, ts: str = "timestamp") -> DataFrame:
+def spc_evaluate(alerts: DataFrame, network: DataFrame, actions: DataFrame, as_of, baseline_hours: int = 24, observed_minutes: int = 60, sigma: float = SPC_SIGMA, ts: str = "timestamp", within: Scope | None = None) -> DataFrame:
     """z-score of the connections of (host, source) in the last hour against its per-minute baseline."""
     keys = ["hostname", "source_ip"]
-    facts = _facts(network).select(*keys, ts)
+    facts = (within or scope(alerts, ts)).near(_facts(network).select(*keys, ts), keys, minutes(observed_minutes), ts)
     out = sweep(alerts, keys, ts, minutes(observed_minutes), [sum_deltas(facts, keys, ts, minutes(observed_minutes), {"spc_observed": F.lit(1)})])
     out = out.join(spc_baseline(actions, as_of, baseline_hours), keys, "left")
     mean, std = F.coalesce("baseline_mean", F.lit(0.0)), F.coalesce("baseline_stddev", F.lit(0.0))
@@ -193,9 +195,10 @@ def _higher_scores(alerts: DataFrame, scored: DataFrame, span: int, ts: str) ->
     return counted.groupBy("event_id").agg(F.sum("higher").alias("temporal_escalation_count"))
 
 
-def temporal_correlation(alerts: DataFrame, scored: DataFrame, window_min: int = WINDOW_MINUTES, ts: str = "timestamp") -> DataFrame:
+def temporal_correlation(alerts: DataFrame, scored: DataFrame, window_min: int = WINDOW_MINUTES, ts: str = "timestamp", within: Scope | None = None) -> DataFrame:
     """Higher alerts of the same host and source; variety, mean score and ids of those sharing host and (source or user)."""
-    span = minutes(window_min)
+    span, within = minutes(window_min), within or scope(alerts, ts)
+    scored = within.near(scored, ["hostname"], span, ts)
     one = {"n": F.lit(1), "s": F.round(F.col("adjusted_score") * MICRO)}
     out = alerts
     for tag, keys in (("a", ["hostname", "source_ip"]), ("b", ["hostname", "user_id"]), ("c", ["hostname", "source_ip", "user_id"])):
@@ -222,14 +225,15 @@ def temporal_correlation(alerts: DataFrame, scored: DataFrame, window_min: int =
 # ---- network graph ---------------------------------------------------------------------
 
 
-def graph_features(alerts: DataFrame, network: DataFrame, scored: DataFrame, iocs: DataFrame, as_of, noisy_limit: int = NOISY, window_min: int = WINDOW_MINUTES, ts: str = "timestamp", check_expiry: bool = True) -> DataFrame:
+def graph_features(alerts: DataFrame, network: DataFrame, scored: DataFrame, iocs: DataFrame, as_of, noisy_limit: int = NOISY, window_min: int = WINDOW_MINUTES, ts: str = "timestamp", check_expiry: bool = True, within: Scope | None = None) -> DataFrame:
     """Reach of the source, sources on the host, indicator links and the scores derived from them."""
     span, net = minutes(window_min), _facts(network).select("hostname", "source_ip", "dst_ip", ts)
     live = active_iocs(iocs, as_of, ("ip",), check_expiry).select(F.col("ioc_value").alias("_i"), F.lit(1).alias("_is_ioc"))
-    reach = distinct_deltas(net, ["source_ip"], ts, span, {"_dst": F.col("dst_ip"), "graph_hop_count": F.col("hostname")})
+    within = within or scope(alerts, ts)
+    reach = distinct_deltas(within.near(net, ["source_ip"], span, ts), ["source_ip"], ts, span, {"_dst": F.col("dst_ip"), "graph_hop_count": F.col("hostname")})
     out = sweep(alerts, ["source_ip"], ts, span, [reach])
-    risky = scored.where(F.col("adjusted_score") >= HIGH_RISK).join(live, F.lower("source_ip") == F.col("_i"), "left").where((F.col("ioc_match") == 1) | F.col("_is_ioc").isNotNull())
-    on_host = distinct_deltas(net, ["hostname"], ts, span, {"graph_unique_src_ips": F.col("source_ip")})
+    risky = within.near(scored.where(F.col("adjusted_score") >= HIGH_RISK), ["hostname"], span, ts).join(live, F.lower("source_ip") == F.col("_i"), "left").where((F.col("ioc_match") == 1) | F.col("_is_ioc").isNotNull())
+    on_host = distinct_deltas(within.near(net, ["hostname"], span, ts), ["hostname"], ts, span, {"graph_unique_src_ips": F.col("source_ip")})
     risk = sum_deltas(risky, ["hostname"], ts, span, {"graph_high_risk_neighbors": F.lit(1), "graph_escalation_count": (F.col("action") == "escalate").cast("int")})
     out = sweep(out, ["hostname"], ts, span, [on_host, risk])
     noisy = noisy_sources(scored, noisy_limit).select(F.col("source_ip").alias("_s"), F.lit(1).alias("_noisy"))
@@ -341,7 +345,7 @@ def _switches(running: DataFrame, keys: list[str], on: Column, name: str) -> Dat
     return state.withColumn(name, change).where(F.col(name) != 0).select(*keys, "_b", "_t", name)
 
 
-def campaign_detection(alerts: DataFrame, scored: DataFrame, network: DataFrame, min_events: int = 3, window_min: int = WINDOW_MINUTES, ts: str = "timestamp", most_hosts: int | None = None) -> DataFrame:
+def campaign_detection(alerts: DataFrame, scored: DataFrame, network: DataFrame, min_events: int = 3, window_min: int = WINDOW_MINUTES, ts: str = "timestamp", most_hosts: int | None = None, within: Scope | None = None) -> DataFrame:
     """Hosts and tactics of a source over hosts it contacted at least three times in the window.
 
     A host counts while both its connection count and its score count are high enough; those
@@ -349,8 +353,10 @@ def campaign_detection(alerts: DataFrame, scored: DataFrame, network: DataFrame,
     shortens the list of hosts to the first by name; by default it has all of them.
     """
     span, pair = minutes(window_min), ["source_ip", "hostname"]
+    within = within or scope(alerts, ts)
+    scored, facts = within.near(scored, ["source_ip"], span, ts), within.near(_facts(network), ["source_ip"], span, ts)
     seen = sum_deltas(scored.select(*pair, "mitre_tactic", ts), [*pair, "mitre_tactic"], ts, span, {"_s": F.lit(1)})
-    busy = sum_deltas(_facts(network).select(*pair, ts), pair, ts, span, {"_n": F.lit(1)})
+    busy = sum_deltas(facts.select(*pair, ts), pair, ts, span, {"_n": F.lit(1)})
     busy = _switches(_running(busy, pair, ["_n"]), pair, F.col("_n") >= min_events, "_n")
     # per host and tactic: busy at the same time as scored
     tactics = seen.select(*pair, "mitre_tactic", "_b").distinct()

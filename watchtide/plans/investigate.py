@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from watchtide.operators import rollups as A, triage as G
 from watchtide.operators.investigate import attack_graph as K, signals as S, verdict as V
 from watchtide.operators.investigate.run import gather_signals
+from watchtide.operators.investigate.scope import scope
 from watchtide.plans.registry import query
 from watchtide.plans.triage import RESULTS, rnd
 from watchtide.plans.reports import ACTIONS, actions
@@ -39,6 +40,15 @@ def alerts(t: Tables):
     return S.investigation_gate(scored(t))
 
 
+#: Columns of an alert that rules and baselines read.
+ASKS = ["event_id", "hostname", "source_ip", "user_id", "timestamp", "source_type", "adjusted_score", "message"]
+
+
+def asks(t: Tables):
+    """The alerts' columns that windows read, written once: their keys bound the facts, then they meet them."""
+    return cut_lineage(alerts(t).select(*ASKS))
+
+
 @query("investigation_gate", f"WITH {ALERTS} SELECT event_id, round(adjusted_score, 6) AS adjusted_score FROM alerts")
 def investigation_gate(t):
     return alerts(t).select("event_id", "adjusted_score")
@@ -59,12 +69,12 @@ sg AS (SELECT a.*, list_filter([{', '.join(c.format(repr(r.id)) for c, r in zip(
 
 @query("sigma_rules", f"WITH {SIGMA} SELECT event_id, array_to_string(ids, '|') AS rule_ids, CAST(len(ids) AS BIGINT) AS sigma_hit_count, CAST(coalesce(list_max(lv), 0) AS BIGINT) AS sigma_max_severity FROM sg")
 def sigma_rules(t):
-    return S.sigma_rules(alerts(t), network(t)).select("event_id", F.transform("sigma_hits", lambda h: h["rule_id"]).alias("rule_ids"), "sigma_hit_count", "sigma_max_severity")
+    return S.sigma_rules(asks(t), network(t)).select("event_id", F.transform("sigma_hits", lambda h: h["rule_id"]).alias("rule_ids"), "sigma_hit_count", "sigma_max_severity")
 
 
 @query("sigma_rule_pack", f"WITH {SIGMA} SELECT rule_id, count(*) AS alerts FROM (SELECT unnest(ids) AS rule_id FROM sg) GROUP BY 1")
 def sigma_rule_pack(t):
-    return S.sigma_rule_hits(S.sigma_rules(alerts(t), network(t))).groupBy("rule_id").agg(F.count("*").alias("alerts"))
+    return S.sigma_rule_hits(S.sigma_rules(asks(t), network(t))).groupBy("rule_id").agg(F.count("*").alias("alerts"))
 
 
 _WORD = {v: k for k, v in S.SEVERITY.items()}
@@ -73,20 +83,20 @@ _HIT = " UNION ALL ".join(f"SELECT timestamp, event_id, source_type, hostname, '
 
 @query("sigma_rule_hits", f"WITH {SIGMA} SELECT CAST(timestamp AS VARCHAR) AS hit_time, event_id AS alert_id, rule_id, rule_name, source_type, hostname, severity, mitre_tactic, mitre_technique, matched_events FROM ({_HIT})")
 def sigma_rule_hits(t):
-    return S.sigma_rule_hits(S.sigma_rules(alerts(t), network(t)))
+    return S.sigma_rule_hits(S.sigma_rules(asks(t), network(t)))
 
 
 @query("rule_alert_join", f"WITH {SIGMA} SELECT event_id, m0, m1, m2, m3, m4, m5, m6 FROM sg")
 def rule_alert_join(t):
     """Measure of every rule for every alert."""
-    out, span = alerts(t), S.minutes(15)
+    out, span = asks(t), S.minutes(15)
     hits = S.sigma_rules(out, network(t), {r.id: S.Rule(r.id, r.title, r.severity, r.category, keys=r.keys, where=r.where, distinct=r.distinct, more_than=-1) for r in S.RULES.values()}, window_min=span // 60_000_000)
     return hits.select("event_id", *[F.get("sigma_hits", F.lit(i))["matched_events"].alias(f"m{i}") for i in range(7)])
 
 
 @query("fast_path_verdict", f"WITH {SIGMA} SELECT event_id AS alert_id, hostname, 'CONFIRMED_ATTACK' AS finding_type, 'critical' AS severity, 0.95::DOUBLE AS confidence, CAST(1 AS BIGINT) AS is_fast_path FROM sg WHERE list_max(lv) >= 3")
 def fast_path_verdict(t):
-    return V.fast_path_verdict(S.sigma_rules(alerts(t), network(t))).select("alert_id", "hostname", "finding_type", "severity", "confidence", "is_fast_path")
+    return V.fast_path_verdict(S.sigma_rules(asks(t), network(t))).select("alert_id", "hostname", "finding_type", "severity", "confidence", "is_fast_path")
 
 
 # ---- window signals --------------------------------------------------------------------
@@ -100,9 +110,11 @@ def alert_window_join(t):
     from watchtide.functions.timeline import distinct_deltas, sum_deltas, sweep
 
     span, keys, ts = S.minutes(15), ["hostname"], "timestamp"
-    sums = sum_deltas(network(t), keys, ts, span, {"events": F.lit(1), "bytes_sent": F.col("bytes_sent")})
-    kinds = distinct_deltas(network(t), keys, ts, span, {"ports": F.col("dst_port")})
-    return sweep(alerts(t).select("event_id", "hostname", "timestamp"), keys, ts, span, [sums, kinds]).select("event_id", "events", "bytes_sent", "ports")
+    few = asks(t).select("event_id", "hostname", "timestamp")
+    some = scope(few).near(network(t), keys, span)
+    sums = sum_deltas(some, keys, ts, span, {"events": F.lit(1), "bytes_sent": F.col("bytes_sent")})
+    kinds = distinct_deltas(some, keys, ts, span, {"ports": F.col("dst_port")})
+    return sweep(few, keys, ts, span, [sums, kinds]).select("event_id", "events", "bytes_sent", "ports")
 
 
 SPC = f"""{ALERTS}, {ACTIONS}, mi AS (SELECT hostname, source_ip, date_trunc('minute', timestamp) AS m, count(*) AS c FROM actions WHERE timestamp >= {T0} - INTERVAL 720 HOUR GROUP BY ALL),
@@ -112,7 +124,7 @@ sp AS (SELECT a.event_id, (SELECT count(*) FROM fx_network f WHERE f.hostname =
 
 @query("spc_evaluate", f"WITH {SPC} SELECT event_id, obs AS spc_observed, round(mean, 6) AS spc_baseline_mean, round(sd, 6) AS spc_baseline_stddev, round(CASE WHEN sd > 0 THEN (obs - mean) / sd ELSE 0 END, 6) AS spc_z_score, CAST(CASE WHEN sd > 0 THEN (obs - mean) / sd > 3 ELSE false END AS BIGINT) AS spc_is_anomaly FROM sp")
 def spc_evaluate(t):
-    return S.spc_evaluate(alerts(t), network(t), actions(t), AS_OF, baseline_hours=720).select("event_id", "spc_observed", "spc_baseline_mean", "spc_baseline_stddev", "spc_z_score", "spc_is_anomaly")
+    return S.spc_evaluate(asks(t), network(t), actions(t), AS_OF, baseline_hours=720).select("event_id", "spc_observed", "spc_baseline_mean", "spc_baseline_stddev", "spc_z_score", "spc_is_anomaly")
 
 
 @query("temporal_correlation", f"""WITH {ALERTS}, j AS (SELECT a.event_id, f.event_id AS fid, f.source_type, f.mitre_tactic, CAST(round(f.adjusted_score * 1000000) AS BIGINT) AS sc, f.adjusted_score AS fs, a.adjusted_score AS as_, f.source_ip = a.source_ip AS same_ip

@@ -362,6 +362,23 @@ def test_template_leaders_equal_a_plain_pass(spark):
     assert got == {x: "T" + hashlib.md5(cluster[x].encode()).hexdigest()[:12] for x in sizes}
 
 
+def test_hot_templates_are_decided_block_by_block(spark):
+    """Half of the signatures share a token and a bucket; small blocks and parts give the plain pass, and no task holds the bucket."""
+    rnd = random.Random(9)
+    lines = sorted({" ".join(["x", "y", "hot" if k % 2 else rnd.choice("abc"), *[rnd.choice("cdefgh") * 2 for _ in range(5)]]) for k in range(1200)})
+    df = spark.createDataFrame([(x,) for x in lines], "message string")
+    s = L.computed(L.signatures(df, "message"), {"tokens": F.split("masked", " ")}).withColumn("bucket", F.lit("b"))
+    plain, leaders = {}, []
+    for x in sorted(lines, key=lambda x: hashlib.md5(x.encode()).hexdigest()):
+        y = next((y for y in leaders if sum(p == q for p, q in zip(x.split(), y.split())) / 8 >= 0.75), None)
+        leaders += [] if y else [x]
+        plain[hashlib.md5(x.encode()).hexdigest()] = hashlib.md5((y or x).encode()).hexdigest()
+    got = {r["sig"]: r["cluster"] for r in L._clusters(s, 0.75, block=16, part=100).collect()}
+    assert got == plain and len(leaders) > 50
+    parts = s.withColumn("salt", F.pmod(F.xxhash64("sig"), F.ceil(F.lit(len(lines)) / 100))).groupBy("salt").count().agg(F.max("count")).first()[0]
+    assert parts < 0.25 * len(lines)
+
+
 def test_search_refuses_pages_out_of_bounds(spark):
     df = spark.range(3).select(F.col("id").alias("event_id"))
     for limit, offset in ((0, 0), (201, 0), (50, 100_001), (50, -1)):

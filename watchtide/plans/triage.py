@@ -302,7 +302,25 @@ def log_templates(t):
     return L.log_templates(lines)
 
 
-@query("template_assignment")
+_PREFIX = "array_to_string(list_transform(tokens[:2], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ')"
+_AGREE = "len(list_filter(range(1, len(s.tokens) + 1), lambda i: l.tokens[i] = s.tokens[i])) / len(s.tokens)"
+#: The r-th signature of every bucket against the leaders before it, r by r.
+TEMPLATES = f"""RECURSIVE lines AS MATERIALIZED (SELECT event_id, masked, regexp_split_to_array(masked, '\\s+') AS tokens FROM (SELECT event_id, {sql_mask("coalesce(message, '')")} AS masked FROM fx_raw)),
+sigs AS MATERIALIZED (SELECT md5(array_to_string(tokens, ' ')) AS sig, any_value(tokens) AS tokens, count(*) AS size FROM lines WHERE masked <> '' GROUP BY 1),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY size DESC, sig) AS r FROM (SELECT *, len(tokens) || ' ' || {_PREFIX} AS bucket FROM sigs)),
+go AS (
+  SELECT DISTINCT bucket, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(sig VARCHAR, tokens VARCHAR[])[]) AS leaders, '' AS sig, '' AS cluster FROM placed
+  UNION ALL SELECT bucket, r, CASE WHEN found IS NULL THEN list_append(leaders, me) ELSE leaders END, sig, coalesce(found, sig)
+  FROM (SELECT s.bucket, s.r, go.leaders, s.sig, {{'sig': s.sig, 'tokens': s.tokens}} AS me, list_filter(go.leaders, lambda l: {_AGREE} >= 0.4)[1].sig AS found FROM go JOIN placed s ON s.bucket = go.bucket AND s.r = go.r + 1)
+),
+members AS MATERIALIZED (SELECT go.cluster, placed.* FROM go JOIN placed USING (sig)),
+shapes AS (SELECT cluster, i, CASE WHEN count(DISTINCT tokens[i]) > 1 THEN '<*>' ELSE min(tokens[i]) END AS token FROM (SELECT cluster, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM members) GROUP BY ALL),
+named AS (SELECT cluster, string_agg(token, ' ' ORDER BY i) AS template FROM shapes GROUP BY 1),
+rare AS (SELECT cluster, 1 - sum(size) / (SELECT sum(size) FROM sigs) AS rarity FROM members GROUP BY 1)"""
+
+
+@query("template_assignment", f"""WITH {TEMPLATES} SELECT event_id, CASE WHEN masked = '' THEN 'empty' ELSE 'T' || substr(m.cluster, 1, 12) END AS template_id, CASE WHEN masked = '' THEN '<EMPTY>' ELSE template END AS template,
+ CASE WHEN masked = '' THEN 0.5 ELSE rarity END AS template_rarity FROM lines LEFT JOIN members m ON m.sig = md5(array_to_string(lines.tokens, ' ')) LEFT JOIN named ON named.cluster = m.cluster LEFT JOIN rare ON rare.cluster = m.cluster""")
 def template_assignment(t):
     """Every raw line with template and rarity."""
     return L.assign_templates(t.dealt(t.raw), L.log_templates(t.dealt(t.raw))).select("event_id", "template_id", "template", "template_rarity")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from watchtide.operators import triage as G
 from watchtide.operators.netfeatures import conn_window_100
-from watchtide.streaming import connections as C
+from watchtide.streaming import connections as C, rollups as R
 
 KINDS = "event_id long, s double, src_ip string, dst_ip string, dst_port int, bytes_sent long, bytes_received long, duration_ms long, message string"
 T0 = 1_700_000_000
@@ -102,3 +102,31 @@ def test_features_of_one_destination():
         last = rows.iloc[max(0, i - n + 1) : i + 1]
         want = (len(seen), (seen["service"] == r["service"]).sum(), seen["syn"].sum() / len(seen), seen["rej"].sum() / len(seen), last["src"].nunique(), (last["service"] == r["service"]).sum())
         assert want == tuple(got.loc[i, ["count", "srv_count", "serror_rate", "rerror_rate", "dst_host_count", "dst_host_srv_count"]])
+
+
+def events(rnd, n, first):
+    return [(first + k, T0 + rnd.randrange(0, 3 * 86_400), f"s{rnd.randrange(4)}") for k in range(n)]
+
+
+def test_compacted_rollups_over_many_batches(spark, tmp_path):
+    """Late and repeated rows over twelve batches; readers list a bounded number of folders, also when a compaction is cut off."""
+    rnd = random.Random(2)
+    kinds = "event_id long, s long, source string"
+    stamped = lambda rows: spark.createDataFrame(rows, kinds).select("event_id", "source", F.timestamp_seconds("s").alias("timestamp"))
+    per_hour = lambda df: df.groupBy(F.window("timestamp", "1 hour").start.alias("hour"), "source").agg(F.count("*").alias("event_count"))
+    rows, sizes, dedup = [], [], []
+    for k in range(12):
+        new = events(rnd, 40, k * 100) + rows[:: 7 + k]  # and copies of earlier ones
+        stamped(new).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        rows += new
+        s = lambda: spark.readStream.schema(stamped(new).schema).parquet(f"{tmp_path}/in")
+        R.keep_rollup(s(), per_hour, f"{tmp_path}/out", f"{tmp_path}/cp", merge=R.merged_counts, every=3).awaitTermination()
+        R.stream_dedup(s(), f"{tmp_path}/once", f"{tmp_path}/cp2").awaitTermination()
+        sizes.append(len(R._folders(f"{tmp_path}/out")))
+        if k == 7:  # a base that was not written to its end
+            (tmp_path / "out/base/upto=7").mkdir(parents=True)
+    got = sorted(map(tuple, R.read_rollup(spark, f"{tmp_path}/out", ["hour", "source"]).collect()))
+    assert got == sorted(map(tuple, per_hour(stamped(rows)).collect()))
+    assert max(sizes) <= 4 and len(list((tmp_path / "out/parts").glob("batch=*"))) <= 7 and len(list((tmp_path / "out/marks").glob("batch=*"))) <= 2
+    once = [r["event_id"] for r in spark.read.parquet(f"{tmp_path}/once").collect()]
+    assert sorted(once) == sorted({r[0] for r in rows})

@@ -39,9 +39,10 @@ def place(t: Tables) -> str:
     return f"{checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
-def rolled(t: Tables, rows, rollup) -> str:
+def rolled(t: Tables, rows, rollup, merge=T.merged_counts) -> str:
+    """The rollup after the stream has ended."""
     where = place(t)
-    T.keep_rollup(rows, rollup, f"{where}/out", f"{where}/offsets").awaitTermination()
+    T.keep_rollup(rows, rollup, f"{where}/out", f"{where}/offsets", merge=merge, every=2).awaitTermination()
     return f"{where}/out"
 
 
@@ -62,7 +63,7 @@ def stream_severity_hourly(t):
 
 @query("stream_entity_freq", ENTITY_FREQ)
 def stream_entity_freq(t):
-    return A.merge_entity_freq(T.read_parts(t.spark, rolled(t, actions(stream(t)), T.entity_freq)))
+    return A.merge_entity_freq(T.read_parts(t.spark, rolled(t, actions(stream(t)), T.entity_freq, T.merged_entity_freq)))
 
 
 @query("stream_dedup", "SELECT event_id, CAST(timestamp AS VARCHAR) AS timestamp FROM fx_raw")

@@ -60,10 +60,13 @@ def adjusted_score(t):
     return G.adjusted_score(df).select("event_id", F.col("adjusted_score").alias("adj"), F.col("asset_multiplier").alias("mu"))
 
 
-@query("adjusted_score_by_frequency", f"WITH {FUSED} SELECT event_id, round(least(1.0, combined_score + CASE WHEN 1 - template_rarity < 0.15 THEN 0.1 * (1 - (1 - template_rarity) / 0.15) ELSE 0 END), 6) AS adj FROM fs WHERE eif_score < 0.65")
+_BOOSTED = "least(1.0, combined_score + CASE WHEN 1 - template_rarity < 0.15 THEN 0.1 * (1 - (1 - template_rarity) / 0.15) ELSE 0 END)"
+
+
+@query("adjusted_score_by_frequency", f"WITH {FUSED} SELECT event_id, round(CASE WHEN eif_score >= 0.65 THEN greatest({_BOOSTED}, 0.45) ELSE {_BOOSTED} END, 6) AS adj FROM fs")
 def adjusted_score_by_frequency(t):
     df = G.score_fusion(t.scores).withColumns({"ioc_match": F.lit(0), "asset_multiplier": F.lit(1.0)})
-    return G.adjusted_score(df, rarity_as="frequency").where("eif_score < 0.65").select("event_id", F.col("adjusted_score").alias("adj"))
+    return G.adjusted_score(df, rarity_as="frequency").select("event_id", F.col("adjusted_score").alias("adj"))
 
 
 @query("score_fusion", """WITH w AS (SELECT *, 0.4 AS c, 0.25 * 0.4 AS w3, 0.25 - 0.25 * 0.4 AS free, (lgbm_score + eif_score + arf_score) / 3 AS m FROM fx_scores),

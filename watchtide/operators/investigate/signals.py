@@ -7,9 +7,12 @@ alert and fact is formed.
 
 from __future__ import annotations
 
+import bisect
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field as dc_field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from watchtide.functions.expr import first_case, lookup, uuid5
@@ -267,7 +270,6 @@ TEMPLATE_TRIGGERS = [
     (["auth", "login", "password", "credential"], "template_auth"), (["lateral", "smb", "rdp", "remote"], "template_lateral"), (["user_created", "new_user", "account"], "template_user_created"),
     (["priv", "escalat", "sudo"], "template_priv_escalation"), (["exfil", "upload", "transfer"], "template_data_exfil"), (["scan", "port", "recon", "discovery"], "template_port_scan"), (["outbound", "c2", "beacon"], "outbound"),
 ]
-RULE_BOUND = 5_000
 
 
 def reachable_rules(rules=MITRE_RULES) -> list[tuple]:
@@ -288,29 +290,65 @@ def active_triggers(template: str = "message", ts: str = "timestamp") -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in flags]))
 
 
-def _rule_array(rules) -> Column:
-    rows = sorted(rules, key=lambda r: (r[1], r[0]))
-    if len(rows) > RULE_BOUND:
-        raise ValueError(f"more than {RULE_BOUND} mapping rules; split them by tactic")
-    return F.array(*[F.struct(F.lit(r[0]).alias("rule_id"), F.array(*[F.lit(x) for x in r[2]]).alias("features"), F.lit(float(r[3])).alias("threshold"), F.lit(r[4]).alias("technique"), F.lit(r[6]).alias("tactic"), F.lit(CONFIDENCE.get(r[7], 0.3)).alias("confidence")) for r in rows])
+_RULE_COLUMNS = "rule_id string, priority int, trigger_features array<string>, trigger_threshold double, mitre_id string, mitre_name string, mitre_tactic string, confidence string"
+_USEFUL = "feature string, priority int, rule_id string, threshold double"
 
 
-def rules_from_table(rules: DataFrame) -> list[tuple]:
-    """Mapping rules of a table; refuses a table beyond the bound instead of cutting it."""
-    rows = rules.limit(RULE_BOUND + 1).collect()
-    if len(rows) > RULE_BOUND:
-        raise ValueError(f"more than {RULE_BOUND} mapping rules; split them by tactic")
-    return [(r["rule_id"], r["priority"], list(r["trigger_features"]), r["trigger_threshold"], r["mitre_id"], r["mitre_name"], r["mitre_tactic"], r["confidence"]) for r in rows]
+def rule_table(spark: SparkSession, rules) -> DataFrame:
+    return spark.createDataFrame([(r[0], int(r[1]), list(r[2]), float(r[3]), *r[4:]) for r in rules], _RULE_COLUMNS)
+
+
+def _useful(rows: pa.Table, best: int, fallback: int) -> pa.Table:
+    """Rules of each feature that can be among its best at some score: fewer than so many come before them with a threshold as low."""
+    rows = rows.sort_by([("feature", "ascending"), ("priority", "ascending"), ("rule_id", "ascending")])
+    keep, lows, now = [], [], None
+    for feature, threshold in zip(rows["feature"].to_pylist(), rows["threshold"].to_pylist()):
+        if feature != now:
+            now, lows = feature, []
+        before = bisect.bisect_right(lows, threshold)
+        keep.append(before < (fallback if feature == ANY else best))
+        if keep[-1]:
+            lows.insert(before, threshold)
+    return rows.filter(pa.array(keep, pa.bool_()))
+
+
+#: The feature under which a rule is found by its threshold alone.
+ANY = "*"
+
+
+def rule_index(rules: DataFrame, best: int = 25, fallback: int = 5) -> DataFrame:
+    """(feature, priority, rule_id, threshold) of the rules that can be picked through a feature, however many there are.
+
+    Tasks drop what cannot be among the best of what they have, then a feature's rest is thinned once more.
+    """
+    long = rules.select(F.explode(F.array_distinct(F.concat("trigger_features", F.array(F.lit(ANY))))).alias("feature"), "priority", "rule_id", F.col("trigger_threshold").cast("double").alias("threshold"))
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _useful(pa.Table.from_batches([batch]), best, fallback).to_batches()
+
+    return long.mapInArrow(thin, _USEFUL).groupBy("feature").applyInArrow(lambda t: _useful(t, best, fallback), _USEFUL)
 
 
 def rule_overlap(alerts: DataFrame, rules=MITRE_RULES, best: int = 25, fallback: int = 5) -> DataFrame:
     """Rules whose threshold the score reaches and that share an active trigger, by priority; without
-    any trigger the first few by threshold alone."""
-    reached = F.filter(F.col("_rules"), lambda r: r["threshold"] <= F.round("adjusted_score", 4))
-    shared = F.filter(reached, lambda r: F.arrays_overlap(r["features"], F.col("active_triggers")))
-    picked = F.when(F.size("active_triggers") > 0, F.slice(shared, 1, best)).otherwise(F.slice(reached, 1, fallback))
+    any trigger the first few by threshold alone. `rules` is a list or a table of any size: an index from
+    feature to rules meets the alerts' triggers in a join, and each alert keeps its best."""
+    spark = alerts.sparkSession
+    table = rules if isinstance(rules, DataFrame) else rule_table(spark, rules)
     out = alerts if "active_triggers" in alerts.columns else alerts.withColumn("active_triggers", active_triggers())
-    return out.withColumn("_rules", _rule_array(rules)).withColumn("mitre_matches", picked).drop("_rules")
+    named = F.size("active_triggers") > 0
+    asks = out.select("event_id", F.round("adjusted_score", 4).alias("_score"), F.explode(F.when(named, F.col("active_triggers")).otherwise(F.array(F.lit(ANY)))).alias("feature"))
+    found = asks.join(rule_index(table, best, fallback), "feature").where(F.col("threshold") <= F.col("_score"))
+    found = found.groupBy("event_id", "priority", "rule_id").agg((F.max("feature") == ANY).alias("_any"))
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy("priority", "rule_id"))
+    found = found.withColumn("_n", place).where((F.col("_n") <= best) & (~F.col("_any") | (F.col("_n") <= fallback)))
+    strength = lookup(F.col("confidence"), CONFIDENCE)
+    whole = table.select("rule_id", F.struct("rule_id", F.col("trigger_features").alias("features"), F.col("trigger_threshold").cast("double").alias("threshold"), F.col("mitre_id").alias("technique"), F.col("mitre_tactic").alias("tactic"), F.coalesce(strength, F.lit(0.3)).alias("confidence")).alias("r"))
+    listed = found.join(whole, "rule_id").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("_n", "r"))).alias("_m"))  # at most `best`
+    out = out.join(listed, "event_id", "left").withColumn("mitre_matches", F.transform("_m", lambda x: x["r"])).drop("_m")
+    none = F.array().cast(out.schema["mitre_matches"].dataType)
+    return out.withColumn("mitre_matches", F.coalesce("mitre_matches", none))
 
 
 def mitre_mapping(alerts: DataFrame, rules=MITRE_RULES) -> DataFrame:

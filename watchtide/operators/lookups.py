@@ -33,26 +33,41 @@ def threshold_coverage(events: DataFrame, thresholds: DataFrame) -> DataFrame:
     return used.join(thresholds.select("source_type").distinct(), "source_type", "left_anti")
 
 
-_SALTS = 32  # parts of the names that meet patterns without a literal part
+#: Comparisons of a name with a pattern that one key makes; keys with more are split over salts.
+COMPARISONS = 1_000_000
+
+
+def _trigrams(text: Column) -> Column:
+    n = F.length(text)
+    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+
+def _pattern_keys(hosts: DataFrame, assets: DataFrame, comparisons: int = COMPARISONS) -> tuple[DataFrame, DataFrame]:
+    """Names (hostname, gram, salt) and patterns (hostname_pattern, multiplier, gram, salt) that meet."""
+    names = hosts.select("hostname", F.explode(F.concat(_trigrams(F.lower("hostname")), F.array(F.lit("")))).alias("gram"))
+    common = names.groupBy("gram").agg(F.count("*").alias("n"))
+    literals = F.split(F.lower("hostname_pattern"), r"[%_\\\\]+")
+    grams = F.flatten(F.transform(literals, _trigrams))
+    rules = assets.select("hostname_pattern", "multiplier", F.explode(F.when(F.size(grams) > 0, grams).otherwise(F.array(F.lit("")))).alias("gram"))
+    rated = rules.join(common, "gram", "left").groupBy("hostname_pattern", "multiplier").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k"))
+    picked = rated.where("k.n > 0").select("hostname_pattern", "multiplier", "k.n", "k.gram")  # a literal part that no name has matches nothing
+    keys = picked.groupBy("gram").agg(F.ceil(F.max("n") * F.count("*") / comparisons).alias("salts"))
+    split = lambda df: df.join(keys, "gram")
+    names = split(names).select("hostname", "gram", F.pmod(F.xxhash64("hostname"), F.col("salts")).alias("salt"))
+    patterns = split(picked).select("hostname_pattern", "multiplier", "gram", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    return names, patterns
 
 
 def asset_multipliers(hostnames: DataFrame, assets: DataFrame) -> DataFrame:
     """First matching LIKE pattern (by text) of each distinct host name.
 
-    A pattern can only match names that have its longest literal part. Three letters of that part are an
-    equality key, so no pair of name and pattern is formed that does not share them. Patterns with shorter
-    literal parts have no such key; their names are dealt out over salts.
+    A pattern can only match names that have all three-letter pieces of its literal parts. The one that fewest names have is
+    its key, so patterns of one naming scheme meet at what tells them apart, and no pair of name and pattern is
+    formed that does not share it. Patterns without such a piece meet all names. A key with many names and patterns is split.
     """
-    hosts = hostnames.select(F.col("hostname"), F.lower("hostname").alias("_h")).where("hostname <> ''").distinct()
-    literals = F.split(F.lower("hostname_pattern"), r"[%_\\\\]+")
-    longest = F.aggregate(literals, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
-    salts = F.transform(F.sequence(F.lit(0), F.lit(_SALTS - 1)), lambda k: F.concat(F.lit("#"), k.cast("string")))
-    rules = assets.select("hostname_pattern", "multiplier", longest.alias("_l"))
-    rules = rules.select("hostname_pattern", "multiplier", F.explode(F.when(F.length("_l") >= 3, F.array(F.concat(F.lit("="), F.substring("_l", 1, 3)))).otherwise(salts)).alias("key"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_h") - 2, F.lit(1))), lambda i: F.concat(F.lit("="), F.substring(F.col("_h"), i, F.lit(3))))
-    own = F.array(F.concat(F.lit("#"), F.pmod(F.xxhash64("_h"), F.lit(_SALTS)).cast("string")))
-    starts = hosts.select("hostname", F.explode(F.array_distinct(F.concat(grams, own))).alias("key"))
-    hit = starts.join(rules, "key").where(F.ilike("hostname", "hostname_pattern"))
+    hosts = hostnames.select("hostname").where("hostname <> ''").distinct()
+    names, patterns = _pattern_keys(hosts, assets)
+    hit = names.join(patterns, ["gram", "salt"]).where(F.ilike("hostname", "hostname_pattern"))
     return hit.groupBy("hostname").agg(F.min_by("multiplier", "hostname_pattern").alias("asset_multiplier"))
 
 

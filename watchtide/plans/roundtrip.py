@@ -29,6 +29,22 @@ def table_sink(t):
     return t.spark.read.parquet(f"{where}/security_events").select(F.col("event_date").cast("string").alias("event_date"), "event_id", "severity", "category", "hostname", "user_id")
 
 
+_AGE = "date_diff('day', CAST(timestamp AS DATE), DATE '2024-01-31')"
+
+
+@query("retention_apply", f"SELECT CASE WHEN {_AGE} >= 10 THEN 'cold' WHEN {_AGE} >= 3 THEN 'warm' ELSE 'hot' END AS tier, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS event_date, event_id, message FROM fx_raw WHERE {_AGE} < 20")
+def retention_apply(t):
+    """Days written, brought to their tiers in two goes, and read back from where they are."""
+    where = place(t)
+    sinks.write_table(t.raw, where, "raw_logs", batch_id=0)
+    policy = t.spark.createDataFrame([("raw_logs", 3, 10, 20)], "table_name string, warm_days int, cold_days int, delete_days int")
+    for as_of in ("2024-01-20 12:00:00", "2024-01-31 12:00:00"):
+        sinks.apply_retention(t.spark, where, policy, as_of)
+    parts = [t.spark.read.parquet(f"{where}/{home}raw_logs").withColumn("tier", F.lit(tier)) for tier, home in (("hot", ""), ("warm", "tier=warm/"), ("cold", "tier=cold/"))]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("tier", F.col("event_date").cast("string").alias("event_date"), "event_id", "message")
+
+
 @query("log_file_source", "SELECT message AS value, count(*) AS cnt FROM fx_raw GROUP BY 1")
 def log_file_source(t):
     where = place(t)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import date
+
+from pyarrow import fs as files
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from watchtide.functions.expr import moment
@@ -78,3 +81,40 @@ def retention_plan(partitions: DataFrame, policy: DataFrame, as_of) -> DataFrame
         .when(age >= F.col("warm_days"), "warm").otherwise("hot")
     )
     return partitions.join(policy, "table_name").withColumn("age_days", age).withColumn("tier", tier).select("table_name", "event_date", "age_days", "tier")
+
+
+TIERS = ("warm", "cold")
+
+
+def _days(path: str, table: str) -> list[tuple[str, date]]:
+    """Folder, relative to the path, and day of every day partition of a table, within batches or not."""
+    system, place = files.FileSystem.from_uri(path)
+    found = system.get_file_info(files.FileSelector(f"{place}/{table}", recursive=True, allow_not_found=True))
+    days = [x.path for x in found if x.type == files.FileType.Directory and x.base_name.startswith("event_date=2")]
+    return [(d[len(place) + 1 :], date.fromisoformat(d[-10:])) for d in days]
+
+
+def apply_retention(spark: SparkSession, path: str, policy: DataFrame, as_of) -> DataFrame:
+    """Bring every day of every table of the policy to its tier: whole partitions are moved below `tier=warm` and `tier=cold`, or removed.
+
+    Only folders are touched, no rows are read. A folder is moved in one step, so a job that was cut off goes on where it
+    was; days that are in their tier already stay. Returns (table_name, event_date, tier, folders) of what was there.
+    """
+    system, place = files.FileSystem.from_uri(path)
+    places = {"hot": "", **{t: f"tier={t}/" for t in TIERS}}
+    there = [(r["table_name"], day, home, rest) for r in policy.select("table_name").distinct().collect() for home in places.values() for rest, day in _days(path + (f"/{home[:-1]}" if home else ""), r["table_name"])]
+    kinds = "table_name string, event_date date, home string, folder string"
+    plan = spark.createDataFrame(there, kinds)
+    tiers = retention_plan(plan.select("table_name", "event_date").distinct(), policy, as_of).select("table_name", "event_date", "tier")
+    rows = plan.join(tiers, ["table_name", "event_date"]).collect()  # a row per folder
+    for r in rows:
+        source = f"{place}/{r['home']}{r['folder']}"
+        if r["tier"] == "delete":
+            system.delete_dir(source)
+        elif places[r["tier"]] != r["home"]:
+            target = f"{place}/{places[r['tier']]}{r['folder']}"
+            if system.get_file_info(target).type == files.FileType.Directory:  # of a job that was cut off
+                system.delete_dir(target)
+            system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            system.move(source, target)
+    return spark.createDataFrame([(r["table_name"], r["event_date"], r["tier"]) for r in rows], "table_name string, event_date date, tier string").groupBy("table_name", "event_date", "tier").agg(F.count("*").alias("folders"))

@@ -94,6 +94,27 @@ def test_stages_equal_brute_force(spark, corpus):
     assert sum(r["length"] for r in five) == sum(len(size(t, add_special_tokens=False).ids) + 1 for _, t in left)
 
 
+def test_stages_lose_no_row_and_no_column(spark, corpus, prose):
+    """Rows that share a doc_id, names that stages use themselves, and cut texts."""
+    folder, rows, bench = corpus
+    _, make = prose(31)
+    texts = [make(60), make(60), make(60)]
+    extra = [(900, texts[0]), (900, texts[1]), (901, texts[2]), (900, texts[0]), (902, texts[2] + " tail"), (903, f"{make(20)} {bench[0][1]} {make(20)}")]
+    df = spark.createDataFrame([(i, t, "aa", "s", len(t), 77, f"c{k}", k, "x", 5) for k, (i, t) in enumerate(extra)], COLUMNS + ", _lang int, _copy string, key int, `a.b` string, class_id int")
+    stages = dict(P.STAGES)
+    one = stages["language_id"](spark, df, folder)
+    assert one.columns == df.columns and sorted(one.collect(), key=str) == sorted(df.collect(), key=str)
+    two = stages["near_dedup"](spark, one, folder)
+    assert two.columns == df.columns
+    got = two.collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted({(i, t) for i, t in extra if i != 902})
+    assert {r["_lang"] for r in got} == {77} and all(r["_copy"] == f"c{r['key']}" for r in got)
+    four = stages["decontamination"](spark, two, folder).collect()
+    assert all(r["n_chars"] == len(r["text"]) for r in four) and min(len(r["text"].split()) for r in four if r["doc_id"] == 903) < 60
+    for stage in ("language_id", "near_dedup", "suffix_dedup", "decontamination"):
+        assert stages[stage](spark, df.limit(0), folder).collect() == []
+
+
 def test_run_applies_all_stages(spark, corpus):
     folder, rows, _ = corpus
     out = P.run(spark, folder).collect()
@@ -102,7 +123,7 @@ def test_run_applies_all_stages(spark, corpus):
 
 def test_every_operator_is_registered(spark):
     names = [n for n in Q.QUERIES if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in Q.QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in Q.QUERIES
     assert set(Q.QUERIES) <= set(entry.queries()) and set(Q.ORACLES) <= set(entry.oracle_sql())
 
 
@@ -111,7 +132,7 @@ def test_queries_run_over_the_whole_table(spark, name):
     df = Q.QUERIES[name](spark, SF)
     rows = df.collect()
     con = duckdb.connect()
-    per_row = {"op1_warc": "pages", "op4_html_extraction": "pages"} | {n: "documents" for n in Q.QUERIES if re.match(r"op(2|5|6|7|8|10)_", n)}
+    per_row = {"op1_warc": "pages", "op4_html_extraction": "pages"} | {n: "documents" for n in Q.QUERIES if re.match(r"op(2|5|6|7|8|10|11|12)_", n)}
     if name in per_row:
         assert len(rows) == con.sql(f"SELECT count(*) FROM '{SF}/{per_row[name]}.parquet'").fetchall()[0][0]
     assert rows

@@ -131,7 +131,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, whole_documents: bool = False) -> DataFrame:
     """The documents with all their columns; hit spans are cut from `text`, or hit documents dropped.
 
-    A cut text is scanned again, until no window is left in it. Texts without a hit stay as they are.
+    A cut text is scanned again, until no window is left in it, and its `n_chars` counted anew. Texts without a hit stay as they are.
     """
     blocks = _blocks(benchmark, n)
 
@@ -161,6 +161,12 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, whole_documents:
                 for row in hit:
                     texts[row] = cut(texts[row])
                 batch = batch.set_column(place, "text", pa.array(texts, batch.schema.field(place).type))
+                count = batch.schema.get_field_index("n_chars")
+                if count >= 0 and pa.types.is_integer(batch.schema.field(count).type):
+                    sizes = batch.column(count).to_pylist()
+                    for row in hit:
+                        sizes[row] = len(texts[row])
+                    batch = batch.set_column(count, "n_chars", pa.array(sizes, batch.schema.field(count).type))
             yield batch
 
     return docs.mapInArrow(clean, docs.schema)

@@ -74,3 +74,26 @@ def test_retention_goes_on_where_it_was(spark, tmp_path):
     assert spark.read.parquet(f"{path}/tier=warm/raw_logs").count() == 26
     later = sinks.apply_retention(spark, path, policy, "2024-03-20 10:00:00")
     assert {k: len(x) for k, x in tiers().items()} == {"": 0, "warm": 0, "cold": 0} and later.where("tier <> 'delete'").count() == 0
+
+
+def test_forest_does_not_depend_on_partitions(spark):
+    from watchtide.operators import models as M
+
+    rnd = random.Random(6)
+    rows = [(k, rnd.random(), rnd.random(), 0) for k in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, x double, y double, label int")
+    one, other = (M.grow_forest(d, ["x", "y"], trees=5, sample=32) for d in (df.coalesce(1), df.repartition(7)))
+    assert len(one) == 5 and one == other
+
+
+def test_registered_embedders_are_used(spark):
+    from watchtide.operators import vectors as Q
+
+    length = F.udf(lambda t: [float(len(t)), 1.0], "array<float>")
+    Q.register_embedder("length", length)
+    try:
+        df = spark.createDataFrame([("abc",), ("a",)], "message string")
+        assert [r["vector"] for r in Q.embed(df, "message", embedder="length").collect()] == [[3.0, 1.0], [1.0, 1.0]]
+        assert len(Q.embed(df, "message", dim=16).first()["vector"]) == 16
+    finally:
+        Q.EMBEDDERS.pop("length")

@@ -42,11 +42,14 @@ def probability(df: DataFrame, model, features: Sequence[str], out: str = "score
     return scored.withColumn(out, F.get(vector_to_array("probability"), F.lit(1))).drop("_x", "rawPrediction", "probability", "prediction")
 
 
-def train_supervised(df: DataFrame, features: Sequence[str], label: str, key: list[str], rounds: int = 100, depth: int = 6, seed: int = 42):
-    """Boosted trees on a hash split; returns (model, metrics, importances). ``passed`` is the F1 gate."""
+def train_supervised(df: DataFrame, features: Sequence[str], label: str, key: list[str], rounds: int = 100, depth: int = 6, seed: int = 42, strata: Sequence[str] = ()):
+    """Boosted trees; returns (model, metrics, importances). ``passed`` is the F1 gate.
+
+    The split is by hash, and each label (of each dataset, or whatever else is in ``strata``) gives its exact share.
+    """
     from pyspark.ml.classification import GBTClassifier
 
-    train, test = train_test(df, key, seed=seed)
+    train, test = train_test(df, key, seed=seed, strata=[*strata, label])
     fit = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_w", maxIter=rounds, maxDepth=depth, seed=seed)
     model = fit.fit(_assembled(_weighted(train, label), features))
     metrics = binary_metrics(probability(test, model, features), "score", label, [0.5]).withColumn("passed", (F.col("f1") >= F1_GATE).cast("int"))
@@ -114,13 +117,16 @@ def grow_forest(normal: DataFrame, features: Sequence[str], trees: int = 300, sa
     count = normal.count()
     share = min(1.0, 1.5 * trees * sample / max(1, count))
     copies = max(1, -(-trees * sample // max(1, count)))  # small inputs serve several trees
-    drawn = normal.select(*features).where(F.rand(seed) < share).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    drawn = drawn.withColumn("tree", F.floor(F.rand(seed + 1) * trees).cast("int")).withColumn("_o", F.rand(seed + 2))
-    picked = smallest_per_group(drawn, ["tree"], ["_o"], sample, salts=1).drop("_copy", "_o")
+    # draws by the row itself, so the forest does not depend on partitions
+    own = [F.col(f"`{c}`") for c, kind in normal.dtypes if not kind.startswith("map")]
+    draw = lambda k, *more: F.pmod(F.xxhash64(F.lit(seed + k), *own, *more), F.lit(1 << 40)) / float(1 << 40)
+    drawn = normal.where(draw(0) < share).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    drawn = drawn.select(*features, F.floor(draw(1, F.col("_copy")) * trees).cast("int").alias("tree"), draw(2, F.col("_copy")).alias("_o"))
+    picked = smallest_per_group(drawn, ["tree"], ["_o"], sample, salts=1)
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         number = int(rows["tree"].iloc[0])
-        x = rows[list(features)].to_numpy(dtype=np.float64)
+        x = rows.sort_values("_o", kind="stable")[list(features)].to_numpy(dtype=np.float64)
         root = _grow(x, 0, int(np.ceil(np.log2(max(2, sample)))), np.random.default_rng(seed + number), extension)
         return pd.DataFrame({"tree": [number], "body": [json.dumps(root)]})
 

@@ -477,12 +477,12 @@ def distinct_values(t):
 
 
 @query("suspicious_ip_join", f"""SELECT s.ip AS src_ip, sec_count, net_count FROM
- (SELECT src_ip AS ip, count(*) AS sec_count FROM fx_network WHERE is_suspicious = 1 AND timestamp >= {T0} - INTERVAL 7 DAY GROUP BY 1) s
+ (SELECT ip_address AS ip, count(*) AS sec_count FROM fx_security WHERE severity >= 3 AND timestamp >= {T0} - INTERVAL 7 DAY GROUP BY 1) s
  JOIN (SELECT src_ip AS ip, count(*) AS net_count FROM fx_network WHERE timestamp >= {T0} - INTERVAL 7 DAY GROUP BY 1) n USING (ip) ORDER BY sec_count DESC, src_ip LIMIT 10""")
 def suspicious_ip_join(t):
     from watchtide.operators.lookups import suspicious_ip_join
 
-    sec = R._recent(t.network.where("is_suspicious = 1"), AS_OF, "7 DAYS").withColumnRenamed("src_ip", "ip_address")
+    sec = R._recent(t.security.where("severity >= 3"), AS_OF, "7 DAYS")
     return suspicious_ip_join(sec, R._recent(t.network, AS_OF, "7 DAYS"))
 
 

@@ -47,6 +47,13 @@ def test_a_threshold_keeps_small_payloads_as_responses(spark, tmp_path):
     assert W.read(W.write(df.limit(0), f"{tmp_path}/b"), f"{tmp_path}/b").count() == 0
 
 
+def test_headers_of_any_length(spark, tmp_path):
+    long = "http://x/" + "ab" * (1 << 20)
+    df = spark.createDataFrame([(1, long, "<p>a"), (2, long + "c", "<p>a"), (3, "u", "<p>b")], "page_id long, url string, html string")
+    got = {r["record_id"]: r for r in W.read(W.write(df, f"{tmp_path}/a"), f"{tmp_path}/a", 1000).collect()}
+    assert {k: (r["record_type"], r["uri"]) for k, r in got.items()} == {"<urn:page:1>": ("response", long), "<urn:page:2>": ("revisit", long + "c"), "<urn:page:3>": ("response", "u")}
+
+
 def records_of(data, split):
     out = []
     for start in range(0, len(data), split):

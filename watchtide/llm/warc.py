@@ -7,7 +7,7 @@ in which its member starts, wherever it ends, so every record is read once.
 Files are read and written through pyarrow's file systems, so the folder may be any that all executors reach.
 
 Defined cases: a null payload is empty; a null page_id sorts last and is written as an empty name; rows that share the
-smallest page_id of a payload are all responses; a member whose header is right but whose rest is broken is a row
+smallest page_id of a payload are all responses; a header is as long as it is; a member whose header is right but whose rest is broken is a row
 of type `damaged` without a payload; bytes that belong to no member are skipped; an empty table gives no files and no rows.
 """
 
@@ -30,7 +30,6 @@ from watchtide.session import checkpoint_dir, cut_lineage
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes asked of the file system at once.
 READ = 1 << 20
-LONGEST_HEADER = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -158,7 +157,7 @@ def member(window: Window, place: int) -> tuple[bytes | None, int]:
 
 def parsed(content: bytes) -> tuple[dict[str, str], bytes] | None:
     """(fields by lower-case name, block), or nothing if the record is not whole."""
-    split = content.find(b"\r\n\r\n", 0, LONGEST_HEADER)
+    split = content.find(b"\r\n\r\n")
     if split < 0:
         return None
     fields: dict[str, str] = {}

@@ -132,3 +132,52 @@ def test_templates_that_only_some_pages_of_a_host_have(spark, prose):
         want[i] = "\n".join([*mine, str(i)])
     got = dict(extracted(spark, rows))
     assert {i: got[i] for i in want if got[i] != want[i]} == {}
+
+
+NAMES = {
+    "body": ('<body class="right-sidebar has-header"><nav>{x}</nav><div class="txt">{b}</div><div class="sidebar">{x}</div></body>', ""),
+    "state": ('<body><nav>{x}</nav><div class="post comments-open">{b}</div><div class="comments">{x}</div></body>', ""),
+    "article": ('<body><article class="post has-related legal">{b}</article><div class="legal-notice">{x}</div></body>', ""),
+    "form": ('<body><form id="all"><nav>{x}</nav><article>{b}</article><label>{x}</label></form></body>', ""),
+    "only a form": ('<body><form id="all"><nav>{x}</nav><div>{b}</div><input></form></body>', ""),
+    "layout": ('<body><div class="layout right-sidebar"><main><article class="post legal">{b}</article></main><div class="sidebar-box">{x}</div></div></body>', ""),
+    "price": ('<body><article><div class="share-price">12.50</div>{b}<div class="share-buttons">{x}</div></article></body>', "12.50\n"),
+    "holders": ('<body><div class="txt">{b}</div><div class="adSlot">{x}</div><div id="cookie-banner">{x}</div><div class="related-posts">{x}</div><div class="page-header">{x}</div></body>', ""),
+}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_that_hold_the_article(prose, name):
+    _, make = prose(15)
+    form, first = NAMES[name]
+    a, b, x = make(30), make(20), make(4)
+    page = H.parse(form.format(b=f"<p>{a}</p><p>{b}</p>", x=x))
+    assert H.main_text(page, None) == f"{first}{a}\n{b}"
+
+
+def test_names_stand_where_no_article_is_lost(prose):
+    _, make = prose(16)
+    a, long = make(6), make(200)
+    for form in [
+        '<body><article>{a}</article><section class="comments"><p>{long}</p></section></body>',
+        '<body><article>{a}</article><div class="comment-list"><article>{long}</article></div></body>',
+        '<body><div class="txt">{a}</div><div class="ad">{long}</div></body>',
+        '<body><div class="txt">{a}</div><div class="sidebar"><p>{long}</p></div><form>{long}</form></body>',
+        '<body><p>{a}</p><article class="comment">{long}</article></body>',
+    ]:
+        assert H.main_text(H.parse(form.format(a=a, long=long)), None) == a
+    assert H.main_text(H.parse(f'<body><div class="ad">{long}</div><div class="cookies">{long}</div></body>'), None) == ""
+
+
+def test_names_are_told_by_their_last_word():
+    known = frozenset(["share", "related", "sidebar"])
+    yes = ["share", "post share", "share-buttons", "shareBox", "right-sidebar", "x_related_posts_list", "Sidebar2"]
+    no = ["share-price", "has-related", "no-sidebar", "related-to-nothing", "shared", "box", ""]
+    assert [bool(H._named(n, known)) for n in yes + no] == [True] * len(yes) + [False] * len(no)
+
+
+def test_columns_with_any_names(spark):
+    df = spark.createDataFrame([(1, "http://a/", "<p>x", 5, "m", "old", 2.5)], "_host long, url string, html string, _main int, `a.b` string, _text string, _shared double")
+    out = H.extract(df)
+    assert out.columns == ["_host", "url", "html", "_main", "a.b", "_shared", "_text"]
+    assert [tuple(r) for r in out.collect()] == [(1, "http://a/", "<p>x", 5, "m", 2.5, "x")]

@@ -8,6 +8,11 @@ all pages that have its element; what else lies in a template's main element (an
 holds most of the text) are slots. Slots are extracted, without parts whose element, role, class or id says that
 they are menus, adverts, comments and the like.
 
+A class or id says so only by its last word, or by one that names of holders follow (`ad-slot`, not `share-price` or
+`comments-open`), and not after a word of state (`has-related`); never on html, body or main. What classes, ids and
+forms say is doubted where it would leave too little of the page: then an article that holds a fair share of the text
+counts, whatever it and what lies around it are called, comments apart, and so does a form around nearly all.
+
 Vectors are never collected: each page adds a number made from itself and its count, so equal sums mean
 equal vectors, and hosts of any size are sums with partial aggregation. Pages are not shuffled, apart from those that a
 host has more than once, unless the templates of all hosts, or the list of such pages, are too large to be broadcast.
@@ -40,6 +45,8 @@ PAGES = 8
 TEMPLATES = 256
 #: Share of a page's text that its main element holds; for an element that says it is an article.
 MOST, SAID = 0.7, 0.4
+#: Share of a page's text that a form must leave, unless an article is there.
+LEFT = 0.1
 #: Templates of all hosts are broadcast up to this size, and joined beyond it.
 BROADCAST_BYTES = 32 << 20
 #: Tokens that a counting task holds before it sends them on.
@@ -56,6 +63,13 @@ SCOPES = frozenset("html body table ul ol dl select article section div nav main
 ASIDE_TAGS = frozenset("head nav footer aside form button select option textarea input label noscript iframe object svg canvas dialog menu template script style audio video map".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar widget widgets related recommended share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search comment comments commentlist reply replies respond disqus pagination pager toolbar hidden skip copyright legal disclaimer".split())
+#: Words that may follow those: what holds such things is called by both.
+HOLDERS = frozenset("area bar block body bottom box button buttons card container content group head header heading icon icons inner item items left link links list main outer panel placeholder post posts right row section slot text title top unit wrap wrapper zone".split())
+#: Words that make a name one of state: the element has such a part, or has none.
+STATES = frozenset("has have no not non with without is are show shows hide hides".split())
+#: Names of reader comments; these stand, however much they hold.
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
+UNNAMED_TAGS = frozenset("html body main".split())
 PAGE_HEAD_WORDS = frozenset("header banner topbar".split())
 MAIN_TAGS, MAIN_ROLES, MAIN_WORDS = frozenset(["article", "main"]), frozenset(["main", "article"]), frozenset("article articlebody".split())
 
@@ -68,16 +82,36 @@ def number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+@dataclass(slots=True, frozen=True)
+class Marks:
+    label: str
+    firm: bool = False  # not main text, beyond doubt
+    doubtful: bool = False  # not main text by its name, or a form
+    claims: bool = False  # says that it is the article
+    head: bool = False  # a page header, unless an article is around it
+
+
 @dataclass(slots=True)
 class Element:
     tag: str
     path: str
     above: int  # its parent's place, -1: none
-    aside: bool  # it or something around it is not main text
-    said: bool  # says that it is the article
-    within: bool  # it or something around it says so
+    marks: Marks
+    firm: bool = False  # it or something around it is not main text, beyond doubt
+    aside: bool = False  # it or something around it is not main text
+    said: bool = False  # says that it is the article
+    within: bool = False  # it or something around it says so
     chars: int = 0
 
+    def place(self, above: Element, lifted: bool = False) -> None:
+        """Take over what holds for the parent; what is doubtful does not count for a lifted element."""
+        marks = self.marks
+        aside = marks.firm or marks.doubtful and not lifted
+        self.firm = above.firm or marks.firm
+        self.said = marks.claims and not aside
+        self.aside = above.aside or aside or marks.head and not above.within and not lifted
+        self.within = above.within or self.said
+
 
 @dataclass(slots=True)
 class Block:
@@ -92,28 +126,75 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
 
 
-def _marks(tag: str, attributes: str, known: dict) -> tuple[str, bool, bool, bool]:
-    """(label, is aside, says that it is the article, is a page header)"""
+def _named(names: str, known: frozenset[str]) -> set[str]:
+    """Those of the known words that a class or id is called by."""
+    found = set()
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        while len(words) > 1 and words[-1] in HOLDERS and words[-1] not in known:
+            words.pop()
+        if words and words[-1] in known and not STATES.intersection(words[:-1]):
+            found.add(words[-1])
+    return found
+
+
+def _marks(tag: str, attributes: str, known: dict) -> Marks:
     key = tag + attributes
     if key not in known:
         found = {a.lower(): unescape(x or y or z or "") for a, x, y, z in _ATTRIBUTE.findall(attributes)}
         name = " ".join([found.get("id", ""), found.get("class", "")])
-        words = {w.lower() for w in _WORDS.findall(name)}
         role = found.get("role", "").lower()
         label = tag + "".join("." + x for x in sorted(set(re.sub(r"\d+", "", name).split())))
         unseen = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "").lower()) is not None
-        aside = tag in ASIDE_TAGS or role in ASIDE_ROLES or bool(words & ASIDE_WORDS) or unseen
-        said = not aside and (tag in MAIN_TAGS or role in MAIN_ROLES or bool(words & MAIN_WORDS) or found.get("itemprop", "").lower() == "articlebody")
+        names = set() if tag in UNNAMED_TAGS else _named(name, ASIDE_WORDS)
+        firm = unseen or tag != "form" and tag in ASIDE_TAGS or role != "form" and role in ASIDE_ROLES or bool(names & COMMENT_WORDS)
+        claims = tag in MAIN_TAGS or role in MAIN_ROLES or bool({w.lower() for w in _WORDS.findall(name)} & MAIN_WORDS) or found.get("itemprop", "").lower() == "articlebody"
+        head = tag == "header" or tag not in UNNAMED_TAGS and bool(_named(name, PAGE_HEAD_WORDS))
         if len(known) > 50_000:
             known.clear()
-        known[key] = label, aside, said, tag == "header" or bool(words & PAGE_HEAD_WORDS)
+        known[key] = Marks(label, firm, bool(names) or tag == "form" or role == "form", claims, head)
     return known[key]
 
 
+def doubt(page: Page) -> None:
+    """Names and forms that would leave too little of the page do not count for an article and what lies around it; without an article, forms do not."""
+    sizes = [(page.elements[b.at], len(b.text) - min(b.linked, len(b.text))) for b in page.blocks]
+    left = sum(n for e, n in sizes if not e.aside)
+    if left >= (1 - MOST) * sum(n for e, n in sizes if not e.firm):
+        return
+    _count(page, "firm")
+    most = page.elements[0].chars
+    trusted = [k for k, e in enumerate(page.elements) if e.marks.claims and not e.firm and e.chars >= SAID * most]
+    if trusted:
+        trusted += [k for k, e in enumerate(page.elements) if not e.firm and e.chars >= MOST * most]
+    lifted = set()
+    for k in trusted:
+        while k >= 0 and k not in lifted:
+            lifted.add(k)
+            k = page.elements[k].above
+    if not trusted and left < LEFT * most:
+        lifted = {k for k, e in enumerate(page.elements) if e.tag == "form" and not e.firm and e.chars >= MOST * most}
+    for k, e in enumerate(page.elements):  # parents come before children
+        if e.above >= 0:
+            e.place(page.elements[e.above], k in lifted)
+
+
+def _count(page: Page, but: str) -> None:
+    """Characters outside links of each element, with all it holds, but what is `aside` or `firm`."""
+    for e in page.elements:
+        e.chars = 0
+    for block in page.blocks:
+        if not getattr(page.elements[block.at], but):
+            k = block.at
+            while k >= 0:
+                page.elements[k].chars += len(block.text) - min(block.linked, len(block.text))
+                k = page.elements[k].above
+
+
 def parse(html: str, known: dict | None = None) -> Page:
     """Structural elements and text blocks of a page, in order."""
     known = {} if known is None else known
-    page = Page([Element("", "", -1, False, False, False)])
+    page = Page([Element("", "", -1, Marks(""))])
     stack, parts, linked, in_link = [0], [], 0, False
     hidden: list[str] = []  # open inline elements that are not shown
 
@@ -162,7 +243,7 @@ def parse(html: str, known: dict | None = None) -> Page:
             elif end:
                 if hidden and hidden[-1] == tag:
                     hidden.pop()
-            elif tag not in VOID and attributes and (hidden or _marks(tag, attributes, known)[1]):
+            elif tag not in VOID and attributes and (hidden or (marks := _marks(tag, attributes, known)).firm or marks.doubtful):
                 hidden.append(tag)
             elif hidden and tag not in VOID and hidden[-1] == tag:
                 hidden.append(tag)
@@ -189,19 +270,14 @@ def parse(html: str, known: dict | None = None) -> Page:
                 break
             at = html.find(">", found.start()) + 1 or len(html)
             continue
-        label, aside, said, head = _marks(tag, attributes, known)
+        marks = _marks(tag, attributes, known)
         above = page.elements[stack[-1]]
-        aside = above.aside or aside or (head and not above.within)
-        page.elements.append(Element(tag, f"{above.path}/{label}", stack[-1], aside, said, above.within or said))
+        page.elements.append(Element(tag, f"{above.path}/{marks.label}", stack[-1], marks))
+        page.elements[-1].place(above)
         stack.append(len(page.elements) - 1)
     flush()
-    for block in page.blocks:
-        element = page.elements[block.at]
-        if not element.aside:
-            k = block.at
-            while k >= 0:
-                page.elements[k].chars += len(block.text) - min(block.linked, len(block.text))
-                k = page.elements[k].above
+    doubt(page)
+    _count(page, "aside")
     return page
 
 
@@ -371,7 +447,10 @@ def deduce(kept: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """The pages with all their columns, and `_text`."""
+    """The pages with all their columns, and `_text`, which replaces a column of that name."""
+    fields = [f for f in pages.schema.fields if f.name.lower() != "_text"]
+    names = [f.name if f.name in ("url", "html") else f"extra_{k}" for k, f in enumerate(fields)]  # others cannot clash with the parts
+    pages = pages.select(*[F.col(f"`{f.name.replace('`', '``')}`").alias(n) for n, f in zip(names, fields)])
     parts = ["_host", "_main", "_repeated", "_others", "_shared"]
     templates = cut_lineage(deduce(cut_lineage(template_tokens(pages))).select(*[F.col(c[1:]).alias(c) for c in parts]))
     paths = F.aggregate("_others", F.lit(0), lambda n, e: n + 32 + F.octet_length(e["path"]))
@@ -395,5 +474,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts.append(main_text(parse(text or "", known), *held[name]))
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(texts, pa.string())], names=[*names, "_text"])
 
-    names = pages.columns
-    return rows.select(*names, *parts).mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("_text", T.StringType())]))
+    found = rows.select(*names, *parts).mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("_text", T.StringType())]))
+    return found.toDF(*[f.name for f in fields], "_text")

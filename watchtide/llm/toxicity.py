@@ -233,7 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with all their columns, and `_toxicity` (0 to 1)."""
+    """The documents with all their columns, and `_toxicity` (0 to 1), which replaces a column of that name."""
+    docs = docs.drop("_toxicity")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,6 +90,22 @@ def test_merkle_roots_equal_a_plain_tree(spark):
         assert (r["root"], r["merkle_depth"]) == merkle([x[2] for x in rows if x[0] == r["b"]])
 
 
+def test_segments_and_rounds_follow_the_largest_batch(spark, monkeypatch):
+    rows = [(b, f"e{i}") for b, n in ((0, 3000), (1, 1), (2, 7)) for i in range(n)]
+    leaf = spark.createDataFrame(rows, "b int, event_id string").withColumn("leaf", F.sha2("event_id", 256)).repartition(5)
+    plain = V.number_leaves(leaf, ["b"])
+    monkeypatch.setattr(V, "SEGMENT_LEAVES", 100)
+    split = V.number_leaves(leaf, ["b"])
+    assert sorted(map(str, plain.select("b", "idx", "event_id").collect())) == sorted(map(str, split.select("b", "idx", "event_id").collect()))
+    want = {b: merkle([hashlib.sha256(e.encode()).hexdigest() for e in sorted(e for c, e in rows if c == b)]) for b in range(3)}
+    assert {r["b"]: (r["root"], r["merkle_depth"]) for r in V.merkle_roots(split, ["b"]).collect()} == want
+    small = split.where("b > 0")
+    assert {r["b"]: (r["root"], r["merkle_depth"]) for r in V.merkle_roots(small, ["b"]).collect()} == {b: want[b] for b in (1, 2)}
+    rounds = [V.merkle_roots(plain, ["b"], largest=n)._jdf.queryExecution().analyzed().toString().count("collect_list") for n in (1024, 1025, 2**20 + 1)]
+    assert rounds == [1, 2, 3]
+    assert V.merkle_roots(split.where("b > 5"), ["b"]).count() == 0
+
+
 def test_changed_event_fails_verification(spark):
     ev = spark.createDataFrame([(i, i * 400, f"m{i}") for i in range(40)], "event_id int, s int, message string")
     ev = ev.select("event_id", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("timestamp"), F.lit("src").alias("source"), F.lit("INFO").alias("level"), "message")

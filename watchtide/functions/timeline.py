@@ -121,6 +121,8 @@ def text_segments(df: DataFrame, column: str, parts: int = 128, sample: int = 40
 
     The ranges follow the texts that are there, so ids with a common beginning spread as well as others.
     """
+    if parts <= 1:
+        return F.lit(0)
     rows = df.select(F.col(column).cast("string").alias("x")).where("x IS NOT NULL").orderBy(F.xxhash64("x")).limit(sample).collect()
     some = sorted({r["x"] for r in rows}, key=lambda x: x.encode())
     cuts = [some[len(some) * k // parts] for k in range(1, parts)] if some else []

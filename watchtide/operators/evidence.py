@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from watchtide.functions.expr import moment
 from watchtide.functions.timeline import segment_rank, text_segments
+from watchtide.session import cut_lineage
 
 WINDOW_S = 1800
 STORED_LEAVES = 100
@@ -21,7 +22,9 @@ LEAF_FIELDS = {
     "network_events": ["hostname", "src_ip", "dst_ip", "src_port", "dst_port", "protocol"],
 }
 _FAN = 10  # levels reduced per shuffle
-_ROUNDS = 4  # 2^40 leaves per batch
+_DEEPEST = 40
+#: Leaves of a batch that one task numbers, about, and segments of a batch at most (beyond, a segment is sorted with spill).
+SEGMENT_LEAVES, SEGMENTS = 250_000, 1024
 
 
 def event_leaf_hash(table: str, sep: str = "") -> Column:
@@ -58,20 +61,28 @@ def _pair_up(nodes: Column) -> Column:
     return F.when(F.size(nodes) > 1, half).otherwise(nodes)
 
 
-def merkle_roots(numbered: DataFrame, keys: list[str], leaf: str = "leaf", index: str = "idx") -> DataFrame:
+def largest_batch(rows: DataFrame, keys: list[str]) -> int:
+    """Leaves of the largest batch; the leaves themselves are not hashed for it."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def merkle_roots(numbered: DataFrame, keys: list[str], leaf: str = "leaf", index: str = "idx", largest: int | None = None) -> DataFrame:
     """Root and depth per batch from leaves numbered from 0.
 
     Leaves are padded to a power of two with the last one. A group of 1024 neighbours is
     reduced inside one row, so a batch of any size needs a few shuffles and no task holds
-    more than one group; padding above a group is one hash carried along.
+    more than one group; padding above a group is one hash carried along. There are as many
+    rounds as the largest batch needs, which is counted unless the caller knows it.
     """
+    largest = largest_batch(numbered, keys) if largest is None else largest
+    rounds = max(1, -(-(largest - 1).bit_length() // _FAN)) if largest else 1
     size = numbered.groupBy(*keys).agg(F.count("*").alias("n"), F.max_by(leaf, index).alias("pad"))
     # the smallest depth whose tree holds all leaves, found with whole numbers
-    depth = F.aggregate(F.sequence(F.lit(1), F.lit(_FAN * _ROUNDS)), F.lit(0), lambda d, i: F.when((d == 0) & (F.pow(F.lit(2.0), i) >= F.col("n")), i).otherwise(d))
+    depth = F.aggregate(F.sequence(F.lit(1), F.lit(_DEEPEST)), F.lit(0), lambda d, i: F.when((d == 0) & (F.pow(F.lit(2.0), i) >= F.col("n")), i).otherwise(d))
     size = size.withColumn("depth", depth)
     width = 1 << _FAN
     nodes = numbered.select(*keys, F.col(index).cast("bigint").alias("i"), F.col(leaf).alias("h")).join(size.withColumn("left", F.col("depth")), keys)
-    for _ in range(_ROUNDS):
+    for _ in range(rounds):
         same = [F.first(c).alias(c) for c in ("n", "pad", "depth", "left")]
         packed = nodes.groupBy(*keys, F.expr(f"i div {width}").alias("g")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("items"), *same)
         want = F.pow(F.lit(2.0), F.least(F.col("left"), F.lit(_FAN))).cast("int")
@@ -83,10 +94,16 @@ def merkle_roots(numbered: DataFrame, keys: list[str], leaf: str = "leaf", index
     return nodes.select(*keys, F.col("h").alias("root"), F.col("depth").alias("merkle_depth"), F.col("n").alias("event_count"))
 
 
-def number_leaves(leaf_rows: DataFrame) -> DataFrame:
-    """Leaves numbered by event id inside their batch; ids are ordered as text."""
-    keys = ["table_name", "batch_no", "time_from", "time_to"]
-    return segment_rank(leaf_rows, keys, ["event_id"], text_segments(leaf_rows, "event_id"), "rn").withColumn("idx", F.col("rn") - 1).drop("rn")
+_BATCH = ["table_name", "batch_no", "time_from", "time_to"]
+
+
+def number_leaves(leaf_rows: DataFrame, keys: list[str] = _BATCH, largest: int | None = None) -> DataFrame:
+    """Leaves numbered by event id inside their batch; ids are ordered as text. A batch has as many segments as its size asks for."""
+    largest = largest_batch(leaf_rows, keys) if largest is None else largest
+    if largest <= SEGMENT_LEAVES:
+        return leaf_rows.withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("event_id")) - 1)
+    segments = text_segments(leaf_rows, "event_id", (parts := min(SEGMENTS, -(-largest // SEGMENT_LEAVES))), 32 * parts)
+    return segment_rank(leaf_rows, keys, ["event_id"], segments, "rn").withColumn("idx", F.col("rn") - 1).drop("rn")
 
 
 _CHAIN = "table_name string, batch_no bigint, time_from timestamp, time_to timestamp, root string, merkle_depth int, event_count bigint, prev_merkle_root string, merkle_root string"
@@ -120,9 +137,10 @@ def chain_previous_root(anchors: DataFrame) -> DataFrame:
 
 def anchor_batches(leaf_rows: DataFrame, first: dict[str, str] | None = None, stored: int = STORED_LEAVES) -> DataFrame:
     """Anchor rows: chained root, depth, count and the first and last leaves of every batch."""
-    keys = ["table_name", "batch_no", "time_from", "time_to"]
-    numbered = number_leaves(leaf_rows)
-    chained = chain_roots(merkle_roots(numbered, keys), first)
+    keys = _BATCH
+    largest = largest_batch(leaf_rows, keys)
+    numbered = cut_lineage(number_leaves(leaf_rows, keys, largest).select(*keys, "idx", "leaf"))  # for the roots and for the ends
+    chained = chain_roots(merkle_roots(numbered, keys, largest=largest), first)
     ends = numbered.join(chained.select(*keys, "event_count"), keys).where((F.col("event_count") <= 2 * stored) | (F.col("idx") < stored) | (F.col("idx") >= F.col("event_count") - stored))
     kept = ends.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "leaf"))), lambda x: x["leaf"]).alias("leaf_hashes"))
     batch_id = F.concat(F.lit("BATCH-"), F.col("table_name"), F.lit("-"), F.date_format("time_from", "yyyyMMdd-HHmmss"))
@@ -157,8 +175,9 @@ def verify_batches(anchors: DataFrame, events: dict[str, DataFrame], sep: str =
         leaf = df.select("timestamp", F.col("event_id").cast("string").alias("event_id"), event_leaf_hash(table, sep).alias("leaf"))
         part = _batch_of(leaf, anchors.where(F.col("table_name") == table)).select(F.lit(table).alias("table_name"), F.col("b.batch_id").alias("batch_id"), "event_id", "leaf")
         out = part if out is None else out.unionByName(part)
-    ranked = segment_rank(out, ["table_name", "batch_id"], ["event_id"], text_segments(out, "event_id"), "rn").withColumn("idx", F.col("rn") - 1)
-    roots = merkle_roots(ranked, ["table_name", "batch_id"]).withColumnRenamed("event_count", "actual_count").drop("merkle_depth")
+    keys = ["table_name", "batch_id"]
+    largest = largest_batch(out, keys)
+    roots = merkle_roots(number_leaves(out, keys, largest), keys, largest=largest).withColumnRenamed("event_count", "actual_count").drop("merkle_depth")
     joined = anchors.join(roots, ["table_name", "batch_id"], "left")
     plain = F.coalesce("root", F.lit(EMPTY_ROOT))
     computed = F.when(F.col("prev_merkle_root") != "", F.sha2(F.concat("prev_merkle_root", plain), 256)).otherwise(plain)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from watchtide.llm import boosting as B, toxicity as T
+from watchtide.llm.langid import _tables
 
 
 def auc(score, y):
@@ -92,3 +93,62 @@ def test_features_and_defined_cases(spark, corpus):
     assert [round(r["_toxicity"], 3) for r in T.score(docs, none).collect()] == [0.5] * 3
     assert all(r["_toxicity"] < 0.01 for r in T.score(docs, one_kind).collect())
     assert T.score(docs.limit(0), none).count() == 0
+
+
+def plain_features(text, words, stems, second):
+    """The features of one text, word by word."""
+    letter, inside, lower = _tables()
+    low = [chr(lower[ord(c)]) for c in text]
+
+    def runs(chars):
+        out, start = [], None
+        for i, c in enumerate([*chars, " "]):
+            if inside[ord(c)] and i < len(chars):
+                start = i if start is None else start
+            elif start is not None:
+                out.append((start, i))
+                start = None
+        return out
+
+    spans = runs(text)
+    terms = ["".join(low[a:b]) for a, b in spans]
+    some, length = max(len(terms), 1), max(len(text), 1)
+    w = [words.get(t, 0) for t in terms]
+    v = [max(stems.get(t[:k], 0) if len(t) >= k else 0 for k in T.STEMS) for t in terms]
+    out = []
+    for weights in (w, v, [max(x) for x in zip(w, v)]):
+        hits = [x for x in weights if x > 0]
+        out += [np.log1p(len(hits)), len(hits) / some, sum(hits) / some, max(hits, default=0)]
+    at = [i for i, t in enumerate(terms) if t in second]
+    near = 0
+    for i, (x, y) in enumerate(zip(w, v)):
+        if max(x, y) > 0:
+            before, after = [j for j in at if j < i], [j for j in at if j >= i]
+            near += bool(before) and i - before[-1] <= T.NEAR
+            near += bool(after) and after[0] - i <= T.NEAR
+    out += [len(at) / some, near / some]
+    capital = [bool(letter[ord(c)]) and c != x for c, x in zip(text, low)]
+    size = sum(b - a for a, b in spans)
+    out += [sum(sum(capital[a:b]) for a, b in spans) / max(size, 1), sum(b - a >= 3 and all(capital[a:b]) for a, b in spans) / some]
+    out.append(sum(low[i] == low[i - 1] == low[i - 2] for a, b in spans for i in range(a + 2, b)) / some)
+    out += [text.count("!") / length, text.count("?") / length, sum(not letter[ord(c)] and ord(c) > 32 and not c in "0123456789" for c in text) / length]
+    alpha = [bool(letter[ord(c)]) for c in text]
+    solid = [x or c in T.LOOKALIKES for x, c in zip(alpha, text)]
+    between = [0 < i < len(text) - 1 and c in T.LOOKALIKES and solid[i - 1] and solid[i + 1] and (alpha[i - 1] or alpha[i + 1]) for i, c in enumerate(text)]
+    read = [T.LOOKALIKES[c] if x else c for c, x in zip(text, between)]
+    found = sum(any(between[a:b]) and words.get("".join(chr(lower[ord(c)]) for c in read[a:b]), 0) > 0 for a, b in runs(read))
+    return [*out, sum(between) / some, np.log1p(found)]
+
+
+def test_features_equal_a_plain_version_in_any_batch():
+    rnd = random.Random(5)
+    words, stems = {"idiot": 2.5, "dumm": 1.25, "ßx": 3.0}, {"trash"[:4]: 1.5, "loser": 2.0}
+    pairs = sorted((T.number_of(k), v) for k, v in words.items())
+    begun = sorted((int(T.Terms(*T.points_of([k])).stems[T.STEMS.index(len(k))][0]), v) for k, v in stems.items())
+    column = lambda rows, k, kind: np.array([r[k] for r in rows], kind)
+    lexicon = T.Lexicon(column(pairs, 0, np.uint64), column(pairs, 1, float), column(begun, 0, np.uint64), column(begun, 1, float), np.array([T.number_of(x) for x in T.SECOND_PERSON], np.uint64))
+    parts = ["idiot", "IDIOT", "1d!ot", "id1ot", "you", "You", "dumm", "trashy", "tras", "losers", "soooo", "fine", "the", "a$b", "x1", "?", "!!", "42", "ßx", "Été", "@you", "\n", "i*d"]
+    texts = ["", " ", "idiot you", "you idiot", "idiot", "you"] + [rnd.choice(["", " "]) + rnd.choice([" ", " ", ", "]).join(rnd.choice(parts) for _ in range(rnd.randint(1, 30))) for _ in range(150)]
+    want = np.array([plain_features(t, words, stems, set(T.SECOND_PERSON)) for t in texts])
+    assert np.allclose(T.features(texts, lexicon), want)
+    assert np.allclose(np.concatenate([T.features([t], lexicon) for t in texts]), want)

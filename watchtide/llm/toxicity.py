@@ -123,8 +123,9 @@ def features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
     at, hit = np.flatnonzero(second), np.flatnonzero(either > 0)
     if len(at) and len(hit):
         place = np.searchsorted(at, hit)
-        for near in (at[np.maximum(place - 1, 0)], at[np.minimum(place, len(at) - 1)]):
-            close = (np.abs(near - hit) <= NEAR) & (terms.doc[near] == terms.doc[hit])
+        for side, there in ((place - 1, place > 0), (place, place < len(at))):
+            near = at[np.clip(side, 0, len(at) - 1)]
+            close = there & (np.abs(near - hit) <= NEAR) & (terms.doc[near] == terms.doc[hit])
             out[:, 13] += per(terms.doc[hit[close]]) / some
     owner = np.repeat(terms.doc, terms.size)
     letters = np.maximum(per(owner), 1)

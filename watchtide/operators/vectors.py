@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from watchtide.session import cut_lineage
 
 MOST_LISTS = 4096  # centres that the driver and every task hold; with more rows the lists get longer and are split
-MOST_ROWS = 20_000  # rows of a list that a task holds
+MOST_ROWS = 8_192  # base rows, and queries, that a task holds
 _SLICE = 1024  # rows compared at a time
 _VISITORS = 256  # queries that are sent to their lists at a time
+_NONE = np.iinfo(np.int64).max
 EMBEDDERS: dict[str, object] = {}
 
 
@@ -54,18 +55,27 @@ def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
-def _search(base: pd.DataFrame, qv: np.ndarray, k: int, metric: str, best_d: np.ndarray, best_i: np.ndarray) -> None:
-    """Fold base rows into the k best per query; equal distances go to the smaller id."""
-    if not len(base) or not len(qv):
+def _fold(x: np.ndarray, ids: np.ndarray, q: np.ndarray, rows: np.ndarray, k: int, metric: str, limit: np.ndarray, best_d: np.ndarray, best_i: np.ndarray) -> None:
+    """Fold base rows into the k best of the queries ``rows``, none beyond their limit; equal distances go to the smaller id."""
+    d = _distances(x, q[rows], metric).T
+    worst, last = best_d[rows, -1], best_i[rows, -1]
+    last = np.where(worst <= limit[rows], last, _NONE)
+    worst = np.minimum(worst, limit[rows])
+    if d.shape[1] > k and not np.isfinite(worst).all():
+        worst = np.where(np.isfinite(worst), worst, np.round(np.partition(d, k - 1, axis=1)[:, k - 1], 9))
+    at, j = np.nonzero(d <= worst[:, None] + 1e-9)
+    found, new = np.round(d[at, j], 9), ids[j]
+    keep = (found < worst[at]) | ((found == worst[at]) & (new < last[at]))
+    if not keep.any():
         return
-    for lo in range(0, len(base), _SLICE):
-        part = base.iloc[lo : lo + _SLICE]
-        x = np.stack(part["v"].to_numpy()).astype(np.float64)
-        d = np.round(_distances(x, qv, metric), 9).T
-        ids = np.broadcast_to(part["id"].to_numpy(), d.shape)
-        all_d, all_i = np.concatenate([best_d, d], 1), np.concatenate([best_i, ids], 1)
-        order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-        best_d[:], best_i[:] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+    hit, who = np.unique(at[keep], return_inverse=True)
+    to = rows[hit]
+    who = np.concatenate([np.repeat(np.arange(len(to)), k), who])
+    all_d, all_i = np.concatenate([best_d[to].ravel(), found[keep]]), np.concatenate([best_i[to].ravel(), new[keep]])
+    order = np.lexsort((all_i, all_d, who))
+    first = np.searchsorted(who[order], np.arange(len(to)))
+    order = order[(first[:, None] + np.arange(k)).ravel()]
+    best_d[to], best_i[to] = all_d[order].reshape(-1, k), all_i[order].reshape(-1, k)
 
 
 def _rows(qid: np.ndarray, best_d: np.ndarray, best_i: np.ndarray) -> pd.DataFrame:
@@ -75,7 +85,6 @@ def _rows(qid: np.ndarray, best_d: np.ndarray, best_i: np.ndarray) -> pd.DataFra
 
 
 _OUT = "query_id bigint, id bigint, distance double"
-_NONE = np.iinfo(np.int64).max
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -83,8 +92,8 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _points(df: DataFrame, key: str, vector: str, same: str | None) -> DataFrame:
-    return df.select(F.col(key).cast("bigint").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"), (F.col(same).cast("bigint") if same else F.lit(0).cast("bigint")).alias("same"))
+def _points(df: DataFrame, key: str, vector: str, same: str | None, kind: str) -> DataFrame:
+    return df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast(kind).alias("v"), (F.col(same).cast("bigint") if same else F.lit(0).cast("bigint")).alias("same"))
 
 
 def _matrix(vectors: pd.Series, metric: str) -> np.ndarray:
@@ -97,13 +106,28 @@ def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(_distances(x, centres, "l2"))
 
 
+def _side_by_side(x: np.ndarray) -> np.ndarray:
+    """An order of the rows in which near ones stand together: halves along the way to the row that is furthest out, again and again."""
+    if len(x) < 3:
+        return np.arange(len(x))
+    y = x - x.mean(0)
+    order = np.argsort(y @ y[(y * y).sum(1).argmax()], kind="stable")
+    half = len(x) // 2
+    return np.concatenate([part[_side_by_side(x[part])] for part in (order[:half], order[half:])])
+
+
 class _Lists:
-    """Base rows in lists round centres: a bounded number of base rows, as many as the root of the table's size."""
+    """Base rows in lists round centres: a bounded number of base rows, as many as the root of the table's size.
+
+    Lists that lie side by side share a block of at most ``most`` rows, so that a query is sent once to a block and not
+    to each of its lists; a longer list is a block of its own and is dealt out by salts.
+    """
 
     def __init__(self, base: DataFrame, metric: str, most: int):
-        total = base.count()
+        total, kind = base.count(), base.schema["v"].dataType.simpleString()
         lists = max(1, min(MOST_LISTS, math.isqrt(total)))
         picked = base.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(lists).toPandas()
+        self.metric, self.most = metric, most
         self.centres = _matrix(picked["v"], metric) if len(picked) else np.zeros((0, 0))
         shared = base.sparkSession.sparkContext.broadcast(self.centres)
 
@@ -113,70 +137,111 @@ class _Lists:
                     d = _gaps(_matrix(x["v"], metric), shared.value)
                     yield x.assign(c=d.argmin(1).astype("int32"), gap=d.min(1))
 
-        self.rows = cut_lineage(base.mapInPandas(place, "id bigint, v array<double>, same bigint, c int, gap double"))
-        sizes = self.rows.groupBy("c").agg(F.count("*").alias("n"), F.max("gap").alias("r")).collect()  # a row per list
+        rows = cut_lineage(base.mapInPandas(place, f"id bigint, v {kind}, same bigint, c int, gap double"))
+        sizes = rows.groupBy("c").agg(F.count("*").alias("n"), F.max("gap").alias("r")).collect()  # a row per list
         self.size, self.radius = np.zeros(len(self.centres)), np.full(len(self.centres), -np.inf)
         for r in sizes:
             self.size[r["c"]], self.radius[r["c"]] = r["n"], r["r"]
-        self.most = most
-
-    def search(self, visits: DataFrame, k: int, metric: str) -> DataFrame:
-        """k best (query_id, id, distance) of each query (id, v, same, c) in each list it visits; large lists are split into salted parts."""
-        parts = lambda df, name: df.groupBy("same", "c").agg((F.floor(F.count("*") / self.most) + 1).cast("int").alias(name))
-        plan = parts(self.rows, "bp").join(parts(visits, "qp"), ["same", "c"])
+        self.order = _side_by_side(self.centres)
+        self.block, self.starts, held = np.zeros(len(self.centres), np.int32), [], math.inf
+        for at, c in enumerate(self.order):
+            if held + self.size[c] > most:
+                self.starts.append(at)
+                held = 0
+            held += self.size[c]
+            self.block[c] = len(self.starts) - 1
+        blocks = base.sparkSession.createDataFrame([(c, int(b)) for c, b in enumerate(self.block)], "c int, b int")
+        self.rows = rows.join(F.broadcast(blocks), "c")  # at most MOST_LISTS rows
+        self.shared = base.sparkSession.sparkContext.broadcast(self._plain())
+
+    def _plain(self) -> dict:
+        return {"centres": self.centres, "size": self.size, "radius": self.radius, "order": self.order, "starts": self.starts}
+
+    def search(self, visits: DataFrame, k: int) -> DataFrame:
+        """k best (query_id, id, distance) of each query (id, v, same, b, worst) in each block it visits, none beyond its worst.
+
+        Blocks and their queries are split into salted parts. A task takes the lists of its block one after the other, and leaves
+        out queries that have already found k rows nearer than any of the list can be.
+        """
+        parts = lambda df, name: df.groupBy("same", "b").agg((F.floor(F.count("*") / self.most) + 1).cast("int").alias(name))
+        plan = parts(self.rows, "bp").join(parts(visits, "qp"), ["same", "b"])
         salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        b = self.rows.join(plan, ["same", "c"]).select("id", "v", "same", "c", salt("bp").alias("bs"), F.explode(F.sequence(F.lit(0), F.col("qp") - 1)).alias("qs"))
-        q = visits.join(plan, ["same", "c"]).select("id", "v", "same", "c", salt("qp").alias("qs"), F.explode(F.sequence(F.lit(0), F.col("bp") - 1)).alias("bs"))
+        b = self.rows.join(plan, ["same", "b"]).select("id", "v", "same", "c", "b", salt("bp").alias("bs"), F.explode(F.sequence(F.lit(0), F.col("qp") - 1)).alias("qs"))
+        q = visits.join(plan, ["same", "b"]).select("id", "v", "same", "worst", "b", salt("qp").alias("qs"), F.explode(F.sequence(F.lit(0), F.col("bp") - 1)).alias("bs"))
+        shared, metric = self.shared, self.metric
 
         def run(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
             out = [pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"query_id": "int64", "id": "int64", "distance": "float64"})]
+            if not len(bs) or not len(qs):
+                return out[0]
+            bs = bs.sort_values(["c", "id"])
+            x, ids, c = np.stack(bs["v"].to_numpy()).astype(np.float64), bs["id"].to_numpy(), bs["c"].to_numpy()
+            start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            end, lists = np.append(start[1:], len(c)), c[start]
+            centres, radius = shared.value["centres"][lists], shared.value["radius"][lists]
             for lo in range(0, len(qs), _SLICE):
                 some = qs.iloc[lo : lo + _SLICE]
+                q, limit = np.stack(some["v"].to_numpy()).astype(np.float64), some["worst"].to_numpy()
+                least = _gaps(_matrix(some["v"], metric), centres) - radius
                 best_d, best_i = np.full((len(some), k), np.inf), np.full((len(some), k), _NONE, dtype=np.int64)
-                _search(bs, np.stack(some["v"].to_numpy()).astype(np.float64), k, metric, best_d, best_i)
+                for at in np.argsort(least.mean(0), kind="stable"):
+                    for one in range(start[at], end[at], _SLICE):
+                        rows = np.flatnonzero(least[:, at] <= _reach(np.minimum(limit, best_d[:, -1]), metric))
+                        if len(rows):
+                            part = slice(one, min(one + _SLICE, end[at]))
+                            _fold(x[part], ids[part], q, rows, k, metric, limit, best_d, best_i)
                 out.append(_rows(some["id"].to_numpy(), best_d, best_i))
             return pd.concat(out)
 
-        keys = ["same", "c", "bs", "qs"]
+        keys = ["same", "b", "bs", "qs"]
         return q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, _OUT)
 
 
+def _reach(worst: np.ndarray, metric: str) -> np.ndarray:
+    """How far a row may lie, as a Euclidean distance, that is no worse."""
+    return np.sqrt(worst * (2 if metric == "cosine" else 1)) + 1e-4
+
+
 def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id: str, vector: str = "embedding", metric: str = "l2", same: str | None = None, skip_self: bool = False, share: float = 0.0) -> DataFrame:
     """Exact k nearest base rows of every query: (query_id, id, distance, rank). Ids are whole numbers, once each among the queries.
 
-    A query first searches the nearest lists that hold a few times k rows, and at least a share of all rows. The k-th distance found rules out, by the
-    triangle inequality, every list whose centre is further than that plus the list's radius; the others are
-    searched too. Queries stay on the cluster, and no pair is written out.
+    A query first searches the blocks of the nearest lists that hold a few times k rows, and at least a share of all rows. The
+    k-th distance found rules out, by the triangle inequality, every list whose centre is further than that plus the list's radius;
+    the blocks of the others are searched too. Queries stay on the cluster, and no pair is written out.
     ``same`` restricts neighbours to rows with an equal whole-number column.
     """
     want = k + 1 if skip_self else k
-    q, lists = _points(queries, query_id, vector, same), _Lists(_points(base, base_id, vector, same), metric, MOST_ROWS)
+    single = all(df.schema[vector].dataType.simpleString() == "array<float>" for df in (queries, base))
+    kind = "array<float>" if single else "array<double>"
+    q, lists = _points(queries, query_id, vector, same, kind), _Lists(_points(base, base_id, vector, same, kind), metric, MOST_ROWS)
     if not len(lists.centres):
         return queries.sparkSession.createDataFrame([], _OUT + ", rank int")
-    shared = queries.sparkSession.sparkContext.broadcast((lists.centres, lists.size, lists.radius))
+    shared = lists.shared
 
     def visits(rows: pd.DataFrame, far: bool) -> pd.DataFrame:
-        centres, size, radius = shared.value
+        centres, size, radius, by_block, starts = (shared.value[x] for x in ("centres", "size", "radius", "order", "starts"))
+        blocks = lambda some: np.logical_or.reduceat((some & (size > 0))[:, by_block], starts, axis=1)
         d = _gaps(_matrix(rows["v"], metric), centres)
         order = np.argsort(d, axis=1, kind="stable")
         first = np.cumsum(size[order], axis=1) - size[order] < max(4 * want, share * size.sum())  # until a few times k rows are held
-        go = np.zeros(d.shape, bool)
-        np.put_along_axis(go, order, first, 1)
+        near = np.zeros(d.shape, bool)
+        np.put_along_axis(near, order, first, 1)
+        go = blocks(near)
         if far:
-            worst = rows["worst"].to_numpy()
-            reach = np.sqrt(np.where(np.isfinite(worst), worst * (2 if metric == "cosine" else 1), np.inf)) + 1e-4
-            go = ~go & (d - radius[None, :] <= reach[:, None])
-        at, c = np.nonzero(go & (size[None, :] > 0))
-        return rows.iloc[at].assign(c=c.astype("int32"))[["id", "v", "same", "c"]]
+            go = ~go & blocks(d - radius <= _reach(rows["worst"].to_numpy(), metric)[:, None])
+        else:
+            rows = rows.assign(worst=np.inf)
+        at, b = np.nonzero(go)
+        return rows.iloc[at].assign(b=b.astype("int32"))[["id", "v", "same", "b", "worst"]]
 
-    kind = "id bigint, v array<double>, same bigint, c int"
+    columns = f"id bigint, v {kind}, same bigint, b int, worst double"
     some = lambda batches: (x.iloc[lo : lo + _VISITORS] for x in batches for lo in range(0, len(x), _VISITORS))
     near = lambda batches: (visits(x, False) for x in some(batches))
     rest = lambda batches: (visits(x, True) for x in some(batches))
-    found = cut_lineage(_best(lists.search(q.mapInPandas(near, kind), want, metric), want))
+    found = cut_lineage(_best(lists.search(q.mapInPandas(near, columns), want), want))
     worst = found.where(F.col("rank") == want).select(F.col("query_id").alias("id"), F.col("distance").alias("worst"))
     again = q.join(worst, "id", "left").select("id", "v", "same", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
-    found = found.drop("rank").unionByName(lists.search(again.mapInPandas(rest, kind), want, metric))
+    found = found.drop("rank").unionByName(lists.search(again.mapInPandas(rest, columns), want))
     if skip_self:
         found = found.where("query_id <> id")
     return _best(found, k)
@@ -199,9 +264,9 @@ def similar_events(base: DataFrame, k: int, base_id: str, ids: list | None = Non
 
 
 def ann_search(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id: str, vector: str = "embedding", share: float = 0.25) -> DataFrame:
-    """Neighbours of every query, by lists: it searches the nearest lists until they hold a share of all rows, and then
-    those that the distances found do not rule out. So no neighbour is lost, with clusters or without; the share
-    decides how much is searched at first, and rows without clusters cost about as much as all pairs."""
+    """Neighbours of every query, by lists: it searches the blocks of the nearest lists until those hold a share of all rows, and
+    then the blocks that the distances found do not rule out. So no neighbour is lost, with clusters or without; the share
+    decides how much is searched at first, and rows without clusters are compared about as often as in all pairs, block by block."""
     return knn_join(queries, base, k, query_id, base_id, vector, share=share)
 
 

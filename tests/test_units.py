@@ -207,6 +207,33 @@ def test_knn_equals_numpy(spark, monkeypatch, metric, same, skip):
     assert Q.knn_join(df, df.limit(0), 4, "vec_id", "vec_id").count() == 0
 
 
+def test_knn_join_of_copies_in_many_blocks(spark, monkeypatch):
+    """A third of the rows is one vector, other vectors occur twice, numbers are doubles; queries that are done early take no part in later rounds."""
+    rng = np.random.default_rng(17)
+    centres = rng.normal(size=(5, 6)) * 20
+    y = centres[rng.integers(0, 5, 70)] + rng.normal(size=(70, 6))
+    x = np.concatenate([y, y, np.tile(rng.normal(size=6), (70, 1))])
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(Q, "MOST_ROWS", 24)
+    d = np.round(Q._distances(x, x, "l2"), 9)
+    got = {}
+    for r in Q.knn_join(df, df, 3, "vec_id", "vec_id").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["distance"]))
+    for i in range(len(x)):
+        assert np.allclose([v for _, v in sorted(got[i])], np.sort(d[:, i])[:3], atol=1e-6)
+
+
+def test_folding_keeps_the_smaller_id_and_the_limit():
+    x = np.array([[1.0], [0.0], [1.0], [2.0], [0.0]])
+    ids, q = np.array([9, 4, 7, 1, 3]), np.array([[0.0], [0.0]])
+    best_d, best_i = np.full((2, 3), np.inf), np.full((2, 3), Q._NONE, dtype=np.int64)
+    limit = np.array([np.inf, 0.5])
+    for part in (slice(0, 2), slice(2, 5)):
+        Q._fold(x[part], ids[part], q, np.array([0, 1]), 3, "l2", limit, best_d, best_i)
+    assert best_i[0].tolist() == [3, 4, 7] and best_d[0].tolist() == [0, 0, 1]
+    assert best_i[1].tolist() == [3, 4, Q._NONE] and best_d[1].tolist() == [0, 0, np.inf]
+
+
 def test_ann_recall(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(6, 8)) * 5

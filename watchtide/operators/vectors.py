@@ -205,9 +205,10 @@ def _reach(worst: np.ndarray, metric: str) -> np.ndarray:
 def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id: str, vector: str = "embedding", metric: str = "l2", same: str | None = None, skip_self: bool = False, share: float = 0.0) -> DataFrame:
     """Exact k nearest base rows of every query: (query_id, id, distance, rank). Ids are whole numbers, once each among the queries.
 
-    A query first searches the blocks of the nearest lists that hold a few times k rows, and at least a share of all rows. The
-    k-th distance found rules out, by the triangle inequality, every list whose centre is further than that plus the list's radius;
-    the blocks of the others are searched too. Queries stay on the cluster, and no pair is written out.
+    A query first searches the nearest block of lists, or as many as hold a share of all blocks, and then twice as many in each
+    round. The k-th distance found so far rules out, by the triangle inequality, every list whose centre is further than that
+    plus the list's radius; a query without blocks left takes no part in later rounds. So about k rows per query and round are
+    candidates, not k per block. Queries stay on the cluster, and no pair is written out.
     ``same`` restricts neighbours to rows with an equal whole-number column.
     """
     want = k + 1 if skip_self else k
@@ -218,30 +219,46 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id
         return queries.sparkSession.createDataFrame([], _OUT + ", rank int")
     shared = lists.shared
 
-    def visits(rows: pd.DataFrame, far: bool) -> pd.DataFrame:
+    def left(rows: pd.DataFrame, lo: int, hi: int) -> np.ndarray:
+        """Which blocks, from the lo-th nearest to the hi-th, a query has to search."""
         centres, size, radius, by_block, starts = (shared.value[x] for x in ("centres", "size", "radius", "order", "starts"))
-        blocks = lambda some: np.logical_or.reduceat((some & (size > 0))[:, by_block], starts, axis=1)
-        d = _gaps(_matrix(rows["v"], metric), centres)
-        order = np.argsort(d, axis=1, kind="stable")
-        first = np.cumsum(size[order], axis=1) - size[order] < max(4 * want, share * size.sum())  # until a few times k rows are held
-        near = np.zeros(d.shape, bool)
-        np.put_along_axis(near, order, first, 1)
-        go = blocks(near)
-        if far:
-            go = ~go & blocks(d - radius <= _reach(rows["worst"].to_numpy(), metric)[:, None])
-        else:
-            rows = rows.assign(worst=np.inf)
-        at, b = np.nonzero(go)
-        return rows.iloc[at].assign(b=b.astype("int32"))[["id", "v", "same", "b", "worst"]]
-
-    columns = f"id bigint, v {kind}, same bigint, b int, worst double"
+        d = np.where(size > 0, _gaps(_matrix(rows["v"], metric), centres), np.inf)
+        near = np.minimum.reduceat(d[:, by_block], starts, axis=1)
+        reach = (d - radius <= _reach(rows["worst"].to_numpy(), metric)[:, None]) & (size > 0)
+        place = np.argsort(np.argsort(near, axis=1, kind="stable"), axis=1)
+        return np.logical_or.reduceat(reach[:, by_block], starts, axis=1) & (place >= lo) & (place < hi)
+
+    def visits(lo: int, hi: int):
+        def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in some(batches):
+                at, b = np.nonzero(left(rows, lo, hi))
+                yield rows.iloc[at].assign(b=b.astype("int32"))[["id", "v", "same", "b", "worst"]]
+
+        return go
+
+    def unfinished(lo: int):
+        def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in some(batches):
+                yield rows[left(rows, lo, blocks).any(1)][["id", "v", "same", "worst"]]
+
+        return go
+
     some = lambda batches: (x.iloc[lo : lo + _VISITORS] for x in batches for lo in range(0, len(x), _VISITORS))
-    near = lambda batches: (visits(x, False) for x in some(batches))
-    rest = lambda batches: (visits(x, True) for x in some(batches))
-    found = cut_lineage(_best(lists.search(q.mapInPandas(near, columns), want), want))
-    worst = found.where(F.col("rank") == want).select(F.col("query_id").alias("id"), F.col("distance").alias("worst"))
-    again = q.join(worst, "id", "left").select("id", "v", "same", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
-    found = found.drop("rank").unionByName(lists.search(again.mapInPandas(rest, columns), want))
+    blocks, columns, never = len(lists.starts), f"id bigint, v {kind}, same bigint, ", F.lit(float("inf"))
+    asked, found, lo, hi = q.withColumn("worst", never), None, 0, max(1, int(share * len(lists.starts)))
+    while True:
+        new = lists.search(asked.mapInPandas(visits(lo, hi), columns + "b int, worst double"), want)
+        found = cut_lineage(_best(new if found is None else found.unionByName(new), want))
+        if hi >= blocks:
+            break
+        worst = found.where(F.col("rank") == want).select(F.col("query_id").alias("id"), F.col("distance").alias("worst"))
+        found = found.drop("rank")
+        asked = asked.drop("worst").join(worst, "id", "left").select("id", "v", "same", F.coalesce("worst", never).alias("worst"))
+        asked = cut_lineage(asked.mapInPandas(unfinished(hi), columns + "worst double"))
+        if asked.isEmpty():
+            break
+        lo, hi = hi, 2 * hi
+    found = found.drop("rank")
     if skip_self:
         found = found.where("query_id <> id")
     return _best(found, k)
@@ -264,8 +281,8 @@ def similar_events(base: DataFrame, k: int, base_id: str, ids: list | None = Non
 
 
 def ann_search(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id: str, vector: str = "embedding", share: float = 0.25) -> DataFrame:
-    """Neighbours of every query, by lists: it searches the blocks of the nearest lists until those hold a share of all rows, and
-    then the blocks that the distances found do not rule out. So no neighbour is lost, with clusters or without; the share
+    """Neighbours of every query, by lists: it searches the nearest blocks of lists, a share of all, and
+    then the blocks that the distances found do not rule out, twice as many a round. So no neighbour is lost, with clusters or without; the share
     decides how much is searched at first, and rows without clusters are compared about as often as in all pairs, block by block."""
     return knn_join(queries, base, k, query_id, base_id, vector, share=share)
 

@@ -161,6 +161,55 @@ def dataset_to_event(t):
     return df.withColumnRenamed("bytes_sent", "event_id")
 
 
+_IP = "concat('10.0.0.', user_id % 8)"
+_EVTX = f"""SELECT 'windows_event' AS source_type, CASE event_id % 5
+   WHEN 0 THEN concat('An account failed to log on. Computer=', h, ' TargetUser=', u, ' IP=', ip, ' EventID=4625 Channel=Security', tac, ' TargetUser=', u, ' Process=', pr, ' CommandLine=', cmd)
+   WHEN 1 THEN concat('An account was successfully logged on. Computer=', h, ' TargetUser=', u, ' IP=', ip, ' LogonType=3')
+   WHEN 2 THEN concat('A new process has been created. Computer=', h, ' Process=', pr, ' CommandLine=', cmd)
+   WHEN 3 THEN concat('Process Create: Computer=', h, ' Image=', pr, ' CommandLine=', cmd, ' User=', u)
+   ELSE concat('Windows Event Log: Computer=', h, ' EventID=7045 Channel=Security', tac, ' TargetUser=', u, ' Process=', pr, ' CommandLine=', cmd) END AS message,
+  h AS hostname, CASE WHEN tac <> '' THEN 'WARNING' ELSE 'INFO' END AS level, NULL AS src_ip, NULL AS dst_ip, NULL::BIGINT AS src_port, NULL::BIGINT AS dst_port, NULL AS protocol, CASE WHEN ip <> '-' THEN ip END AS ip_address, NULL AS dns_query
+ FROM (SELECT *, concat('host-', user_id % 8) AS h, concat('user', user_id) AS u, CASE WHEN event_id % 3 = 0 THEN '-' ELSE {_IP} END AS ip, 'C:/run.exe' AS pr, concat('run ', event_id) AS cmd, CASE WHEN event_type = 'view' THEN '' ELSE concat(' Tactic=', event_type) END AS tac FROM events)"""
+_DNS = f"""SELECT 'dns', CASE WHEN event_id % 50 > 35 THEN concat('DNS query: suspicious domain=', d, ' entropy=', printf('%.2f', (event_id % 50) / 10.0), ' ip=', {_IP}, ' ttl=60 country=NL') ELSE concat('DNS query: domain=', d, ' ip=', {_IP}, ' ttl=60 country=NL') END,
+  'dns-resolver-01', CASE WHEN event_id % 50 > 35 THEN 'WARNING' ELSE 'INFO' END, NULL, {_IP}, NULL, 53, 'UDP', NULL, d FROM (SELECT *, concat('d', event_id, '.example') AS d FROM events)"""
+_NETFLOW = f"""SELECT 'netflow', concat('NetFlow: ', {_IP}, ':', event_id % 60000, ' → 8.8.8.8:443 proto=tcp kind=', event_type, ' n=', event_id), 'netflow-collector-01', 'INFO', {_IP}, '8.8.8.8', event_id % 60000, 443, 'TCP', NULL, NULL FROM events"""
+_APACHE = """SELECT 'apache', CASE WHEN event_id % 3 = 0 THEN concat('Apache: [12:00] [', lv, '] core', event_id) ELSE concat('Apache: request ', event_id) END, 'web-01', CASE event_id % 4 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'INFO' WHEN 2 THEN 'CRITICAL' ELSE 'INFO' END, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+ FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'notice' WHEN 2 THEN ' Crit' ELSE 'other' END AS lv FROM events)"""
+_CICIDS = """SELECT 'ids_ips', CASE event_id % 4 WHEN 0 THEN 'DDoS attack detected: DDoS from 192.168.* to 10.0.*:80 - syn flood pattern' WHEN 1 THEN 'Port scan detected from 192.168.* targeting 10.0.* - multiple ports probed'
+  WHEN 2 THEN concat('IDS Alert: Bot attack detected - dst_port=80 fwd_pkts=', event_id, ' bwd_pkts=2 flow_bytes/s=9 src=192.168.* dst=10.0.*') ELSE concat('Network flow: dst_port=80 fwd_pkts=', event_id, ' bwd_pkts=2 flow_dur=7 src=192.168.* dst=10.0.*') END,
+  'ids-sensor-01', CASE WHEN event_id % 4 < 3 THEN 'WARNING' ELSE 'INFO' END, '192.168.*', '10.0.*', -1, 80, 'TCP', NULL, NULL FROM events"""
+_KDD = """SELECT 'ids_ips', CASE WHEN event_type = 'view' THEN concat('IDS: normal traffic - proto=TCP service=ssh flag=S0 duration=', event_id, 's src=172.16.* dst=10.10.*')
+  ELSE concat('IDS alert: ', event_type, ' (1) detected - proto=TCP service=ssh flag=S0 src_bytes=', event_id, ' dst_bytes=3 src=172.16.* dst=10.10.*:22') END, 'ids-01', CASE WHEN event_type = 'view' THEN 'INFO' ELSE 'WARNING' END, '172.16.*', '10.10.*', -1, 22, 'TCP', NULL, NULL FROM events"""
+
+
+@query("dataset_to_event_formats", " UNION ALL ".join([_EVTX, _DNS, _NETFLOW, _APACHE, _CICIDS, _KDD]))
+def dataset_to_event_formats(t):
+    """Every row of events in the form of each of the other six datasets. Only what is drawn from a row's hash is masked:
+    the last two parts of made-up addresses, and made-up source ports, if they lie in their range."""
+    df, e, kind = t.base("events"), F.col("event_id"), F.col("event_type")
+    say, pick = (lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])), (lambda n, *x: F.element_at(F.array(*[F.lit(v) for v in x]), (e % n + 1).cast("int")))
+    ip, view = say("10.0.0.", F.col("user_id") % 8), kind == "view"
+    user, run = say("user", F.col("user_id")), F.lit("C:/run.exe")
+    given = {
+        "evtx": df.select(pick(5, "4625", "4624", "4688", "1", "7045").alias("EventID"), say("host-", F.col("user_id") % 8).alias("Computer"), F.when(view, "").otherwise(kind).alias("EVTX_Tactic"), say("run ", e).alias("CommandLine"), user.alias("TargetUserName"), user.alias("User"),
+                          F.when(e % 3 == 0, "-").otherwise(ip).alias("IpAddress"), run.alias("NewProcessName"), run.alias("Image"), F.lit(3).alias("LogonType")),
+        "dns": df.select(say("b'd", e, ".example.'").alias("Domain"), ip.alias("IP"), F.lit(60).alias("TTL"), F.lit("NL").alias("Country"), ((e % 50) / 10.0).alias("entropy")),
+        "nf_ton_iot": df.select(ip.alias("src"), (e % 60000).alias("sp"), F.lit("8.8.8.8").alias("dst"), F.lit(443).alias("dp"), F.lit("tcp").alias("pr"), kind.alias("kind"), e.alias("n")),
+        "apache_structured": df.select(pick(4, "error", "notice", " Crit", "other").alias("Level"), F.when(e % 3 == 0, "").otherwise(say("request ", e)).alias("Content"), F.lit("12:00").alias("Time"), say("core", e).alias("Component")),
+        "cicids": df.select(pick(4, "DDoS", " PortScan", "Bot ", "BENIGN").alias("Label"), F.lit(" 80").alias("Destination Port"), e.alias("Total Fwd Packets"), F.lit(2).alias("Total Backward Packets"), F.lit(9).alias("Flow Bytes/s"), F.lit(7).alias("Flow Duration")),
+        "nsl_kdd": df.select(F.lit("tcp").alias("protocol_type"), F.lit("ssh").alias("service"), F.lit("S0").alias("flag"), F.when(view, "0").otherwise("1").alias("label"), kind.alias("attack_type"), e.alias("src_bytes"), F.lit(3).alias("dst_bytes"), e.alias("duration")),
+    }
+    fields = "source_type string, message string, hostname string, level string, src_ip string, dst_ip string, src_port bigint, dst_port bigint, protocol string, ip_address string, dns_query string"
+    out = None
+    for name, rows in given.items():
+        part = C.dataset_to_event(rows, name).select(F.from_json("value", fields).alias("j")).select("j.*")
+        if name in ("cicids", "nsl_kdd"):
+            made = lambda c: F.regexp_replace(c, r"\b(192\.168|10\.0|172\.16|10\.10)(\.\d{1,3}){2}", "$1.*")
+            part = part.withColumns({c: made(c) for c in ("message", "src_ip", "dst_ip")}).withColumn("src_port", F.when(F.col("src_port").between(1024, 65535), -1).otherwise(F.col("src_port")).cast("bigint"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("dataset_to_features", """SELECT event_id::DOUBLE AS src_bytes, least(value * 10, 1e9)::DOUBLE AS dst_bytes, 17.0::DOUBLE AS protocol, 9.0::DOUBLE AS source_type_numeric, round(value / 1000, 6) AS duration, CASE WHEN event_type = 'view' THEN 'normal' ELSE event_type END AS attack_type, CAST(event_type <> 'view' AS BIGINT) AS label, 'nf_ton_iot' AS source_dataset FROM events""")
 def dataset_to_features(t):
     df = t.base("events").select(F.col("event_id").alias("IN_BYTES"), (F.col("value") * 10).alias("OUT_BYTES"), F.lit(17).alias("PROTOCOL"), F.col("value").alias("FLOW_DURATION_MILLISECONDS"),

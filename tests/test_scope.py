@@ -61,3 +61,34 @@ def test_plan_reads_the_alerts_times_and_keys_only(facts):
 def test_no_alerts_need_no_facts(facts):
     net, scored, _ = facts
     assert W.scope(scored.where("event_id < 0")).near(net, ["hostname"], 1000).count() == 0
+
+
+def test_correlation_meets_facts_once_per_bucket(spark):
+    """Random alerts, with null keys and repeated ids, against all pairs; no row is sent once per score level or per related alert."""
+    import random
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from watchtide.operators.investigate import signals as S
+
+    rnd, day = random.Random(7), datetime(2024, 1, 1)
+    pick = lambda *x: rnd.choice(x)
+    rows = [(k, pick("h1", "h2"), pick("a", "b", None), pick("u", "v", "", None), day + timedelta(seconds=rnd.randrange(4000)), rnd.randrange(10_000) / 10_000, pick("dns", "syslog", None), pick("x", "y", "")) for k in range(700)]
+    df = spark.createDataFrame(rows, "event_id long, hostname string, source_ip string, user_id string, timestamp timestamp, adjusted_score double, source_type string, mitre_tactic string")
+    alerts = df.where("adjusted_score >= 0.65")
+    out = S.temporal_correlation(alerts, df)
+    got = {r["event_id"]: r for r in out.collect()}
+    for a in (r for r in rows if r[5] >= 0.65):
+        near = [f for f in rows if f[1] == a[1] and (f[2] == a[2] or f[3] == a[3]) and timedelta(0) <= a[4] - f[4] <= timedelta(minutes=15)]
+        r = got.pop(a[0])
+        assert r["temporal_escalation_count"] == sum(f[2] == a[2] and f[5] > a[5] + 1e-9 for f in near)
+        assert r["temporal_unique_categories"] == len({f[6] for f in near} - {None}) and r["temporal_tactic_diversity"] == len({f[7] for f in near})
+        assert abs(r["temporal_mean_score"] - sum(f[5] for f in near) / len(near)) < 1e-6
+        assert r["related_alert_ids"] == [f[0] for f in sorted(near, key=lambda f: (f[4], f[0]), reverse=True)[: S.RELATED]]
+    assert not got
+    assert "shiftright" not in out._jdf.queryExecution().toString()
+    twice = {r["event_id"]: r for r in S.temporal_correlation(alerts.unionByName(alerts), df).collect()}
+    once = {r["event_id"]: r for r in S.temporal_correlation(alerts, df).collect()}
+    assert all(twice[k]["temporal_escalation_count"] == 2 * r["temporal_escalation_count"] and twice[k]["related_alert_ids"] == r["related_alert_ids"] for k, r in once.items())
+    assert S.temporal_correlation(alerts.withColumn("timestamp", F.lit(None).cast("timestamp")), df).agg(F.max("temporal_escalation_count")).first()[0] == 0

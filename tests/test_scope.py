@@ -92,3 +92,30 @@ def test_correlation_meets_facts_once_per_bucket(spark):
     once = {r["event_id"]: r for r in S.temporal_correlation(alerts, df).collect()}
     assert all(twice[k]["temporal_escalation_count"] == 2 * r["temporal_escalation_count"] and twice[k]["related_alert_ids"] == r["related_alert_ids"] for k, r in once.items())
     assert S.temporal_correlation(alerts.withColumn("timestamp", F.lit(None).cast("timestamp")), df).agg(F.max("temporal_escalation_count")).first()[0] == 0
+
+
+def test_process_context_is_one_list_per_alert(spark):
+    """Programs around random alerts against all pairs, ranked; alerts meet facts, not each program's facts (no shuffle per alert and program)."""
+    import random
+    from collections import Counter
+    from datetime import datetime, timedelta
+
+    from watchtide.operators import experimental as X
+
+    rnd, day = random.Random(3), datetime(2024, 1, 1)
+    moment = lambda: day + timedelta(seconds=rnd.randrange(9000))
+    facts = [(rnd.choice(["h1", "h2", "h3", None]), rnd.choice("abcé"), rnd.choice(["-x", "-y", None]), moment()) for _ in range(600)]
+    alerts = [(k, rnd.choice(["h1", "h2", "nowhere", None]), moment()) for k in range(120)]
+    process = spark.createDataFrame(facts, "hostname string, binary_path string, arguments string, timestamp timestamp")
+    df = spark.createDataFrame(alerts, "event_id long, hostname string, timestamp timestamp")
+    out = X.process_chain_context(df, process)
+    got = {}
+    for r in out.orderBy("event_id", "rank").collect():
+        got.setdefault(r["event_id"], []).append((r["binary_path"], r["arguments"], r["exec_count"], r["rank"]))
+    for k, host, at in alerts:
+        seen = Counter(f[1:3] for f in facts if host is not None and f[0] == host and abs(f[3] - at) <= timedelta(minutes=15))
+        mine = got.pop(k, [])
+        assert {x[:2]: x[2] for x in mine} == dict(seen) and [x[3] for x in mine] == list(range(1, len(mine) + 1))
+        assert [x[2] for x in mine] == sorted((x[2] for x in mine), reverse=True)
+    assert not got and X.process_chain_context(df, process, k=2).where("rank > 2").count() == 0
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString() and "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().toString()

@@ -97,3 +97,22 @@ def test_registered_embedders_are_used(spark):
         assert len(Q.embed(df, "message", dim=16).first()["vector"]) == 16
     finally:
         Q.EMBEDDERS.pop("length")
+
+
+def test_a_stratum_is_many_tasks(spark):
+    """A split with one large stratum: its share is exact, and no task gets half of its rows."""
+    from watchtide.operators import evaluate as E
+
+    df = spark.range(4000).select(F.col("id").alias("event_id"), (F.col("id") % 100 == 0).cast("int").alias("label"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        train, test = E.train_test(df, ["event_id"], strata=["label"])
+        parts = train.where("label = 0").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in parts) < 3168 / 2 and sum(r["count"] for r in parts) == 3168
+        assert {r["label"]: r["count"] for r in test.groupBy("label").count().collect()} == {0: 792, 1: 8}
+        assert train.join(test, "event_id").count() == 0
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)

@@ -116,3 +116,32 @@ def test_a_stratum_is_many_tasks(spark):
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
+
+
+def test_a_host_is_many_tasks(spark):
+    """Training rows of one host meet what is known of it in several tasks, and nothing is lost or doubled."""
+    from watchtide.operators import models as M
+
+    scored = spark.range(2000).selectExpr("id AS event_id", "IF(id % 50 = 0, NULL, 'h') AS hostname", "0.5D AS adjusted_score", "0.5D AS combined_score", "0.1D AS template_rarity", "0 AS ioc_match", "0 AS ioc_confidence")
+    context = spark.createDataFrame([("h", 7, 3, 2)], "hostname string, unique_destinations long, unique_src_ips long, hop_count long")
+    history = spark.createDataFrame([("h", 4, 0.25), ("other", 1, 0.5)], "hostname string, escalation_count long, mean_score double")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = M.training_set_assembly(scored, context, history, F.lit(1))
+        parts = out.where("hostname = 'h'").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in parts) < 1960 / 2 and sum(r["count"] for r in parts) == 1960 and out.count() == 2000
+        place = {n: i for i, n in enumerate(M.FEATURE_ORDER)}
+        seen = {(r["hostname"], r["feature_vector"][place["graph_unique_destinations"]], r["feature_vector"][place["temporal_mean_score"]]) for r in out.collect()}
+        assert seen == {("h", 7.0, 0.25), (None, 0.0, 0.0)}
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_a_feed_keeps_its_partitions(spark, tmp_path):
+    from watchtide.plans.roundtrip import feed
+
+    assert feed(spark.range(1000, numPartitions=10), f"{tmp_path}/in") == 4
+    assert len(list((tmp_path / "in").glob("part-*"))) == 10 and spark.read.parquet(f"{tmp_path}/in").count() == 1000

@@ -8,6 +8,7 @@ from watchtide.functions import expr as X
 from watchtide.operators import classify as C, normalize as N, triage as G, typed as Y, winevents as W
 from watchtide.operators.netfeatures import port_service
 from watchtide.plans.registry import query
+from watchtide.session import written_once
 from watchtide.sources import readers, sinks
 from watchtide.sources.views import AS_OF, Tables
 
@@ -159,7 +160,7 @@ def preclassified_bypass(t):
 def route_by_type(t):
     """The rows of the four typed tables."""
     out = None
-    for kind, df in N.route_by_type(classified(t)).items():
+    for kind, df in N.route_by_type(written_once(classified(t))).items():
         part = df.select(F.lit(kind).alias("event_type"), "event_id", F.col("message" if kind == "raw" else "hostname").alias("text"))
         out = part if out is None else out.unionByName(part)
     return out

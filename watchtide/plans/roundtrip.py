@@ -13,6 +13,7 @@ from watchtide.plans.registry import query
 from watchtide.plans.reports import metrics
 from watchtide.plans.streams import place, stream
 from watchtide.plans.triage import RESULTS
+from watchtide.session import written_once
 from watchtide.sources import readers, sinks
 from watchtide.sources.views import AS_OF, Tables
 from watchtide.streaming import metrics as TM, pipelines as P, rollups as TR
@@ -138,8 +139,9 @@ def throughput_metrics(t):
 
 @query("project_event", f"WITH {NORM} SELECT event_type, event_id, CAST(ts AS VARCHAR) AS timestamp, source_type, CAST(original_log_level AS BIGINT) AS original_log_level FROM c WHERE NOT (event_type = 'raw' AND level = 'DEBUG')")
 def project_event(t):
+    """Messages are parsed and classified once, then read by each type."""
     out = None
-    for kind, df in N.route_by_type(classified(t)).items():
+    for kind, df in N.route_by_type(written_once(classified(t))).items():
         part = df.select(F.lit(kind).alias("event_type"), "event_id", "timestamp", "source_type", "original_log_level")
         out = part if out is None else out.unionByName(part)
     return out

@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from watchtide.operators import models as M
-from watchtide.plans import ingest, roundtrip
+from watchtide.operators import models as M, netfeatures as W, triage as G
+from watchtide.plans import ingest, roundtrip, streams, triage
 from watchtide.sources.views import Tables
+from watchtide.streaming import connections as C
 
 
 @pytest.fixture()
@@ -55,3 +56,96 @@ def test_isolation_paths_by_hand():
     tree = {"d": [0], "w": [1.0], "c": 0.5, "l": {"n": 1}, "r": {"d": [1, 0], "w": [1.0, 0.0], "c": 0.0, "l": {"n": 2}, "r": {"n": 1}}}
     x = np.array([[0.0, 9.0], [1.0, -1.0], [1.0, 1.0]])
     assert M._lengths(tree, x).tolist() == [1.0, 3.0, 2.0] and len(M._lengths(tree, x[:0])) == 0
+
+
+def test_connection_windows_shuffle_what_is_read(tables):
+    plan = W.conn_window_2s(tables.network.withColumn("unread", F.col("event_id") * 7)).select("event_id", "count")._jdf.queryExecution().optimizedPlan().toString()
+    assert "unread" not in plan and "geo_country" not in plan
+
+
+def routes(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_stream_input_of_many_files_is_ten_batches(tables, monkeypatch):
+    """Parts of several files, some of them without a row, still come one after another."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 10)
+    got = streams.stream_conn_features(tables)
+    want = G.network_features(tables.network).select(*got.columns)
+    assert routes(got.where("event_id >= 0")) == routes(want)
+    where = got.inputFiles()[0].split("/out/")[0]
+    assert len(tables.spark.read.parquet(f"{where}/in").inputFiles()) == 40
+
+
+def test_context_of_a_batch(tables, tmp_path):
+    """A batch meets the context of its times, and that of ids that come twice; nothing else."""
+    spark, base = tables.spark, tables.base("events")
+    again = base.where("event_id % 50 = 0").withColumn("ts", F.expr("ts + INTERVAL 1 DAY"))
+    lost = base.where("event_id % 50 = 1").withColumn("event_id", F.lit(None).cast("long"))
+    base.unionByName(again).unionByName(lost).unionByName(base.where("event_id = 3")).write.parquet(f"{tmp_path}/more/events.parquet")
+    spark.range(1).write.parquet(f"{tmp_path}/more/part.parquet")
+    t = Tables(spark, f"{tmp_path}/more")
+    add = streams.dated_context(t)
+    for day in ("2024-01-01", "2024-01-03", "2025-01-01"):
+        batch = G.network_features(t.network).where(F.to_date("timestamp") == day)
+        assert routes(add(batch).select("event_id", "source_ip", "count", "template_rarity")) == routes(triage.with_context(t, batch).select("event_id", "source_ip", "count", "template_rarity"))
+
+
+class Kept:
+    """Stand-in for a state variable."""
+
+    def __init__(self):
+        self.rows = None
+
+    def exists(self):
+        return self.rows is not None
+
+    def get(self):
+        return self.rows if self.rows is not None else []
+
+    def update(self, row):
+        self.rows = row
+
+    put = update
+
+    def appendValue(self, row):
+        self.rows = [*(self.rows or []), row]
+
+    def clear(self):
+        self.rows = None
+
+
+class Handle:
+    def __getattr__(self, name):
+        return (lambda *_: Kept()) if name.startswith("get") else (lambda *_: None)
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_destination_keeps_and_sends_pieces():
+    import numpy as np
+    import pandas as pd
+
+    rng, size = np.random.default_rng(4), 3 * C.PIECE + 17
+    rows = pd.DataFrame({"dst_ip": "x", "at": 0, "t": rng.integers(0, 50_000_000, size), "id": np.arange(size), "src": rng.choice(["a", "b", None], size), "service": rng.choice(["y", "z"], size),
+                         "syn": rng.integers(0, 2, size), "rej": rng.integers(0, 2, size)})
+    rows["payload"] = rows["id"].astype(str)
+    one = C.ConnectionWindows(100, 2_000_000, 10**12)
+    one.init(Handle())
+    assert list(one.handleInputRows(("x",), iter([rows[:25_000], rows[25_000:]]), None)) == []
+    assert len(one.waiting.get()) == 4 and all(len(C._unpack(b)) <= C.PIECE for (b,) in one.waiting.get())
+    out = [*one.handleExpiredTimer(("x",), Now(20_000), None)]
+    left = [C._unpack(b) for (b,) in one.waiting.get()]
+    assert max(map(len, out)) <= C.PIECE and sum(map(len, left)) == (rows["t"] > 20_000_000).sum()
+    out += [*one.handleExpiredTimer(("x",), Now(60_000), None)]
+    assert not one.waiting.exists()
+    got = pd.concat(out).assign(id=lambda x: x["payload"].astype(int)).sort_values("id", ignore_index=True)
+    line = rows.sort_values(["t", "id"], kind="stable", ignore_index=True)
+    want = pd.concat([line[["id"]], C.features(line)], axis=1).sort_values("id", ignore_index=True)
+    assert got[want.columns].equals(want)

@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from watchtide.functions import timeline as T
 from watchtide.operators import models as M, netfeatures as W, triage as G
-from watchtide.plans import ingest, roundtrip, streams, triage
+from watchtide.operators.investigate import signals as S
+from watchtide.plans import ingest, investigate, roundtrip, streams, triage
 from watchtide.sources.views import Tables
 from watchtide.streaming import connections as C
 
@@ -63,6 +65,44 @@ def test_connection_windows_shuffle_what_is_read(tables):
     assert "unread" not in plan and "geo_country" not in plan
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rule_sweeps_do_not_carry_the_text(spark):
+    at = dt.datetime(2024, 1, 1)
+    alerts = spark.createDataFrame([(1, "h", "a", at, "Login FAILED again")], "event_id long, hostname string, source_ip string, timestamp timestamp, message string")
+    net = spark.createDataFrame([(9, at, "h", "a", "d", 445, "TCP", "", "x")], "event_id long, timestamp timestamp, hostname string, src_ip string, dst_ip string, dst_port int, protocol string, dns_query string, detection_rule string")
+    packs = {"one": S.Rule("one", "t", "low", "c", ("login failed",), where="dst_port = 445"), "both": S.Rule("both", "t", "low", "c", ("login", "absent"), condition="and"), "any": S.Rule("any", "t", "low", "c", ("absent", "failed"))}
+    out = S.sigma_rules(alerts, net, packs).select("event_id", "sigma_hits.rule_id")
+    assert "message" not in plan_of(out).split("Union")[0]  # above the sweep's shuffle
+    assert [tuple(r) for r in out.collect()] == [(1, ["one", "any"])]
+
+
+def test_values_of_a_window_need_no_running_rows(spark):
+    """Also before 1970, and for null keys, values and ids."""
+    rnd = random.Random(6)
+    seconds = lambda: dt.datetime(1970, 1, 1) + dt.timedelta(seconds=rnd.randrange(-40, 40))
+    facts = [(rnd.choice(["x", "y", None]), rnd.choice(["p", "q", "r", None]), seconds()) for _ in range(60)]
+    probes = [(k if k % 7 else None, rnd.choice(["x", "y", None]), seconds()) for k in range(60)]
+    out = T.window_values(spark.createDataFrame(probes, "id long, k string, ts timestamp"), spark.createDataFrame(facts, "k string, v string, ts timestamp"), "k", "ts", 9_000_000, "v", "id")
+    assert "Window" not in plan_of(out)
+    want = {(i, v) for i, k, t in probes if i is not None and k for k2, v, s in facts if k2 == k and 0 <= (t - s).total_seconds() <= 9}
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_scores_are_joined_once_for_all_signals(tables, monkeypatch):
+    calls, real = [], investigate.scored
+    monkeypatch.setattr(investigate, "scored", lambda t: calls.append(1) or real(t))
+    monkeypatch.setattr(investigate, "gather_signals", lambda alerts, network, facts, *rest, **more: (alerts, facts))
+    for c in ("region", "nation", "customer", "supplier"):
+        tables.spark.sql("SELECT 1L AS c_nationkey, 1L AS s_nationkey").write.mode("overwrite").parquet(f"{tables.sf_dir}/{c}.parquet")
+    alerts, facts = investigate.all_signals(tables)
+    assert len(calls) == 1 and facts.count() == 400
+    assert alerts.exceptAll(investigate.alerts(tables)).isEmpty() and alerts.count() == investigate.alerts(tables).count() > 0
+
+
 def routes(df):
     return sorted(map(tuple, df.collect()))
 

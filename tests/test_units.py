@@ -234,6 +234,36 @@ def test_folding_keeps_the_smaller_id_and_the_limit():
     assert best_i[1].tolist() == [3, 4, Q._NONE] and best_d[1].tolist() == [0, 0, np.inf]
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("away", [0.0, 1e4, 1e20])
+def test_candidates_in_single_precision_lose_no_neighbour(metric, away):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, 7)), np.zeros((3, 7)), rng.normal(size=(3, 7)) * 1e-9]) + away
+    d = Q._distances(x[:80], x, metric)
+    worst = np.sort(d, axis=1)[:, 4]
+    pairs = Q._near(x, x[:80], worst, metric)
+    assert set(np.flatnonzero(d <= worst[:, None])) <= set(pairs)
+    assert away or len(pairs) < 80 * 40
+    at, j = np.divmod(pairs, len(x))
+    assert np.allclose(Q._between(x[j], x[:80][at], metric), d[at, j], rtol=0, atol=1e-9 * max(1.0, away) ** 2)
+
+
+def test_rows_meet_few_centres_at_a_time(monkeypatch):
+    """What a task holds while it looks for centres does not grow with its batch."""
+    seen, real = [], Q._gaps
+    monkeypatch.setattr(Q, "_gaps", lambda x, centres: seen.append(len(x)) or real(x, centres))
+    rng = np.random.default_rng(6)
+    x, centres = rng.normal(size=(1000, 5)), rng.normal(size=(9, 5))
+    c, gap = Q._nearest(x, centres)
+    d = real(x, centres)
+    assert max(seen) <= Q._VISITORS and (c == d.argmin(1)).all() and np.allclose(gap, d.min(1))
+
+
+def test_short_lists_are_compared_together():
+    runs = Q._runs(np.array([2, 0, 3, 1]), np.array([600, 400, 300, 5000]))
+    assert [r.tolist() for r in runs] == [[2, 0], [3], [1]]
+
+
 def test_ann_recall(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(6, 8)) * 5

@@ -47,24 +47,62 @@ def embed(df: DataFrame, text: str, out: str = "vector", embedder: str | None =
 
 
 def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    d = x @ q.T
     if metric == "cosine":
-        nx, nq = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-        d = 1.0 - (x @ q.T) / np.maximum(np.outer(nx, nq), 1e-300)
+        d /= np.maximum(np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)), 1e-300)
+        np.subtract(1.0, d, out=d)
     else:
-        d = (x * x).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2.0 * (x @ q.T)
+        d *= -2.0
+        d += (x * x).sum(1)[:, None]
+        d += (q * q).sum(1)
+    return np.maximum(d, 0.0, out=d)
+
+
+def _between(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows that stand side by side."""
+    dot = np.einsum("ij,ij->i", x, q)
+    if metric == "cosine":
+        d = 1.0 - dot / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(q, axis=1), 1e-300)
+    else:
+        d = (x * x).sum(1) + (q * q).sum(1) - 2.0 * dot
     return np.maximum(d, 0.0)
 
 
+def _near(x: np.ndarray, q: np.ndarray, worst: np.ndarray, metric: str) -> np.ndarray:
+    """Places in a table of q by x of pairs among which are all that are no further apart than worst.
+
+    One product in single precision, of rows round their mean, is compared with a bound that allows for its rounding, so some pairs may be further apart.
+    """
+    if metric == "cosine":  # unit vectors are apart by the root of twice their distance
+        x, q, worst = _unit(x), _unit(q), 2.0 * worst
+    middle = x.mean(0)
+    left, right = np.c_[q - middle, np.ones(len(q))], np.c_[x - middle, np.zeros(len(x))]
+    square = (left[:, :-1] ** 2).sum(1)
+    right[:, -1] = (right * right).sum(1) / -2.0
+    size = square.max(initial=0.0) - 4.0 * right[:, -1].min(initial=0.0)
+    if not size < 1e30:  # beyond single precision, or not a number
+        return np.arange(len(q) * len(x))
+    low = (square - worst) / 2.0 - (left.shape[1] * 2.0**-22 * size + 1e-9)
+    return np.flatnonzero(left.astype(np.float32) @ right.astype(np.float32).T >= np.maximum(low, -1e35).astype(np.float32)[:, None])
+
+
 def _fold(x: np.ndarray, ids: np.ndarray, q: np.ndarray, rows: np.ndarray, k: int, metric: str, limit: np.ndarray, best_d: np.ndarray, best_i: np.ndarray) -> None:
     """Fold base rows into the k best of the queries ``rows``, none beyond their limit; equal distances go to the smaller id."""
-    d = _distances(x, q[rows], metric).T
     worst, last = best_d[rows, -1], best_i[rows, -1]
     last = np.where(worst <= limit[rows], last, _NONE)
     worst = np.minimum(worst, limit[rows])
-    if d.shape[1] > k and not np.isfinite(worst).all():
-        worst = np.where(np.isfinite(worst), worst, np.round(np.partition(d, k - 1, axis=1)[:, k - 1], 9))
-    at, j = np.nonzero(d <= worst[:, None] + 1e-9)
-    found, new = np.round(d[at, j], 9), ids[j]
+    some = q[rows]
+    pairs = _near(x, some, worst, metric) if np.isfinite(worst).all() else None
+    if pairs is not None and len(pairs) <= len(x) * len(rows) // 32:
+        at, j = np.divmod(pairs, len(x))
+        found = np.round(_between(x[j], some[at], metric), 9)
+    else:
+        d = _distances(some, x, metric)
+        if d.shape[1] > k and not np.isfinite(worst).all():
+            worst = np.where(np.isfinite(worst), worst, np.round(np.partition(d, k - 1, axis=1)[:, k - 1], 9))
+        at, j = np.divmod(np.flatnonzero(d <= worst[:, None] + 1e-9), len(x))
+        found = np.round(d[at, j], 9)
+    new = ids[j]
     keep = (found < worst[at]) | ((found == worst[at]) & (new < last[at]))
     if not keep.any():
         return
@@ -99,11 +137,36 @@ def _points(df: DataFrame, key: str, vector: str, same: str | None, kind: str) -
 def _matrix(vectors: pd.Series, metric: str) -> np.ndarray:
     """Rows to compare by Euclidean distance: for cosine those of unit length, half of whose squared distance is never more."""
     x = np.stack(vectors.to_numpy()).astype(np.float64)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
+    return _unit(x) if metric == "cosine" else x
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
 def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.sqrt(_distances(x, centres, "l2"))
+    d = _distances(x, centres, "l2")
+    return np.sqrt(d, out=d)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row and its distance, a few rows at a time: rows by centres is the widest table a task makes."""
+    c, gap = np.zeros(len(x), np.int32), np.zeros(len(x))
+    for lo in range(0, len(x), _VISITORS):
+        d = _gaps(x[lo : lo + _VISITORS], centres)
+        c[lo : lo + len(d)], gap[lo : lo + len(d)] = d.argmin(1), d.min(1)
+    return c, gap
+
+
+def _runs(order: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Lists in order, as many together as have the rows of one comparison."""
+    cuts, held = [], 0
+    for place, n in enumerate(size[order]):
+        if held and held + n > _SLICE:
+            cuts.append(place)
+            held = 0
+        held += n
+    return np.split(order, cuts)
 
 
 def _side_by_side(x: np.ndarray) -> np.ndarray:
@@ -134,8 +197,8 @@ class _Lists:
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in batches:
                 if len(x):
-                    d = _gaps(_matrix(x["v"], metric), shared.value)
-                    yield x.assign(c=d.argmin(1).astype("int32"), gap=d.min(1))
+                    c, gap = _nearest(_matrix(x["v"], metric), shared.value)
+                    yield x.assign(c=c, gap=gap)
 
         rows = cut_lineage(base.mapInPandas(place, f"id bigint, v {kind}, same bigint, c int, gap double"))
         sizes = rows.groupBy("c").agg(F.count("*").alias("n"), F.max("gap").alias("r")).collect()  # a row per list
@@ -184,11 +247,13 @@ class _Lists:
                 q, limit = np.stack(some["v"].to_numpy()).astype(np.float64), some["worst"].to_numpy()
                 least = _gaps(_matrix(some["v"], metric), centres) - radius
                 best_d, best_i = np.full((len(some), k), np.inf), np.full((len(some), k), _NONE, dtype=np.int64)
-                for at in np.argsort(least.mean(0), kind="stable"):
-                    for one in range(start[at], end[at], _SLICE):
-                        rows = np.flatnonzero(least[:, at] <= _reach(np.minimum(limit, best_d[:, -1]), metric))
+                for near in _runs(np.argsort(least.mean(0), kind="stable"), end - start):
+                    places = np.concatenate([np.arange(start[at], end[at]) for at in near])
+                    for one in range(0, len(places), _SLICE):
+                        reach = _reach(np.minimum(limit, best_d[:, -1]), metric)
+                        rows = np.flatnonzero((least[:, near] <= reach[:, None]).any(1))
                         if len(rows):
-                            part = slice(one, min(one + _SLICE, end[at]))
+                            part = places[one : one + _SLICE]
                             _fold(x[part], ids[part], q, rows, k, metric, limit, best_d, best_i)
                 out.append(_rows(some["id"].to_numpy(), best_d, best_i))
             return pd.concat(out)

@@ -7,6 +7,7 @@ import random
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -416,6 +417,34 @@ def test_templates_do_not_depend_on_other_lines(spark):
         assert len(set(out.values())) == n + 1
 
 
+def test_buckets_share_a_table_of_leaders():
+    """Small buckets are led in one table as each would be alone; tokens stay with leaders that more rows will meet."""
+    rnd = random.Random(4)
+    rows = [{"bucket": f"{n} a", "sig": f"{n}{k:03d}", "size": rnd.randrange(3), "tokens": ["a", *[rnd.choice("xyz") for _ in range(n - 1)]], "more": n == 9} for n in (4, 9, 17) for k in range(30)]
+    rnd.shuffle(rows)
+    got = {r["sig"]: r for r in L._lead(pa.Table.from_pylist(rows), 0.4).to_pylist()}
+    for n in (4, 9, 17):
+        leaders = []
+        for r in sorted((r for r in rows if len(r["tokens"]) == n), key=lambda r: (-r["size"], r["sig"])):
+            close = [x for x in leaders if sum(a == b for a, b in zip(x["tokens"], r["tokens"])) / n >= 0.4]
+            leaders += [] if close else [r]
+            mine = got[r["sig"]]
+            assert mine["cluster"] == (close or [r])[0]["sig"]
+            assert mine["tokens"] == (r["tokens"] if n == 9 and not close else None)
+
+
+def test_looking_ahead_changes_no_mask():
+    import re
+
+    rnd, parts = random.Random(5), ["Jan", "Dec ", "2024-01-05", "T", " ", ":", "::", "0x", "1f", "fe80", "10.0.0.1", "-", "00", "abcdef12", "-1234", "/a", "/b.c", "z"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 30))) for _ in range(4000)]
+    texts += ["550e8400-e29b-41d4-a716-446655440000", "00:11:22:33:44:55", "1:2:3:4:5:6:7:8", "Jan 12 10:11:12"]
+    for place, first in L._FIRST.items():
+        pattern, name = L.MASKS[place]
+        assert [re.sub(first + pattern, name, t) for t in texts] == [re.sub(pattern, name, t) for t in texts]
+        assert any(re.search(pattern, t) for t in texts)
+
+
 def test_template_leaders_equal_a_plain_pass(spark):
     rnd = random.Random(8)
     lines = [" ".join(["a", "b", *[rnd.choice("cdef") * 2 for _ in range(rnd.choice([3, 4]))]]) for _ in range(150)]

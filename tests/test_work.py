@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from watchtide.functions import timeline as T
 from watchtide.operators import models as M, netfeatures as W, triage as G
 from watchtide.operators.investigate import signals as S
-from watchtide.plans import ingest, investigate, roundtrip, streams, triage
+from watchtide.plans import ingest, investigate, models, roundtrip, streams, triage
 from watchtide.sources.views import Tables
 from watchtide.streaming import connections as C
 
@@ -189,3 +189,47 @@ def test_a_destination_keeps_and_sends_pieces():
     line = rows.sort_values(["t", "id"], kind="stable", ignore_index=True)
     want = pd.concat([line[["id"]], C.features(line)], axis=1).sort_values("id", ignore_index=True)
     assert got[want.columns].equals(want)
+
+
+def test_isolation_walk_equals_recursion():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 5)) * [1, 100, 1, 1e6, 1]
+    tree = M._grow(x[:256], 0, 8, np.random.default_rng(5), 2)
+
+    def length(node, row, depth=0):
+        if "n" in node:
+            return depth + M._mean_path(node["n"])
+        side = sum(row[d] * w for d, w in zip(node["d"], node["w"])) <= node["c"]
+        return length(node["l"] if side else node["r"], row, depth + 1)
+
+    assert M._walk(M._flat(tree), x).tolist() == [length(tree, row) for row in x]
+    assert M._lengths({"n": 3}, x[:2]).tolist() == [M._mean_path(3)] * 2
+
+
+class Called(Exception):
+    pass
+
+
+def whole_job(spark, monkeypatch, query, **wanted):
+    """The query trains with the operator's own rounds, trees, depths and samples."""
+    import inspect
+
+    real = getattr(M, query)
+
+    def called(*args, **more):
+        given = inspect.signature(real).bind(*args, **more)
+        given.apply_defaults()
+        raise Called({k: given.arguments[k] for k in wanted})
+
+    monkeypatch.setattr(M, query, called)
+    monkeypatch.setattr(models, "training_features", lambda t: spark.range(3))
+    monkeypatch.setattr(models, "assembled", lambda t: spark.range(3))
+    with pytest.raises(Called) as found:
+        getattr(models, query)(None)
+    assert found.value.args[0] == wanted
+
+
+def test_isolation_forest_is_whole(spark, monkeypatch):
+    whole_job(spark, monkeypatch, "train_isolation_forest", trees=300, sample=256)

@@ -233,3 +233,7 @@ def whole_job(spark, monkeypatch, query, **wanted):
 
 def test_isolation_forest_is_whole(spark, monkeypatch):
     whole_job(spark, monkeypatch, "train_isolation_forest", trees=300, sample=256)
+
+
+def test_supervised_rounds_are_whole(spark, monkeypatch):
+    whole_job(spark, monkeypatch, "train_supervised", rounds=100, depth=6)

@@ -237,3 +237,7 @@ def test_isolation_forest_is_whole(spark, monkeypatch):
 
 def test_supervised_rounds_are_whole(spark, monkeypatch):
     whole_job(spark, monkeypatch, "train_supervised", rounds=100, depth=6)
+
+
+def test_verdict_rounds_are_whole(spark, monkeypatch):
+    whole_job(spark, monkeypatch, "train_verdict_model", rounds=300, depth=6)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from watchtide.functions import timeline as T
 from watchtide.operators import models as M, netfeatures as W, triage as G
-from watchtide.operators.investigate import signals as S
+from watchtide.operators.investigate import attack_graph as K, signals as S
 from watchtide.plans import ingest, investigate, models, roundtrip, streams, triage
 from watchtide.sources.views import Tables
 from watchtide.streaming import connections as C
@@ -241,3 +241,27 @@ def test_supervised_rounds_are_whole(spark, monkeypatch):
 
 def test_verdict_rounds_are_whole(spark, monkeypatch):
     whole_job(spark, monkeypatch, "train_verdict_model", rounds=300, depth=6)
+
+
+def test_graph_text_cleans_only_what_can_be_unclean(spark):
+    row = {
+        "event_id": 7, "hostname": "web-1 [a]", "source_ip": None, "user_id": "", "adjusted_score": 0.9, "finding_type": "ACTIVE_CAMPAIGN", "hunter_score": 0.5, "model_used": "heuristic",
+        "related_alert_ids": [12, -3], "related_hosts": ["db|2", "x"], "is_campaign": 1, "campaign_id": "c#1", "campaign_host_count": 2, "campaign_tactic_count": 2, "temporal_escalation_count": 1, "temporal_unique_categories": 1,
+        "temporal_mean_score": 0.25, "graph_has_ioc_neighbor": 1,
+    }
+    zero = ["spc_is_anomaly", "graph_unique_destinations", "graph_hop_count", "similarity_confirmed_neighbor_count", "mitre_match_count"]
+    real = ["spc_z_score", "spc_baseline_mean", "spc_baseline_stddev", "graph_lateral_movement_score", "graph_c2_candidate_score", "similarity_min_confirmed_dist", "similarity_label_confidence"]
+    row |= {c: 0 for c in zero} | {c: 0.0 for c in real}
+    kinds = {str: "string", int: "long", float: "double", type(None): "string"}
+    schema = ", ".join(f"{k} {'array<long>' if k == 'related_alert_ids' else 'array<string>' if k == 'related_hosts' else kinds[type(v)]}" for k, v in row.items())
+    df = spark.createDataFrame([tuple(row.values())], schema).withColumns({
+        "sigma_hits": F.expr("array(named_struct('rule_id', 'r-1', 'title', 'T (x)', 'severity', 4, 'category', 'c'))"), "mitre_matches": F.expr("array(named_struct('rule_id', 'a', 'tactic', 'lateral-movement', 'technique', 'T1', 'confidence', 0.5D))")})
+    out = K.attack_graph_mermaid(K.with_graph(df))
+    lines = out.first()["mermaid"].split("\n")
+    for line in ('    alert_0_12(["alert 12"])', '    alert_1__3(["alert -3"])', '    alert_1__3 -.->|"correlated"| temporal_summary', '    camp_host_0_db_2(["db2"])', '    campaign -->|"coordinated"| camp_host_0_db_2',
+                 '    sigma_0_r_1[/"SIGMA: T x<br/>severity: critical"/]', '    sigma_0_r_1 -.->|"triggers"| mitre_lateral_movement', '    host_web_1__a_ -->|"campaign c1"| campaign', '    graph_ioc{{"IOC Neighbour Detected"}}'):
+        assert line in lines, line
+    assert lines[-3:] == [f"    style {x},stroke:#333,color:#fff" for x in ("sigma_0_r_1 fill:#dc3545", "graph_ioc fill:#ff0000", "campaign fill:#ff4500")]
+    # ids are cleaned when they are made, and whole numbers need no pattern
+    text = spark.createDataFrame([], K.with_graph(df).schema)
+    assert "A-Za-z0-9_" not in K.attack_graph_mermaid(text)._jdf.queryExecution().analyzed().toString()

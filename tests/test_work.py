@@ -265,3 +265,24 @@ def test_graph_text_cleans_only_what_can_be_unclean(spark):
     # ids are cleaned when they are made, and whole numbers need no pattern
     text = spark.createDataFrame([], K.with_graph(df).schema)
     assert "A-Za-z0-9_" not in K.attack_graph_mermaid(text)._jdf.queryExecution().analyzed().toString()
+
+
+def test_streamed_investigation_reads_scores_that_were_joined_once(spark, monkeypatch, tmp_path):
+    from types import SimpleNamespace
+
+    rows = spark.range(5).select(F.col("id").alias("event_id"), *[F.lit(c).alias(c) for c in investigate.FACTS[1:]])
+
+    def signals(alerts, network, facts, *rest, **more):
+        raise Called(facts)
+
+    monkeypatch.setattr(streams, "scored", lambda t: rows.join(rows.select("event_id", F.lit("m").alias("message")), "event_id"))
+    monkeypatch.setattr(streams, "network", lambda t: None)
+    monkeypatch.setattr(streams, "actions", lambda t: None)
+    monkeypatch.setattr(streams, "place", lambda t: str(tmp_path))
+    monkeypatch.setattr(streams, "gather_signals", signals)
+    monkeypatch.setattr(streams.P, "stream_investigation", lambda scored, signals, out, offsets: signals(scored))
+    with pytest.raises(Called) as found:
+        streams.stream_investigation(SimpleNamespace(spark=spark, iocs=None))
+    facts = found.value.args[0]
+    assert "Join" not in facts._jdf.queryExecution().analyzed().toString() and facts.columns == investigate.FACTS
+    assert facts.orderBy("event_id").collect() == rows.orderBy("event_id").collect()
